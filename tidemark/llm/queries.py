@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, quality, url_filters
+from tidemark.llm import chat_format, decontaminate, html_extract, language_id, packing, pii, quality, url_filters, warc
 from tidemark.llm.common import table
 
 
@@ -36,5 +36,32 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_chat_format, op7_repetition, op8_language_id)}
+#: A byte-level vocabulary of ranks, and the pattern by which its texts are split before it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), pii.demo_key()).select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.TokenCounter(VOCABULARY, SPLIT))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_url_reputation, op3_chat_format, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc, op10_packing)}
 ORACLE: dict[str, str] = {}
