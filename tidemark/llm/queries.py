@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, language_id, packing, pii, quality, url_filters, warc
+from tidemark.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, pii, quality, url_filters, warc
 from tidemark.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), pii.demo_key()).select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -63,5 +67,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.TokenCounter(VOCABULARY, SPLIT))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_url_reputation, op3_chat_format, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_url_reputation, op3_chat_format, op4_near_dedup, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc, op10_packing)}
 ORACLE: dict[str, str] = {}
