@@ -174,8 +174,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, shi
         yield make_block(items, window, shingle)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document row: id, n_words, n_hit, items (sorted array of item ids as strings), spans (merged word ranges).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document row: id, n_words, n_hit, items (sorted array of item ids as strings), spans (merged word ranges), and the columns named in keep.
 
     Null texts have no words. Items with fewer words than a window are one window; items without words are left out;
     an item id that repeats counts once. Each row of docs gives one row, repeated ids and rows included. An empty
@@ -184,23 +184,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    base = docs.select(F.col(id_col), F.col(text_col))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
     ready = []
     for block in _blocks(benchmark, item_col, item_text_col, window, shingle, block_chars):
         shared = share(block)
         counts = np.zeros(sum(map(len, block.keys.values())), np.int64)
-        for r in shingle_counts(base, shared, text_col).collect():  # a row for each shingle of the block at most
+        for r in shingle_counts(base, shared, "_text").collect():  # a row for each shingle of the block at most
             counts[r["number"]] = r["n"]
         ready.append((shared, share(file_windows(block, counts, shingle))))
+    nothing = (share(make_block([])), share({}))
     if len(ready) < 2:
-        return _map(base, *(ready[0] if ready else (share(make_block([])), share({}))))
+        return _map(base, *(ready[0] if ready else nothing), keep).withColumnRenamed("_id", id_col)
     # several blocks: the hits of one id and text merge, and each row of docs keeps its row
-    keyed = base.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    parts = functools.reduce(DataFrame.unionByName, (_map(keyed, *x).where("n_hit > 0") for x in ready))
-    hit = durable(parts.select(F.col(id_col).alias("_id"), F.col("_key").alias("_hit_key"), "items", "spans"), "hits")
-    hit = hit.groupBy("_id", "_hit_key").agg(F.flatten(F.collect_set("items")).alias("_items"), F.flatten(F.collect_set("spans")).alias("_spans"))
-    counted = _map(keyed, share(make_block([])), share({})).select(id_col, "n_words", "_key")
-    joined = counted.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit_key")), "left")
+    keyed = base.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    parts = functools.reduce(DataFrame.unionByName, (_map(keyed.select("_id", "_text", "_key"), *x, ("_key",)).where("n_hit > 0") for x in ready))
+    hit = durable(parts.select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), "items", "spans"), "hits")
+    hit = hit.groupBy("_hit_id", "_hit_key").agg(F.flatten(F.collect_set("items")).alias("_items"), F.flatten(F.collect_set("spans")).alias("_spans"))
+    counted = _map(keyed, *nothing, (*keep, "_key")).drop("n_hit", "items", "spans")
+    joined = counted.join(hit, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_key") == F.col("_hit_key")), "left")
     spans = F.sort_array(F.coalesce("_spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")))
     zero = F.lit(0).cast("long")
     total = F.aggregate(
@@ -209,13 +210,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         lambda acc, s: F.struct((acc["total"] + F.greatest(zero, s["end"] - F.greatest(s["begin"], acc["end"]))).alias("total"), F.greatest(acc["end"], s["end"]).alias("end")),
     )["total"]
     items = F.sort_array(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>"))))
-    return joined.select(F.col(id_col), "n_words", total.alias("n_hit"), items.alias("items"), spans.alias("spans"))
+    return joined.select(F.col("_id").alias(id_col), "n_words", total.alias("n_hit"), items.alias("items"), spans.alias("spans"), *keep)
 
 
-def _map(base: DataFrame, shared, filed) -> DataFrame:
-    """base: id, text and perhaps _key, which is carried through."""
-    id_col, kind = base.dtypes[0]
-    names = [id_col, "n_words", "n_hit", "items", "spans", "_key"]
+def _map(base: DataFrame, shared, filed, keep: tuple[str, ...] = ()) -> DataFrame:
+    """base: _id, _text and the columns in keep, which are carried through."""
+    kinds = dict(base.dtypes)
+    names = ["_id", "n_words", "n_hit", "items", "spans", *keep]
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +230,7 @@ def _map(base: DataFrame, shared, filed) -> DataFrame:
                 n_hit.append(sum(b - a for a, b in merged))
                 items.append(sorted({str(block.names[i]) for i in of}))
                 spans.append([{"begin": a, "end": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, spans_type), *batch.columns[2:]], names[: 5 + len(batch.columns) - 2]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, spans_type), *batch.columns[2:]], names)
 
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>"
-    return base.mapInArrow(run, schema + ", _key string" * (len(base.columns) > 2))
+    kept = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return base.mapInArrow(run, f"_id {kinds['_id']}, n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>{kept}")

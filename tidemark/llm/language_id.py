@@ -130,7 +130,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, *keep, "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + ["lang_pred string, score double"])
-    return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

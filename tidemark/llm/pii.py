@@ -276,11 +276,12 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
     moved = durable(resolve(durable(entities(docs, text_col), "entities"), key), "moved")
     few = moved.count() <= broadcast_rows
     shared = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()} if few else {})
-    rows = docs.select(F.col(id_col), F.col(text_col), *keep)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
     if not few:  # each document gets the attempts of its own entities, by a join on its text
-        mentioned = rows.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_key"), F.col(text_col)).mapInArrow(_mentions, "_key string, kind string, entity string").distinct()
+        key_of = F.sha2(F.coalesce("_text", F.lit("")), 256)
+        mentioned = rows.select(key_of.alias("_key"), "_text").mapInArrow(_mentions, "_key string, kind string, entity string").distinct()
         own = mentioned.join(moved, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_moved"))
-        rows = rows.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(own, "_key", "left").select(id_col, text_col, *keep, "_moved")
+        rows = rows.withColumn("_key", key_of).join(own, "_key", "left").select("_id", "_text", *keep, "_moved")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, cache = Surrogates(key), {}
