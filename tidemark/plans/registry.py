@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import usage
+
+FAMILIES = (usage,)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
