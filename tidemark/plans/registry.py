@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import usage
+from tidemark.plans import quality, usage, versions
 
-FAMILIES = (usage,)
+FAMILIES = (usage, quality, versions)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
