@@ -57,12 +57,15 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """NFKC with white space runs as one space; Spark SQL has no normalize()."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
 
 
+def nfkc(text: Column) -> Column:
+    """NFKC with white space runs as one space; Spark SQL has no normalize()."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
 def title_norm(text: Column) -> Column:
     """Lower case, without dates, numbers and punctuation, white space as one space; the order of steps matters."""
     x = F.lower(text)
