@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import learners, monitoring, parity, quality, usage, versions
+from tidemark.plans import learners, monitoring, parity, quality, texts, usage, versions
 
-FAMILIES = (usage, quality, versions, parity, monitoring, learners)
+FAMILIES = (usage, quality, versions, parity, monitoring, learners, texts)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
