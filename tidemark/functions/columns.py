@@ -77,8 +77,12 @@ def title_norm(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """Distinct character n-grams in order; a shorter text is its own only one, an empty one has none."""
-    many = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(many))
+    gram = lambda c, i: F.concat(*(F.get(c, i + k) for k in range(n)))
+    many = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: gram(c, i)))
+    short = lambda c: F.when(F.size(c) == 0, c).when(F.size(c) < n, F.array(F.array_join(c, "")))
+    # the characters are bound once, else the text's own expression would run for each n-gram
+    bound = F.array(F.filter(F.split(text, ""), lambda x: x != ""))
+    return F.element_at(F.transform(bound, lambda c: short(c).otherwise(many(c))), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

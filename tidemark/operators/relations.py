@@ -97,7 +97,7 @@ def jaccard_pairs(rows: DataFrame, id_col: str, block: str, tokens: str, percent
     a, b = index.select("block", "w", F.col("id").alias("a"), F.col("n").alias("na")), index.select("block", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     pairs = a.join(b, ["block", "w"]).where(near).select("block", "a", "b").distinct()
-    sets = kept.select("id", "t")
+    sets = kept.select("id", F.transform("t", lambda w: F.xxhash64(w)).alias("t"))  # intersections of numbers run in generated code
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     out = full.select("block", "a", "b", shared.alias("n_shared"), (F.size("ta") + F.size("tb") - shared).cast("long").alias("n_all"))

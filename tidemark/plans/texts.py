@@ -55,8 +55,8 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of one language alike by 0.62 over bigrams; equal titles count as one."""
-    t = _first_line(read(spark, sf_dir, "documents")).select("doc_id", "lang", char_ngrams(F.col("title")).alias("g"))
+    """Titles of one language alike by 0.62 over 4-grams, whose prefixes are rare enough to join on; equal titles count as one."""
+    t = _first_line(read(spark, sf_dir, "documents")).select("doc_id", "lang", char_ngrams(F.col("title"), 4).alias("g"))
     return jaccard_pairs(t, "doc_id", "lang", "g", 62).select("block", "a", "b", "n_shared", "n_all")
 
 
@@ -146,6 +146,7 @@ QUERIES = {f.__name__: f for f in (rule_match, title_norms, char_ngram_counts, p
 
 TITLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}', ' ', 'g'), '[0-9]+(\.[0-9]+)?%?', ' ', 'g'), '[!-/:-@\[-`{-~]+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
 GRAMS = "(case when length(t) = 0 then [] when length(t) < 2 then [t] else list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, cast(i as integer), 2))) end)"
+FOURS = GRAMS.replace("< 2", "< 4").replace("- 1)", "- 3)").replace(", 2)", ", 4)")
 PLAIN = "coalesce(text, '')"
 
 
@@ -162,7 +163,7 @@ ORACLE = {
     "rule_match": f"with d as (select doc_id, {PLAIN} t from documents) " + " union all ".join(_rule_sql(r) for r in RULES),
     "title_norms": f"select doc_id, {TITLE} title from documents",
     "char_ngram_counts": f"with g as (select doc_id, {GRAMS} g from (select doc_id, {TITLE} t from documents)) select doc_id, cast(len(g) as bigint) n, list_min(g) as first, list_max(g) as last from g",
-    "pair_similarity": f"""with g as (select lang block, list_sort({GRAMS}) g, min(doc_id) i from (select doc_id, lang, {TITLE} t from documents) where length(t) > 0 group by 1, 2),
+    "pair_similarity": f"""with g as (select lang block, list_sort({FOURS}) g, min(doc_id) i from (select doc_id, lang, {TITLE} t from documents) where length(t) > 0 group by 1, 2),
  p as (select x.block, x.i a, y.i b, cast(len(list_intersect(x.g, y.g)) as bigint) n_shared, len(x.g) + len(y.g) s from g x join g y on x.block = y.block and x.i < y.i)
  select block, a, b, n_shared, cast(s - n_shared as bigint) n_all from p where 100 * n_shared >= 62 * (s - n_shared)""",
     "trend_scores": """with d as (select d.*, quality, toxic, cast(d.doc_id % 40 as integer) as t from documents d left join labels l on l.doc_id = d.doc_id),
