@@ -146,7 +146,10 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     keyed = rows.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
     first = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     decided = keyed.join(first, "sha", "left").select("page_id", "url", "html", F.col("first"), (F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
-    samples = [r[0] for r in rows.where("html != ''").select(F.substring("html", 1, SAMPLE_BYTES), F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()]
+    # the sample is chosen by a hash: first its bound, from numbers alone, then its rows
+    mark = F.xxhash64("page_id", "html")
+    marks = [r[0] for r in rows.where("html != ''").select(mark.alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()]
+    samples = [r[0] for r in rows.where("html != ''").where(mark <= F.lit(marks[-1] if marks else 0)).select(F.substring("html", 1, SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect()]
     dictionary = train_dictionary([x.encode("utf-8", "surrogatepass") for x in samples])
     folder = new_path(spark, "warc")
 
