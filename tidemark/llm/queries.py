@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, pii, quality, url_filters, warc
 from tidemark.llm.common import table
+from tidemark.llm.sql import ORACLE as ORACLE
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repetition(table(spark, sf_dir, "documents"))
+    found = quality.repetition(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +70,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_url_reputation, op3_chat_format, op4_near_dedup, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc, op10_packing)}
-ORACLE: dict[str, str] = {}
