@@ -15,15 +15,15 @@ from tidemark.llm.common import durable, table
 from tidemark.llm.queries import SPLIT, VOCABULARY
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Texts nearer to no learned language than this are rejected.
-MIN_SCORE = 0.03
+#: Texts nearer to no learned language than this are rejected, if they are long enough to tell.
+MIN_SCORE, TELLING_CHARS = 0.03, 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the rows with a language; drop texts without letters and those that are near to no language. lang becomes the prediction."""
+    """Learn from the rows with a language; drop texts without letters and longer ones that are near to no language. lang becomes the prediction."""
     model = language_id.train(docs)
     seen = language_id.predict(docs, model, keep=("text", "source", "n_chars"))
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return seen.where((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SCORE) | (F.length("text") < TELLING_CHARS))).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut into smaller ones, so that a worker holds the Python objects of a few rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def ascii_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column. bytes.lower() and bytes.split() then treat A-Z and the six ASCII white space characters only."""
     return column.cast(pa.binary()).to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes, durable
+from tidemark.llm.common import ascii_bytes, durable, slices
 
 WINDOW, SHINGLE = 10, 5
 #: Characters of items in one block.
@@ -116,7 +116,7 @@ def shingle_counts(docs: DataFrame, shared, text_col: str) -> DataFrame:
         block = shared.value
         size = sum(map(len, block.keys.values()))
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in ascii_bytes(batch.column(0)):
                 for _, _, number in _find(block, _ids(block, text)):
                     np.add.at(total, number, 1)
@@ -221,7 +221,7 @@ def _map(base: DataFrame, shared, filed, keep: tuple[str, ...] = ()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index = shared.value, filed.value
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_hit, items, spans = [], [], [], []
             for text in ascii_bytes(batch.column(1)):
                 n, found, of = hits(block, index, text)

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 DIM, SEED = 512, 20_240_117
 #: 3-grams whose vectors a worker keeps; beyond it they are made anew.
-KEPT = 60_000
+KEPT = 30_000
 SPACE = 32
 
 
@@ -38,14 +40,16 @@ def _letter(code: int) -> np.ndarray:
     return np.random.default_rng((SEED, code)).integers(0, 2, DIM).astype(np.int8) * 2 - 1
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The text's letter 3-grams as numbers, and their counts. Words are bounded by one space; white space, digits and signs bound words."""
-    codes = _letter_table()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not (codes != SPACE).any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes = np.concatenate(([SPACE], codes, [SPACE]))
-    codes = codes[np.concatenate(([True], (codes[1:] != SPACE) | (codes[:-1] != SPACE)))]
-    return np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
+def grams(text: str | None, piece: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The text's letter 3-grams as numbers with their counts, piece by piece. Words are bounded by one space; white space, digits and signs bound words."""
+    text, table, tail = text or "", _letter_table(), np.array([SPACE], np.int64)
+    for k in range(0, len(text) + 1, piece):
+        last = k + piece > len(text)
+        codes = np.concatenate((tail, table[np.frombuffer(text[k : k + piece].encode("utf-32-le", "surrogatepass"), np.uint32)], [SPACE] * last))
+        codes = codes[np.concatenate(([True], (codes[1:] != SPACE) | (codes[:-1] != SPACE)))].astype(np.int64)
+        if len(codes) > 2:
+            yield np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
+        tail = codes[-2:]
 
 
 class Vectors:
@@ -66,31 +70,33 @@ class Vectors:
         self.at[gram] = k
         return k
 
-    def bundle(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The weighted sum of the 3-grams' vectors."""
+    def bundle(self, text: str | None) -> np.ndarray:
+        """The sum of the text's 3-gram vectors; all zero without letters."""
         out = np.zeros(DIM, np.float64)
-        for k in range(0, len(ids), 20_000):
-            if len(self.at) > KEPT:
-                self.clear()
-            rows = [at if (at := self.at.get(g)) is not None else self._add(g) for g in ids[k : k + 20_000].tolist()]
-            out += counts[k : k + 20_000].astype(np.float32) @ self.rows[rows]
+        for ids, counts in grams(text):
+            for k in range(0, len(ids), 20_000):
+                if len(self.at) > KEPT:
+                    self.clear()
+                rows = [at if (at := self.at.get(g)) is not None else self._add(g) for g in ids[k : k + 20_000].tolist()]
+                out += counts[k : k + 20_000].astype(np.float32) @ self.rows[rows]
         return out
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Language to prototype, from all rows with a language and a letter. One vector a language comes to the driver.
 
-    Each batch of rows is bundled in its task; what is shuffled is one vector for each batch and language.
+    Each task bundles its rows; what is shuffled is one vector for each task and language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Vectors()
-        for batch in batches:
+        made, sums = Vectors(), {}
+        for batch in slices(batches, 100):
             texts: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text)
-            sums = {lang: made.bundle(*grams("\n".join(x))) for lang, x in texts.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
+            for lang, x in texts.items():
+                sums[lang] = sums.get(lang, 0) + made.bundle("\n".join(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     known = docs.select(F.col(text_col), F.col(lang_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     parts = known.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
@@ -113,15 +119,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Vectors()
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
-                ids, counts = grams(text)
-                if not len(ids) or not names:
+                v = made.bundle(text)
+                if not v.any() or not names:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                v = made.bundle(ids, counts)
                 v = v / max(np.linalg.norm(v), 1e-12) - centre
                 cosines = rays @ (v / max(np.linalg.norm(v), 1e-12))
                 best = int(np.argmax(cosines.round(12)))

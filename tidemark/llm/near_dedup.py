@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes, durable
+from tidemark.llm.common import ascii_bytes, durable, slices
 from tidemark.llm.components import components
 
 #: Rows of a band and bands: a pair of similarity 0.85 shares no bucket with a chance of 7e-9, one of 0.8 with 3e-6.
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, found = [], [], []
             for text in ascii_bytes(batch.column(1)):
                 s = of(text)
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(x).tobytes() for x in ascii_bytes(batch.column(1))], pa.binary())], ["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id long, shingles binary")
@@ -165,7 +165,7 @@ def _compare_groups(groups: DataFrame, percent: int) -> DataFrame:
     """groups (members array<struct<rep, shingles>>): edges u, v between linked members, as many as connect them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 50):
             us, vs = [], []
             for k in range(batch.num_rows):
                 members = batch.column(0)[k].as_py()
@@ -230,8 +230,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     sign = durable(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, rows=rows, band_count=band_count), "signatures")
-    classes = durable(sign.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    entries = classes.select("rep", F.explode("bands").alias("key"))
+    classes = durable(sign.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    entries = classes.where("rep is not null").select("rep", F.explode("bands").alias("key"))
     buckets = durable(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = durable(entries.join(buckets, "key"), "members")
     groups = durable(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_distinct(F.sort_array(F.collect_list("rep"))).alias("reps")).select("reps").where("size(reps) > 1").distinct(), "groups")

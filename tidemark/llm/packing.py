@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, slices
 
 #: Tokens of a sequence at most, number of buckets, padded tokens of a batch.
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
@@ -50,14 +50,11 @@ class TokenCounter:
 
 def lengths(docs: DataFrame, count: Callable[[str], int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens of each row: the text's tokens and one end token, so that null and empty texts have 1."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    shared = spark.sparkContext.broadcast(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 + (of(x) if x else 0) for x in batch.column(1).to_pylist()], pa.int64())], [id_col, "n_tokens"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([1 + (count(x) if x else 0) for x in batch.column(1).to_pylist()], pa.int64())], [id_col, "n_tokens"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
 
@@ -103,7 +100,6 @@ def pack(docs: DataFrame, count: Callable[[str], int], *, id_col: str = "doc_id"
     may hold fewer. Null and empty texts are one end token. Repeated rows and ids are sequences of their own; an empty
     table gives none; other columns are not read.
     """
-    spark = docs.sparkSession
     counted = durable(lengths(docs, count, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "_id"), "lengths")
     parts = counted.select("_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / context).cast("int"))).alias("part", "_p")).select(
         "_id", "part", (F.col("part").cast("long") * context).alias("start"), F.least(F.col("n_tokens") - F.col("part").cast("long") * context, F.lit(context)).alias("length")

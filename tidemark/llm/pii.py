@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, slices
 
 #: Entities with another than their first surrogate go to the tasks as a table up to so many; beyond it, by a join.
 BROADCAST = 200_000
@@ -225,7 +225,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """kind, entity: each distinct canonical form of all documents once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen = {(kind, form) for text in batch.column(0).to_pylist() for _, _, kind, form in detect(text)}
             kinds, forms = zip(*seen, strict=True) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(forms, pa.string())], ["kind", "entity"])
@@ -236,7 +236,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _with_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([space(k) for k, _, _ in rows], pa.string()), pa.array([made.of(k, e, a) for k, e, a in rows], pa.string())], ["kind", "entity", "attempt", "space", "surrogate"])
 
@@ -285,7 +285,7 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, cache = Surrogates(key), {}
-        for batch in batches:
+        for batch in slices(batches):
             listed = batch.column(batch.num_columns - 1).to_pylist() if not few else [None] * batch.num_rows
             texts, n, counts = [], [], []
             for text, own in zip(batch.column(1).to_pylist(), listed, strict=True):
@@ -310,7 +310,7 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = {(key, kind, form) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, form in detect(text)}
         columns = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["_key", "kind", "entity"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes
+from tidemark.llm.common import ascii_bytes, slices
 
 #: Largest share of characters inside repeated n-grams, by length, and inside repeated lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -105,7 +105,7 @@ def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     schema = f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ngram_share double, line_share double, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [measure(x, limits, line_limit) for x in ascii_bytes(batch.column(1))]
             columns = list(zip(*got, strict=True)) if got else [()] * len(NAMES)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, new_path
+from tidemark.llm.common import durable, new_path, slices
 
 #: Fixed values of the formats.
 VERSION = b"WARC/1.1"
@@ -166,7 +166,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
                 done.append((path, count, size))
                 out = None
 
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, html, first_id, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.zst"  # a repeated task writes other files
