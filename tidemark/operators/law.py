@@ -1,0 +1,124 @@
+"""Law versions and their dates: numerals, calendar, effective-date clauses, triage and promotion ladders."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from datetime import date, timedelta
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tidemark.operators.rules import ladder, names_where
+
+#: Digits and units of Chinese numerals.
+DIGITS = {"零": 0, "〇": 0, "○": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+UNITS = {"十": 10, "百": 100, "千": 1000}
+#: Fixed value: the first year of the calendar of official texts, less one.
+ERA = 1911
+
+
+def numeral(text: str) -> int | None:
+    """A number in Chinese or Arabic digits: 一百零五, 二十, 105, 一〇五."""
+    text = unicodedata.normalize("NFKC", text.strip())
+    if re.fullmatch(r"[0-9]+", text):
+        return int(text)
+    if not text or any(c not in DIGITS and c not in UNITS for c in text):
+        return None
+    if not any(c in UNITS for c in text):
+        return int("".join(str(DIGITS[c]) for c in text))
+    total = digit = 0
+    for c in text:
+        if c in UNITS:
+            total += (digit or 1) * UNITS[c]
+            digit = 0
+        else:
+            digit = DIGITS[c]
+    return total + digit
+
+
+NUMBER = "[0-9０-９零〇○一二兩三四五六七八九十百千]+"
+DATE = re.compile(rf"(?:中華)?(?:民國)?\s*({NUMBER})\s*年\s*({NUMBER})\s*月\s*({NUMBER})\s*日")
+
+
+def era_date(text: str) -> date | None:
+    """The first date in the text, of the official calendar."""
+    m = DATE.search(text or "")
+    parts = [numeral(x) for x in m.groups()] if m else [None]
+    if None in parts:
+        return None
+    try:
+        return date(parts[0] + ERA, parts[1], parts[2])
+    except ValueError:
+        return None
+
+
+def _named(clause: str) -> set[str]:
+    """Articles that a clause names, ranges spread out."""
+    out: set[str] = set()
+    for a, b in re.findall(rf"第\s*({NUMBER})\s*條?\s*至\s*第?\s*({NUMBER})\s*條", clause):
+        lo, hi = numeral(a), numeral(b)
+        if lo is not None and hi is not None and 0 <= hi - lo <= 300:
+            out |= {str(k) for k in range(lo, hi + 1)}
+    out |= {str(n) for x in re.findall(rf"第\s*({NUMBER})\s*條", clause) if (n := numeral(x)) is not None}
+    return out
+
+
+def effective_date(summary: str, promulgated: date | None, article: str | None, all_articles: bool) -> date | None:
+    """When an amendment of one article takes effect, by the wording of its announcement.
+
+    In order: a clause that names the article; a date for the whole statute, if all of it changes; the only clause without
+    articles; the last such clause, if all of it changes; "from promulgation"; the first of January of the next year; without any special
+    wording the promulgation itself; else unknown.
+    """
+    text = summary or ""
+    clauses = [c for c in re.split(r"[；;。]", text) if "施行" in c]
+    dated = [(c, d) for c in clauses if (d := era_date(c[c.find("自") if "自" in c else 0 :])) is not None]
+    for c, d in dated:
+        if article and article.split("-")[0] in _named(c):
+            return d
+    scoped = [(c, d) for c, d in dated if _named(c)]
+    free = [(c, d) for c, d in dated if not _named(c)]
+    whole = [d for c, d in free if "全文" in c]
+    if all_articles and whole:
+        return whole[0]
+    if len(free) == 1:
+        return free[0][1]
+    if free and all_articles:
+        return free[-1][1]
+    if any("公布日施行" in c or "發布日施行" in c for c in clauses):
+        return promulgated
+    if any("次年一月一日" in c or "翌年一月一日" in c for c in clauses) and promulgated:
+        return date(promulgated.year + 1, 1, 1)
+    return promulgated if not clauses and not scoped else None
+
+
+def next_day(day: date) -> date:
+    return day + timedelta(days=1)
+
+
+def triage(explicit: Column, n_history: Column, n_relevant: Column, special: Column, later: Column, same: Column, before: Column) -> Column:
+    """The first question to settle before a question's law text can be trusted."""
+    return ladder(
+        [
+            (~explicit, "article_resolution_required"), (n_history == 0, "official_history_unavailable"), (n_relevant == 0, "article_origin_review"), (special, "effective_date_review"),
+            (later > 0, "historical_text_required"), (same > 0, "exam_date_required"), (before == 0, "article_origin_review"),
+        ],
+        "current_text_equals_exam_year_candidate",
+    )
+
+
+def candidate(agrees: Column, has_metadata: Column, single: Column, score: Column, margin: Column, shared: Column) -> Column:
+    """How far an article ranked first can be taken for the one meant."""
+    return ladder(
+        [
+            (has_metadata & agrees & single & (score >= 0.15) & (shared >= 5), "machine_candidate"), (~has_metadata & (score >= 0.50) & (margin >= 0.15) & (shared >= 12), "machine_candidate"),
+            ((score >= 0.16) & (margin >= 0.035) & (shared >= 5), "review_medium"),
+        ],
+        "review_low",
+    )
+
+
+def promotion(status: Column, version: Column, controls: Column, top1: Column, top3: Column, false_machine: Column) -> Column:
+    """Names of what keeps a row from promotion; none means it may go on."""
+    return names_where({"not_machine_candidate": ~status.eqNullSafe(F.lit("machine_candidate")), "no_version": version.isNull(), "few_controls": controls < 10, "top1_low": top1 < 9, "top3_low": top3 < 9, "false_machine": false_machine > 0})
