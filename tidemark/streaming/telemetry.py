@@ -82,7 +82,11 @@ class Leases(StatefulProcessor):
 
 
 def admitted(events: DataFrame, cap: int = 100) -> DataFrame:
-    """events (user_id, event_id, ts) with whether each was accepted."""
+    """events (user_id, event_id, ts) with whether each was accepted.
+
+    The state's time to live needs processing time, under which Spark plans empty batches without end; a run that
+    should stop when its input is used up sets spark.sql.streaming.noDataMicroBatches.enabled to false.
+    """
     return events.groupBy("user_id").transformWithStateInPandas(Admission(cap), "user_id long, event_id long, accepted boolean", "Append", "ProcessingTime")
 
 
