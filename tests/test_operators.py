@@ -195,3 +195,22 @@ def test_json_forms(spark, tmp_path):
 def test_expect_lists_broken_checks(spark):
     df = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "k int, score int")
     assert [(r.k, r.broken) for r in shards.expect(df, {"score_range": F.col("score").between(0, 10)}).collect()] == [(2, ["score_range"])]
+
+
+def test_alike_pairs_by_jaccard_or_overlap(spark):
+    from tidemark.operators.relations import alike_pairs
+
+    r = random.Random(11)
+    sets = {k: sorted(r.sample("abcdefghijklmnop", r.randrange(1, 12))) for k in range(60)}
+    rows = spark.createDataFrame([(k, "x" if k % 3 else "y", t) for k, t in sets.items()], "id long, block string, t array<string>")
+    first = {}
+    for k, t in sets.items():
+        first.setdefault((k % 3 == 0, *t), k)
+    want = set()
+    for a in first.values():
+        for b in first.values():
+            x, y = set(sets[a]), set(sets[b])
+            if a < b and (a % 3 == 0) == (b % 3 == 0) and (100 * len(x & y) >= 62 * len(x | y) or 100 * len(x & y) >= 72 * min(len(x), len(y))):
+                want.add((a, b, len(x & y), len(x | y), min(len(x), len(y))))
+    got = {(p.a, p.b, p.n_shared, p.n_all, p.n_less) for p in alike_pairs(rows, "id", "block", "t", 62, 72).collect()}
+    assert got == want and any(100 * s < 62 * n for _, _, s, n, _ in got)

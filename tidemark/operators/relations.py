@@ -102,3 +102,28 @@ def jaccard_pairs(rows: DataFrame, id_col: str, block: str, tokens: str, percent
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     out = full.select("block", "a", "b", shared.alias("n_shared"), (F.size("ta") + F.size("tb") - shared).cast("long").alias("n_all"))
     return out.where(100 * F.col("n_shared") >= percent * F.col("n_all"))
+
+
+def alike_pairs(rows: DataFrame, id_col: str, block: str, tokens: str, jaccard_percent: int, overlap_percent: int) -> DataFrame:
+    """Pairs (a < b) inside a block with 100 * shared >= jaccard_percent * all tokens, or >= overlap_percent * tokens of the smaller set: n_shared, n_all, n_less.
+
+    Exact: either way the smaller set shares the lower percentage of its tokens, so one of its n - ceil(percent * n / 100) + 1
+    rarest is shared. An overlap doesn't bound the larger set, so that one is joined by all its tokens. Rows with the
+    same tokens are joined as one and listed under their smallest id.
+    """
+    least = min(jaccard_percent, overlap_percent)
+    t = rows.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
+    t = t.groupBy("block", "t").agg(F.min("id").alias("id"))
+    df = t.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    by_rarity = t.select("block", "id", F.explode("t").alias("w")).join(df, "w").groupBy("block", "id").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("w").alias("h")))).alias("s"))
+    kept = by_rarity.select("block", "id", F.transform("s", lambda x: x["h"]).alias("t"))
+    n = F.size("t")
+    small = kept.select("block", F.col("id").alias("x"), n.alias("nx"), F.explode(F.slice("t", 1, n - F.ceil(n * least / 100).cast("int") + 1)).alias("w"))
+    large = kept.select("block", F.col("id").alias("y"), n.alias("ny"), F.explode("t").alias("w"))
+    sides = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pairs = small.join(large, ["block", "w"]).where(sides).select("block", "x", "y").distinct()
+    sets = kept.select("block", "id", "t")
+    full = pairs.join(sets.select("block", F.col("id").alias("x"), F.col("t").alias("tx")), ["block", "x"]).join(sets.select("block", F.col("id").alias("y"), F.col("t").alias("ty")), ["block", "y"])
+    shared = F.size(F.array_intersect("tx", "ty")).cast("long")
+    out = full.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.alias("n_shared"), (F.size("tx") + F.size("ty") - shared).cast("long").alias("n_all"), F.size("tx").cast("long").alias("n_less"))
+    return out.where((100 * F.col("n_shared") >= jaccard_percent * F.col("n_all")) | (100 * F.col("n_shared") >= overlap_percent * F.col("n_less")))

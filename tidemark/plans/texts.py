@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import affirmed, allowed_url, char_ngrams, has_alias, level, title_norm
 from tidemark.operators.events import greedy_clusters, trend_score, trend_state
-from tidemark.operators.relations import jaccard_pairs
+from tidemark.operators.relations import alike_pairs, jaccard_pairs
 from tidemark.operators.retrieval import ranked
 from tidemark.sources.tables import read
 
@@ -60,6 +60,12 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pairs(t, "doc_id", "lang", "g", 62).select("block", "a", "b", "n_shared", "n_all")
 
 
+def title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of one language alike over bigrams by a Jaccard of 0.62 or an overlap of 0.72, as events link titles; equal titles count as one."""
+    t = _first_line(read(spark, sf_dir, "documents")).select("doc_id", "lang", char_ngrams(F.col("title")).alias("g"))
+    return alike_pairs(t, "doc_id", "lang", "g", 62, 72)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news items of a category (language and source)."""
     d = _first_line(read(spark, sf_dir, "documents"))
@@ -142,7 +148,7 @@ def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "url", allowed_url(F.col("url"), HOSTS).alias("allowed"))
 
 
-QUERIES = {f.__name__: f for f in (rule_match, title_norms, char_ngram_counts, pair_similarity, event_clusters, trend_scores, concept_tags, level_classifier, retrieval_topk, dup_conflict_merge, html_links, html_text, url_gate)}
+QUERIES = {f.__name__: f for f in (rule_match, title_norms, char_ngram_counts, pair_similarity, title_links, event_clusters, trend_scores, concept_tags, level_classifier, retrieval_topk, dup_conflict_merge, html_links, html_text, url_gate)}
 
 TITLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}', ' ', 'g'), '[0-9]+(\.[0-9]+)?%?', ' ', 'g'), '[!-/:-@\[-`{-~]+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
 GRAMS = "(case when length(t) = 0 then [] when length(t) < 2 then [t] else list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, cast(i as integer), 2))) end)"
@@ -166,6 +172,9 @@ ORACLE = {
     "pair_similarity": f"""with g as (select lang block, list_sort({FOURS}) g, min(doc_id) i from (select doc_id, lang, {TITLE} t from documents) where length(t) > 0 group by 1, 2),
  p as (select x.block, x.i a, y.i b, cast(len(list_intersect(x.g, y.g)) as bigint) n_shared, len(x.g) + len(y.g) s from g x join g y on x.block = y.block and x.i < y.i)
  select block, a, b, n_shared, cast(s - n_shared as bigint) n_all from p where 100 * n_shared >= 62 * (s - n_shared)""",
+    "title_links": f"""with g as (select lang block, list_sort({GRAMS}) g, min(doc_id) i from (select doc_id, lang, {TITLE} t from documents) where length(t) > 0 group by 1, 2),
+ p as (select x.block, x.i a, y.i b, cast(len(list_intersect(x.g, y.g)) as bigint) n_shared, len(x.g) + len(y.g) s, cast(least(len(x.g), len(y.g)) as bigint) n_less from g x join g y on x.block = y.block and x.i < y.i)
+ select block, a, b, n_shared, cast(s - n_shared as bigint) n_all, n_less from p where 100 * n_shared >= 62 * (s - n_shared) or 100 * n_shared >= 72 * n_less""",
     "trend_scores": """with d as (select d.*, quality, toxic, cast(d.doc_id % 40 as integer) as t from documents d left join labels l on l.doc_id = d.doc_id),
  g as (select source, count(distinct lang) l, count(*) filter (where quality = 1) good, count(*) filter (where toxic = 1) tox, count(*) filter (where quality is not null) lab, count(distinct t) obs, max(t) hi, min(t) lo, count(*) n from d group by 1),
  q as (select *, (case when good >= 5 then 1.0 when good >= 3 then 0.65 when good >= 1 then 0.35 else 0.0 end)::double q, hi - lo span, 39 - hi age from g),
