@@ -104,6 +104,17 @@ def test_recurring_article_text_stays(spark):
     assert set(extracted(spark, rows).values()) == {f"Licence line\n{k}" for k in range(20)}
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_recurring_boxes_inside_articles_go(spark, limit):
+    box = "<div class='x7'><p>Read this too</p><ul><li><a href=/1>One</a></li></ul></div>"
+    prose = "<div><p>Reprinted a</p><p>Reprinted b</p></div>"
+    page = lambda k: f"<article><p>story {k}</p>{box if k % 2 else ''}<div>Licence line</div><div>Under <a rel='license' href=/cc>CC</a></div>{prose if k < 4 else ''}</article>"
+    got = extracted(spark, [("http://one.net/", page(k)) for k in range(20)] + [("http://two.net/", page(1))], broadcast_rows=limit)
+    licence, again = "\nLicence line\nUnder CC", "\nReprinted a\nReprinted b"
+    assert all(got[k] == f"story {k}{licence}{again if k < 4 else ''}" for k in range(20))
+    assert got[20] == f"story 1\nRead this too\nOne{licence}{again}"
+
+
 def test_very_long_and_deep_page(spark):
     got = extracted(spark, [("u", "<div>" * 3000 + "deep" + "<p>x y</p>" * 5000)])
     assert got[0] == "\n".join(["deep"] + ["x y"] * 5000)

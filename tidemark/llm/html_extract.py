@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-Every element subtree outside a page's article gets a hash of its tag, classes and content. Spark counts on how many
-different pages of a host each subtree stands; those on many are the site's template and are deleted. Elements whose
-tag, role or class says that they are no article text go as well, on hosts with too few pages to show a template and
-inside articles. What is left of the article is its text.
+Every element subtree outside a page's article, and every box inside it, gets a hash of its tag, classes and content.
+Spark counts on how many different pages of a host each subtree stands; those on many are the site's template and are
+deleted. Inside the article the limit is higher, and paragraphs, headings and single lines stay, so that prose that is
+printed several times does. Elements whose tag, role or class says that they are no article text go as well, on hosts with
+too few pages to show a template and inside articles. What is left of the article is its text.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from tidemark.llm.url_filters import host_of
 
 #: A subtree is template if it stands on so many different pages of a host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.01
+#: A box inside an article needs this share: prose that a host prints several times stands on few of its pages.
+BOX_SHARE = 0.3
 #: Template subtrees are broadcast up to so many (8 bytes each); beyond it they are joined.
 BROADCAST = 2_000_000
 
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+BOX = frozenset("address center details div dl figure hgroup ol section table ul".split())
 CLOSES_P = BLOCK - frozenset("body html head title td th tr tbody thead tfoot caption option optgroup button legend".split())
 SCOPE = frozenset("table td th caption button object template html".split())
 CLOSED_BY_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
@@ -145,9 +149,24 @@ class Tree:
             out[n] = h.digest()
         return out
 
+    def lines(self) -> list[int]:
+        """How many blocks below each element, itself included, have text of their own or of inline elements; a link that is no licence counts as one more."""
+        out, own = [0] * len(self.tags), [False] * len(self.tags)
+        for n in range(len(self.tags) - 1, -1, -1):
+            own[n] = own[n] or any(isinstance(x, str) and x.strip() for x in self.content[n])
+            up = self.parents[n]
+            if self.tags[n] in BLOCK:
+                out[n] += own[n]
+            elif own[n]:
+                own[up] = True
+                out[n] += self.tags[n] == "a" and "license" not in self.attrs[n].get("rel", "").lower()
+            if n:
+                out[up] += out[n]
+        return out
+
     def subtrees(self, host: bytes) -> list[tuple[int, int]]:
-        """(number, element) of each block outside the article that has text; the number is the same for equal subtrees of a host."""
-        root, hashes, size = self.article(), self.hashes(), self.sizes()
+        """(number, element) of each block outside the article that has text, and of each box inside it with more than a line; the number is the same for equal subtrees of a host, even outside and odd inside."""
+        root, hashes, size, lines = self.article(), self.hashes(), self.sizes(), self.lines()
         holds, n = set(), root
         while n:
             holds.add(n)
@@ -155,8 +174,11 @@ class Tree:
         out, within = [], [False] * len(self.tags)
         for n in range(1, len(self.tags)):
             within[n] = within[self.parents[n]] or (n == root and root > 0)
-            if not within[n] and n not in holds and size[n] and self.tags[n] in BLOCK and self.tags[n] not in ("html", "body", "head", "title"):
-                out.append((int.from_bytes(hashlib.blake2b(host + hashes[n], digest_size=8).digest(), "little", signed=True), n))
+            if n in holds or not size[n]:
+                continue
+            if self.tags[n] in BOX and lines[n] > 1 if within[n] else self.tags[n] in BLOCK and self.tags[n] not in ("html", "body", "head", "title"):
+                number = int.from_bytes(hashlib.blake2b(host + hashes[n], digest_size=8).digest(), "little", signed=True)
+                out.append((number | 1 if within[n] else number & ~1, n))
         return out
 
     def text(self, removed: set[int]) -> str:
@@ -213,14 +235,15 @@ def template_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "host long, tree long, page long").distinct().groupBy("host", "tree").agg(F.count("*").alias("pages"))
 
 
-def template_subtrees(rows: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_subtrees(rows: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE) -> DataFrame:
     """Numbers of the subtrees that recur across many pages of their host."""
+    share = F.when(F.col("tree") % 2 == 0, min_share).otherwise(max(min_share, box_share))
     counts = durable(template_counts(rows).where((F.col("pages") >= min_pages) | (F.col("host") == F.col("tree"))), "subtrees")
     hosts = counts.where("host = tree").select("host", F.col("pages").alias("all"))
-    return counts.where("host != tree").join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("all"))).select("tree")
+    return counts.where("host != tree").join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("all"))).select("tree")
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, broadcast_rows: int = BROADCAST) -> DataFrame:
     """id, url, text, n_chars of each page.
 
     A null html has the empty text; a null url belongs to the host "". Repeated rows give a row each; an empty table
@@ -228,7 +251,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    template = durable(template_subtrees(rows.select("_host", "_html"), min_pages=min_pages, min_share=min_share), "template")
+    template = durable(template_subtrees(rows.select("_host", "_html"), min_pages=min_pages, min_share=min_share, box_share=box_share), "template")
     schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long"
     small = template.count() <= broadcast_rows
     known = template.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in template.collect()], np.int64))) if small else None
