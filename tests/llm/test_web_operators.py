@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, html_extract, packing, url_filters, warc
+from tidemark.llm import chat_format, html_extract, packing, queries, url_filters, warc
 
 # URL filters
 
@@ -115,6 +115,21 @@ def test_recurring_boxes_inside_articles_go(spark, limit):
     assert got[20] == f"story 1\nRead this too\nOne{licence}{again}"
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_every_article_of_a_page(spark, tmp_path, limit):
+    story = lambda k: f"<article><h1>one {k}</h1></article><div><article><p>two, the longer {k}</p><math><mi>x</mi></math></article></div>"
+    other = "<div class='teasers'><article>tease</article></div><article class='comment'><p>me first</p></article><aside><article>side</article></aside><article><p>recurring teaser of the site, longer than the rest of it</p></article>"
+    rows = [("http://one.net/", story(k) + other) for k in range(8)] + [("http://two.net/", "<article class='comment'>all there is</article>"), ("http://two.net/", "<main>a</main><p>x</p><main>b</main>")]
+    got = extracted(spark, rows, broadcast_rows=limit, every=True)
+    assert all(got[k].startswith(f"one {k}\ntwo, the longer {k}") and got[k].endswith("x\nrecurring teaser of the site, longer than the rest of it") for k in range(8))  # the longest is never template
+    assert got[8] == "all there is" and got[9] == "a\nb"
+    short = other.replace(", longer than the rest of it", "")
+    got = extracted(spark, [("http://one.net/", story(f"{k} " + "more " * 20) + short) for k in range(8)], broadcast_rows=limit, every=True)
+    assert all("one" in got[k] and "two" in got[k] and got[k].endswith("x") for k in range(8))
+    spark.createDataFrame([(1, "u", story(1))], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.op6_html_extract(spark, str(tmp_path)).first().text.startswith("one 1\ntwo")
+
+
 def test_very_long_and_deep_page(spark):
     got = extracted(spark, [("u", "<div>" * 3000 + "deep" + "<p>x y</p>" * 5000)])
     assert got[0] == "\n".join(["deep"] + ["x y"] * 5000)

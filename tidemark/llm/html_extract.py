@@ -37,9 +37,11 @@ CLOSES_P = BLOCK - frozenset("body html head title td th tr tbody thead tfoot ca
 SCOPE = frozenset("table td th caption button object template html".split())
 CLOSED_BY_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED_TAGS = frozenset("nav footer aside form script style noscript iframe template svg math object embed canvas audio video button select option input textarea label fieldset dialog menu head title search map xmp noembed noframes".split())
+DROPPED_TAGS = frozenset("nav footer aside form script style noscript iframe template svg annotation annotation-xml object embed canvas audio video button select option input textarea label fieldset dialog menu head title search map xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog status menu menubar toolbar tablist".split())
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share sharing social comment comments disqus replies reply respond pagination pager related recommended widget toolbar masthead skip".split())
+#: Beside the dropped words: classes of articles, or of what holds them, that are another page's.
+TEASER_WORDS = DROPPED_WORDS | frozenset("teaser teasers".split())
 ARTICLE_ROLES = frozenset(("article", "main"))
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -124,20 +126,33 @@ class Tree:
 
     def article(self) -> int:
         """The longest outermost article that no dropped element holds; without one, the longest main element; else the whole page."""
+        found = self._found(DROPPED_WORDS)
+        size = self.sizes()
+        return max(found, key=lambda n: (size[n], -n), default=0)
+
+    def articles(self) -> list[int]:
+        """All outermost articles in page order but those that they or their holders mark as teasers, comments and the like; if all are marked, the longest."""
+        found = [n for n in self._found(TEASER_WORDS) if not self._marked(n, TEASER_WORDS)]
+        return found or [self.article()]
+
+    def _marked(self, n: int, words: frozenset[str]) -> bool:
+        attrs = self.attrs[n]
+        return "hidden" in attrs or attrs.get("role", "").lower() in DROPPED_ROLES or any(not words.isdisjoint(WORDS.findall(attrs[k].lower())) for k in ("class", "id") if attrs.get(k))
+
+    def _found(self, words: frozenset[str]) -> list[int]:
+        """Outermost articles that no dropped element holds and none marked by words; without one, outermost main elements."""
         gone = [False] * len(self.tags)
         found: dict[str, list[int]] = {"article": [], "main": []}
-        inside = [False] * len(self.tags)
+        inside = {"article": [False] * len(self.tags), "main": [False] * len(self.tags)}
         for n in range(1, len(self.tags)):
             up = self.parents[n]
-            gone[n] = gone[up] or self.dropped(n)
             kind = "article" if self.tags[n] == "article" or self.attrs[n].get("role") == "article" or self.attrs[n].get("itemprop") == "articleBody" else "main" if self.tags[n] == "main" or self.attrs[n].get("role") == "main" else ""
-            inside[n] = inside[up] or kind == "article"
-            if kind and not gone[n] and not (kind == "article" and inside[up]):
+            gone[n] = gone[up] or self.dropped(n) or (words is TEASER_WORDS and not kind and self.tags[n] not in ("html", "body") and self._marked(n, words))
+            for k in found:
+                inside[k][n] = inside[k][up] or kind == k
+            if kind and not gone[n] and not inside[kind][up]:
                 found[kind].append(n)
-        if not found["article"] and not found["main"]:
-            return 0
-        size = self.sizes()
-        return max(found["article"] or found["main"], key=lambda n: (size[n], -n))
+        return found["article"] or found["main"]
 
     def hashes(self) -> list[bytes]:
         """Of each element's subtree: its tag, classes, texts and parts, in order."""
@@ -164,27 +179,35 @@ class Tree:
                 out[up] += out[n]
         return out
 
-    def subtrees(self, host: bytes) -> list[tuple[int, int]]:
-        """(number, element) of each block outside the article that has text, and of each box inside it with more than a line; the number is the same for equal subtrees of a host, even outside and odd inside."""
-        root, hashes, size, lines = self.article(), self.hashes(), self.sizes(), self.lines()
-        holds, n = set(), root
-        while n:
-            holds.add(n)
-            n = self.parents[n]
-        out, within = [], [False] * len(self.tags)
+    def subtrees(self, host: bytes, every: bool = False) -> list[tuple[int, int]]:
+        """(number, element) of each block outside the article that has text, and of each box inside it with more than a line; the number is the same for equal subtrees of a host, even outside and odd inside.
+
+        Of several articles, all but the longest count as blocks outside as well: a teaser recurs as a whole.
+        """
+        roots, hashes, size, lines = self.articles() if every else [self.article()], self.hashes(), self.sizes(), self.lines()
+        longest, holds, within = max(roots, key=lambda n: (size[n], -n)), set(), [False] * len(self.tags)
+        for n in roots:
+            within[n] = n > 0
+            n = n if n == longest else self.parents[n]
+            while n and n not in holds:
+                holds.add(n)
+                n = self.parents[n]
+        out, root = [], set(roots)
         for n in range(1, len(self.tags)):
-            within[n] = within[self.parents[n]] or (n == root and root > 0)
+            within[n] = within[n] or within[self.parents[n]]
             if n in holds or not size[n]:
                 continue
-            if self.tags[n] in BOX and lines[n] > 1 if within[n] else self.tags[n] in BLOCK and self.tags[n] not in ("html", "body", "head", "title"):
+            boxed = within[n] and n not in root
+            if self.tags[n] in BOX and lines[n] > 1 if boxed else self.tags[n] in BLOCK and self.tags[n] not in ("html", "body", "head", "title"):
                 number = int.from_bytes(hashlib.blake2b(host + hashes[n], digest_size=8).digest(), "little", signed=True)
-                out.append((number | 1 if within[n] else number & ~1, n))
+                out.append((number | 1 if boxed else number & ~1, n))
         return out
 
-    def text(self, removed: set[int]) -> str:
-        """The article's blocks, one a line."""
-        root, blocks, now = self.article(), [], []
-        stack: list = [("open", root)]
+    def text(self, removed: set[int], every: bool = False) -> str:
+        """The article's blocks, one a line; with every, those of all articles."""
+        roots, blocks, now = self.articles() if every else [self.article()], [], []
+        root = set(roots)
+        stack: list = [("open", n) for n in reversed(roots)]
 
         def flush() -> None:
             if line := " ".join(entities.unescape("".join(now)).split()):
@@ -197,7 +220,7 @@ class Tree:
                 now.append(n)
             elif what == "flush":
                 flush()
-            elif n not in removed and (n == root or not (self.dropped(n) or (root == 0 and self.tags[n] == "header"))):
+            elif n not in removed and (n in root or not (self.dropped(n) or (0 in root and self.tags[n] == "header"))):
                 block = self.tags[n] in BLOCK
                 if block:
                     flush()
@@ -213,7 +236,7 @@ def _signed(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def template_counts(rows: DataFrame) -> DataFrame:
+def template_counts(rows: DataFrame, every: bool = False) -> DataFrame:
     """rows (host, html): for each subtree of a host, on how many different pages it stands: host number, subtree number, pages.
 
     A page's own row has the host's number as its subtree. Copies of a page count once. The counting is keyed by subtree
@@ -226,7 +249,7 @@ def template_counts(rows: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = host.encode("utf-8", "surrogatepass")
                 own, page = _signed(key), _signed(html.encode("utf-8", "surrogatepass"))
-                found = {own, *(x for x, _ in Tree(html).subtrees(key))}
+                found = {own, *(x for x, _ in Tree(html).subtrees(key, every))}
                 hosts += [own] * len(found)
                 trees += found
                 pages += [page] * len(found)
@@ -235,28 +258,28 @@ def template_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "host long, tree long, page long").distinct().groupBy("host", "tree").agg(F.count("*").alias("pages"))
 
 
-def template_subtrees(rows: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE) -> DataFrame:
+def template_subtrees(rows: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, every: bool = False) -> DataFrame:
     """Numbers of the subtrees that recur across many pages of their host."""
     share = F.when(F.col("tree") % 2 == 0, min_share).otherwise(max(min_share, box_share))
-    counts = durable(template_counts(rows).where((F.col("pages") >= min_pages) | (F.col("host") == F.col("tree"))), "subtrees")
+    counts = durable(template_counts(rows, every).where((F.col("pages") >= min_pages) | (F.col("host") == F.col("tree"))), "subtrees")
     hosts = counts.where("host = tree").select("host", F.col("pages").alias("all"))
     return counts.where("host != tree").join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("all"))).select("tree")
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, broadcast_rows: int = BROADCAST) -> DataFrame:
-    """id, url, text, n_chars of each page.
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, broadcast_rows: int = BROADCAST, every: bool = False) -> DataFrame:
+    """id, url, text, n_chars of each page; of a page with several articles the longest, with every all that aren't marked or template.
 
     A null html has the empty text; a null url belongs to the host "". Repeated rows give a row each; an empty table
     gives none; other columns are not read. Pages are read whole, one at a time.
     """
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    template = durable(template_subtrees(rows.select("_host", "_html"), min_pages=min_pages, min_share=min_share, box_share=box_share), "template")
+    template = durable(template_subtrees(rows.select("_host", "_html"), min_pages=min_pages, min_share=min_share, box_share=box_share, every=every), "template")
     schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long"
     small = template.count() <= broadcast_rows
     known = template.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in template.collect()], np.int64))) if small else None
     if not small:  # too many to broadcast: each page gets the numbers of its own, by a join
-        own = _page_subtrees(rows).join(template, "tree").groupBy("page").agg(F.collect_set("tree").alias("_trees"))
+        own = _page_subtrees(rows, every).join(template, "tree").groupBy("page").agg(F.collect_set("tree").alias("_trees"))
         rows = rows.withColumn("page", F.xxhash64("_host", "_html")).join(own, "page", "left").drop("page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,24 +288,24 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             listed = batch.column(4).to_pylist() if not small else [None] * len(batch)
             for host, html, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), listed, strict=True):
                 tree = Tree(html)
-                found = tree.subtrees(host.encode("utf-8", "surrogatepass"))
+                found = tree.subtrees(host.encode("utf-8", "surrogatepass"), every)
                 if small:
                     at = np.searchsorted(known.value, np.array([x for x, _ in found], np.int64)) if len(known.value) and found else []
                     removed = {n for (x, n), k in zip(found, at, strict=False) if k < len(known.value) and known.value[k] == x}
                 else:
                     removed = {n for x, n in found if x in set(own or ())}
-                texts.append(tree.text(removed))
+                texts.append(tree.text(removed, every))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _page_subtrees(rows: DataFrame) -> DataFrame:
+def _page_subtrees(rows: DataFrame, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             pages, trees = [], []
             for page, host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = {x for x, _ in Tree(html).subtrees(host.encode("utf-8", "surrogatepass"))}
+                found = {x for x, _ in Tree(html).subtrees(host.encode("utf-8", "surrogatepass"), every)}
                 pages += [page] * len(found)
                 trees += found
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(trees, pa.int64())], ["page", "tree"])

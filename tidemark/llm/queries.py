@@ -57,7 +57,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    return html_extract.extract(table(spark, sf_dir, "pages"), every=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
