@@ -15,15 +15,21 @@ from tidemark.llm.common import durable, table
 from tidemark.llm.queries import SPLIT, VOCABULARY
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Texts nearer to no learned language than this are rejected, if they are long enough to tell.
-MIN_SCORE, TELLING_CHARS = 0.03, 200
+#: Of the labelled texts of a length, at most this share is rejected where they score below the noise.
+LOST = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the rows with a language; drop texts without letters and longer ones that are near to no language. lang becomes the prediction."""
+    """Learn from the rows with a language; drop texts without letters and those no nearer to a language than noise. lang becomes the prediction.
+
+    The limit is that of random vectors. Short texts of a language score low too: at lengths (by powers of two) where
+    many labelled ones lie below the noise, their own low percentile is the limit.
+    """
     model = language_id.train(docs)
-    seen = language_id.predict(docs, model, keep=("text", "source", "n_chars"))
-    return seen.where((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SCORE) | (F.length("text") < TELLING_CHARS))).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    seen = durable(language_id.predict(docs, model, keep=COLUMNS[1:]), "languages").where("lang_pred != 'und'").withColumn("_size", F.floor(F.log2(F.length("text"))))
+    low = seen.where(F.col("lang").isNotNull()).groupBy("_size").agg(F.percentile(F.round("score", 3), LOST).alias("_low"))
+    limit = F.least(F.lit(language_id.noise(len(model))), F.col("_low"))  # a null is left out
+    return seen.join(F.broadcast(low), "_size", "left").where(F.col("score") >= limit).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ cosine, measured from the mean of the languages, which takes away what they shar
 from __future__ import annotations
 
 import functools
+import statistics
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
 
 
+def noise(languages: int, passing: float = 0.005) -> float:
+    """The score that the best of so many languages reaches with a random vector by this chance: cosines spread by 1 / sqrt(DIM)."""
+    return statistics.NormalDist().inv_cdf(1 - passing / max(1, languages)) / DIM**0.5
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows outside training: crc32 of the id as text, modulo 4, is 2. A null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
