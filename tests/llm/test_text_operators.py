@@ -197,6 +197,30 @@ def test_surrogates_keep_format_and_coreference(spark):
     assert other != a
 
 
+def test_wider_forms_of_entities(spark):
+    text = "ip 2001:db8::1, fe80::1. and 2001:0DB8:0:0:0:0:0:1 or ::ffff:9.8.7.6; card 3782 822463 10005, password: P@ssw0rd!2024 pwd=kurz1! api_key = 'a b c d' x?token=abc123&user=me password='1234' see std::vector 12::30::1"
+    persons = "Mrs Anna Schmidt came. Schmidt said Anna's bag, SCHMIDT, is lost; schmidt stays. Schmidtke too."
+    out = [x.text for x in pii.replace(docs(spark, [text, persons, "Schmidt alone; the secret: nobody knows ****. password: ****"]), b"k").orderBy("doc_id").collect()]
+    for x in ("db8::1", "fe80", "9.8.7.6", "3782", "822463", "10005", "P@ss", "2024", "kurz1", "a b c d", "abc123", "'1234'"):
+        assert x not in out[0], x
+    assert "&user=me" in out[0] and "std::vector 12::30::1" in out[0]
+    first, _, again = re.findall(r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", out[0])[:3]
+    assert first == again
+    card = re.search(r"card (3\d{3} \d{6} \d{5}),", out[0])[1].replace(" ", "")
+    assert pii.luhn(card[:-1]) == int(card[-1])
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. (\w+) said (\w+)'s bag, (\w+), is lost; schmidt stays\. Schmidtke too\.", out[1])
+    assert m and m[2] == m[3] == m[5].capitalize() and m[1] == m[4] and m[2] != "Schmidt" and m[1] != "Anna"
+    assert out[2] == "Schmidt alone; the secret: nobody knows ****. password: ****"
+
+
+def test_many_short_secrets_stay_apart(spark):
+    found = [("secret", f"{k:04d}") for k in range(3000)]
+    moved = {(r.kind, r.entity): r.attempt for r in pii.resolve(spark.createDataFrame(found, "kind string, entity string"), b"k").collect()}
+    made = pii.Surrogates(b"k")
+    out = {made.of(*x, moved.get(x, 0)) for x in found}
+    assert len(out) == 3000 and not out & {x for _, x in found}
+
+
 def test_surrogates_stay_apart(spark):
     texts = [f"x@a{k % 40}.co y{k}@a.co ip 1.2.{k % 250}.{k % 200} tel +49 30 {10000000 + k}" for k in range(300)]
     texts += [f"{a}@q.co" for a in "abcdefghijklmnopqrstuvw"]

@@ -49,9 +49,10 @@ NAME = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))+"
 EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++(?<![.])@(?:[\w\-]+\.)+[^\W\d_]{2,}")
 NUMBERS = re.compile(
     rf"""(?<![\w.])(?P<ipv4>(?:{OCTET}\.){{3}}{OCTET})(?!\w|\.\w)
-    |(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}})(?![\w:])
+    |(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:])
+        |(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})?::(?:(?:[0-9A-Fa-f]{{1,4}}:){{0,6}}(?:(?:{OCTET}\.){{3}}{OCTET}|[0-9A-Fa-f]{{1,4}}))?(?!\w|:[\w:]|\.\w))
     |(?<![\w])(?P<iban>[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?!\w)
-    |(?<![\w\-])(?P<card>\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}})(?![\w\-])
+    |(?<![\w\-])(?P<card>\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}|3\d{{3}}[ \-]\d{{6}}[ \-]\d{{4,5}})(?![\w\-])
     |(?<![\w\-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w\-])
     |(?<![\w+])(?P<phone>\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{1,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}(?P<gap>[ .\-])\d{{3}}(?P=gap)\d{{4}})(?!\w|[.\-]\d)""",
     re.X,
@@ -61,6 +62,13 @@ SECRET = re.compile(
     |(?<![A-Za-z0-9])(?P<bare>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,})(?![A-Za-z0-9])""",
     re.X,
 )
+#: A label with its value: all between quotes, or all up to a blank, to the next label or to closing signs.
+LABELLED = re.compile(
+    r"""(?i:(?P<plain>password|passwd|pwd)|token|secret|api[_\- ]?key|access[_\- ]?key|auth[_\- ]?key)["']?\s*[:=]\s*
+    (?:(?P<q>["'])(?P<quoted>[^\n]+?)(?P=q)|(?P<open>(?:(?!&\w+=|[,;]["']?\w+["']?[:=]|[.,;:)\]}]+(?:\s|$))[^\s"'<>])+))""",
+    re.X,
+)
+LONG_SECRET = re.compile(r"[A-Za-z0-9_\-./+]{12,}=*")
 DIGIT = re.compile(r"\d")
 PERSON = re.compile(rf"(?<!\w)(?P<title>(?P<male>{MALE})|(?P<female>{FEMALE})|{NEUTRAL})\.?[ \u00a0](?P<names>{NAME}(?:[ \u00a0]{NAME}){{0,2}})")
 
@@ -87,14 +95,29 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in SECRET.finditer(text):
             k = "value" if m["value"] else "bare"
             found.append((*m.span(k), "secret", m[k]))
+        for m in LABELLED.finditer(text):
+            k = "quoted" if m["quoted"] else "open"
+            sure = m["plain"] or k == "quoted" or len(m[k]) >= 12 or any(not c.isalpha() for c in m[k])
+            if sure and len(m[k]) >= 4 and any(c.isalnum() for c in m[k]):
+                found.append((*m.span(k), "secret", m[k]))
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    for m in NUMBERS.finditer(text) if DIGIT.search(text) else ():
+    for m in NUMBERS.finditer(text) if "::" in text or DIGIT.search(text) else ():
         plain = re.sub(r"[ .\-()+]", "", m[0])
         kind = next(k for k in ("ipv4", "ipv6", "iban", "card", "ssn", "phone") if m[k])
         if kind == "iban" and iban_check(plain) != 1 or kind == "card" and not 13 <= len(plain) <= 19 or kind == "phone" and not 8 <= len(plain) <= 15:
             continue
-        found.append((*m.span(), kind, m[0].lower() if kind in ("ipv4", "ipv6") else plain))
+        if kind == "ipv6":
+            try:
+                value = f"{int(ipaddress.IPv6Address(m[0])):032x}"
+            except ValueError:
+                continue
+            if not any(c.isalnum() for c in m[0]):
+                continue
+            plain = ":".join(value[4 * k : 4 * k + 4] for k in range(8))
+        found.append((*m.span(), kind, m[0] if kind == "ipv4" else plain))
+    known: dict[str, str] = {}
+    spelt: set[str] = set()
     for m in PERSON.finditer(text):
         names = list(re.finditer(NAME, m["names"]))
         names = names[: next((k for k, x in enumerate(names) if not x[0][0].isupper()), len(names))]
@@ -103,6 +126,15 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             gender = "male" if m["male"] else "female" if m["female"] else "male" if x[0].lower() in GIVEN_MALE else "female" if x[0].lower() in GIVEN_FEMALE else "neutral"
             begin = m.start("names") + x.start()
             found.append((begin, begin + len(x[0]), f"given-{gender}" if given else "family", x[0].casefold()))
+            spelt.add(x[0])
+            if not given or x[0].casefold() not in known:
+                known[x[0].casefold()] = found[-1][2]
+    if spelt:  # the same names without a title, in the same document
+        bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelt, key=lambda x: (-len(x), x))))})(?!\w)", re.I)
+        titled = {x[0] for x in found if x[2] == "family" or x[2].startswith("given-")}
+        for m in bare.finditer(text):
+            if m[0][0].isupper() and m.start() not in titled and (kind := known.get(m[0].casefold())):
+                found.append((*m.span(), kind, m[0].casefold()))
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -195,6 +227,9 @@ class Surrogates:
             host, _, top = domain.rpartition(".")
             return f"{self.letters(local, 'local', domain, attempt)}{attempt if attempt > 2 else ''}@{self.letters(host, 'domain')}.{top}"
         if kind == "secret":
+            if not LONG_SECRET.fullmatch(text):  # short or with other signs: a drawn one, since a permutation may hit another entity
+                made = self.letters("".join(c if c.isascii() or not c.isalnum() else "x" for c in text), "secret", attempt, text)
+                return made if attempt < 3 else made + self.letters("x" * (attempt - 2), "more", attempt, text)
             if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
                 value = f"{self.permute(int(text, 16), 16, len(text), tweak):x}".zfill(len(text))
                 return value.upper() if text.isupper() else value
