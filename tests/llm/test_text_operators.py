@@ -213,30 +213,85 @@ def test_wider_forms_of_entities(spark):
     assert out[2] == "Schmidt alone; the secret: nobody knows ****. password: ****"
 
 
+def resolved(spark, found, key=b"k"):
+    """Entity to surrogate, as replace() takes them."""
+    moved = {(r.kind, r.entity): r.surrogate for r in pii.resolve(spark.createDataFrame(found, "kind string, entity string"), key).collect()}
+    made = pii.Surrogates(key)
+    return {x: moved.get(x) or made.of(*x) for x in found}, moved
+
+
 def test_many_short_secrets_stay_apart(spark):
     found = [("secret", f"{k:04d}") for k in range(3000)]
-    moved = {(r.kind, r.entity): r.attempt for r in pii.resolve(spark.createDataFrame(found, "kind string, entity string"), b"k").collect()}
-    made = pii.Surrogates(b"k")
-    out = {made.of(*x, moved.get(x, 0)) for x in found}
-    assert len(out) == 3000 and not out & {x for _, x in found}
+    out, _ = resolved(spark, found)
+    assert len(set(out.values())) == 3000 and not set(out.values()) & {x for _, x in found}
+
+
+@pytest.mark.parametrize("share, free", [(0.2, True), (0.9, False), (1, False)])
+def test_crowded_number_space(spark, share, free):
+    found = [("ssn", f"{k:03d}") for k in range(int(1000 * share))]
+    out, moved = resolved(spark, found)
+    assert len(set(out.values())) == len(found) and all(x != y for (_, x), y in out.items())
+    assert moved and (not free or not set(out.values()) & {x for _, x in found})
 
 
 def test_surrogates_stay_apart(spark):
     texts = [f"x@a{k % 40}.co y{k}@a.co ip 1.2.{k % 250}.{k % 200} tel +49 30 {10000000 + k}" for k in range(300)]
     texts += [f"{a}@q.co" for a in "abcdefghijklmnopqrstuvw"]
     df = docs(spark, texts)
-    found = pii.entities(df).collect()
-    moved = {(r.kind, r.entity): r.attempt for r in pii.resolve(spark.createDataFrame(found), b"k").collect()}
-    made = pii.Surrogates(b"k")
-    out = {(r.kind, made.of(r.kind, r.entity, moved.get((r.kind, r.entity), 0))) for r in found}
-    assert len(out) == len(found) and moved
-    assert not {x for _, x in out} & {r.entity for r in found}
+    found = [tuple(r) for r in pii.entities(df).collect()]
+    out, moved = resolved(spark, found)
+    assert len({(kind, x) for (kind, _), x in out.items()}) == len(found) and moved
+    assert not set(out.values()) & {x for _, x in found}
     few, joined = (sorted(pii.replace(df, b"k", broadcast_rows=n).select("doc_id", "text").collect()) for n in (10_000, 0))
     assert few == joined
     assert pii.replace(docs(spark, []), b"k").count() == 0
 
 
+def brute_replace(texts, surrogates):
+    """Each text with its entities replaced, by the table of surrogates alone."""
+    out = []
+    for text in texts:
+        for begin, end, kind, form in reversed(pii.detect(text)):
+            text = text[:begin] + pii.fit(surrogates[kind, form], kind, text[begin:end]) + text[end:]
+        out.append(text)
+    return out
+
+
+def test_replace_against_brute_force(spark):
+    r = random.Random(9)
+    parts = ["mail a.b@c.org", "Mr. Otto Braun", "Braun", "Otto", "call +49 30 1234567", "ip 10.0.0.1", "clean words", "pwd: hunter22", "card 4111-1111-1111-1111", "ip ١٠.0.0.1"]
+    texts = [" and ".join(r.choice(parts) for _ in range(r.randrange(1, 7))) for _ in range(60)] + ["word " * 60_000 + "a.b@c.org " + "word " * 60_000]
+    out, _ = resolved(spark, sorted({(kind, form) for t in texts for _, _, kind, form in pii.detect(t)}))
+    got = {x.doc_id: x.text for x in pii.replace(docs(spark, texts), b"k").collect()}
+    assert [got[k] for k in range(len(texts))] == brute_replace(texts, out)
+    assert not any("hunter22" in x or "a.b@c" in x or "Braun" in x and "Mr. Otto Braun" in texts[k] for k, x in got.items())
+
+
+def test_digits_and_letters_of_any_script(spark):
+    texts = ["host ١.2.3.4 up", "host ١.٢.٣.٤ up", "card ٤١١١ ١١١١ ١١١١ ١١١١.", "card ٤١١١ ١١١١ 1111 1111.", "mail иван.п@почта.рф", "mail élodie.ñandú@correo.es", "phone +४९ ३० १२३४५६७८"]
+    got = [x.text for x in pii.replace(docs(spark, texts), b"k").orderBy("doc_id").collect()]
+    assert all(a != b for a, b in zip(texts, got, strict=True))
+    strip = lambda t: re.sub(r"\d+", "0", t)
+    assert strip(got[1]) == strip(texts[1]) and re.fullmatch(r"host [٠-٩]+(\.[٠-٩]+){3} up", got[1])
+    for x, y in ((texts[2], got[2]), (texts[3], got[3]), (texts[6], got[6])):
+        assert [(c.isascii(), c.isdecimal()) for c in x] == [(c.isascii(), c.isdecimal()) for c in y]
+    assert got[2].translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789")) == got[3].translate(str.maketrans("٠١٢٣٤٥٦٧٨٩", "0123456789"))
+    assert re.fullmatch(r"mail [а-я]{4}\.[а-я]@[а-я]{5}\.рф", got[4])
+    assert re.fullmatch(r"mail .lodie\.", got[5][:12]) is None and [c.isascii() for c in got[5]] == [c.isascii() for c in texts[5]]
+
+
+def test_a_name_has_one_surrogate_in_a_text(spark):
+    texts = ["Mrs. Anna Schmidt met Mrs. Anna. Later Schmidt left, Anna too.", "Dr. Robin Lee saw Mr. Robin Lee; Robin's Lee.", "Mrs. Schmidt's car", "Herr Schmidt"]
+    a, b, c, d = (x.text for x in pii.replace(docs(spark, texts), b"k").orderBy("doc_id").collect())
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mrs\. (\w+)\. Later (\w+) left, (\w+) too\.", a)
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] and m[1] != "Anna" and any(m[1].endswith(x) for x in pii.ENDINGS["latin", "female"])
+    n = re.fullmatch(r"Dr\. (\w+) (\w+) saw Mr\. (\w+) (\w+); (\w+)'s (\w+)\.", b)
+    assert n and n[1] == n[3] == n[5] and n[2] == n[4] == n[6] and any(n[1].endswith(x) for x in pii.ENDINGS["latin", "male"])
+    assert c == f"Mrs. {m[2]}'s car" and d == f"Herr {m[2]}"
+
+
 def test_number_permutation_is_one_to_one():
     made = pii.Surrogates(b"k")
     for length in (1, 2, 3):
-        assert sorted(made.permute(x, 10, length, "t") for x in range(10**length)) == list(range(10**length))
+        out = [made.permute(x, 10, length, "t") for x in range(10**length)]
+        assert sorted(out) == list(range(10**length)) and not any(x == y for x, y in enumerate(out))

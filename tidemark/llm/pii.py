@@ -2,17 +2,20 @@
 
 A surrogate follows from the key and the entity alone, so every mention of an entity gets the same one wherever it
 stands. It keeps the entity's format: digits for digits with the separators in place, a valid check digit where there was
-one, the network class of an address, the script and the case of letters, and the gender of a name. Surrogates of
-numbers are permutations of their domain. Over all documents, Spark then checks that no two entities share
-a surrogate and that none is itself an entity of the corpus; the few that do get the next surrogate of their own.
+one, the network class of an address, the script and the case of letters, the script of digits, and the gender of a
+name. Surrogates of numbers are permutations of their domain without fixed points. Over all documents, Spark then checks
+that no two entities share a surrogate and that none is itself an entity of the corpus; the few that do get another.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,12 @@ from tidemark.llm.common import durable, slices
 
 #: Entities with another than their first surrogate go to the tasks as a table up to so many; beyond it, by a join.
 BROADCAST = 200_000
-ROUNDS = 40
+#: Surrogates that are tried before an entity of a crowded number space falls back on its first one.
+ROUNDS = 8
+#: Kinds whose first surrogates are a permutation of their domain, and so differ from each other.
+PERMUTED = ("ipv4", "ipv6", "card", "ssn", "phone")
+#: Alphabets of scripts; letters of others stand for letters of the same kind and block of 64 code points.
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 
 #: Titles before names, by gender.
 MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Don|г-н|господин"
@@ -44,7 +52,7 @@ ENDINGS = {
     ("greek", "male"): "νος ρος τας".split(), ("greek", "female"): "λια νη ρα".split(), ("greek", ""): "δης κος πουλος".split(),
 }
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))+"
+NAME = r"[^\W\d_](?:[^\W\d_]|-(?=[^\W\d_])|['’](?=[^\W\d_])(?!s(?!\w)))+"
 
 EMAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++(?<![.])@(?:[\w\-]+\.)+[^\W\d_]{2,}")
 NUMBERS = re.compile(
@@ -69,7 +77,7 @@ LABELLED = re.compile(
     re.X,
 )
 LONG_SECRET = re.compile(r"[A-Za-z0-9_\-./+]{12,}=*")
-DIGIT = re.compile(r"\d")
+DIGIT, OTHER_DIGIT = re.compile(r"\d"), re.compile(r"(?![0-9])\d")
 PERSON = re.compile(rf"(?<!\w)(?P<title>(?P<male>{MALE})|(?P<female>{FEMALE})|{NEUTRAL})\.?[ \u00a0](?P<names>{NAME}(?:[ \u00a0]{NAME}){{0,2}})")
 
 
@@ -84,12 +92,68 @@ def iban_check(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+@functools.cache
+def _digit_table() -> dict[int, int]:
+    """Each decimal digit outside 0-9 with the one that it means."""
+    return {k: 48 + d for k in range(128, sys.maxunicode + 1) if (d := unicodedata.decimal(chr(k), -1)) >= 0}
+
+
+def plain_digits(text: str) -> str:
+    """The text with digits of any script as 0-9, place by place."""
+    return text.translate(_digit_table()) if not text.isascii() and OTHER_DIGIT.search(text) else text
+
+
+@functools.cache
+def alphabet(letter: str) -> str:
+    """The letters that may stand for a letter without case or in lower case."""
+    for known in ALPHABETS:
+        if letter in known:
+            return known
+    base, kind = ord(letter) & ~63, unicodedata.category(letter)
+    return "".join(x for x in map(chr, range(base, base + 64)) if unicodedata.category(x) == kind and x.lower() == x) or letter
+
+
+def people(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, and their other mentions in the text. A form has one kind and gender in a text.
+
+    It is a given name where a title's names go on after it, or by the list of given names; else a family name. The
+    gender of a given name is that of its first title that has one, else that of the lists.
+    """
+    mentions: list[tuple[int, int, str]] = []
+    given: set[str] = set()
+    gender: dict[str, str] = {}
+    spelt: dict[str, str] = {}
+    for m in PERSON.finditer(text):
+        names = list(re.finditer(NAME, m["names"]))
+        names = names[: next((k for k, x in enumerate(names) if not x[0][0].isupper()), len(names))]
+        for k, x in enumerate(names):
+            form, begin = x[0].casefold(), m.start("names") + x.start()
+            mentions.append((begin, begin + len(x[0]), form))
+            spelt[x[0]] = form
+            if k < len(names) - 1:
+                given.add(form)
+            if k < len(names) - 1 or k == 0:
+                said = "male" if m["male"] else "female" if m["female"] else ""
+                gender[form] = gender.get(form) or said
+    if not mentions:
+        return []
+    bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelt, key=lambda x: (-len(x), x))))})(?!\w)", re.I)
+    titled, forms = {x[0] for x in mentions}, set(spelt.values())
+    mentions += [(*m.span(), m[0].casefold()) for m in bare.finditer(text) if m[0][0].isupper() and m.start() not in titled and m[0].casefold() in forms]
+    out = []
+    for begin, end, form in mentions:
+        listed = "male" if form in GIVEN_MALE else "female" if form in GIVEN_FEMALE else ""
+        kind = f"given-{gender.get(form) or listed or 'neutral'}" if form in given or listed else "family"
+        out.append((begin, end, kind, form))
+    return out
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, canonical form) of the entities in a text, in order and apart from each other.
 
-    The canonical form is what coreference goes by: it leaves out case, separators and formatting.
+    The canonical form is what coreference goes by: it leaves out case, separators, formatting and the digits' script.
     """
-    text = text or ""
+    text = plain_digits(text or "")
     found: list[tuple[int, int, str, str]] = []
     if any(c in text for c in "=:") or "AKIA" in text or "_" in text or "-" in text:
         for m in SECRET.finditer(text):
@@ -116,25 +180,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             plain = ":".join(value[4 * k : 4 * k + 4] for k in range(8))
         found.append((*m.span(), kind, m[0] if kind == "ipv4" else plain))
-    known: dict[str, str] = {}
-    spelt: set[str] = set()
-    for m in PERSON.finditer(text):
-        names = list(re.finditer(NAME, m["names"]))
-        names = names[: next((k for k, x in enumerate(names) if not x[0][0].isupper()), len(names))]
-        for k, x in enumerate(names):
-            given = k < len(names) - 1
-            gender = "male" if m["male"] else "female" if m["female"] else "male" if x[0].lower() in GIVEN_MALE else "female" if x[0].lower() in GIVEN_FEMALE else "neutral"
-            begin = m.start("names") + x.start()
-            found.append((begin, begin + len(x[0]), f"given-{gender}" if given else "family", x[0].casefold()))
-            spelt.add(x[0])
-            if not given or x[0].casefold() not in known:
-                known[x[0].casefold()] = found[-1][2]
-    if spelt:  # the same names without a title, in the same document
-        bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelt, key=lambda x: (-len(x), x))))})(?!\w)", re.I)
-        titled = {x[0] for x in found if x[2] == "family" or x[2].startswith("given-")}
-        for m in bare.finditer(text):
-            if m[0][0].isupper() and m.start() not in titled and (kind := known.get(m[0].casefold())):
-                found.append((*m.span(), kind, m[0].casefold()))
+    found += people(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -156,37 +202,46 @@ class Surrogates:
         size = (below.bit_length() + 71) // 8
         return int.from_bytes(hashlib.shake_256(seed).digest(size), "big") % below
 
-    def permute(self, value: int, radix: int, length: int, tweak: str) -> int:
-        """A keyed permutation of the numbers of so many digits: an alternating Feistel network."""
-        if length < 2:
-            return (value + self.number("shift", tweak, below=radix**length)) % radix**length
+    def mix(self, value: int, radix: int, length: int, tweak: str, back: bool = False) -> int:
+        """A keyed permutation of the numbers of so many digits, two at least, or its inverse: an alternating Feistel network."""
         left, right = length // 2, length - length // 2
         a, b = divmod(value, radix**right)
-        for k in range(10):
+        sign = -1 if back else 1
+        for k in reversed(range(10)) if back else range(10):
             if k % 2 == 0:
-                a = (a + self.number(tweak, k, length, b, below=radix**left)) % radix**left
+                a = (a + sign * self.number(tweak, k, length, b, below=radix**left)) % radix**left
             else:
-                b = (b + self.number(tweak, k, length, a, below=radix**right)) % radix**right
+                b = (b + sign * self.number(tweak, k, length, a, below=radix**right)) % radix**right
         return a * radix**right + b
 
+    def permute(self, value: int, radix: int, length: int, tweak: str) -> int:
+        """A keyed permutation without fixed points: one place further in a keyed order of all numbers of so many digits."""
+        if length < 2:
+            return (value + 1 + self.number("shift", tweak, below=radix**length - 1)) % radix**length
+        return self.mix((self.mix(value, radix, length, tweak) + 1) % radix**length, radix, length, tweak, back=True)
+
     def digits(self, text: str, tweak: str) -> str:
         return str(self.permute(int(text), 10, len(text), tweak)).zfill(len(text)) if text else ""
 
     def letters(self, text: str, *tweak: object) -> str:
-        """Letters for letters and digits for digits, one by one."""
+        """Letters of the same script for letters and digits for digits, one by one."""
         out = []
         for k, c in enumerate(text):
-            if c.isdigit():
+            if c.isdecimal():
                 out.append(str(self.number(*tweak, text, k, below=10)))
             elif c.isalpha():
-                x = "abcdefghijklmnopqrstuvwxyz"[self.number(*tweak, text, k, below=26)]
-                out.append(x.upper() if c.isupper() else x)
+                low = c.lower()
+                known = alphabet(low) if len(low) == 1 else ALPHABETS[0]
+                x = known[self.number(*tweak, text, k, below=len(known))]
+                out.append(x.upper() if c.isupper() and len(x.upper()) == 1 else x)
             else:
                 out.append(c)
         return "".join(out)
 
     def name(self, text: str, gender: str, attempt: int) -> str:
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "greek" if any("Ͱ" <= c <= "Ͽ" for c in text) else "latin"
+        if script == "latin" and not any("LATIN" in unicodedata.name(c, "") for c in text):  # no made-up names: letter by letter
+            return self.letters(text, "name", gender, attempt) + self.letters(text[-1] * (attempt // 2), "more", attempt, text)
         pick = lambda what, n: what[self.number("name", gender, script, text, attempt, n, below=len(what))]
         ending = pick(ENDINGS[script, gender if gender in ("male", "female") else ""], "end")
         return "".join(pick(SYLLABLES[script], k) for k in range(3 + attempt // 2)) + ending
@@ -240,15 +295,21 @@ class Surrogates:
 
 
 def fit(surrogate: str, kind: str, mention: str) -> str:
-    """The canonical surrogate in the format of a mention: its separators, its case."""
+    """The canonical surrogate in the format of a mention: its separators, its case, the script of its digits."""
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(surrogate)
-        return "".join(next(left) if c.isalnum() else c for c in mention)
-    if kind == "email":
-        return surrogate.upper() if mention.isupper() else surrogate
+        return "".join(_digit_like(next(left), c) if c.isalnum() else c for c in mention)
     if kind == "family" or kind.startswith("given-"):
         return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[0].upper() + surrogate[1:]
-    return surrogate
+    if kind == "email" and mention.isupper():
+        surrogate = surrogate.upper()
+    model = OTHER_DIGIT.search(mention) if not mention.isascii() else None
+    return "".join(_digit_like(c, model[0]) for c in surrogate) if model else surrogate
+
+
+def _digit_like(c: str, model: str) -> str:
+    """A digit 0-9 in the script of another digit."""
+    return chr(ord(model) - unicodedata.decimal(model) + int(c)) if not model.isascii() and model.isdecimal() and c.isdecimal() else c
 
 
 def space(kind: str) -> str:
@@ -278,44 +339,54 @@ def _with_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     return found.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, space string, surrogate string")
 
 
-def resolve(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, attempt of the entities whose first surrogate collides. Afterwards all surrogates differ from each other and from all entities.
+def resolve(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
+    """kind, entity, surrogate of the entities that can't have their first surrogate.
 
-    Each round, of the entities that share a surrogate the first keeps it, and one that equals an entity is given up.
-    An entity that keeps its surrogate never loses it later: those that move on give way to it.
+    Afterwards all surrogates differ from each other and from all entities. An entity moves on if its surrogate is an
+    entity, or another's: of those that share one, the first keeps it. What was tried once is never given out again, so
+    each round looks at the moved ones only. In a number space so full that rounds run out, an entity goes back to its
+    first surrogate: that is no one else's, but may be an entity of the corpus. Other kinds grow longer until they are free.
     """
-    space_of = F.when((F.col("kind") == "family") | F.col("kind").startswith("given-"), "name").otherwise(F.col("kind"))
+    named = (F.col("kind") == "family") | F.col("kind").startswith("given-")
+    same, one = ["space", "surrogate"], ["kind", "entity"]
     # one entity under several kinds of a name (a family name that is also a given name) keeps a surrogate for each
-    real = found.select(space_of.alias("space"), F.col("entity").alias("surrogate")).distinct()
-    now = durable(_with_surrogates(found.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(ROUNDS):
-        owner = now.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "kind", "entity")).alias("owner"), F.count("*").alias("n"))
-        shared = now.join(owner.where("n > 1").select("space", "surrogate", "owner"), ["space", "surrogate"]).where(F.struct("attempt", "kind", "entity") != F.col("owner")).select("kind", "entity", "attempt")
-        taken = now.join(real, ["space", "surrogate"], "left_semi").select("kind", "entity", "attempt")
-        moved = durable(shared.union(taken).distinct(), "collisions")
-        if moved.isEmpty():
-            return now.where("attempt > 0").select("kind", "entity", "attempt")
-        again = _with_surrogates(moved.withColumn("attempt", F.col("attempt") + 1), key)
-        now = durable(now.join(moved, ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
+    real = durable(found.select(F.when(named, "name").otherwise(F.col("kind")).alias("space"), F.col("entity").alias("surrogate")).distinct(), "real")
+    first = now = durable(_with_surrogates(found.withColumn("attempt", F.lit(0)), key), "surrogates")
+    tried, settled, attempt = [], [], 0
+    while True:
+        owner = now.groupBy(*same).agg(F.min(F.struct(*one)).alias("owner"), F.count("*").alias("n")).where("n > 1")
+        bad = [now.join(owner, same).where(F.struct(*one) != F.col("owner")), *(now.join(x.select(*same), same) for x in (real, *tried))]
+        bad = durable(functools.reduce(DataFrame.union, (x.select(*one) for x in bad)).distinct(), "collisions")
+        if attempt:
+            settled.append(now.join(bad, one, "left_anti"))
+        attempt += 1
+        if attempt > rounds:
+            crowded = F.col("kind").isin(*PERMUTED)
+            settled.append(first.join(bad.where(crowded), one))
+            bad = bad.where(~crowded)
+        if bad.isEmpty():
+            return functools.reduce(DataFrame.union, (x.select(*one, "surrogate") for x in settled), now.limit(0).select(*one, "surrogate"))
+        tried.append(now)
+        now = durable(_with_surrogates(bad.withColumn("attempt", F.lit(attempt)), key), "surrogates")
 
 
 def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST) -> DataFrame:
     """id, text with surrogates, n_entities, kinds (map of kind to number), and the columns named in keep.
 
-    Null texts stay null and empty ones empty; texts without entities stay as they are, byte for byte. Repeated rows
-    give a row each; an empty table gives none; other columns are not read. Texts are scanned whole.
+    Null texts stay null and empty ones empty; texts without entities stay as they are, byte for byte. Null and repeated
+    ids and repeated rows give a row each; an empty table gives none; other columns are not read. Texts are scanned whole,
+    twice: for the corpus' entities, and to replace them. The scan is cheaper than writing and reading all texts once.
     """
     kinds = dict(docs.dtypes)
     spark = docs.sparkSession
     moved = durable(resolve(durable(entities(docs, text_col), "entities"), key), "moved")
     few = moved.count() <= broadcast_rows
-    shared = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()} if few else {})
+    shared = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["surrogate"] for r in moved.collect()} if few else {})
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
     if not few:  # each document gets the attempts of its own entities, by a join on its text
         key_of = F.sha2(F.coalesce("_text", F.lit("")), 256)
         mentioned = rows.select(key_of.alias("_key"), "_text").mapInArrow(_mentions, "_key string, kind string, entity string").distinct()
-        own = mentioned.join(moved, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_moved"))
+        own = mentioned.join(moved, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_moved"))
         rows = rows.withColumn("_key", key_of).join(own, "_key", "left").select("_id", "_text", *keep, "_moved")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,15 +395,17 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
             listed = batch.column(batch.num_columns - 1).to_pylist() if not few else [None] * batch.num_rows
             texts, n, counts = [], [], []
             for text, own in zip(batch.column(1).to_pylist(), listed, strict=True):
-                attempts = shared.value if few else {(x["kind"], x["entity"]): x["attempt"] for x in own or ()}
+                moved_to = shared.value if few else {(x["kind"], x["entity"]): x["surrogate"] for x in own or ()}
                 parts, at, by = [], 0, {}
                 for begin, end, kind, form in detect(text):
                     if len(cache) > 100_000:
                         cache.clear()
-                    one = (kind, form, attempts.get((kind, form), 0))
-                    if one not in cache:
-                        cache[one] = made.of(*one)
-                    parts += [text[at:begin], fit(cache[one], kind, text[begin:end])]
+                    one = (kind, form)
+                    if (surrogate := moved_to.get(one)) is None:
+                        if one not in cache:
+                            cache[one] = made.of(*one)
+                        surrogate = cache[one]
+                    parts += [text[at:begin], fit(surrogate, kind, text[begin:end])]
                     at, by[kind] = end, by.get(kind, 0) + 1
                 texts.append(text if not parts else "".join(parts) + text[at:])
                 n.append(sum(by.values()))
