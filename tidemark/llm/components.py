@@ -9,14 +9,17 @@ from tidemark.llm.common import durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. large: hang larger neighbours under the smallest; small: hang smaller neighbours and the node itself under the smallest."""
+    """One step. large: hang larger neighbours under the smallest; small: hang smaller neighbours and the node itself under the smallest.
+
+    The minimum by node is combined before its shuffle and written. The join with it is then a stage of its own,
+    which Spark broadcasts or splits where a node has many edges.
+    """
+    around = edges.union(edges.select("v", "u")) if large else edges
+    least = durable(around.groupBy("u").agg(F.min("v").alias("m")), "least")
     if large:
-        around = edges.union(edges.select("v", "u"))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = F.least("u", "m")
+        return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), smallest.alias("v")).distinct()
+    hung = around.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -24,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), any direction, repeats and loops allowed -> node, component: the smallest node that it reaches. Nodes without an edge aren't listed.
 
     Each step is written to the shared folder. The number of steps grows with the logarithm of the largest component.
-    Neighbours are never gathered: each step is a minimum by node and a join, which Spark splits where a node is hot.
+    Neighbours are never gathered: each step is a minimum by node, combined before the shuffle, and a join.
     """
     now = durable(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None

@@ -5,9 +5,10 @@ for each coordinate, ranks them; coordinate k is the least rank under shift k. B
 buckets. Texts of one shingle set are one class, and only a class's smallest document goes on.
 
 Every pair that shares a bucket is compared on full shingle sets. Buckets of up to SMALL classes are
-compared as a whole, each distinct one once. Larger ones are joined to clusters; members that link with a cluster's
-main component through a few hubs need no more comparing (they are reachable), and the rest is compared with all members,
-block by block. Links stay inside the comparing task as sets of linked classes, so copies never make all their pairs.
+compared as a whole, each distinct one once. Larger ones are first joined to clusters, whose members are compared with
+a few hubs: those that link through them need no more comparing (they are reachable). The rest of a bucket is compared
+with all its members, block by block. Links stay inside the comparing task as sets of linked classes, so copies never
+make all their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_bytes, durable, slices
@@ -29,6 +30,8 @@ from tidemark.llm.components import components
 ROWS, BANDS = 5, 32
 #: Classes of a bucket that is compared as a whole, members of a block, hubs of a cluster (about).
 SMALL, BLOCK, HUBS = 48, 256, 64
+#: Shingles of a bucket that is compared as a whole, and of a block (about), so that long texts don't fill a task.
+BLOCK_SHINGLES = 2_000_000
 #: Odd multipliers of the hashes.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -197,26 +200,43 @@ def _compare_blocks(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(run, "u long, v long")
 
 
+def _blocks(count: str, shingles: str) -> Column:
+    """How many blocks so many members with so many shingles are cut into."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _copies(df: DataFrame, n: Column, name: str) -> DataFrame:
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), n - 1)))
+
+
 def _hot_edges(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hot (key, rep, hub): edges inside buckets over SMALL."""
+    """hot (key, rep, hub, size): edges inside the large buckets.
+
+    First, members of buckets that hang together (a cluster) are compared with a few hubs of the cluster. A bucket whose
+    members are then all in one component needs nothing more. In the others, the members outside the bucket's main
+    component are compared with all members of that bucket, block by block.
+    """
     clusters = components(hot.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = durable(members.join(sizes, "cluster").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")), "hot")
-    copies = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), n - 1)))
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(hot.groupBy("rep").agg(F.max("size").alias("size")), "rep")
+    total = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("all"))
+    held = durable(members.join(total, "cluster").join(sets, "rep").withColumn("blocks", _blocks("m", "all")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "hot")
     # about HUBS hubs a cluster, chosen by a hash, are compared with every member
-    hubs = copies(held.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) * F.col("m") < HUBS * (1 << 30)), blocks, "with")
-    first = durable(_compare_blocks(hubs.select("cluster", F.col("with").alias("block"), F.lit(True).alias("query"), "rep", "shingles").unionByName(held.select("cluster", "block", F.lit(False).alias("query"), "rep", "shingles")), ["cluster", "block"], percent), "hubs")
-    # those outside the largest component found are compared with all members
-    part = held.select("cluster", "rep").join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = part.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    left = durable(part.join(main, "cluster").where("component != main").select("rep", "cluster"), "left")
-    rest = left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rest"))
-    query = copies(held.join(left.select("rep"), "rep").join(rest, "cluster").withColumn("row", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("rest")).cast("int")), blocks, "with")
-    other = copies(held.join(rest, "cluster"), F.col("rest"), "row")
-    both = query.select("cluster", "row", F.col("with").alias("block"), F.lit(True).alias("query"), "rep", "shingles").unionByName(other.select("cluster", "row", "block", F.lit(False).alias("query"), "rep", "shingles"))
-    return first.unionByName(_compare_blocks(both, ["cluster", "row", "block"], percent))
+    hubs = _copies(held.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) * F.col("m") < HUBS * (1 << 30)), F.col("blocks"), "with")
+    asked = hubs.select("cluster", F.col("with").alias("block"), F.lit(True).alias("query"), "rep", "shingles")
+    first = durable(_compare_blocks(asked.unionByName(held.select("cluster", "block", F.lit(False).alias("query"), "rep", "shingles")), ["cluster", "block"], percent), "hubs")
+    # the buckets that the hubs left in several components
+    part = durable(hot.select("key", "rep", "size").join(components(first), F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component")), "parts")
+    by_part = part.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    split = by_part.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum("all").alias("all"))
+    split = durable(split.where("parts > 1").withColumn("blocks", _blocks("m", "all")).select("key", "main", "blocks"), "split")
+    rows = durable(part.join(split, "key").withColumn("left", F.col("component") != F.col("main")).drop("component", "main"), "unsettled")
+    rest = rows.where("left").groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("all")).select("key", _blocks("m", "all").alias("rest"))
+    rows = rows.join(rest, "key").join(held.select("rep", "shingles"), "rep")
+    query = _copies(rows.where("left").withColumn("row", F.pmod(F.xxhash64("rep", F.lit(3)), "rest").cast("int")), F.col("blocks"), "block")
+    other = _copies(rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), F.col("rest"), "row")
+    columns = ["key", "row", "block", "query", "rep", "shingles"]
+    both = query.withColumn("query", F.lit(True)).select(columns).unionByName(other.withColumn("query", F.lit(False)).select(columns))
+    return first.unionByName(_compare_blocks(both, ["key", "row", "block"], percent))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, band_count: int = BANDS) -> DataFrame:
@@ -230,18 +250,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     sign = durable(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, rows=rows, band_count=band_count), "signatures")
-    classes = durable(sign.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    entries = classes.where("rep is not null").select("rep", F.explode("bands").alias("key"))
-    buckets = durable(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    classes = durable(sign.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
+    entries = classes.where("rep is not null").select("rep", "size", F.explode("bands").alias("key"))
+    buckets = durable(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1"), "buckets")
     members = durable(entries.join(buckets, "key"), "members")
-    groups = durable(members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_distinct(F.sort_array(F.collect_list("rep"))).alias("reps")).select("reps").where("size(reps) > 1").distinct(), "groups")
+    small = (F.col("n") <= SMALL) & (F.col("all") <= BLOCK_SHINGLES)
+    groups = durable(members.where(small).groupBy("key").agg(F.array_distinct(F.sort_array(F.collect_list("rep"))).alias("reps")).select("reps").where("size(reps) > 1").distinct(), "groups")
     wanted = durable(members.select("rep").distinct(), "wanted")
     first_text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = durable(shingle_sets(first_text.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), shingle=shingle).dropDuplicates(["doc_id", "shingles"]).withColumnRenamed("doc_id", "rep"), "sets")
     listed = groups.select(F.xxhash64("reps").alias("g"), F.explode("reps").alias("rep"))
     compared = _compare_groups(listed.join(sets, "rep").groupBy("g").agg(F.collect_list(F.struct("rep", "shingles")).alias("members")).select("members"), percent)
     edges = durable(compared, "links")
-    hot = members.where(F.col("n") > SMALL).select("key", "rep", "hub")
+    hot = members.where(~small).select("key", "rep", "hub", "size")
     if not hot.isEmpty():
         edges = edges.unionByName(_hot_edges(hot, sets, percent))
     found = components(edges)
