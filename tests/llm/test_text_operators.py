@@ -102,8 +102,8 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [20_000_000, 150])
-def test_contamination_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [decontaminate.MAP_BITS, 64])
+def test_contamination_against_brute_force(spark, bits):
     r = random.Random(3)
     word = lambda: r.choice("the of red blue cat dog Été naïve x1 run".split())
     items = [(k, " ".join(word() for _ in range(r.choice([1, 4, 9, 10, 12, 30])))) for k in range(12)] + [(90, None), (91, "..."), (92, " ".join(["the"] * 12)), (92, " ".join(["the"] * 12))]
@@ -113,11 +113,13 @@ def test_contamination_against_brute_force(spark, block):
         item = (r.choice(items)[1] or "").upper().replace(" ", r.choice([" ", " - ", "\n"]))
         texts.append(" ".join(body[:20]) + " " + item + " " + " ".join(body[20:]))
     texts.append(texts[5])
+    texts.append("word " * 80_000 + items[-1][1] + " the" * 3_000)
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, n_hit string")
-    got = decontaminate.find_contamination(docs(spark, texts), bench, keep=("lang",), block_chars=block).collect()
+    got = decontaminate.find_contamination(docs(spark, texts), bench, keep=("lang",), map_bits=bits).collect()
     assert len(got) == len(texts)
     for x in got:
         assert (x.n_words, x.n_hit, list(x["items"])) == brute_hits(texts[x.doc_id], items), (x, texts[x.doc_id])
+        assert sum(s.end - s.begin for s in x.spans) == x.n_hit
     none = decontaminate.find_contamination(docs(spark, texts), bench.limit(0))
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(texts)
 

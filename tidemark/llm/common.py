@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that new_path writes to, innermost last: those of the open scratch blocks.
@@ -77,3 +79,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 <<
 def ascii_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column. bytes.lower() and bytes.split() then treat A-Z and the six ASCII white space characters only."""
     return column.cast(pa.binary()).to_pylist()
+
+
+class WordHashes:
+    """Words as 64-bit numbers. A word is hashed once a worker, as long as there is room."""
+
+    def __init__(self, kept: int = 500_000) -> None:
+        self.kept, self.known = kept, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.kept:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

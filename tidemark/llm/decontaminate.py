@@ -6,231 +6,193 @@ rarest shingle. Shingles are ordered by their count in all documents; each windo
 a document holds that shingle, the window could only stand at one place: it has to begin and end inside the document
 (position and length bounds), and its words are then compared one by one.
 
-The benchmark is the query set. It goes to the tasks in blocks of bounded size; documents are read where they lie and
-never shuffled.
+Windows, counts and the filing are tables, and the comparison is a join on the shingle. Documents are read where they
+lie: each task sends on only the shingles that may be the benchmark's, by a bitmap of their hashes, with the few words
+around them. The bitmap is all that is broadcast and has a fixed largest size, whatever the size of the benchmark; when
+it fills up, more shingles reach the join, and the result is the same.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes, durable, slices
+from tidemark.llm.common import WordHashes, ascii_bytes, durable, slices
 
 WINDOW, SHINGLE = 10, 5
-#: Characters of items in one block.
-BLOCK_CHARS = 20_000_000
+#: Bits of a bitmap of shingles: so many for each shingle, and so many at most (32 MB).
+BITS_EACH, MAP_BITS = 16, 1 << 28
+#: Bits of a bitmap that one task puts together.
+CHUNK_BITS = 1 << 16
 #: A-Z to lower case; bytes outside words to a space. Bytes from 0x80 on, and so all non-ASCII letters, are parts of words.
 WORD_BYTES = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else c if c >= 128 else 32 for c in range(256))
+#: Odd multipliers of the hashes.
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-class Block(NamedTuple):
-    """A block of items: word numbers, windows (item, words) and shingle numbers.
+def shingle_keys(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit number for each run of so many words."""
+    out = np.full(max(0, len(hashes) - length + 1), length, np.uint64)
+    for k in range(length):
+        out = out * M1 + hashes[k : k + len(out)]
+        out ^= out >> np.uint64(31)
+    out = (out ^ (out >> np.uint64(32))) * M2
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
-    shingles: for each shingle length, the sorted keys of all shingles in windows, and their numbers.
-    """
 
-    vocabulary: dict[bytes, int]
-    windows: list[np.ndarray]
-    items: list[int]  # the position of each window's item in names
-    names: list
-    keys: dict[int, np.ndarray]
-    firsts: dict[int, int]  # the number of the first shingle of each length
+def item_windows(benchmark: DataFrame, *, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
+    """item (as a string), words (of the window, with a space between), keys (of its shingles), for each window of each item."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            for item, text in zip(batch.column(0).to_pylist(), ascii_bytes(batch.column(1)), strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                n, m = min(window, len(words)), min(shingle, len(words))
+                keys = shingle_keys(hashes(words), m)
+                for first in range(0, len(words) - n + 1, 5_000):
+                    at = range(first, min(first + 5_000, len(words) - n + 1))
+                    texts = pa.array([b" ".join(words[k : k + n]).decode() for k in at], pa.string())
+                    own = pa.array([keys[k : k + n - m + 1] for k in at], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(at), pa.string()), texts, own], ["item", "words", "keys"])
 
-MULTIPLIER = 0x9E3779B97F4A7C15
+    return benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, words string, keys array<long>")
 
 
-def _keys(ids: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit key of each run of so many word numbers."""
-    out = np.zeros(max(0, len(ids) - length + 1), np.uint64)
-    for k in range(length):
-        out = out * np.uint64(MULTIPLIER) + (ids[k : k + len(out)] + 2).astype(np.uint64)
+def bitmap(keys: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
+    """The bits of the numbers in a column of distinct ones, put together in chunks by tasks; its length is a power of two.
+
+    The driver gets map_bits / 8 bytes at most.
+    """
+    wanted = max(CHUNK_BITS, BITS_EACH * keys.count())
+    bits = min(map_bits, 1 << (wanted - 1).bit_length())
+    chunk = min(bits, CHUNK_BITS)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(chunk, bool)
+        out[pdf["bit"].to_numpy() % chunk] = True
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.packbits(out).tobytes()]})
+
+    bit = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    placed = keys.select(bit.alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / chunk))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in placed.groupBy("chunk").applyInPandas(fill, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def make_block(items: list[tuple], window: int = WINDOW, shingle: int = SHINGLE) -> Block:
-    vocabulary: dict[bytes, int] = {}
-    windows, owner, names, keys = [], [], [], {}
-    for item, text in items:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int64)
-        if not len(ids):
-            continue
-        names.append(item)
-        seen = set()
-        for s in range(max(1, len(ids) - window + 1)):
-            one = ids[s : s + window]
-            if (b := one.tobytes()) not in seen:
-                seen.add(b)
-                windows.append(one)
-                owner.append(len(names) - 1)
-    for w in windows:
-        keys.setdefault(min(shingle, len(w)), []).append(_keys(w, min(shingle, len(w))))
-    keys = {n: np.unique(np.concatenate(k)) for n, k in keys.items()}
-    firsts, total = {}, 0
-    for n in sorted(keys):
-        firsts[n] = total
-        total += len(keys[n])
-    return Block(vocabulary, windows, owner, names, keys, firsts)
-
-
-def _find(block: Block, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shingle length, places in the document, shingle numbers) of the block's shingles in a document's word numbers."""
-    for n, keys in block.keys.items():
-        if len(ids) < n:
-            continue
-        known = ids >= 0
-        run = np.concatenate(([0], np.cumsum(known)))
-        at = np.flatnonzero(run[n:] - run[:-n] == n)  # all words are words of items
-        if not len(at):
-            continue
-        doc = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            doc = doc * np.uint64(MULTIPLIER) + (ids[at + k] + 2).astype(np.uint64)
-        where = np.minimum(np.searchsorted(keys, doc), len(keys) - 1)
-        hit = keys[where] == doc
-        if hit.any():
-            yield n, at[hit], where[hit] + block.firsts[n]
-
-
-def _ids(block: Block, text: bytes | None) -> np.ndarray:
-    words = words_of(text)
-    get = block.vocabulary.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
-def shingle_counts(docs: DataFrame, shared, text_col: str) -> DataFrame:
-    """number, n: how often each shingle of the block stands in all documents."""
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the numbers may be in the bitmap."""
+    at = keys & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def shingle_counts(docs: DataFrame, shared, lengths: list[int], text_col: str) -> DataFrame:
+    """key, n: how often each shingle that may be in the bitmap stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        size = sum(map(len, block.keys.values()))
-        total = np.zeros(size, np.int64)
+        hashes, bits = WordHashes(), np.asarray(shared.value)
         for batch in slices(batches):
+            found = []
             for text in ascii_bytes(batch.column(0)):
-                for _, _, number in _find(block, _ids(block, text)):
-                    np.add.at(total, number, 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["number", "n"])
-
-    return docs.select(F.col(text_col)).mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
-
-
-def file_windows(block: Block, counts: np.ndarray, shingle: int = SHINGLE) -> dict[int, list[tuple[int, int]]]:
-    """Rarest shingle number -> (window, place of the shingle in it); ties go to the first."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for w, words in enumerate(block.windows):
-        n = min(shingle, len(words))
-        numbers = np.searchsorted(block.keys[n], _keys(words, n)) + block.firsts[n]
-        k = int(np.argmin(counts[numbers]))
-        out.setdefault(int(numbers[k]), []).append((w, k))
-    return out
+                h = hashes(words_of(text))
+                found += [k[_marked(bits, k)] for k in (shingle_keys(h, n) for n in lengths)]
+            keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
+    return docs.select(F.col(text_col)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def hits(block: Block, filed: dict[int, list[tuple[int, int]]], text: bytes | None) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Words of the text, and where windows stand in it: (begin, end), and the items they are of."""
-    ids = _ids(block, text)
-    spans, items = [], set()
-    for _, places, numbers in _find(block, ids):
-        for at, number in zip(places.tolist(), numbers.tolist(), strict=True):
-            for w, offset in filed.get(number, ()):
-                words, begin = block.windows[w], at - offset
-                if begin >= 0 and begin + len(words) <= len(ids) and np.array_equal(ids[begin : begin + len(words)], words):
-                    spans.append((begin, begin + len(words)))
-                    items.add(block.items[w])
-    return len(ids), spans, items
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
 
+def filed_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """windows (words, keys) -> key, place, words: each window under its rarest shingle, ties to the first.
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int, block_chars: int) -> Iterator[Block]:
-    """Blocks of items whose texts have so many characters at most (a longer item is a block of its own)."""
-    items, held = [], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
-        if items and held + len(r["t"]) > block_chars:
-            yield make_block(items, window, shingle)
-            items, held = [], 0
-        items.append((r["i"], bytes(r["t"])))
-        held += len(r["t"])
-    if items:
-        yield make_block(items, window, shingle)
+    Windows with a shingle that no document holds are left out: no document can hold them.
+    """
+    each = windows.select("words", F.size("keys").alias("size"), F.posexplode("keys").alias("place", "key")).join(counts, "key")
+    best = each.groupBy("words", "size").agg(F.min(F.struct("n", "place", "key")).alias("least"), F.count("*").alias("seen"))
+    return best.where("seen = size").select(F.col("least.key").alias("key"), F.col("least.place").alias("place"), "words")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document row: id, n_words, n_hit, items (sorted array of item ids as strings), spans (merged word ranges), and the columns named in keep.
+HIT = pa.struct([("key", pa.int64()), ("lead", pa.int64()), ("context", pa.string()), ("places", pa.list_(pa.int64()))])
 
-    Null texts have no words. Items with fewer words than a window are one window; items without words are left out;
-    an item id that repeats counts once. Each row of docs gives one row, repeated ids and rows included. An empty
-    benchmark hits nothing. Other columns are not read. Beyond one block of items, documents are read once for each
-    block, and the few hit rows are merged by document.
-    """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
-    ready = []
-    for block in _blocks(benchmark, item_col, item_text_col, window, shingle, block_chars):
-        shared = share(block)
-        counts = np.zeros(sum(map(len, block.keys.values())), np.int64)
-        for r in shingle_counts(base, shared, "_text").collect():  # a row for each shingle of the block at most
-            counts[r["number"]] = r["n"]
-        ready.append((shared, share(file_windows(block, counts, shingle))))
-    nothing = (share(make_block([])), share({}))
-    if len(ready) < 2:
-        return _map(base, *(ready[0] if ready else nothing), keep).withColumnRenamed("_id", id_col)
-    # several blocks: the hits of one id and text merge, and each row of docs keeps its row
-    keyed = base.withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    parts = functools.reduce(DataFrame.unionByName, (_map(keyed.select("_id", "_text", "_key"), *x, ("_key",)).where("n_hit > 0") for x in ready))
-    hit = durable(parts.select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), "items", "spans"), "hits")
-    hit = hit.groupBy("_hit_id", "_hit_key").agg(F.flatten(F.collect_set("items")).alias("_items"), F.flatten(F.collect_set("spans")).alias("_spans"))
-    counted = _map(keyed, *nothing, (*keep, "_key")).drop("n_hit", "items", "spans")
-    joined = counted.join(hit, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_key") == F.col("_hit_key")), "left")
-    spans = F.sort_array(F.coalesce("_spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")))
-    zero = F.lit(0).cast("long")
-    total = F.aggregate(
-        spans,
-        F.struct(zero.alias("total"), zero.alias("end")),
-        lambda acc, s: F.struct((acc["total"] + F.greatest(zero, s["end"] - F.greatest(s["begin"], acc["end"]))).alias("total"), F.greatest(acc["end"], s["end"]).alias("end")),
-    )["total"]
-    items = F.sort_array(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>"))))
-    return joined.select(F.col("_id").alias(id_col), "n_words", total.alias("n_hit"), items.alias("items"), spans.alias("spans"), *keep)
-
-
-def _map(base: DataFrame, shared, filed, keep: tuple[str, ...] = ()) -> DataFrame:
-    """base: _id, _text and the columns in keep, which are carried through."""
+
+def document_hits(base: DataFrame, shared, lengths: list[int], keep: tuple[str, ...], window: int) -> DataFrame:
+    """base (_id, _text, keep) -> _id, keep, n_words, _hits: shingles that may be filed ones, each with the words around it (lead of them before it) and its places."""
     kinds = dict(base.dtypes)
-    names = ["_id", "n_words", "n_hit", "items", "spans", *keep]
-    spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index = shared.value, filed.value
+        hashes, bits = WordHashes(), np.asarray(shared.value)
         for batch in slices(batches):
-            n_words, n_hit, items, spans = [], [], [], []
+            n_words, hits = [], []
             for text in ascii_bytes(batch.column(1)):
-                n, found, of = hits(block, index, text)
-                merged = merge(found)
-                n_words.append(n)
-                n_hit.append(sum(b - a for a, b in merged))
-                items.append(sorted({str(block.names[i]) for i in of}))
-                spans.append([{"begin": a, "end": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, spans_type), *batch.columns[2:]], names)
+                words = words_of(text)
+                h, own = hashes(words), {}
+                for n in lengths:
+                    keys = shingle_keys(h, n)
+                    for at in np.flatnonzero(_marked(bits, keys)).tolist():
+                        begin = max(0, at + n - window)
+                        context = b" ".join(words[begin : at + window]).decode()
+                        own.setdefault((int(keys[at]), at - begin, context), []).append(at)
+                n_words.append(len(words))
+                hits.append([{"key": k, "lead": lead, "context": c, "places": p} for (k, lead, c), p in own.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(HIT))], ["_id", *keep, "n_words", "_hits"])
 
     kept = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return base.mapInArrow(run, f"_id {kinds['_id']}, n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>{kept}")
+    return base.mapInArrow(run, f"_id {kinds['_id']}{kept}, n_words long, _hits array<struct<key: long, lead: long, context: string, places: array<long>>>")
+
+
+def contained(hits: DataFrame, filed: DataFrame) -> DataFrame:
+    """hits (_row, key, lead, context, places) joined with the windows filed under key: _row, words, size, place, places, where all words agree."""
+    wanted, around = F.split("words", " "), F.split("context", " ")
+    begin = F.col("lead") - F.col("place")
+    same = F.slice(around, (begin + 1).cast("int"), F.size(wanted)) == wanted
+    inside = hits.join(filed, "key").where(F.when(begin >= 0, same).otherwise(False))
+    return inside.select("_row", "words", F.size(wanted).alias("size"), "place", "places")
+
+
+def merged(each: DataFrame) -> DataFrame:
+    """_row, begin, end -> _row, spans: a row's spans in order, those that meet or overlap put together."""
+    by = Window.partitionBy("_row").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.withColumn("apart", F.coalesce(F.col("begin") > F.max("end").over(by), F.lit(True)).cast("long"))
+    runs = before.withColumn("run", F.sum("apart").over(Window.partitionBy("_row").orderBy("begin", "end")))
+    spans = runs.groupBy("_row", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, shingle: int = SHINGLE, map_bits: int = MAP_BITS) -> DataFrame:
+    """A row for each document row: id, n_words, n_hit, items (sorted array of item ids as strings), spans (merged word ranges), and the columns named in keep.
+
+    Null texts have no words. Items with fewer words than a window are one window; items without words are left out;
+    an item id that repeats counts once, a null one not at all. Each row of docs gives one row, null and repeated ids and
+    repeated rows included. An empty benchmark hits nothing. Other columns are not read.
+    """
+    share = docs.sparkSession.sparkContext.broadcast
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    listed = durable(item_windows(benchmark, item_col=item_col, text_col=item_text_col, window=window, shingle=shingle), "windows")
+    lengths = sorted(r["n"] for r in listed.select(F.least(F.size(F.split("words", " ")), F.lit(shingle)).alias("n")).distinct().collect())
+    keys = durable(listed.select(F.explode("keys").alias("key")).distinct(), "keys")
+    counts = durable(shingle_counts(base, share(bitmap(keys, map_bits)), lengths, "_text"), "counts")
+    filed = durable(filed_windows(listed.select("words", "keys").distinct(), counts), "filed")
+    read = document_hits(base, share(bitmap(filed.select("key").distinct(), map_bits)), lengths, keep, window)
+    rows = durable(read.withColumn("_row", F.monotonically_increasing_id()), "hits")
+    found = durable(contained(rows.where(F.size("_hits") > 0).select("_row", F.inline("_hits")), filed), "contained")
+    each = found.select("_row", "size", "place", F.explode("places").alias("at")).select("_row", (F.col("at") - F.col("place")).alias("begin"), (F.col("at") - F.col("place") + F.col("size")).alias("end"))
+    spans = merged(each.distinct())
+    owners = durable(listed.where("item is not null").select("words", "item").distinct(), "owners")
+    items = found.select("_row", "words").distinct().join(owners, "words").groupBy("_row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hit = durable(spans.join(items, "_row", "left"), "hit")
+    joined = rows.drop("_hits").join(hit, "_row", "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return joined.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans"), *keep)

@@ -19,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes, durable, slices
+from tidemark.llm.common import WordHashes, ascii_bytes, durable, slices
 from tidemark.llm.components import components
 
 #: Rows of a band and bands: a pair of similarity 0.85 shares no bucket with a chance of 7e-9, one of 0.8 with 3e-6.
@@ -53,18 +52,13 @@ class Shingler:
     """Shingle sets as sorted 64-bit numbers. Words hash once a worker."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.known = size, {}
+        self.size, self.hashes = size, WordHashes()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII white space characters
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.hashes(words)
         n = min(self.size, len(h))  # a text of fewer words is one shingle
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
