@@ -130,6 +130,35 @@ def test_every_article_of_a_page(spark, tmp_path, limit):
     assert queries.op6_html_extract(spark, str(tmp_path)).first().text.startswith("one 1\ntwo")
 
 
+def test_words_of_classes_name_parts_not_subjects(spark):
+    kept = "<div class='social-policy'>policy</div><div id='notice-board-history'>board</div><p class='ad-hoc'>hoc</p><map><p>area</p></map>"
+    gone = "<div class='cookie-notice x'>c</div><div id='ad-slot-3'>a</div><ul class='related-articles'><li>r</li></ul><div class='share_bar'>s</div><div class='comments-list'>me</div>"
+    got = extracted(spark, [("u", f"<article><p>one</p>{kept}{gone}</article>"), ("u", "<article><p>tie a</p></article><article><p>tie b</p></article>")])
+    assert got[0] == "one\npolicy\nboard\nhoc\narea" and got[1] == "tie a"
+
+
+def made_page(r, host, k):
+    """A page of a host and its text: the host's boxes stand outside and inside the article, under names that say nothing."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
+    body = [" ".join(word() for _ in range(r.randrange(1, 30))) for _ in range(r.randrange(1, 7))]
+    box = f"<div class=k{host}><p>More from {host} &amp; co</p><ul><li><a href=/>Front</a></ul></div>"
+    at = r.randrange(len(body) + 1)
+    inner = "".join(f"<p>{x.replace(' ', r.choice([' ', '  ', chr(10)]))}</p>" for x in body[:at]) + box + "".join(f"<div>{x}</div>" for x in body[at:])
+    outer = f"<div><p>Welcome to {host}</p><p>Since 1900</p></div>"
+    page = f"<body>{outer}<section><article><h1>t{k}</h1>{inner}</article></section>{box}</body>" if k % 3 else f"<body>{outer}<h1>t{k}</h1>{inner}{box}</body>"
+    return page, "\n".join([f"t{k}", *body])
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_site_templates_against_known_texts(spark, limit):
+    r = random.Random(12)
+    made = [(f"http://h{k % 4}.net/{k}", *made_page(r, f"h{k % 4}", k)) for k in range(120)]
+    got = extracted(spark, [(u, h) for u, h, _ in made], broadcast_rows=limit, every=True)
+    assert got == {k: text for k, (_, _, text) in enumerate(made)}
+    none = extracted(spark, [(u, h) for u, h, _ in made], min_pages=10**6, every=True)
+    assert all("More from" in x for x in none.values())  # it is the template set that takes the boxes away
+
+
 def test_very_long_and_deep_page(spark):
     got = extracted(spark, [("u", "<div>" * 3000 + "deep" + "<p>x y</p>" * 5000)])
     assert got[0] == "\n".join(["deep"] + ["x y"] * 5000)

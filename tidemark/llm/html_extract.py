@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, slices
@@ -31,15 +31,37 @@ BROADCAST = 2_000_000
 
 #: HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
+    "tbody td tfoot th thead title tr ul".split()
+)
 BOX = frozenset("address center details div dl figure hgroup ol section table ul".split())
 CLOSES_P = BLOCK - frozenset("body html head title td th tr tbody thead tfoot caption option optgroup button legend".split())
 SCOPE = frozenset("table td th caption button object template html".split())
-CLOSED_BY_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
+CLOSED_BY_OWN = {
+    "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
+    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist")),
+}
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED_TAGS = frozenset("nav footer aside form script style noscript iframe template svg annotation annotation-xml object embed canvas audio video button select option input textarea label fieldset dialog menu head title search map xmp noembed noframes".split())
+DROPPED_TAGS = frozenset(
+    "nav footer aside form script style noscript iframe template svg annotation annotation-xml object embed canvas audio video button "
+    "select option input textarea label fieldset dialog menu head title search xmp noembed noframes".split()
+)
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog status menu menubar toolbar tablist".split())
-DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share sharing social comment comments disqus replies reply respond pagination pager related recommended widget toolbar masthead skip".split())
+DROPPED_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts advertisement advertising sponsor "
+    "sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup "
+    "modal overlay share sharing social comment comments disqus replies reply respond pagination pager related recommended widget "
+    "toolbar masthead skip".split()
+)
+#: Words that may stand beside a dropped word in a class: they name a part of a page, not a subject.
+PART_WORDS = frozenset(
+    "area article articles aside banner bar block body bottom box button buttons card cards center col column content container count entry "
+    "feed fixed footer form grid group head header holder icon icons id inline inner item items js layout left link links list main message "
+    "mobile module outer page panel post posts primary reader right row section secondary site slot small story stories sticky "
+    "text title to top unit user wide wrap wrapper".split()
+)
 #: Beside the dropped words: classes of articles, or of what holds them, that are another page's.
 TEASER_WORDS = DROPPED_WORDS | frozenset("teaser teasers".split())
 ARTICLE_ROLES = frozenset(("article", "main"))
@@ -113,31 +135,40 @@ class Tree:
             return False
         if "hidden" in attrs or attrs.get("role", "").lower() in DROPPED_ROLES:
             return True
-        return any(not DROPPED_WORDS.isdisjoint(WORDS.findall(attrs[k].lower())) for k in ("class", "id") if attrs.get(k))
+        return self._named(n, DROPPED_WORDS)
 
-    def sizes(self) -> list[int]:
-        """Characters of text below each element."""
+    def _named(self, n: int, words: frozenset[str]) -> bool:
+        """Whether a class or the id consists of one of the words and words for parts of pages: cookie-notice, but not social-policy or notice-board."""
+        attrs = self.attrs[n]
+        for name in (attrs.get("class") or "").split() + [attrs.get("id") or ""]:
+            found = WORDS.findall(name.lower())
+            if not words.isdisjoint(found) and all(x in words or x in PART_WORDS or x.isdigit() or len(x) == 1 for x in found):
+                return True
+        return False
+
+    def sizes(self, removed: set[int] | frozenset[int] = frozenset()) -> list[int]:
+        """Characters of text below each element, without the removed ones."""
         out = [0] * len(self.tags)
         for n in range(len(self.tags) - 1, -1, -1):
-            out[n] += sum(len(x.strip()) for x in self.content[n] if isinstance(x, str))
+            out[n] = 0 if n in removed else out[n] + sum(len(x.strip()) for x in self.content[n] if isinstance(x, str))
             if n:
                 out[self.parents[n]] += out[n]
         return out
 
-    def article(self) -> int:
-        """The longest outermost article that no dropped element holds; without one, the longest main element; else the whole page."""
+    def article(self, removed: set[int] | frozenset[int] = frozenset()) -> int:
+        """The outermost article, held by no dropped element, with the most text left; without one, such a main element; else the whole page."""
         found = self._found(DROPPED_WORDS)
-        size = self.sizes()
+        size = self.sizes(removed)
         return max(found, key=lambda n: (size[n], -n), default=0)
 
-    def articles(self) -> list[int]:
+    def articles(self, removed: set[int] | frozenset[int] = frozenset()) -> list[int]:
         """All outermost articles in page order but those that they or their holders mark as teasers, comments and the like; if all are marked, the longest."""
         found = [n for n in self._found(TEASER_WORDS) if not self._marked(n, TEASER_WORDS)]
-        return found or [self.article()]
+        return found or [self.article(removed)]
 
     def _marked(self, n: int, words: frozenset[str]) -> bool:
         attrs = self.attrs[n]
-        return "hidden" in attrs or attrs.get("role", "").lower() in DROPPED_ROLES or any(not words.isdisjoint(WORDS.findall(attrs[k].lower())) for k in ("class", "id") if attrs.get(k))
+        return "hidden" in attrs or attrs.get("role", "").lower() in DROPPED_ROLES or self._named(n, words)
 
     def _found(self, words: frozenset[str]) -> list[int]:
         """Outermost articles that no dropped element holds and none marked by words; without one, outermost main elements."""
@@ -146,8 +177,10 @@ class Tree:
         inside = {"article": [False] * len(self.tags), "main": [False] * len(self.tags)}
         for n in range(1, len(self.tags)):
             up = self.parents[n]
-            kind = "article" if self.tags[n] == "article" or self.attrs[n].get("role") == "article" or self.attrs[n].get("itemprop") == "articleBody" else "main" if self.tags[n] == "main" or self.attrs[n].get("role") == "main" else ""
-            gone[n] = gone[up] or self.dropped(n) or (words is TEASER_WORDS and not kind and self.tags[n] not in ("html", "body") and self._marked(n, words))
+            tag, role = self.tags[n], self.attrs[n].get("role")
+            kind = "article" if "article" in (tag, role) or self.attrs[n].get("itemprop") == "articleBody" else "main" if "main" in (tag, role) else ""
+            teaser = words is TEASER_WORDS and not kind and tag not in ("html", "body") and self._marked(n, words)
+            gone[n] = gone[up] or self.dropped(n) or teaser
             for k in found:
                 inside[k][n] = inside[k][up] or kind == k
             if kind and not gone[n] and not inside[kind][up]:
@@ -205,7 +238,7 @@ class Tree:
 
     def text(self, removed: set[int], every: bool = False) -> str:
         """The article's blocks, one a line; with every, those of all articles."""
-        roots, blocks, now = self.articles() if every else [self.article()], [], []
+        roots, blocks, now = self.articles(removed) if every else [self.article(removed)], [], []
         root = set(roots)
         stack: list = [("open", n) for n in reversed(roots)]
 
@@ -269,8 +302,9 @@ def template_subtrees(rows: DataFrame, *, min_pages: int = MIN_PAGES, min_share:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, box_share: float = BOX_SHARE, broadcast_rows: int = BROADCAST, every: bool = False) -> DataFrame:
     """id, url, text, n_chars of each page; of a page with several articles the longest, with every all that aren't marked or template.
 
-    A null html has the empty text; a null url belongs to the host "". Repeated rows give a row each; an empty table
-    gives none; other columns are not read. Pages are read whole, one at a time.
+    A null html has the empty text; a null url belongs to the host "". Null and repeated ids and repeated rows give a row
+    each; of equally long articles the first counts as the longest; an empty table gives none; other columns are not read.
+    Pages are read whole, one at a time.
     """
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
@@ -280,7 +314,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     known = template.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in template.collect()], np.int64))) if small else None
     if not small:  # too many to broadcast: each page gets the numbers of its own, by a join
         own = _page_subtrees(rows, every).join(template, "tree").groupBy("page").agg(F.collect_set("tree").alias("_trees"))
-        rows = rows.withColumn("page", F.xxhash64("_host", "_html")).join(own, "page", "left").drop("page")
+        rows = rows.withColumn("page", _page_key()).join(own, "page", "left").drop("page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -293,13 +327,18 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                     at = np.searchsorted(known.value, np.array([x for x, _ in found], np.int64)) if len(known.value) and found else []
                     removed = {n for (x, n), k in zip(found, at, strict=False) if k < len(known.value) and known.value[k] == x}
                 else:
-                    removed = {n for x, n in found if x in set(own or ())}
+                    listed_here = set(own or ())
+                    removed = {n for x, n in found if x in listed_here}
                 texts.append(tree.text(removed, every))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _page_key() -> Column:
+    return F.sha2(F.concat_ws("\n", "_host", "_html"), 256)
+
+
 def _page_subtrees(rows: DataFrame, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -308,6 +347,6 @@ def _page_subtrees(rows: DataFrame, every: bool) -> DataFrame:
                 found = {x for x, _ in Tree(html).subtrees(host.encode("utf-8", "surrogatepass"), every)}
                 pages += [page] * len(found)
                 trees += found
-            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(trees, pa.int64())], ["page", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(trees, pa.int64())], ["page", "tree"])
 
-    return rows.select(F.xxhash64("_host", "_html").alias("page"), "_host", "_html").mapInArrow(run, "page long, tree long").distinct()
+    return rows.select(_page_key().alias("page"), "_host", "_html").mapInArrow(run, "page string, tree long").distinct()
