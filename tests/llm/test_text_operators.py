@@ -30,11 +30,11 @@ def brute_quality(text):
     grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     hit = {k + i for k, g in enumerate(grams) if grams.count(g) > 1 for i in range(3)}
     failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
-    total, fine = sum(len(w.encode()) for w in words), True
+    total, fine = sum(map(len, words)), True
     for n, limit in quality.NGRAM_LIMITS.items():
         g = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
         covered = {k + i for k, x in enumerate(g) if g.count(x) > 1 for i in range(n)}
-        fine &= sum(len(words[k].encode()) for k in covered) <= limit * max(1, total)
+        fine &= sum(len(words[k]) for k in covered) <= limit * max(1, total)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(hit), failed, (not failed) and fine
 
 
@@ -46,10 +46,13 @@ def test_quality_against_brute_force(spark):
         if k % 4 == 0:
             words += words[5:18] * 2
         texts.append(" ".join(words[:30]) + "\n" + " ".join(words[30:]))
+    cyrillic = [f"слово{k}" for k in range(60)]  # of 60 long words, six repeat: their bytes weigh more than their characters
+    texts += [" ".join([f"x{k}" for k in range(n)] + cyrillic[:6] + ["mid"] * 1 + cyrillic[:6] + [f"y{k}" for k in range(150)]) for n in range(0, 260, 20)]
+    texts.append("word " * 150_000)
     got = {x.doc_id: x for x in quality.repetition(docs(spark, texts)).collect()}
     for k, t in enumerate(texts):
         x = got[k]
-        n = brute_quality(t)
+        n = brute_quality(t) if len(t or '') < 100_000 else (150_000, 600_000, 0, 0, 150_000, True, False)
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == n[:6], t
         if not re.search("\n.*\n", t or ""):
             assert x.kept == n[6], t
@@ -78,6 +81,46 @@ def test_language_id_learns_and_abstains(spark):
     assert language_id.train(df.limit(0)) == {} and language_id.predict(df, {}).where("lang_pred != 'und'").count() == 0
 
 
+def brute_bundle(text):
+    """The sum over all letter 3-grams, one after the other."""
+    import unicodedata
+
+    import numpy as np
+
+    letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in f" {text} ")
+    letters, out = re.sub(" +", " ", letters), np.zeros(language_id.DIM)
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        a, b, c = (language_id._letter(ord(x)) for x in (a, b, c))
+        out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_bundles_against_brute_force():
+    texts = ["One two, THREE; x", "привет 12 мир", "हिन्दी भाषा", "x" * 5000, "ab " * 400, "𰀁𰀁 㐀"]
+    made = language_id.Vectors()
+    for text in texts:
+        assert (made.bundle(text) == brute_bundle(text)).all(), text
+    whole = "lorem Ipsum dolor " * 20_000  # crosses the pieces of a long text
+    one, many = brute_bundle("lorem Ipsum dolor " * 20), made.bundle(whole)
+    assert abs(one @ many / (one @ one) ** 0.5 / (many @ many) ** 0.5 - 1) < 1e-3
+    small = [dict(zip(*(x.tolist() for x in g), strict=True)) for g in language_id.grams("lorem Ipsum dolor " * 20, piece=7)]
+    assert sum(sum(x.values()) for x in small) == len("lorem Ipsum dolor " * 20) - 1
+    assert not made.bundle("\u0301\u0301 12").any() and made.bundle("\U00030001" * 9).any()
+
+
+def test_language_id_by_held_out_accuracy(spark):
+    """Over the driver's documents: labelled rows outside of training go to their language."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(path)
+    model = language_id.train(df.where(~language_id.held_out()))
+    out = language_id.predict(df.where(language_id.held_out() & F.col("lang").isNotNull() & (F.length("text") > 40)), model, keep=("lang",)).collect()
+    assert len(out) > 50 and sum(x.lang == x.lang_pred for x in out) >= 0.98 * len(out)
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import statistics
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,14 @@ SPACE = 32
 
 @functools.cache
 def _letter_table() -> np.ndarray:
-    """Code point to lower-case letter; everything else is a space."""
+    """Code point to lower-case letter, or to itself for the marks that belong to letters; everything else is a space."""
     out = np.full(0x110000, SPACE, np.int64)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if (x := chr(c)).isalpha():
             low = x.lower()
             out[c] = ord(low) if len(low) == 1 else c
+        elif unicodedata.category(x)[0] == "M":
+            out[c] = c
     return out
 
 
@@ -74,6 +77,8 @@ class Vectors:
     def bundle(self, text: str | None) -> np.ndarray:
         """The sum of the text's 3-gram vectors; all zero without letters."""
         out = np.zeros(DIM, np.float64)
+        if not any(map(str.isalpha, text or "")):  # stops at the first letter; marks alone are none
+            return out
         for ids, counts in grams(text):
             for k in range(0, len(ids), 20_000):
                 if len(self.at) > KEPT:

@@ -1,6 +1,6 @@
 """Quality rules by repetition: how much of a text lies in n-grams and lines that it repeats.
 
-Word n-grams of several lengths are hashed by one rolling polynomial a text, in numpy; characters covered by any
+Word n-grams of several lengths are hashed by one rolling polynomial a text, in numpy; characters (code points) covered by any
 occurrence of a repeated n-gram are counted once. A text fails if the covered share passes the limit of a length,
 or if repeated lines hold too much of it.
 """
@@ -37,6 +37,10 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _code_points(data: bytes) -> int:
+    return len(data) if data.isascii() else len(data.decode("utf-8", "surrogatepass"))
+
+
 def _covered(hit: np.ndarray, n: int, words: int) -> np.ndarray:
     """Words inside any window of n that starts at a hit."""
     edge = np.zeros(words + 1, np.int32)
@@ -51,16 +55,15 @@ def measure(text: bytes | None, limits: dict[int, float] = NGRAM_LIMITS, line_li
     text = text or b""
     words = text.split()
     n = len(words)
-    chars = len(text.decode("utf-8", "surrogatepass")) if not text.isascii() else len(text)
-    word_chars = chars - (len(text) - len(text.translate(None, BLANKS)))
+    word_chars = _code_points(text) - (len(text) - len(text.translate(None, BLANKS)))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    dup_lines, dup_line_bytes, seen = 0, 0, set()
+    dup_lines, dup_line_chars, seen = 0, 0, set()
     if b"\n" in text:
         for line in text.split(b"\n"):
             if line.strip(BLANKS):
                 if line in seen:
                     dup_lines += 1
-                    dup_line_bytes += len(line.translate(None, BLANKS))
+                    dup_line_chars += _code_points(line.translate(None, BLANKS))
                 seen.add(line)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
@@ -70,8 +73,7 @@ def measure(text: bytes | None, limits: dict[int, float] = NGRAM_LIMITS, line_li
         three = _repeated(pair[:-1] * len(number) + ids[2:])
         if three.any():
             repeat_words = int(_covered(three, 3, n).sum())
-            sizes = np.fromiter(map(len, words), np.int64, n)
-            total = int(sizes.sum())
+            sizes = np.fromiter(map(len if text.isascii() else _code_points, words), np.int64, n)
             rolled, grams, hit = (ids + 1).astype(np.uint64), 1, three
             for k, (length, _) in enumerate(sorted(limits.items())):
                 while grams < length and len(rolled) > 1:
@@ -85,9 +87,9 @@ def measure(text: bytes | None, limits: dict[int, float] = NGRAM_LIMITS, line_li
                 hit[at[_repeated(rolled[at])]] = True
                 if not hit.any():
                     break
-                shares[k] = float(sizes[_covered(hit, length, n)].sum()) / total
+                shares[k] = float(sizes[_covered(hit, length, n)].sum()) / word_chars
     base_failed = n < BASE_WORDS or 100 * repeat_words > BASE_REPEAT * n
-    line_share = dup_line_bytes / max(1, sum(map(len, words)))
+    line_share = dup_line_chars / max(1, word_chars)
     kept = not base_failed and line_share <= line_limit and all(s <= limit for s, (_, limit) in zip(shares, sorted(limits.items()), strict=True))
     return n, word_chars, symbols, dup_lines, repeat_words, base_failed, max(shares, default=0.0), line_share, kept
 

@@ -37,16 +37,16 @@ def _repetition_sql() -> str:
         gram = " || ' ' || ".join(f"lead(w, {k}) over (partition by doc_id order by p)" if k else "w" for k in range(n))
         shares.append(
             f"g{n} as (select doc_id, p, count(*) over (partition by doc_id, g) c from (select doc_id, p, {gram} g from w) where g is not null), "
-            f"s{n} as (select w.doc_id, sum(strlen(w)) b from w join (select distinct doc_id, p + i q from g{n} cross join (select unnest(generate_series(0, {n - 1})) i) where c > 1) x on x.doc_id = w.doc_id and x.q = w.p group by 1)"
+            f"s{n} as (select w.doc_id, sum(length(w)) b from w join (select distinct doc_id, p + i q from g{n} cross join (select unnest(generate_series(0, {n - 1})) i) where c > 1) x on x.doc_id = w.doc_id and x.q = w.p group by 1)"
         )
     joins = " ".join(f"left join s{n} on s{n}.doc_id = d.doc_id" for n in NGRAM_LIMITS)
     within = " and ".join(f"coalesce(s{n}.b, 0)::double / total <= {limit}" for n, limit in sorted(NGRAM_LIMITS.items()))
     return rf"""with d as (select doc_id, coalesce(text, '') t from documents), w as (select doc_id, unnest(ws) w, unnest(generate_series(1, len(ws))) p from (select doc_id, regexp_extract_all(t, '[^{BLANK}]+') ws from d)),
- n as (select doc_id, count(*) n_words, sum(strlen(w)) total from w group by 1),
+ n as (select doc_id, count(*) n_words, sum(length(w)) total from w group by 1),
  g3 as (select doc_id, p, count(*) over (partition by doc_id, g) c from (select doc_id, p, w || ' ' || lead(w, 1) over (partition by doc_id order by p) || ' ' || lead(w, 2) over (partition by doc_id order by p) g from w) where g is not null),
  r as (select doc_id, count(distinct p + i) n_repeat from g3 cross join (select unnest(generate_series(0, 2)) i) where c > 1 group by 1),
  l as (select doc_id, line, row_number() over (partition by doc_id, line) k from (select doc_id, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^{BLANK}]')),
- dl as (select doc_id, count(*) n_dup, sum(strlen(regexp_replace(line, '[{BLANK}]', '', 'g'))) b from l where k > 1 group by 1), {', '.join(shares)},
+ dl as (select doc_id, count(*) n_dup, sum(length(regexp_replace(line, '[{BLANK}]', '', 'g'))) b from l where k > 1 group by 1), {', '.join(shares)},
  a as (select d.doc_id, coalesce(n_words, 0) n_words, length(regexp_replace(t, '[{BLANK}]', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(n_dup, 0) n_dup_lines, coalesce(n_repeat, 0) n_repeat_words,
  coalesce(coalesce(dl.b, 0)::double / total <= {LINE_LIMIT} and {within}, true) fine from d left join n on n.doc_id = d.doc_id left join r on r.doc_id = d.doc_id left join dl on dl.doc_id = d.doc_id {joins})
  select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words,
