@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import itertools
 import random
 
@@ -36,6 +37,37 @@ def test_reputation_shrinks_to_parents(spark):
     assert abs(judged(spark, ["http://a.b/"])[0].rate - 0.5) < 1e-9
 
 
+def test_hosts_pool_by_clean_keys_and_suffixes(spark):
+    hosts = ["a.com", "a.com:8080", "u:p@a.com.", "1.2.3.4:80", "[::1]:80", "x.y.co.uk", "com", "", "b.a.com"]
+    df = spark.createDataFrame([(x,) for x in hosts], "raw string").select("raw", url_filters.clean_host(F.col("raw")).alias("host"))
+    df = df.withColumn("suffix", url_filters.suffix_of(F.col("host")))
+    got = [(r.host, r.suffix, r.domain) for r in df.withColumn("domain", url_filters.domain_of(F.col("host"), F.col("suffix"))).collect()]
+    assert got == [("a.com", "com", "a.com")] * 3 + [("1.2.3.4",) * 3, ("[::1]",) * 3, ("x.y.co.uk", "co.uk", "y.co.uk"), ("com", "com", "com"), ("", "", ""), ("b.a.com", "com", "a.com")]
+
+
+def test_public_suffix_list(spark, tmp_path):
+    (tmp_path / "list").write_text("// top\ncom\n\nuk\nco.uk\n*.ck\n!www.ck\nblog.example.com // private\n")
+    rules = url_filters.read_suffixes(spark, str(tmp_path / "list"))
+    hosts = {"a.b.com": "com", "x.co.uk": "co.uk", "a.b.foo.ck": "foo.ck", "x.www.ck": "ck", "me.blog.example.com": "blog.example.com", "odd.zz": "zz", "9.9.9.9": "9.9.9.9", "com": "com", "": ""}
+    df = spark.createDataFrame([(x, 1) for x in hosts], "host string, n long")
+    assert {r.host: r.suffix for r in url_filters.with_suffixes(df, rules).collect()} == hosts
+    urls = [f"http://u{k}.blog.example.com/{j}" for k in range(3) for j in range(20)]
+    got = judged(spark, urls, [(k, k >= 20) for k in range(60)], suffixes=rules)
+    assert got[0].verdict == "block" and got[30].verdict == "allow"
+
+
+def test_posterior_chance_against_exact_sums():
+    from math import comb
+
+    for a in (1, 2, 7, 40):
+        for b in (1, 3, 9, 55):
+            for x in (0.01, 0.3, 0.5, 0.97):
+                n = a + b - 1  # of whole numbers, the chance is a binomial's
+                want = sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+                assert abs(url_filters.chance_below(x, [a], [b])[0] - want) < 1e-10
+    assert 0 < url_filters.chance_below(0.5, [0.01], [990.0])[0] <= 1
+
+
 # chat formatting
 
 
@@ -194,15 +226,15 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_reader_refuses_damage(spark, tmp_path):
-    record = warc.record(1, "http://x/", b"payload", warc.digest(b"payload"), None, False)
+    record = warc.record(1, "http://x/", b"payload", warc.digest(b"payload"))
     import zstandard
 
     frame = zstandard.ZstdCompressor().compress(record)
     good = warc.head(b"") + frame
-    assert [warc.parse_record(x)["payload"] for _, x in warc.frames(good)] == [b"payload"]
+    assert [warc.parse_record(x)["payload"] for _, x in warc.frames(io.BytesIO(good), piece=3)] == [b"payload"]
     for bad in (frame, good[:-3], good + b"junk", b"", warc.head(b"")[:5]):
         with pytest.raises(warc.BadArchive):
-            list(warc.frames(bad))
+            list(warc.frames(io.BytesIO(bad)))
     for old, new in ((b"payload\r\n", b"paxload\r\n"), (b"WARC/1.1", b"WARC/9.9"), (b"Content-Length: ", b"Content-Length: 9"), (b"WARC-Date", b"WARC-Dote")):
         with pytest.raises(warc.BadArchive):
             warc.parse_record(record.replace(old, new))
@@ -211,6 +243,40 @@ def test_warc_reader_refuses_damage(spark, tmp_path):
         warc.read_archives(written.withColumn("records", F.lit(9).cast("long"))).collect()
 
 
+def test_warc_of_others(spark, tmp_path):
+    """A dictionary without a content size, other record types, no payload digest, chunked bodies, folded headers."""
+    import struct
+
+    import zstandard
+
+    rec = lambda kind, block, more=b"", version=b"WARC/1.0": version + b"\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    dictionary = zstandard.train_dictionary(2000, [b"HTTP/1.1 200 OK some words of a page %d" % k * 20 for k in range(200)]).as_bytes()
+    one = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    packed = one.compress(dictionary) + one.flush()
+    records = [
+        rec(b"warcinfo", b"software: x\r\n"),
+        rec(b"request", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http; msgtype=request\r\n"),
+        rec(b"response", b"HTTP/1.1 200 OK\r\n\r\n" + b"page" * 50_000, b"WARC-Target-URI: <http://a/>\r\nX-Long: a\r\n b\r\n"),
+        rec(b"response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\n3\r\nabc\r\n0\r\n\r\n", b"WARC-Payload-Digest: sha1:AAAA\r\n"),
+        rec(b"revisit", b"", b"WARC-Payload-Digest: sha1:ABCD\r\n"),
+        rec(b"metadata", b"x: y"),
+    ]
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    (tmp_path / "a.warc.zst").write_bytes(struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + b"".join(map(packer.compress, records)))
+    out = warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.zst"), None)], "path string, records long")).collect()
+    assert [(x.record_type, x.url, x.payload_bytes, x.payload_digest) for x in out] == [("response", "http://a/", 200_000, warc.digest(b"page" * 50_000)), ("response", None, 13, "AAAA"), ("revisit", None, None, "ABCD")]
+    again = warc.record(2, "http://b/", b"x", warc.digest(b"x"), (1, "http://a/"))
+    first = warc.record(1, "http://a/", b"x", warc.digest(b"x"))
+    number = lambda name, raw: next(x.partition(b": ")[2] for x in raw.split(b"\r\n") if x.startswith(name + b":"))
+    assert number(b"WARC-Refers-To", again) == number(b"WARC-Record-ID", first) and number(b"WARC-Refers-To-Target-URI", again) == b"http://a/"
+
+
+def test_warc_record_longer_than_an_archive(spark):
+    rows = [(k, "u", f"{k} " * n) for k, n in enumerate([5, 200_000, 5, 90_000])]
+    written, out = archive(spark, rows, archive_bytes=100)
+    assert {x.page_id: bytes(x.payload).decode() for x in out} == {k: h for k, _, h in rows} and written.count() == 4
+
+
 # packing
 
 

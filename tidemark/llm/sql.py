@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.quality import LINE_LIMIT, NGRAM_LIMITS
-from tidemark.llm.url_filters import SECOND_LEVEL, STRENGTH
+from tidemark.llm.url_filters import SECOND_LABELS, STRENGTH, SURE
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = r"\x20\x09-\x0D"
@@ -15,19 +15,32 @@ def _strength(level: str) -> str:
     return f"(select case when sum(n) is null or count(*) filter (where n > 0) = 0 or sum(n) <= count(*) filter (where n > 0) then {high} when {rho} > 0 then least({high}::double, greatest({low}::double, 1 / ({rho}) - 1)) else {high} end m from {level})"
 
 
+def _below(x: float, p: str, q: str, y: str) -> str:
+    """The incomplete beta function at y by 200 steps of its continued fraction, from the last one back."""
+    step = f"case when i % 2 = 0 then (i // 2) * ({q} - i // 2) * {y} / (({p} + i - 1) * ({p} + i)) else -({p} + i // 2) * ({p} + {q} + i // 2) * {y} / (({p} + i - 1) * ({p} + i)) end"
+    fraction = f"list_reduce(list_transform(generate_series(200, 1, -1), lambda i: {step}), lambda acc, t: 1 + t / acc, 1.0::double)"
+    return f"exp(lgamma({p} + {q}) - lgamma({p}) - lgamma({q}) + {p} * ln({y}) + {q} * ln(1 - {y})) / {p} / ({fraction})"
+
+
 def _url_sql() -> str:
-    two = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    x = 0.5
+    country = rf"regexp_matches(host, '(^|\.)({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$')"
+    address = r"regexp_matches(host, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') or starts_with(host, '[')"
     last = lambda n: f"array_to_string(string_split(host, '.')[greatest(1, len(string_split(host, '.')) - {n - 1}):], '.')"
-    return rf"""with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+    key = r"regexp_replace(p.host, '^.*@', '')"
+    clean = rf"case when starts_with({key}, '[') then regexp_replace({key}, '\].*$', ']') else regexp_replace(regexp_replace({key}, ':[0-9]*$', ''), '\.+$', '') end"
+    return rf"""with q as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+ p as (select *, {clean} as key from q p),
  l as (select page_id, min((quality = 1 and coalesce(toxic, 0) = 0)::int) good from p join labels on doc_id = try_cast(regexp_extract(path, '/(\d{{1,18}})(?:\.html?)?/?$', 1) as bigint) where quality is not null group by 1),
- h as (select host, case when {last(2)} in ({two}) then {last(3)} else {last(2)} end as domain, case when {last(2)} in ({two}) then {last(2)} else {last(1)} end suffix, count(good) n, coalesce(sum(good), 0) k from p left join l on l.page_id = p.page_id group by 1),
+ c as (select key host, count(good) n, coalesce(sum(good), 0) k from p left join l on l.page_id = p.page_id group by 1),
+ h as (select host, n, k, case when {address} then host when {country} then {last(3)} else {last(2)} end as domain, case when {address} then host when {country} then {last(2)} else {last(1)} end suffix from c),
  b as (select (coalesce(sum(k), 0) + 1)::double / (coalesce(sum(n), 0) + 2) prior from h),
  s as (select suffix, sum(n) n, sum(k) k, any_value(prior) prior from h cross join b group by 1), sm as {_strength('s')}, sr as (select suffix, (k + m * prior) / (n + m) rate from s cross join sm),
  d as (select h.suffix, h.domain, sum(n) n, sum(k) k, any_value(rate) prior from h join sr on sr.suffix = h.suffix group by 1, 2), dm as {_strength('d')}, dr as (select domain, (k + m * prior) / (n + m) rate from d cross join dm),
- t as (select host, n, k, rate prior from h join dr on dr.domain = h.domain), tm as {_strength('t')}, tr as (select host, n, m, (k + m * prior) / (n + m) rate from t cross join tm),
- v as (select host, least(1.0, rate + 1.645 * sqrt(rate * (1 - rate) / (n + m + 1))) < 0.5 blocked from tr),
+ t as (select host, n, k, rate prior from h join dr on dr.domain = h.domain), tm as {_strength('t')}, tr as (select host, k + m * prior a, n + m - (k + m * prior) b from t cross join tm),
+ u as (select host, case when {x} > (a + 1) / (a + b + 2) then 1 - {_below(x, 'b', 'a', str(1 - x))} else {_below(x, 'a', 'b', str(x))} end below from tr), v as (select host, below >= {SURE} blocked from u),
  r as (select page_id, p.host, path, blocked, case when (p.host = 'example.org' or ends_with(p.host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1' when (p.host = 'example.org' or ends_with(p.host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
- when (p.host = 'com' or ends_with(p.host, '.com')) and starts_with(path, '/de/') then 'com/de/' when (p.host = 'com' or ends_with(p.host, '.com')) and starts_with(path, '/fr/') then 'com/fr/' when (p.host = 'org' or ends_with(p.host, '.org')) and starts_with(path, '/') then 'org/' end as rule from p join v on v.host = p.host)
+ when (p.host = 'com' or ends_with(p.host, '.com')) and starts_with(path, '/de/') then 'com/de/' when (p.host = 'com' or ends_with(p.host, '.com')) and starts_with(path, '/fr/') then 'com/fr/' when (p.host = 'org' or ends_with(p.host, '.org')) and starts_with(path, '/') then 'org/' end as rule from p join v on v.host = p.key)
  select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when blocked then 'block' else 'allow' end verdict from r"""
 
 
