@@ -137,11 +137,16 @@ def test_lease_state_machine():
     assert results == ["claimed", "busy", "reclaimed", "not_owner", "saved", "failed", "retry_not_due", "attempt_limit", "already_terminal"]
 
 
-def test_spaced_review():
-    rows = pd.DataFrame([(1, 7, k, t * 86_400, right) for k, (t, right) in enumerate([(0, True), (3, True), (10, True)])], columns=["user_id", "item", "event_id", "ts", "right"])
-    assert state.review_schedule(rows).values.tolist() == [[1, 7, 3, 24 * 86_400, True, False]]
-    rows.loc[2, "right"] = False
-    assert state.review_schedule(rows).values.tolist() == [[1, 7, 0, 11 * 86_400, False, False]]
+def test_review_schedule(spark):
+    day = 86_400
+    def last(answers):
+        df = spark.createDataFrame([([(right, at * day) for right, at in answers],)], "a array<struct<right: boolean, ts: long>>")
+        return tuple(df.select(state.review_state(F.col("a")).alias("s")).select("s.streak", "s.due_at", "s.mastered", "s.maintenance_done").first())
+
+    assert last([(True, 0), (True, 3), (True, 10)]) == (3, 24 * day, True, False)
+    assert last([(True, 0), (True, 3), (True, 10), (False, 10)]) == (0, 11 * day, False, False)
+    assert last([(True, 0), (True, 3), (True, 10), (True, 24), (True, 54)]) == (3, 84 * day, True, True)
+    assert last([(False, 1)]) == (0, 2 * day, False, False)
 
 
 @pytest.mark.parametrize("text, want", [("一百零五", 105), ("二十", 20), ("十", 10), ("一〇五", 105), ("１１３", 113), ("x", None)])
@@ -214,3 +219,41 @@ def test_alike_pairs_by_jaccard_or_overlap(spark):
                 want.add((a, b, len(x & y), len(x | y), min(len(x), len(y))))
     got = {(p.a, p.b, p.n_shared, p.n_all, p.n_less) for p in alike_pairs(rows, "id", "block", "t", 62, 72).collect()}
     assert got == want and any(100 * s < 62 * n for _, _, s, n, _ in got)
+
+
+def test_numbered_places(spark):
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5_003).alias("k"), F.lit("clash").alias("name"))
+    got = sorted((r.k, r.place) for r in relations.numbered(rows, "k").collect())
+    assert [p for _, p in got] == list(range(1, 5_001)) and relations.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_ranges_keep_repeated_facts(spark):
+    facts = spark.createDataFrame([(1, 5), (1, 5), (2, 50), (3, None)], "q int, at int")
+    ranges = spark.createDataFrame([("old", 0, 9), ("new", 4, 6)], "name string, a int, b int")
+    got = sorted((r.q, r.name) for r in relations.latest_range(facts, F.col("at"), ranges, "a", "b", "name").collect() if r.q < 3)
+    assert got == [(1, "new"), (1, "new"), (2, None)]
+
+
+def test_trailing_counts_over_parts(spark):
+    r = random.Random(3)
+    times = sorted(r.randrange(400_000) for _ in range(300))
+    df = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(times)], "u int, e int, t long").selectExpr("u", "e", "timestamp_seconds(t) as ts")
+    got = {x.e: (x.minute, x.day) for x in state.trailing_counts(df, "u", "ts", {"minute": 60, "day": 86_400}).collect()}
+    for k, t in enumerate(times):
+        own = [x for j, x in enumerate(times) if j % 2 == k % 2]
+        assert got[k] == (sum(t - 60 <= x <= t for x in own), sum(t - 86_400 <= x <= t for x in own))
+
+
+def test_asof_carries_over_months(spark):
+    r = random.Random(5)
+    day = lambda: f"20{r.randrange(10, 24)}-{r.randrange(1, 13):02d}-{r.randrange(1, 28):02d}"
+    versions = [("a" if k % 3 else "b", k, day(), day() if k % 5 else None) for k in range(40)]
+    facts = [(k, "a" if k % 2 else "b", day() if k % 9 else None) for k in range(60)] + [(900, "zz", "2020-01-01"), (5, "a", "2020-01-01"), (5, "a", "2020-01-01")]
+    v = spark.createDataFrame(versions, "law string, version_id int, p string, e string").selectExpr("law", "version_id", "cast(p as date) version_date", "cast(e as date) effective_date")
+    f = spark.createDataFrame(facts, "q int, law string, d string").selectExpr("q", "law", "cast(d as date) at")
+    got = sorted(((x.q, x.law, str(x.at), x.version) for x in relations.asof(f, v, "law", "at", version_date="version_date", effective_date="effective_date", carry="version_id").collect()), key=str)
+    want = []
+    for q, law, at in facts:
+        held = [(p, -i) for w, i, p, e in versions if w == law and e and at and p <= at and e <= at]
+        want.append((q, law, str(at), -max(held)[1] if held else None))
+    assert got == sorted(want, key=str)

@@ -64,3 +64,25 @@ def test_events_ahead_of_the_clock_go_aside(spark):
     df = spark.createDataFrame([("2024-01-01 00:04:00",), ("2024-01-01 00:06:00",)], "t string").select(F.col("t").cast("timestamp").alias("ts"))
     ok, ahead = telemetry.on_time(df, "2024-01-01 00:00:00")
     assert (ok.count(), ahead.count()) == (1, 1)
+
+
+def test_rate_limit_against_batch(spark, tmp_path):
+    """A client's accepted events, batch after batch, against one pass over all of them."""
+    from tidemark.operators.state import limit_step
+
+    times = {u: [(7 * k * (u + 1)) % 4000 for k in range(80)] for u in range(4)}
+    rows = [(u, 100 * u + k, t) for u, ts in times.items() for k, t in enumerate(sorted(ts))]
+    want = {}
+    for u in times:
+        state = []
+        for _, event, t in sorted((x for x in rows if x[0] == u), key=lambda x: (x[2], x[1])):
+            state, want[event] = limit_step(state, float(t))
+    landed = str(tmp_path / "in")
+    frame = spark.createDataFrame(rows, "user_id long, event_id long, t long").selectExpr("user_id", "event_id", "timestamp_seconds(t) as ts")
+    for k in range(3):
+        frame.where(f"unix_seconds(ts) >= {k * 1400} and unix_seconds(ts) < {(k + 1) * 1400}").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    got = drain(telemetry.rate_limited(stream), "limited", "append", tmp_path / "c")
+    out = {r.event_id: r.accepted for r in got.collect()}
+    assert set(out) == set(want) and not all(out.values())
+    assert sum(out[e] == want[e] for e in want) == len(want)

@@ -10,12 +10,21 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Taipei"
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, here.
+
+    Spark would put a column's expression wherever it is used, in filters too; used twice in each of several steps, it
+    grows beyond measure. What comes out of a generator stays where it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def utc(ts: Column) -> Column:
     """A timestamp without a zone, read as UTC (the session's zone must be UTC)."""
     return ts.cast("timestamp")
@@ -96,12 +105,17 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(small == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / small)
 
 
-def has_alias(text: Column, alias: str) -> Column:
-    """Plain containment for non-ASCII aliases; ASCII ones need borders and take any white space between their words."""
-    if not alias.isascii():
-        return text.contains(alias)
-    words = r"\s+".join("".join(rf"\{c}" if not c.isalnum() else c for c in w) for w in alias.lower().split())
-    return F.lower(text).rlike(f"(?<![a-z0-9]){words}(?![a-z0-9])")
+def alias_pattern(aliases: Sequence[str]) -> str:
+    """A pattern for lower-case texts: non-ASCII aliases as they stand; ASCII ones need borders and take any white space between their words."""
+    quote = lambda w: "".join(rf"\{c}" if c.isascii() and not c.isalnum() else c for c in w)
+    plain = [quote(a) for a in aliases if not a.isascii()]
+    bordered = [r"\s+".join(map(quote, a.lower().split())) for a in aliases if a.isascii()]
+    return "|".join(plain + ([f"(?<![a-z0-9])(?:{'|'.join(bordered)})(?![a-z0-9])"] if bordered else []))
+
+
+def has_alias(text: Column, *aliases: str) -> Column:
+    """Whether one of the aliases stands in the text."""
+    return F.lower(text).rlike(alias_pattern(aliases))
 
 
 def affirmed(text: Column, term: str, negations: Sequence[str], gap: int = 18) -> Column:

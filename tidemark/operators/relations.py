@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 def asof(facts: DataFrame, versions: DataFrame, key: str, at: str, *, version_date: str, effective_date: str, carry: str, name: str = "version") -> DataFrame:
     """facts with the version that holds at their date: of those published and effective by then, the latest published; ties go to the smallest carry.
 
-    Facts and versions are sorted together by key and date, and the best version so far runs along: one shuffle by
-    key and no pairs, however many facts and versions a key has. Versions without an effective date never hold. Facts without
-    a date or version get null.
+    A key's facts and versions are sorted together month by month, and the best version so far runs along; what was the
+    best before a month is carried into it. So a key with very many facts is spread over its months, and no pairs are made.
+    Versions without an effective date never hold. Facts without a date or version get null.
     """
     since = F.greatest(F.col(version_date), F.col(effective_date))
-    left = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_fact"), F.lit(None).cast(_best_type(versions, version_date, carry)).alias("_best"))
+    month = lambda d: (F.year(d) * 12 + F.month(d)).alias("_month")
+    best = _best_type(versions, version_date, carry)
+    left = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), month(F.col(at)), F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_fact"), F.lit(None).cast(best).alias("_best"))
     usable = versions.where(F.col(effective_date).isNotNull() & F.col(version_date).isNotNull())
-    right = usable.select(F.col(key).alias("_key"), since.alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), F.struct(F.col(version_date).alias("d"), (-F.col(carry)).alias("c")).alias("_best"))
-    best = F.max("_best").over(W.partitionBy("_key").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    both = left.unionByName(right).withColumn(name, best).where("_kind = 1")
+    right = usable.select(F.col(key).alias("_key"), since.alias("_at"), month(since), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), F.struct(F.col(version_date).alias("d"), (-F.col(carry)).alias("c")).alias("_best"))
+    both = left.unionByName(right)
+    months = both.groupBy("_key", "_month").agg(F.max("_best").alias("_top"), F.max("_kind").alias("_facts"))  # combined before the shuffle
+    before = F.max("_top").over(W.partitionBy("_key").orderBy("_month").rowsBetween(W.unboundedPreceding, -1))
+    carried = months.withColumn("_best", before).where("_facts = 1 and _best is not null")
+    first = carried.select("_key", F.lit(None).cast(left.schema["_at"].dataType).alias("_at"), "_month", F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), "_best")
+    running = F.max("_best").over(W.partitionBy("_key", "_month").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    found = both.unionByName(first).withColumn(name, running).where("_kind = 1")
     held = F.when(F.col("_at").isNotNull(), -F.col(name)["c"])
-    return both.select("_fact.*", held.alias(name))
+    return found.select("_fact.*", held.alias(name))
 
 
 def _best_type(versions: DataFrame, version_date: str, carry: str) -> str:
@@ -32,9 +39,28 @@ def _best_type(versions: DataFrame, version_date: str, carry: str) -> str:
 
 
 def latest_range(facts: DataFrame, at: Column, ranges: DataFrame, first: str, last: str, name: str) -> DataFrame:
-    """facts with the name of the range that holds at; of several, that with the latest start. ranges is a fixed small table."""
-    held = facts.withColumn("_row", F.struct(*facts.columns)).withColumn("_at", at).join(F.broadcast(ranges), F.col("_at").between(F.col(first), F.col(last)), "left")
-    return held.groupBy("_row").agg(F.max_by(name, first).alias(name)).select("_row.*", name)
+    """facts with the name of the range that holds at; of several, that with the latest start, of equal ones the largest name. ranges is a fixed small table.
+
+    The ranges come to each fact as one sorted array, so facts aren't shuffled and repeated ones stay.
+    """
+    listed = ranges.agg(F.sort_array(F.collect_list(F.struct(F.col(first).alias("a"), F.col(name).alias("v"), F.col(last).alias("b"))), asc=False).alias("_ranges"))
+    held = facts.withColumn("_at", at).join(F.broadcast(listed))
+    found = F.filter("_ranges", lambda r: (F.col("_at") >= r["a"]) & (F.col("_at") <= r["b"]))
+    return held.withColumn(name, F.get(found, F.lit(0))["v"]).drop("_at", "_ranges")
+
+
+def numbered(rows: DataFrame, order: str, ranges: int = 200) -> DataFrame:
+    """rows with place: 1, 2, ... by a numeric column without repeats and nulls.
+
+    The column's quantiles cut the rows into ranges; these are counted, and each range numbers its own rows from there.
+    """
+    share = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    cuts = rows.agg(F.percentile_approx(order, share, F.lit(50 * ranges)).alias("_cuts"))
+    at = rows.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    n = at.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = n.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    return at.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
 
 
 def drift(expected: DataFrame, actual: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -17,9 +17,18 @@ def admitted(events: DataFrame, keys: list[str], order: list[str], cap: int) ->
 
 
 def trailing_counts(events: DataFrame, key: str, ts: str, spans: dict[str, int]) -> DataFrame:
-    """events with how many of its key's events lie in the trailing span of seconds, both ends and the event itself included."""
-    order = W.partitionBy(key).orderBy(F.unix_micros(utc(F.col(ts))))
-    return events.withColumns({name: F.count("*").over(order.rangeBetween(-seconds * 1_000_000, 0)) for name, seconds in spans.items()})
+    """events with how many of its key's events lie in the trailing span of seconds, both ends and the event itself included.
+
+    Time is cut into parts as long as the longest span, and a part also sees the events of the one before it, so a busy
+    key is spread over its parts.
+    """
+    size = max(spans.values()) * 1_000_000
+    at = F.unix_micros(utc(F.col(ts)))
+    each = events.withColumn("_at", at).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    parts = each.withColumn("_part", F.floor(F.col("_at") / size) + F.when(F.col("_own"), 0).otherwise(1))
+    order = W.partitionBy(key, "_part").orderBy("_at")
+    counted = parts.withColumns({name: F.count("*").over(order.rangeBetween(-seconds * 1_000_000, 0)) for name, seconds in spans.items()})
+    return counted.where("_own").drop("_at", "_own", "_part")
 
 
 def spine(first: str, last: str) -> Column:
@@ -85,22 +94,28 @@ def replay_commands(commands: DataFrame) -> DataFrame:
     return commands.groupBy("task").applyInPandas(replay, RESULTS)
 
 
-def review_schedule(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spaced review of one learner: wrong +1 day and start again; right +3, +7 days; three in a row are mastered, then +14, +30 days."""
-    out, day = [], 86_400
-    for key, rows in pdf.sort_values(["ts", "event_id"]).groupby(["user_id", "item"], sort=False):
-        streak, step_, due, mastered, done = 0, 0, 0, False, False
-        for right, ts in zip(rows["right"], rows["ts"], strict=True):
-            if not right:
-                streak, step_, due, mastered, done = 0, 0, ts + day, False, False
-            elif mastered:
-                step_ += 1
-                done = step_ >= 2
-                due = ts + 30 * day
-            else:
-                streak += 1
-                mastered = streak >= 3
-                due = ts + (14 if mastered else 7 if streak == 2 else 3) * day
-        out.append((*key, streak, int(due), mastered, done))
-    return pd.DataFrame(out, columns=["user_id", "item", "streak", "due_at", "mastered", "maintenance_done"])
+def review_state(answers: Column) -> Column:
+    """Spaced review of one item, from its answers in order (structs of right and ts in seconds): streak, due_at, mastered, maintenance_done.
+
+    Wrong: one day, and start again; right: 3, then 7 days; three in a row are mastered, then 14 and 30 days.
+    """
+    day, no = 86_400, F.lit(False)
+    start = F.struct(F.lit(0).alias("streak"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("due_at"), no.alias("mastered"), no.alias("maintenance_done"))
+
+    def answer(s: Column, a: Column) -> Column:
+        wrong, kept = ~a["right"], a["right"] & s["mastered"]
+        streak = F.when(wrong, 0).when(kept, s["streak"]).otherwise(s["streak"] + 1)
+        mastered = ~wrong & (s["mastered"] | (streak >= 3))
+        step = F.when(wrong, 0).when(kept, s["step"] + 1).otherwise(s["step"])
+        days = F.when(wrong, 1).when(kept, 30).when(mastered, 14).when(streak == 2, 7).otherwise(3)
+        done = F.when(wrong, no).when(kept, step >= 2).otherwise(s["maintenance_done"])
+        return F.struct(streak.alias("streak"), step.alias("step"), (a["ts"] + days * day).alias("due_at"), mastered.alias("mastered"), done.alias("maintenance_done"))
+
+    return F.aggregate(answers, start, answer)
+
 
+def limit_step(times: list[float], now: float, minute: int = 3, day: int = 30) -> tuple[list[float], bool]:
+    """Whether a client may send at a moment (seconds) under limits of a minute and a day, and the accepted moments that still count."""
+    kept = [t for t in times if t > now - 86_400]
+    fine = len(kept) < day and sum(t > now - 60 for t in kept) < minute
+    return (kept + [now] if fine else kept), fine

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import percent, utc
 from tidemark.operators.rules import ladder
-from tidemark.operators.state import review_schedule
+from tidemark.operators.state import review_state
 from tidemark.sources.tables import read
 
 NOW = "2024-01-31 00:00:00"
@@ -44,7 +44,8 @@ def weak_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaced review of each learner: active, due, mastered, maintenance due, next due time. The schedule of an item is replayed in order."""
     a = answers(spark, sf_dir).where("answered is null or answered").select("user_id", "event_id", F.unix_seconds(utc(F.col("ts"))).alias("ts"), "item", "right")
-    s = a.groupBy("user_id", "item").applyInPandas(review_schedule, "user_id long, item int, streak int, due_at long, mastered boolean, maintenance_done boolean")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "right"))), lambda x: F.struct(x["right"].alias("right"), x["ts"].alias("ts")))
+    s = a.groupBy("user_id", "item").agg(review_state(in_order).alias("s")).select("user_id", "item", "s.*")
     now = F.unix_seconds(F.lit(NOW).cast("timestamp"))
     due, open_ = F.coalesce("due_at", F.lit(0)) <= now, ~F.col("mastered")
     return s.groupBy("user_id").agg(F.count_if(open_).alias("active"), F.count_if(open_ & due).alias("due"), F.count_if("mastered").alias("mastered"), F.count_if(F.col("mastered") & ~F.col("maintenance_done") & due).alias("maintenance_due"), F.min(F.when(F.col("due_at") > now, F.col("due_at"))).alias("next_due"))
@@ -91,6 +92,10 @@ ORACLE = {
     "weak_subject": f"""with a as {ANSWERS}, i as (select user_id, item, count(*) filter (where not ok) wrong from a group by 1, 2), f as (select user_id, item, row_number() over (partition by user_id order by wrong desc, item) r from i where wrong >= 2),
  s as (select user_id, subject, count(*) filter (where ok)::double / count(*) rate from a group by 1, 2 having count(*) >= 5), w as (select user_id, subject, row_number() over (partition by user_id order by rate, subject) r from s), u as (select distinct user_id from a)
  select u.user_id, case when f.item is not null then 'focus_topic' when w.subject is not null then 'weak_subject' else 'practice' end step, f.item, w.subject from u left join f on f.user_id = u.user_id and f.r = 1 left join w on w.user_id = u.user_id and w.r = 1""",
+    "review_due": f"""with a as (select user_id, item, list({{streak: 0, step: 0, due: cast(floor(epoch(ts)) as bigint), ok: ok, done: false}} order by ts, event_id) l from {ANSWERS} group by 1, 2),
+ f as (select user_id, item, list_reduce(l, lambda s, x: case when not x.ok then {{streak: 0, step: 0, due: x.due + 86400, ok: false, done: false}} when s.ok then {{streak: s.streak, step: s.step + 1, due: x.due + 30 * 86400, ok: true, done: s.step + 1 >= 2}}
+  else {{streak: s.streak + 1, step: s.step, due: x.due + 86400 * case when s.streak + 1 >= 3 then 14 when s.streak + 1 = 2 then 7 else 3 end, ok: s.streak + 1 >= 3, done: s.done}} end, {{streak: 0, step: 0, due: cast(0 as bigint), ok: false, done: false}}) s from a),
+ n as (select cast(epoch(timestamp '{NOW}') as bigint) now) select user_id, count(*) filter (where not s.ok) active, count(*) filter (where not s.ok and s.due <= now) due, count(*) filter (where s.ok) mastered, count(*) filter (where s.ok and not s.done and s.due <= now) maintenance_due, min(s.due) filter (where s.due > now) next_due from f cross join n group by 1""",
     "search_ranked": f"""with s as (select p_partkey, p_name, cast(greatest({SCORE.format(q='small bolt', a='small', b='bolt')}, {SCORE.format(q='tiny bolt', a='tiny', b='bolt')}) as bigint) score from part) select * from s where score > 0 order by score desc, p_partkey limit 60""",
     "related_items": """with p as (select s_suppkey, c_custkey, 2 w from supplier join customer on c_nationkey = s_nationkey union all select s_suppkey, c_custkey, 1 from supplier join customer on cast(round(c_acctbal * 100) as bigint) % 1000 = cast(round(s_acctbal * 100) as bigint) % 1000),
  b as (select s_suppkey, c_custkey, max(w) w from p group by 1, 2), r as (select *, row_number() over (partition by s_suppkey order by w desc, c_custkey) place from b) select s_suppkey, c_custkey, cast(w as bigint) weight, place from r where place <= 5""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.relations import drift, insert_missing, orphans, overlay, symmetric_difference
 from tidemark.operators.rules import ladder
-from tidemark.sources.tables import read
+from tidemark.sources.tables import read, values
 
 FIELDS = ("c_acctbal", "c_mktsegment", "c_nationkey")
 
@@ -77,9 +77,10 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impact_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed names to the documents whose text has them as a word: reached documents by name; names that reach none stay with 0."""
-    changed = spark.createDataFrame([("thand", True), ("leaux", True), ("heitge", True), ("con", True), ("thes", False), ("zzz", True)], "name string, changed boolean")
-    words = read(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"))).alias("name"))
-    hit = words.join(F.broadcast(changed.where("changed")), "name")
+    rows = [("thand", True), ("leaux", True), ("heitge", True), ("con", True), ("thes", False), ("zzz", True)]
+    changed, names = values(spark, "name string, changed boolean", rows), [n for n, moved in rows if moved]
+    found = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z]+"), F.array(*map(F.lit, names)))
+    hit = read(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(found).alias("name"))
     g = hit.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.count_distinct("lang").alias("langs"))
     out = F.broadcast(changed).join(g, "name", "left")
     return out.select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"), "first_doc", F.coalesce("langs", F.lit(0)).cast("long").alias("langs"), ladder([(~F.col("changed"), "unchanged"), (F.col("n").isNull(), "no_document")], "review").alias("action"))

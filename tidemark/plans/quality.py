@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_even
 from tidemark.operators.rules import RISKS, STATUSES, Rule, check, ladder, rank_of
-from tidemark.sources.tables import read
+from tidemark.sources.tables import read, values
 
 
 def line_rules() -> list[Rule]:
@@ -73,7 +73,7 @@ def group_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders a priority against the expected priorities: unexpected, missing and off-count groups."""
     seen = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("ids"))
-    expected = spark.createDataFrame([(x,) for x in ("0-NONE", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")], "o_orderpriority string").withColumn("wanted", F.lit(1))
+    expected = values(spark, "o_orderpriority string", [(x,) for x in ("0-NONE", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")]).withColumn("wanted", F.lit(1))
     both = seen.join(expected, "o_orderpriority", "full_outer")
     state = ladder([(F.col("wanted").isNull(), "unexpected"), (F.col("n").isNull(), "missing"), (F.col("n") != F.col("ids"), "repeated ids")], "ok")
     return both.select("o_orderpriority", F.coalesce("n", F.lit(0)).cast("long").alias("n"), state.alias("state"))

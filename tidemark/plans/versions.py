@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.relations import asof, latest_range
 from tidemark.operators.rules import ladder, names_where
-from tidemark.sources.tables import read
+from tidemark.sources.tables import read, values
 
 #: Which profile holds for a range of days; where two hold, the later start wins.
 PROFILES = (("old", "1995-01-01", "1998-12-31"), ("bridge", "1997-06-01", "1999-06-30"), ("new", "1999-01-01", "2001-12-31"))
@@ -48,7 +48,7 @@ def asof_window_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.createDataFrame(list(PROFILES), "profile string, first string, last string").select("profile", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))
+    ranges = values(spark, "profile string, first string, last string", list(PROFILES)).select("profile", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))
     return latest_range(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.to_date("o_orderdate"), ranges, "first", "last", "profile").select("o_orderkey", "profile")
 
 

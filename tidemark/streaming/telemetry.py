@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.state import step
+from tidemark.operators.state import limit_step, step
 
 #: How late an event may come, how far ahead of the clock it may be.
 LATE, SKEW_MINUTES = "21 days", 5
@@ -81,6 +81,35 @@ class Leases(StatefulProcessor):
         pass
 
 
+class RateLimit(StatefulProcessor):
+    """At most three accepted events of a client in any minute and thirty in any day, in the order of their times."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "t double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        times = [t for (t,) in self.times.get()] if self.times.exists() else []
+        out = []
+        for event in pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"]).to_dict("records"):
+            times, fine = limit_step(times, pd.Timestamp(event["ts"]).timestamp())
+            out.append((key[0], event["event_id"], fine))
+        self.times.put([(t,) for t in times])
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(events: DataFrame) -> DataFrame:
+    """events (user_id, event_id, ts) with whether each was accepted. The state is the accepted moments of a day, thirty at most."""
+    return events.groupBy("user_id").transformWithStateInPandas(RateLimit(), "user_id long, event_id long, accepted boolean", "Append", "None")
+
+
+def once(commands: DataFrame, late: str = LATE) -> DataFrame:
+    """commands (task, idempotency_key, ts, ...) with each key of a task once, as long as it can still come late."""
+    return commands.withWatermark("ts", late).dropDuplicatesWithinWatermark(["task", "idempotency_key"])
+
+
 def admitted(events: DataFrame, cap: int = 100) -> DataFrame:
     """events (user_id, event_id, ts) with whether each was accepted.
 
@@ -104,6 +133,10 @@ def upsert_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFram
         if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             return
         rows = merge(spark.read.parquet(f"{path}/v={epoch - 1}"), batch) if epoch else batch
-        rows.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        columns = [c for c in rows.columns if c not in keys]
+        one = rows.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_row")).select(*keys, "_row.*")  # of several rows of a key the largest
+        one.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        old = hadoop(f"{path}/v={epoch - 2}")  # the version before the last stays for readers
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
