@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WordHashes, ascii_bytes, durable, slices
 
 WINDOW, SHINGLE = 10, 5
-#: Bits of a bitmap of shingles: so many for each shingle, and so many at most (32 MB).
-BITS_EACH, MAP_BITS = 16, 1 << 28
+#: A bitmap of shingles marks each at so many places. It has so many bits for each shingle, and so many at most (64 MB).
+PLACES, BITS_EACH, MAP_BITS = 4, 32, 1 << 29
 #: Bits of a bitmap that one task puts together.
 CHUNK_BITS = 1 << 16
 #: A-Z to lower case; bytes outside words to a space. Bytes from 0x80 on, and so all non-ASCII letters, are parts of words.
@@ -71,9 +71,9 @@ def item_windows(benchmark: DataFrame, *, item_col: str, text_col: str, window:
 
 
 def bitmap(keys: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
-    """The bits of the numbers in a column of distinct ones, put together in chunks by tasks; its length is a power of two.
+    """Bits that mark the numbers in a column of distinct ones, put together in chunks by tasks; how many is a power of two.
 
-    The driver gets map_bits / 8 bytes at most.
+    The driver gets map_bits / 8 bytes at most. As long as the bitmap isn't full, one in 4000 other numbers passes.
     """
     wanted = max(CHUNK_BITS, BITS_EACH * keys.count())
     bits = min(map_bits, 1 << (wanted - 1).bit_length())
@@ -84,7 +84,9 @@ def bitmap(keys: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
         out[pdf["bit"].to_numpy() % chunk] = True
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.packbits(out).tobytes()]})
 
-    bit = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    key = F.col(keys.columns[0])
+    low, high = key.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32)
+    bit = F.explode(F.array(*((low + k * high).bitwiseAND(F.lit(bits - 1)) for k in range(PLACES))))
     placed = keys.select(bit.alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / chunk))
     out = np.zeros(bits // 8, np.uint8)
     for r in placed.groupBy("chunk").applyInPandas(fill, "chunk long, bits binary").toLocalIterator():
@@ -93,9 +95,13 @@ def bitmap(keys: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
 
 
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the numbers may be in the bitmap."""
-    at = keys & (len(bits) * 8 - 1)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    """Which of the numbers may be in the bitmap, as places. Most are out after the first look."""
+    low, high = keys & 0xFFFFFFFF, (keys.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+    left = np.arange(len(keys))
+    for k in range(PLACES):
+        at = (low[left] + k * high[left]) & (len(bits) * 8 - 1)
+        left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    return left
 
 
 def shingle_counts(docs: DataFrame, shared, lengths: list[int], text_col: str) -> DataFrame:
@@ -140,7 +146,7 @@ def document_hits(base: DataFrame, shared, lengths: list[int], keep: tuple[str,
                 h, own = hashes(words), {}
                 for n in lengths:
                     keys = shingle_keys(h, n)
-                    for at in np.flatnonzero(_marked(bits, keys)).tolist():
+                    for at in _marked(bits, keys).tolist():
                         begin = max(0, at + n - window)
                         context = b" ".join(words[begin : at + window]).decode()
                         own.setdefault((int(keys[at]), at - begin, context), []).append(at)
