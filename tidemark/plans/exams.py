@@ -365,7 +365,7 @@ def answer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE, FOLLOW, RANGE, LONG = r"案例|個案[：:]", r"請回答下列|回答第", r"第?[0-9]{1,2}\s*[至到~-]\s*第?[0-9]{1,2}\s*題", 260
 
 
-def option_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triage_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options (documents' first lines, put together with phrases) that look like more than an option, the blocking ones first by a flag."""
     tail = pick("doc_id", ("", " 案例：某甲", " 請回答下列問題", " 第3至5題", " 個案： 回答第 7-9題", ""), 2)
     rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.concat(F.substring(F.coalesce("text", F.lit("")), 1, n), t).alias("v")) for f, n, t in (("opt_a", 30, tail), ("opt_b", 270, F.lit("")), ("opt_c", 9, F.lit("")), ("opt_d", 100, tail))))).alias("o"))
@@ -411,7 +411,7 @@ def payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(c("in_year").alias("year"), c("in_round").alias("round"), F.array_join("bad", ",").alias("bad"), "first", ((F.size("bad") == 0) & (F.size("faults") == 0)).alias("accepted"))
 
 
-QUERIES = {f.__name__: f for f in (mcq_issues, essay_issues, exam_sessions, exam_reports, exam_corpus, enrichment_decisions, enrichment_summary, answer_keys_parsed, answer_audit, option_triage, exam_structure, payload_check)}
+QUERIES = {f.__name__: f for f in (mcq_issues, essay_issues, exam_sessions, exam_reports, exam_corpus, enrichment_decisions, enrichment_summary, answer_keys_parsed, answer_audit, triage_options, exam_structure, payload_check)}
 
 BLANK = "trim(coalesce({x}, '')) = ''"
 IN_SUBJECTS = f"in ({', '.join(map(quoted, SUBJECTS))})"
@@ -524,7 +524,7 @@ ORACLE = {
     "answer_audit": f"""with {PARSED}, o as (select * from parsed where mode is not null), s as (select exam, case when (exam * 40 + qno) % 67 = 0 then qno + 40 else qno end qno, case when (exam * 40 + qno) % 59 = 0 then 'A' else accepted end accepted, case when (exam * 40 + qno) % 61 = 0 then 'standard' else mode end mode from o where (exam * 40 + qno) % 53 <> 0),
  b as (select coalesce(o.exam, s.exam) exam, coalesce(o.qno, s.qno) qno, case when s.exam is null then 'missing' when o.exam is null then 'extra' when o.accepted <> s.accepted then 'answer_mismatch' when o.mode <> s.mode then 'mode_mismatch' else 'match' end state from o full join s on o.exam = s.exam and o.qno = s.qno)
  select exam, state, count(*) n, cast(min(qno) as integer) as first from b group by 1, 2""",
-    "option_triage": f"""with o as (select doc_id, unnest([{{f: 'opt_a', v: left(coalesce(text, ''), 30) || {TAIL}}}, {{f: 'opt_b', v: left(coalesce(text, ''), 270)}}, {{f: 'opt_c', v: left(coalesce(text, ''), 9)}}, {{f: 'opt_d', v: left(coalesce(text, ''), 100) || {TAIL}}}]) x from documents),
+    "triage_options": f"""with o as (select doc_id, unnest([{{f: 'opt_a', v: left(coalesce(text, ''), 30) || {TAIL}}}, {{f: 'opt_b', v: left(coalesce(text, ''), 270)}}, {{f: 'opt_c', v: left(coalesce(text, ''), 9)}}, {{f: 'opt_d', v: left(coalesce(text, ''), 100) || {TAIL}}}]) x from documents),
  g as (select doc_id, x.f field, regexp_matches(x.v, '{CASE}') a, regexp_matches(x.v, '{FOLLOW}') b, regexp_matches(x.v, '{RANGE}') c, length(x.v) > {LONG} d from o)
  select doc_id, field, concat_ws(',', case when a then 'case_label_inside_option' end, case when b then 'next_question_directive_inside_option' end, case when c then 'question_range_inside_option' end, case when d then 'long_option_review' end) flags, a and (b or c) blocking from g where a or b or c or d""",
     "exam_structure": f"""with l as (select l_orderkey, list_sort(list(distinct ['AIR', 'MAIL', 'RAIL', 'SHIP', 'TRUCK', 'FOB'][cast(l_partkey % 6 + 1 as integer)])) seen, min(l_suppkey) s from lineitem group by 1),
