@@ -84,7 +84,7 @@ def ascii_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes:
     """Words as 64-bit numbers. A word is hashed once a worker, as long as there is room."""
 
-    def __init__(self, kept: int = 500_000) -> None:
+    def __init__(self, kept: int = 60_000) -> None:
         self.kept, self.known = kept, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

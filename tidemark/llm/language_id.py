@@ -29,7 +29,7 @@ SPACE = 32
 @functools.cache
 def _letter_table() -> np.ndarray:
     """Code point to lower-case letter, or to itself for the marks that belong to letters; everything else is a space."""
-    out = np.full(0x110000, SPACE, np.int64)
+    out = np.full(0x110000, SPACE, np.int32)
     for c in range(0x110000):
         if (x := chr(c)).isalpha():
             low = x.lower()

@@ -30,7 +30,7 @@ ROWS, BANDS = 5, 32
 #: Classes of a bucket that is compared as a whole, members of a block, hubs of a cluster (about).
 SMALL, BLOCK, HUBS = 48, 256, 64
 #: Shingles of a bucket that is compared as a whole, and of a block (about), so that long texts don't fill a task.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Odd multipliers of the hashes.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
