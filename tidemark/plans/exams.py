@@ -399,9 +399,9 @@ def probe_action(status: Column, spent: Column) -> dict[str, Column]:
 def payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import payloads (sessions) before any write: what keeps a session out, and the first row that does."""
     c = F.col
-    rows = mcqs(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), pick("row", ("wwwq.moex.gov.tw", "wwwq.moex.gov.tw", "wwwq.moex.gov.tw", "moex.gov.tw.evil.net"), 501), F.lit("/x")))
+    rows = mcqs(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), pick("row", ("exams.example.org", "exams.example.org", "exams.example.org", "exams.example.org.evil.net"), 501), F.lit("/x")))
     bad = {
-        "subject": ~c("subject").isin(*SUBJECTS), "session": (c("year") != c("in_year")) | (canonical_round(c("round")) != c("in_round")), "source": ~(host(c("url")) == "wwwq.moex.gov.tw"), "id": c("id") == "",
+        "subject": ~c("subject").isin(*SUBJECTS), "session": (c("year") != c("in_year")) | (canonical_round(c("round")) != c("in_round")), "source": ~(host(c("url")) == "exams.example.org"), "id": c("id") == "",
         "text": _blank("question") | _blank("opt_a") | _blank("opt_b") | _blank("opt_c") | _blank("opt_d"), "grading": ~c("grading_mode").isin(*MODES),
     }
     rows = rows.withColumn("bad", names_where({k: F.coalesce(x, F.lit(True)) for k, x in bad.items()}))
@@ -533,8 +533,8 @@ ORACLE = {
  select l_orderkey, status, array_to_string(miss, ',') missing, array_to_string(more, ',') unexpected, case when status = 'match' then 'continue' when status = 'source_error' then case when s % 2 = 0 then 'manual_review' else 'retry' end else 'quarantine' end action,
  case when status = 'match' then null when status = 'source_error' then case when s % 2 = 0 then 'failed_terminal' else 'failed_retryable' end else 'quarantined' end outcome,
  case when status = 'match' then null when status = 'source_error' then case when s % 2 = 0 then 'source_unavailable_after_retries' end when status = 'possible_scheme_change' then 'possible_exam_scheme_change' when status = 'target_class_missing' then status when status = 'unapproved_scheme' then 'unapproved_exam_scheme' else 'unknown_probe_status' end reason from t""",
-    "payload_check": f"""with {MCQS}, r as (select *, {sql_pick('row', ('wwwq.moex.gov.tw', 'wwwq.moex.gov.tw', 'wwwq.moex.gov.tw', 'moex.gov.tw.evil.net'), 501)} h from mcqs),
- b as (select row, in_year, in_round, unnest(list_filter([case when subject not {IN_SUBJECTS} then 'subject' end, case when year <> in_year or {ROUND_SQL.format(x='round')} <> in_round then 'session' end, case when h <> 'wwwq.moex.gov.tw' then 'source' end, case when id = '' then 'id' end,
+    "payload_check": f"""with {MCQS}, r as (select *, {sql_pick('row', ('exams.example.org', 'exams.example.org', 'exams.example.org', 'exams.example.org.evil.net'), 501)} h from mcqs),
+ b as (select row, in_year, in_round, unnest(list_filter([case when subject not {IN_SUBJECTS} then 'subject' end, case when year <> in_year or {ROUND_SQL.format(x='round')} <> in_round then 'session' end, case when h <> 'exams.example.org' then 'source' end, case when id = '' then 'id' end,
   case when {' or '.join(BLANK.format(x=x) for x in ('question', 'opt_a', 'opt_b', 'opt_c', 'opt_d'))} then 'text' end, case when grading_mode not in {MODES} then 'grading' end], lambda x: x is not null)) bad from r),
  g as (select in_year, in_round, string_agg(distinct bad, ',' order by bad) bad, min(row) as first from b group by 1, 2)
  select f.in_year as year, f.in_round as round, coalesce(bad, '') bad, g.first, bad is null and faults = '' accepted from {_faults_sql('mcqs', 'mcq')} f left join g on g.in_year = f.in_year and g.in_round = f.in_round""",
