@@ -94,7 +94,7 @@ def bitmap(keys: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
     return out
 
 
-def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the numbers may be in the bitmap, as places. Most are out after the first look."""
     low, high = keys & 0xFFFFFFFF, (keys.view(np.uint64) >> np.uint64(32)).astype(np.int64)
     left = np.arange(len(keys))
@@ -113,7 +113,7 @@ def shingle_counts(docs: DataFrame, shared, lengths: list[int], text_col: str) -
             found = []
             for text in ascii_bytes(batch.column(0)):
                 h = hashes(words_of(text))
-                found += [k[_marked(bits, k)] for k in (shingle_keys(h, n) for n in lengths)]
+                found += [k[marked(bits, k)] for k in (shingle_keys(h, n) for n in lengths)]
             keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
@@ -146,7 +146,7 @@ def document_hits(base: DataFrame, shared, lengths: list[int], keep: tuple[str,
                 h, own = hashes(words), {}
                 for n in lengths:
                     keys = shingle_keys(h, n)
-                    for at in _marked(bits, keys).tolist():
+                    for at in marked(bits, keys).tolist():
                         begin = max(0, at + n - window)
                         context = b" ".join(words[begin : at + window]).decode()
                         own.setdefault((int(keys[at]), at - begin, context), []).append(at)

@@ -7,13 +7,14 @@ buckets. Texts of one shingle set are one class, and only a class's smallest doc
 Every pair that shares a bucket is compared on full shingle sets. Buckets of up to SMALL classes are
 compared as a whole, each distinct one once. Larger ones are first joined to clusters, whose members are compared with
 a few hubs: those that link through them need no more comparing (they are reachable). The rest of a bucket is compared
-with all its members, block by block. Links stay inside the comparing task as sets of linked classes, so copies never
+with all its members of a size that fits, block by block. Links stay inside the comparing task as sets of linked classes, so copies never
 make all their pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,21 +178,21 @@ def _compare_groups(groups: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(run, "u long, v long")
 
 
-def _compare_blocks(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+def _compare_blocks(rows: DataFrame, by: list[str], percent: int, kind: str = "long") -> DataFrame:
     """rows (by, query boolean, rep, shingles): in each block, edges between query rows and the others, as many as connect them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["query"]], pdf[~pdf["query"]]
+        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
         edges: list[tuple[int, int]] = []
         if len(a) and len(b):
             left, right = ([np.frombuffer(x, np.uint64) for x in d["shingles"]] for d in (a, b))
             yes = linked(overlaps(left, right), np.array([len(x) for x in left]), np.array([len(x) for x in right]), percent)
-            ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
             found = np.argwhere(yes & (ra[:, None] != rb[None, :]))
-            edges = [(int(ra[x]), int(rb[y - len(ra)])) for x, y in forest(((x, y + len(ra)) for x, y in found.tolist()), len(ra) + len(rb))]
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+            edges = forest(((x, y + len(ra)) for x, y in found.tolist()), len(ra) + len(rb))
+        return pd.DataFrame({"u": ra[[x for x, _ in edges]], "v": rb[[y - len(ra) for _, y in edges]]})
 
-    return rows.groupBy(*by).applyInPandas(run, "u long, v long")
+    return rows.groupBy(*by).applyInPandas(run, f"u {kind}, v {kind}")
 
 
 def _blocks(count: str, shingles: str) -> Column:
@@ -207,8 +208,7 @@ def _hot_edges(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """hot (key, rep, hub, size): edges inside the large buckets.
 
     First, members of buckets that hang together (a cluster) are compared with a few hubs of the cluster. A bucket whose
-    members are then all in one component needs nothing more. In the others, the members outside the bucket's main
-    component are compared with all members of that bucket, block by block.
+    members are then all in one component needs nothing more; the others go to compare_rest.
     """
     clusters = components(hot.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(hot.groupBy("rep").agg(F.max("size").alias("size")), "rep")
@@ -220,17 +220,31 @@ def _hot_edges(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = durable(_compare_blocks(asked.unionByName(held.select("cluster", "block", F.lit(False).alias("query"), "rep", "shingles")), ["cluster", "block"], percent), "hubs")
     # the buckets that the hubs left in several components
     part = durable(hot.select("key", "rep", "size").join(components(first), F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component")), "parts")
-    by_part = part.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
-    split = by_part.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("m"), F.sum("all").alias("all"))
-    split = durable(split.where("parts > 1").withColumn("blocks", _blocks("m", "all")).select("key", "main", "blocks"), "split")
-    rows = durable(part.join(split, "key").withColumn("left", F.col("component") != F.col("main")).drop("component", "main"), "unsettled")
-    rest = rows.where("left").groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("all")).select("key", _blocks("m", "all").alias("rest"))
-    rows = rows.join(rest, "key").join(held.select("rep", "shingles"), "rep")
-    query = _copies(rows.where("left").withColumn("row", F.pmod(F.xxhash64("rep", F.lit(3)), "rest").cast("int")), F.col("blocks"), "block")
-    other = _copies(rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), F.col("rest"), "row")
-    columns = ["key", "row", "block", "query", "rep", "shingles"]
+    return first.unionByName(compare_rest(part, held.select("rep", "shingles"), percent))
+
+
+def compare_rest(part: DataFrame, sets: DataFrame, percent: int, kind: str = "long") -> DataFrame:
+    """part (key, rep, size, component), sets (rep, shingles): edges inside the keys that several components hold.
+
+    A key's members outside its main component are compared with all its members of a size that fits, block by block.
+    The key is cut into bands of sizes that grow by the factor that linked ones differ by at most, so these lie in one
+    band or in neighbouring ones.
+    """
+    by_part = part.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    step = math.log(100 / percent) + 1e-9  # a bit wider, so that rounding can't put linked sizes two bands apart
+    band = F.floor(F.log("size") / step).cast("int") if percent < 100 else F.col("size").cast("int")
+    rows = durable(part.join(main, "key").select("key", "rep", "size", (F.col("component") != F.col("main")).alias("left"), band.alias("band")), "unsettled")
+    blocks = durable(rows.groupBy("key", "band").agg(F.count("*").alias("m"), F.sum("size").alias("all")).select("key", "band", _blocks("m", "all").alias("blocks")), "blocks")
+    asking = rows.where("left").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).join(blocks, ["key", "band"])
+    rest = durable(asking.groupBy("key", "band").agg(F.count("*").alias("m"), F.sum("size").alias("all")).select("key", "band", _blocks("m", "all").alias("rest")), "rest")
+    asking = asking.join(rest, ["key", "band"]).join(sets, "rep")
+    query = _copies(asking.withColumn("row", F.pmod(F.xxhash64("rep", F.lit(3)), "rest").cast("int")), F.col("blocks"), "block")
+    asked = rows.join(blocks, ["key", "band"]).join(rest, ["key", "band"]).join(sets, "rep")
+    other = _copies(asked.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), F.col("rest"), "row")
+    columns = ["key", "band", "row", "block", "query", "rep", "shingles"]
     both = query.withColumn("query", F.lit(True)).select(columns).unionByName(other.withColumn("query", F.lit(False)).select(columns))
-    return first.unionByName(_compare_blocks(both, ["key", "row", "block"], percent))
+    return _compare_blocks(both, ["key", "band", "row", "block"], percent, kind)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, band_count: int = BANDS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, pii, quality, url_filters, warc
+from tidemark.llm import chat_format, collocations, decontaminate, html_extract, jaccard_join, language_id, near_dedup, packing, pii, quality, url_filters, warc, whitening
 from tidemark.llm.common import table
 from tidemark.llm.sql import ORACLE as ORACLE
 
@@ -71,4 +71,20 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
     return packing.pack(table(spark, sf_dir, "documents"), packing.TokenCounter(vocabulary, SPLIT))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_url_reputation, op3_chat_format, op4_near_dedup, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc, op10_packing)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_pii_surrogates, op2_url_reputation, op3_chat_format, op4_near_dedup, op5_decontaminate, op6_html_extract, op7_repetition, op8_language_id, op9_warc,
+    op10_packing, op11_collocations, op12_whitening, op13_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}

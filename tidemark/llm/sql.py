@@ -92,4 +92,21 @@ WARC = """with p as (select page_id, coalesce(html, '') h from pages), s as (sel
  select page_id, cast(n as bigint) payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s.x || '00', cast(5 * i // 4 + 1 as integer), 3) as integer) >> (7 - 5 * i % 4)) & 31 as integer) + 1, 1)), '') payload_digest,
  case when page_id = m then 'response' else 'revisit' end record_type, case when page_id <> m then m end refers_to from s join f on f.x = s.x"""
 
-ORACLE = {"op2_url_reputation": _url_sql(), "op3_chat_format": CHAT, "op4_near_dedup": NEAR, "op5_decontaminate": CONTAMINATION, "op7_repetition": _repetition_sql(), "op9_warc": WARC}
+SETS = rf"""with recursive d as (select doc_id, regexp_extract_all({LOWER}, '[^{BLANK}]+') w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from d),
+ n as (select doc_id, count(*) n from s group by 1), i as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+ e as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+ r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b), c as (select a, least(min(b), a) m from r group by 1)
+ select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, coalesce(m, d.doc_id) component_id from d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id"""
+
+PHRASES = rf"""with p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from (select coalesce(lang, 'und') lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) piece from documents)),
+ n as (select lang, sum(len(w)) n from p group by 1), k as (select unnest(generate_series(1, 5)) k),
+ f as (select lang, k, g, count(*) f from (select lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) g from p cross join k where len(w) >= k) group by 1, 2, 3 having count(*) >= 100),
+ c as (select f.lang, f.k, g, f.f a, c, array_to_string(string_split(g, ' ')[:c], ' ') x, array_to_string(string_split(g, ' ')[c + 1:], ' ') y from (select *, unnest(generate_series(1, k - 1)) c from f where k > 1) f),
+ s as (select c.lang, c.k, c.g, a, c, x.f l, y.f r, n, (1000 * a::hugeint * n::hugeint) // (x.f::hugeint * y.f::hugeint) score from c join f x on x.lang = c.lang and x.g = c.x join f y on y.lang = c.lang and y.g = c.y join n on n.lang = c.lang),
+ b as (select * from s qualify row_number() over (partition by lang, g order by score, c) = 1),
+ v as (select lang, max(f) f, h from (select lang, f, unnest([array_to_string(string_split(g, ' ')[:k - 1], ' '), array_to_string(string_split(g, ' ')[2:], ' ')]) h from f where k > 2) group by lang, h),
+ o as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, g) rank from b left join v on v.lang = b.lang and v.h = b.g where v.f is null or v.f < a)
+ select lang, cast(rank as bigint) rank, g phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r, cast(n as bigint) n, cast(score as bigint) score from o where rank <= 2000"""
+
+ORACLE = {"op2_url_reputation": _url_sql(), "op3_chat_format": CHAT, "op4_near_dedup": NEAR, "op5_decontaminate": CONTAMINATION, "op7_repetition": _repetition_sql(), "op9_warc": WARC, "op11_collocations": PHRASES, "op13_jaccard_join": SETS}
