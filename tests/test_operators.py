@@ -97,33 +97,6 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert got == want
 
 
-def row(**more):
-    return events.item({"category": "c", "language": "zh", "source_name": "s", "source_type": "official", "title": "", "published_at": date(2024, 1, 1), **more})
-
-
-def test_similarity_ladder():
-    a = row(title="new rule for homes")
-    assert events.similarity(a, row(title="new rule for homes")) == 0.72
-    assert events.similarity(a, row(title="new rule for homes", category="d")) == 0.0
-    assert events.similarity(a, row(title="new rule for homes", published_at=date(2024, 2, 1))) == 0.0
-    assert events.similarity(row(title="a", tags=["x"]), row(title="b", tags=["x"])) == 0.0
-    anchored = [row(source_name=s, source_type="news", facts=["num:5000"], tags=["care"]) for s in "pq"]
-    assert events.similarity(*anchored) == 0.72
-    assert events.similarity(row(language="en", concepts=["a", "b", "c"], agencies=["m"]), row(concepts=["a", "b", "c"], agencies=["m"])) == pytest.approx(0.72 + 0.04 + 0.12)
-
-
-def test_fold_compares_with_the_lead_of_the_moment():
-    a, b, c = row(title="abcdefghij", signal_score=1), row(title="abcdefghxy", signal_score=9), row(title="abcdeqghxy", signal_score=0)
-    assert events.similarity(a, c) < events.JOIN <= events.similarity(b, c)
-    assert events.cluster([a, b, c]) == [0, 0, 0] and events.cluster([a, c]) == [0, 1]
-
-
-def test_previous_events_are_used_once():
-    e = [row(title="abcdefgh", key="1"), row(title="abcdefgh", key="2"), row(title="zz", key="k")]
-    p = [row(title="abcdefgh", key="9"), row(title="qq", key="k")]
-    assert events.match_previous(e, p) == [0, None, 1]
-
-
 def command(k, name, now, worker="w", **more):
     return {"task": "t", "seq": k, "command": name, "now": now, "worker": worker, "lease_seconds": 10, "max_attempts": 2, "processed": 0, **more}
 

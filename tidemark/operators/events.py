@@ -1,128 +1,325 @@
-"""News items to events: pair similarity, the ordered clustering fold, matching with the previous generation, trend scores."""
+"""News items to events: candidates by joins, the ordered fold over them, predecessors in an earlier generation, topics, trend scores.
 
-from __future__ import annotations
+The fold takes items in order and puts each to the group whose lead of the moment is most like it. An item can only join
+over a pair that is alike enough, so such pairs are found first, by joins on rare bigrams of titles and on
+other anchors inside neighbouring days. What they connect folds by itself, in tasks of its own.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clamp, half_even
+from tidemark.functions.columns import char_ngrams, clamp, half_even
+from tidemark.operators.graph import components
 from tidemark.operators.rules import ladder
-
-#: An item joins a group at this similarity; days between an item and a lead, and between an event and its predecessor.
-JOIN, DAYS, PREVIOUS_DAYS = 0.58, 10, 45
-#: Title tiers as (jaccard, overlap, score), and additions as (what, least share, score).
-TIERS = ((0.62, 0.72, 0.72), (0.44, 0.48, 0.50), (0.30, 0.38, 0.30))
-WEAK_TAGS = frozenset(("general", "other"))
-
-
-def grams(title: str) -> frozenset[str]:
-    return frozenset(title[k : k + 2] for k in range(len(title) - 1)) or (frozenset((title,)) if title else frozenset())
-
-
-def share(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a | b else 0.0
-
-
-def cover(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
-
-
-def item(row: dict) -> dict:
-    """A row as the fold compares it. Lists become sets, titles their bigrams."""
-    sets = {k: frozenset(() if row.get(k) is None else row[k]) for k in ("tags", "subjects", "laws", "agencies", "facts", "concepts")}
-    day = row.get("published_at")
-    return row | sets | {"grams": grams(row.get("title") or ""), "day": None if day is None or day != day else pd.Timestamp(day)}
-
-
-def _days(a: dict, b: dict) -> float | None:
-    return None if a["day"] is None or b["day"] is None else abs((a["day"] - b["day"]).total_seconds()) / 86_400
-
-
-def similarity(a: dict, b: dict, max_days: int = DAYS) -> float:
-    """How alike two items are, from 0 to 1. Cheap refusals first, then the anchors, then titles with what else they share."""
-    if a["category"] and b["category"] and a["category"] != b["category"]:
-        return 0.0
-    days = _days(a, b)
-    if days is not None and days > max_days:
-        return 0.0
-    laws, agencies, facts = a["laws"] & b["laws"], a["agencies"] & b["agencies"], a["facts"] & b["facts"]
-    if a["language"] == b["language"]:
-        two_papers = a["source_name"] and b["source_name"] and a["source_name"] != b["source_name"] and a["source_type"] == b["source_type"] == "news"
-        big = any(f.startswith("num:") and float(f[4:]) >= 1000 for f in facts)
-        if two_papers and days is not None and days <= 3 and big and (a["tags"] & b["tags"]) - WEAK_TAGS:
-            return 0.72
-    else:
-        both = len(a["concepts"] & b["concepts"])
-        if both < 2 or not (agencies or facts):
-            return 0.0
-        return min(1.0, 0.72 + min(0.12, 0.04 * (both - 2)) + (0.12 if agencies else 0) + (0.10 if facts else 0))
-    j, c = share(a["grams"], b["grams"]), cover(a["grams"], b["grams"])
-    tier = next((k for k, (least_j, least_c, _) in enumerate(TIERS) if j >= least_j or c >= least_c), None)
-    tags = share(a["tags"], b["tags"])
-    score = TIERS[tier][2] if tier is not None else 0.0
-    score += (0.28 if laws else 0) + (0.10 if agencies else 0) + (0.15 if tags >= 0.5 else 0.08 if tags >= 0.25 else 0) + (0.05 if share(a["subjects"], b["subjects"]) >= 0.5 else 0)
-    sure = tier == 0 or tier == 1 and (laws or agencies or tags >= 0.5) or tier is not None and laws and (tags >= 0.25 or agencies)
-    return min(1.0, score) if sure else 0.0
-
-
-def lead_key(x: dict) -> tuple:
-    return (bool(x.get("official")), x.get("signal_score") or 0, x.get("relevance_score") or 0, str(x.get("published_at") or ""))
+from tidemark.sources.durable import written
+
+#: The similarity (in hundredths) at which an item joins; days between an item and a lead, between an event and its predecessor, and between two papers' reports of a fact.
+JOIN, DAYS, PREVIOUS_DAYS, FACT_DAYS = 58, 10, 45, 3
+#: Title tiers as (least Jaccard, least overlap, score), all in hundredths. A Jaccard of each tier implies its overlap.
+TIERS = ((62, 72, 72), (44, 48, 50), (30, 38, 30))
+WEAK_TAGS = ("general", "other")
+#: Fixed value: the least number of a fact that identifies a report.
+BIG_FACT = 1000
+SETS = ("tags", "subjects", "laws", "agencies", "facts", "concepts")
+#: Items of a component that are folded in one task; more of them go on in the next round.
+FOLDED = 20_000
+DAY = 86_400
+
+
+def features(items: DataFrame, id_col: str) -> DataFrame:
+    """id, f: what items are compared by. Columns that an item table lacks are null or empty; titles are normalised ones."""
+    has = set(items.columns)
+    text = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in has else F.lit(0).cast("long")
+    none = F.array().cast("array<string>")
+    sets = [(F.array_distinct(F.array_compact(F.coalesce(c, none))) if c in has else none).alias(c) for c in SETS]
+    seconds = F.col("published_at").cast("timestamp").cast("double") if "published_at" in has else F.lit(None).cast("double")
+    official = F.coalesce(F.col("official").cast("boolean"), F.lit(False)) if "official" in has else F.lit(False)
+    return items.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"),
+        F.struct(
+            F.coalesce(text("category"), F.lit("")).alias("category"), text("language").alias("language"), F.coalesce(text("source_name"), F.lit("")).alias("name"), text("source_type").alias("type"), seconds.alias("seconds"),
+            *sets, F.transform(char_ngrams(F.coalesce(text("title"), F.lit(""))), lambda g: F.xxhash64(g)).alias("grams"),
+            official.alias("official"), number("signal_score").alias("signal"), number("relevance_score").alias("relevance"), F.coalesce(text("published_at"), F.lit("")).alias("at"),
+        ).alias("f"),
+    )
 
 
-def cluster(items: list[dict]) -> list[int]:
-    """Each item's group, in one pass over items in order. An item is compared with every group's lead of the moment; the first of the best wins."""
-    leads: list[dict] = []
+def _big(fact: Column) -> Column:
+    return fact.startswith("num:") & (F.abs(F.substring(fact, 5, 40).try_cast("double")) >= BIG_FACT)
+
+
+def pair_score(a: Column, b: Column, max_days: int = DAYS) -> Column:
+    """How alike two items are, 0 to 100. Refusals by category and time first, then the anchors, then titles with what else is shared."""
+    shared = lambda c: F.array_intersect(a[c], b[c])
+    some = lambda c: F.size(shared(c)) > 0
+    at_least = lambda c, share: (F.size(F.array_union(a[c], b[c])) > 0) & (100 * F.size(shared(c)) >= share * F.size(F.array_union(a[c], b[c])))
+    days = F.abs(a["seconds"] - b["seconds"]) / DAY
+    refused = ((a["category"] != "") & (b["category"] != "") & (a["category"] != b["category"])) | F.coalesce(days > max_days, F.lit(False))
+    papers = (a["name"] != "") & (b["name"] != "") & (a["name"] != b["name"]) & F.coalesce((a["type"] == "news") & (b["type"] == "news"), F.lit(False))
+    anchored = papers & F.coalesce(days <= FACT_DAYS, F.lit(False)) & F.coalesce(F.exists(shared("facts"), _big), F.lit(False)) & (F.size(F.array_except(shared("tags"), F.array(*map(F.lit, WEAK_TAGS)))) > 0)
+    concepts = F.size(shared("concepts"))
+    across = F.when((concepts >= 2) & (some("agencies") | some("facts")), 72 + F.least(F.lit(12), 4 * (concepts - 2)) + F.when(some("agencies"), 12).otherwise(0) + F.when(some("facts"), 10).otherwise(0)).otherwise(0)
+    both, less, every = F.size(shared("grams")), F.least(F.size(a["grams"]), F.size(b["grams"])), F.size(F.array_union(a["grams"], b["grams"]))
+    tier = [(less > 0) & ((100 * both >= j * every) | (100 * both >= c * less)) for j, c, _ in TIERS]
+    title = F.when(tier[0], TIERS[0][2]).when(tier[1], TIERS[1][2]).when(tier[2], TIERS[2][2]).otherwise(0)
+    tags = F.when(at_least("tags", 50), 15).when(at_least("tags", 25), 8).otherwise(0)
+    score = title + F.when(some("laws"), 28).otherwise(0) + F.when(some("agencies"), 10).otherwise(0) + tags + F.when(at_least("subjects", 50), 5).otherwise(0)
+    sure = tier[0] | (tier[1] & (some("laws") | some("agencies") | at_least("tags", 50))) | (tier[2] & some("laws") & (at_least("tags", 25) | some("agencies")))
+    within = F.when(anchored, 72).when(sure, F.least(F.lit(100), score)).otherwise(0)
+    return F.when(refused, 0).when(a["language"].eqNullSafe(b["language"]), within).otherwise(F.least(F.lit(100), across)).cast("int")
+
+
+def _keyed(rows: DataFrame, rarity: DataFrame, cells: Column, category: Column) -> DataFrame:
+    """id, key, n, first: the keys under which an item may meet those that are like it.
+
+    Titles alike by an overlap of s share one of the smaller one's n - ceil(s * n) + 1 rarest bigrams; below
+    the first tier, a law, or an agency or tag is shared too and is part of the key. first tells whether the bigram is
+    among the rarest. Facts, and agencies and facts across languages, are keys of their own.
+    """
+    f = F.col("f")
+    each = rows.select("id", F.explode("f.grams").alias("g")).join(rarity, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    at = rows.join(each, "id", "left").select("id", "f", F.col("s"), F.explode(cells).alias("cell"), category.alias("category"), F.size("f.grams").alias("size"))
+    one = lambda x, share: F.named_struct(F.lit("anchor"), x, F.lit("share"), F.lit(share))
+    tag = lambda c, kind, share: F.transform(f[c], lambda x: one(F.concat(F.lit(kind), x), share))
+    anchors = F.concat(F.array(one(F.lit(""), TIERS[0][1])), tag("laws", "law:", TIERS[2][1]), tag("agencies", "agency:", TIERS[1][1]), tag("tags", "tag:", TIERS[1][1]))
+    titles = at.where("s is not null").select("id", "category", "cell", "size", "f.language", F.posexplode("s").alias("place", "g"), anchors.alias("anchors")).select("*", F.explode("anchors").alias("a"))
+    kept = F.col("size") - F.ceil(F.col("a.share") * F.col("size") / 100) + 1
+    titles = titles.select("id", F.xxhash64("category", "cell", "language", "a.anchor", "g.g").alias("key"), F.col("size").alias("n"), (F.col("place") < kept).alias("first"))
+    alone = lambda c, kind, language: F.transform(f[c], lambda x: F.xxhash64("category", "cell", language, F.lit(kind), x))
+    facts = F.transform(F.filter(f["facts"], _big), lambda x: F.xxhash64("category", "cell", f["language"], F.lit("fact"), x))
+    others = at.select("id", F.explode(F.concat(facts, alone("agencies", "across:agency", F.lit("*")), alone("facts", "across:fact", F.lit("*")))).alias("key"))
+    return titles.unionByName(others.distinct().select("id", "key", F.lit(0).alias("n"), F.lit(True).alias("first")))
+
+
+def candidates(left: DataFrame, right: DataFrame, max_days: int = DAYS) -> DataFrame:
+    """left, right (id, f) -> l, r: each pair that may score JOIN or more, once.
+
+    Items meet under the same category and in cells of max_days next to each other. Those without a category or a
+    date fit any: if there are such, they are joined by themselves without that part of the key.
+    """
+    every = left.select("f").unionByName(right.select("f"))
+    rarity = written(every.select(F.explode("f.grams").alias("g")).groupBy("g").agg(F.count("*").alias("df")), "rarity")
+    odd = lambda d: d.agg(F.coalesce(F.max(F.col("f.category") == ""), F.lit(False)), F.coalesce(F.max(F.col("f.seconds").isNull()), F.lit(False))).first()
+    (left_open, left_undated), (right_open, right_undated) = odd(left), odd(right)
+    named, dated = F.col("f.category") != "", F.col("f.seconds").isNotNull()
+    cell, own, all_ = F.floor(F.col("f.seconds") / (max_days * DAY)), F.col("f.category"), F.lit("")
+    by_name = [(named, named, own)] + [(~named, F.lit(True), all_)] * left_open + [(named, ~named, all_)] * right_open
+    near = F.array(cell - 1, cell, cell + 1)
+    by_day = [(dated, dated, near, F.array(cell))] + [(~dated, F.lit(True), F.array(F.lit(0)), F.array(F.lit(0)))] * left_undated + [(dated, ~dated, F.array(F.lit(0)), F.array(F.lit(0)))] * right_undated
+    found = []
+    for name_l, name_r, category in by_name:
+        for day_l, day_r, cells_l, cells_r in by_day:
+            a = _keyed(left.where(name_l & day_l), rarity, cells_l, category).select("key", F.col("id").alias("l"), F.col("n").alias("nl"), F.col("first").alias("fl"))
+            b = _keyed(right.where(name_r & day_r), rarity, cells_r, category).select("key", F.col("id").alias("r"), F.col("n").alias("nr"), F.col("first").alias("fr"))
+            found.append(a.join(b, "key").where("l != r and ((fl and nl <= nr) or (fr and nr <= nl))").select("l", "r"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, max_days: int = DAYS) -> DataFrame:
+    """l, r, score of the pairs that score JOIN or more."""
+    a, b = left.select(F.col("id").alias("l"), F.col("f").alias("a")), right.select(F.col("id").alias("r"), F.col("f").alias("b"))
+    return pairs.join(a, "l").join(b, "r").withColumn("score", pair_score(F.col("a"), F.col("b"), max_days)).where(F.col("score") >= JOIN).select("l", "r", "score")
+
+
+STATE = "id {kind}, g_at string, g {kind}, is_lead boolean"
+
+
+def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One round of a component: rows (id, at, rank, near, leads) in order. near are the earlier items alike, with their groups from earlier rounds."""
+    pdf = pdf.sort_values(["at", "id"])
+    group: dict[object, tuple] = {}
+    lead: dict[tuple, tuple] = {}
+    for near in pdf["near"]:
+        for e in near:
+            if e["g"] is not None:
+                group[e["early"]] = g = (e["g_at"], e["g"])
+                if e["is_lead"]:
+                    lead[g] = (e["early"], tuple(e["rank"].values()) if isinstance(e["rank"], dict) else tuple(e["rank"]))
     out = []
-    for x in items:
-        scores = [similarity(x, lead) for lead in leads]
-        best = max(range(len(scores)), key=scores.__getitem__, default=None)
-        if best is not None and scores[best] >= JOIN:
-            out.append(best)
-            if lead_key(x) > lead_key(leads[best]):
-                leads[best] = x
+    for name, at, rank, near in zip(pdf["id"], pdf["at"], pdf["rank"], pdf["near"], strict=True):
+        rank = tuple(rank.values()) if isinstance(rank, dict) else tuple(rank)
+        best, most = None, 0
+        for e in near:
+            g = group[e["early"]]
+            if g in lead and lead[g][0] == e["early"] and (e["score"] > most or e["score"] == most and g < best):
+                best, most = g, e["score"]
+        if best is None:
+            best = (at, name)
+        group[name] = best
+        if best not in lead or rank > lead[best][1]:
+            lead[best] = (name, rank)
+        out.append((name, *best))
+    done = pd.DataFrame(out, columns=["id", "g_at", "g"], dtype="object")
+    done["is_lead"] = [lead[g_at, g][0] == name for name, g_at, g in out]
+    return done
+
+
+def clusters(items: DataFrame, id_col: str, *, folded: int = FOLDED) -> DataFrame:
+    """id, event_id (the id of its group's first item), is_lead (whether it is the group's lead at the end).
+
+    Equal to one pass over all items in the order of publishing (those without a date first) and id: an item is compared with
+    each group's lead of the moment, joins the best at JOIN or more, the earliest such group on ties, and becomes the lead
+    if it ranks higher (official, signal, relevance, date). Items without an id are left out; ids must not repeat. What
+    alike pairs connect is a component; each folds in a task of its own, and one of more than so many items in several rounds,
+    with the leads of earlier rounds carried on.
+    """
+    kind = dict(items.dtypes)[id_col]
+    rows = written(features(items, id_col), "features")
+    order = lambda side: F.struct(F.col(f"{side}_at"), F.col(side))
+    at = rows.select("id", F.col("f.at").alias("at"))
+    pairs = candidates(rows, rows).join(at.select(F.col("id").alias("l"), F.col("at").alias("l_at")), "l").join(at.select(F.col("id").alias("r"), F.col("at").alias("r_at")), "r").where(order("l") < order("r"))
+    edges = written(scored_pairs(rows, rows, pairs.select("l", "r")), "alike")
+    part = components(edges.select(F.col("l").alias("u"), F.col("r").alias("v")))
+    rank = F.struct("f.official", "f.signal", "f.relevance", "f.at")
+    placed = rows.join(part, F.col("id") == F.col("node")).select("id", "component", F.col("f.at").alias("at"), rank.alias("rank"))
+    before = F.row_number().over(W.partitionBy("component").orderBy("at", "id")) - 1
+    placed = written(placed.withColumn("round", F.floor(before / folded).cast("int")), "placed")
+    rounds = placed.agg(F.max("round")).first()[0]
+    done = None
+    for k in range(0 if rounds is None else rounds + 1):
+        now = placed.where(F.col("round") == k)
+        near = edges.join(now.select(F.col("id").alias("r")), "r", "left_semi")
+        earlier = placed.where(F.col("round") <= k).select(F.col("id").alias("l"), F.col("rank").alias("of"))
+        near = near.join(earlier, "l")
+        if done is None:
+            near = near.withColumns({"g_at": F.lit(None).cast("string"), "g": F.lit(None).cast(kind), "is_lead": F.lit(False)})
         else:
-            out.append(len(leads))
-            leads.append(x)
-    return out
-
-
-def fold(id_col: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [item(r) for r in pdf.to_dict("records") if r[id_col] is not None]
-        rows.sort(key=lambda r: (str(r.get("published_at") or ""), r[id_col]))
-        groups = cluster(rows)
-        first: dict[int, object] = {}
-        for g, r in zip(groups, rows, strict=True):
-            first.setdefault(g, r[id_col])
-        return pd.DataFrame([(r["category"], r[id_col], first[g]) for g, r in zip(groups, rows, strict=True)], columns=["category", id_col, "event_id"])
-
-    return run
-
-
-def greedy_clusters(items: DataFrame, id_col: str) -> DataFrame:
-    """category, id, event_id (the id of the group's first item). The fold is exact within a category; a category must not be empty, as an empty one could join any."""
+            near = near.join(done.select(F.col("id").alias("l"), "g_at", "g", "is_lead"), "l", "left")
+        listed = near.groupBy(F.col("r").alias("id")).agg(F.collect_list(F.struct(F.col("l").alias("early"), "score", F.col("of").alias("rank"), "g_at", "g", "is_lead")).alias("near"))
+        empty = F.array().cast(listed.schema["near"].dataType)
+        ready = now.join(listed, "id", "left").select("component", "id", "at", "rank", F.coalesce("near", empty).alias("near"))
+        made = written(ready.groupBy("component").applyInPandas(fold, STATE.format(kind=kind)), "folded")
+        if done is not None:  # a group has one lead: the newest
+            news = made.where("is_lead").select("g_at", "g").distinct().withColumn("newer", F.lit(True))
+            done = done.join(news, ["g_at", "g"], "left").select("id", "g_at", "g", (F.col("is_lead") & F.col("newer").isNull()).alias("is_lead"))
+            made = done.unionByName(made)
+        done = written(made, "groups")
+    alone = rows.select("id") if done is None else rows.select("id").join(done, "id", "left_anti")
+    alone = alone.select("id", F.col("id").alias("event_id"), F.lit(True).alias("is_lead"))
+    out = alone if done is None else done.select("id", F.col("g").alias("event_id"), "is_lead").unionByName(alone)
+    return out.withColumnRenamed("id", id_col)
+
+
+def match_previous(events: DataFrame, previous: DataFrame, *, id_col: str, place: str, key: str = "key") -> DataFrame:
+    """id, previous (the id of its predecessor, null if none), score (null by key), round.
+
+    Equal to one pass over events in the order of place: an event with a previous one's key gets that, the first of
+    several in their order; else it gets the most alike one that no event before it has got, of equals the first, if that scores
+    JOIN or more within 45 days. previous is ordered by its own place.
+
+    A round settles the events that no undecided event before them can take anything from: such an event gets the best
+    that is left to it. The first undecided event always is one, so rounds end. ids and places must be unique.
+    """
+    kind = dict(previous.dtypes)[id_col]
+    now, old = (written(features(d, id_col).join(d.select(F.col(id_col).alias("id"), F.col(place).cast("long").alias("place"), F.col(key).cast("string").alias("key")), "id"), "features") for d in (events, previous))
+    first = old.where("key is not null").groupBy("key").agg(F.min(F.struct("place", "id"))["id"].alias("previous"))
+    by_key = written(now.join(first, "key").select("id", "place", "previous"), "by_key")
+    pairs = candidates(now, old, PREVIOUS_DAYS)
+    edges = scored_pairs(now, old, pairs, PREVIOUS_DAYS)
+    edges = edges.join(now.select(F.col("id").alias("l"), F.col("place").alias("at")), "l").join(old.select(F.col("id").alias("r"), F.col("place").alias("r_at")), "r")
+    edges = edges.join(by_key.select(F.col("id").alias("l")), "l", "left_anti")
+    taken = by_key.groupBy(F.col("previous").alias("r")).agg(F.min("place").alias("since"))
+    edges = written(edges.join(taken, "r", "left").where("since is null or since > at").drop("since"), "edges")
+    found, k = [by_key.select("id", "previous", F.lit(None).cast("int").alias("score"), F.lit(0).alias("round"))], 0
+    while not edges.isEmpty():
+        k += 1
+        least = edges.groupBy("r").agg(F.min("at").alias("least"))
+        best = edges.join(least, "r").groupBy("l").agg(F.max(F.struct("score", (-F.col("r_at")).alias("o"), "r", (F.col("at") == F.col("least")).alias("free"))).alias("best"))
+        settled = written(best.where("best.free").select(F.col("l").alias("id"), F.col("best.r").alias("previous"), F.col("best.score").alias("score"), F.lit(k).alias("round")), "settled")
+        found.append(settled)
+        edges = edges.join(settled.select(F.col("id").alias("l")), "l", "left_anti").join(settled.select(F.col("previous").alias("r")), "r", "left_anti")
+        edges = written(edges, "edges")
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return now.select("id").join(every, "id", "left").select(F.col("id").alias(id_col), F.col("previous").cast(kind).alias("previous"), "score", "round")
+
+
+#: Days between reports of a fact by one publisher, and the tags that a row must share with a topic (number, hundredths of all).
+TOPIC_DAYS, TOPIC_TAGS, TOPIC_SHARE = 3, 3, 60
+
+
+def merge_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The topics of a component's rows in order. Laws, reported facts and tags lead to the topics that hold them, so a row looks at those only."""
+    pdf = pdf.sort_values("place")
+    first: list[object] = []
+    topic_of: list[str | None] = []
+    laws_in: dict[str, set[int]] = {}
+    reports: dict[tuple[str, str], list[tuple[int, float, frozenset]]] = {}
+    tags_in: list[set[str]] = []
+    by_tag: dict[str, set[int]] = {}
+    by_topic: dict[str, int] = {}
+    out = []
+    for name, topic, laws, tags, source, facts, seconds in zip(*(pdf[c] for c in ("id", "topic", "laws", "tags", "source", "facts", "seconds")), strict=True):
+        tags, found = frozenset(tags), set()
+        if topic is not None:
+            found = {by_topic[topic]} if topic in by_topic else set()
+        else:
+            for law in laws:
+                found |= laws_in.get(law, set())
+            if seconds == seconds:
+                for fact in facts:
+                    found |= {g for g, at, of in reports.get((source, fact), ()) if abs(at - seconds) <= TOPIC_DAYS * DAY and of & tags}
+            for g in set().union(*(by_tag.get(t, set()) for t in tags)) if len(tags) >= TOPIC_TAGS else ():
+                both = len(tags & tags_in[g])
+                if both >= TOPIC_TAGS and 100 * both >= TOPIC_SHARE * len(tags | tags_in[g]):
+                    found.add(g)
+            found = {g for g in found if topic_of[g] is None}
+        g = min(found, default=len(first))
+        if g == len(first):
+            first.append(name)
+            topic_of.append(topic)
+            tags_in.append(set())
+            if topic is not None:
+                by_topic[topic] = g
+        tags_in[g] |= tags
+        for law in laws:
+            laws_in.setdefault(law, set()).add(g)
+        for t in tags:
+            by_tag.setdefault(t, set()).add(g)
+        for fact in facts if seconds == seconds else ():
+            reports.setdefault((source, fact), []).append((g, seconds, tags))
+        out.append((name, first[g]))
+    return pd.DataFrame(out, columns=["id", "topic_id"])
+
+
+def merged_topics(items: DataFrame, id_col: str, *, topic: str = "topic", place: str = "place", stop: tuple[str, ...] = ()) -> DataFrame:
+    """id, topic_id (the id of its topic's first row).
+
+    Equal to one pass in the order of place: a row goes to the first topic, in the order in which they began, that is of its category and
+    - has its explicit topic at its first row, where either has one;
+    - else shares a law with any of its rows, or a fact and a tag with a row of the same source within three days, or
+      at least three tags that are 60 % of its own and all of the topic's.
+    Tags in stop don't count. A topic's laws and tags grow with each row, so the pass is kept; but a row can only meet
+    topics over an explicit topic, law, source with fact, or tag, so what these connect folds by itself. ids must not
+    be null or repeat; a component's rows meet in one task, as narrow ones.
+    """
     kind = dict(items.dtypes)[id_col]
-    return items.groupBy("category").applyInPandas(fold(id_col), f"category string, {id_col} {kind}, event_id {kind}")
-
-
-def match_previous(events: list[dict], previous: list[dict]) -> list[int | None]:
-    """Each event's predecessor: the same key first, else the most similar unused one within 45 days. One pass, in order."""
-    used: set[int] = set()
-    by_key = {p["key"]: k for k, p in reversed(list(enumerate(previous)))}
-    out: list[int | None] = []
-    for e in events:
-        found = by_key.get(e["key"])
-        if found is None:
-            scores = [(similarity(e, p, PREVIOUS_DAYS), -k) for k, p in enumerate(previous) if k not in used]
-            best = max(scores, default=(0.0, 0))
-            found = -best[1] if best[0] >= JOIN else None
-        if found is not None:
-            used.add(found)
-        out.append(found)
-    return out
+    none = F.array().cast("array<string>")
+    words = lambda c: F.array_distinct(F.array_compact(F.coalesce(F.col(c), none)))
+    rows = items.select(
+        F.col(id_col).alias("id"), F.coalesce("category", F.lit("")).alias("category"), F.col(place).cast("long").alias("place"), F.col(topic).alias("topic"), words("laws").alias("laws"), F.array_except(words("tags"), F.array(*map(F.lit, stop)) if stop else none).alias("tags"),
+        F.coalesce("source_name", F.lit("")).alias("source"), words("facts").alias("facts"), F.col("published_at").cast("timestamp").cast("double").alias("seconds"),
+    )
+    rows = written(rows, "topics")
+    tag = lambda c, what: F.transform(c, lambda x: F.concat_ws("|", F.lit(what), "category", x))
+    several = tag(F.when(F.size("tags") > 0, F.col("tags")).otherwise(none), "tag")
+    keys = F.concat(tag(F.array_compact(F.array("topic")), "topic"), tag("laws", "law"), F.transform("facts", lambda x: F.concat_ws("|", F.lit("fact"), "category", "source", x)), several)
+    each = rows.where("topic is null").select("id", F.explode(keys).alias("key")).unionByName(rows.where("topic is not null").select("id", F.explode(tag(F.array("topic"), "topic")).alias("key")))
+    hub = each.groupBy("key").agg(F.min("id").alias("v"))
+    part = components(each.join(hub, "key").select(F.col("id").alias("u"), "v"))
+    told = rows.join(part, F.col("id") == F.col("node"))
+    made = told.groupBy("component").applyInPandas(merge_fold, f"id {kind}, topic_id {kind}")
+    alone = rows.join(part, F.col("id") == F.col("node"), "left_anti").select("id", F.col("id").alias("topic_id"))
+    return made.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 def trend_score(n_sources: Column, n_official: Column, policy: Column, weight: Column, years: Column, quality: Column, gap: Column, subjects: Column, laws: Column, law_matches: Column, observed: Column, span: Column, essay: Column, mcq: Column, age_days: Column) -> Column:
