@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import affirmed, allowed_url, char_ngrams, has_alias, level, title_norm
-from tidemark.operators.events import greedy_clusters, trend_score, trend_state
+from tidemark.operators.events import trend_score, trend_state
 from tidemark.operators.relations import alike_pairs, jaccard_pairs
 from tidemark.operators.retrieval import ranked
 from tidemark.sources.tables import read
@@ -77,10 +77,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy_clusters(items(spark, sf_dir), "doc_id")
-
-
 def trend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as events, labels as their evidence: score and state."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
@@ -148,7 +144,7 @@ def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", "url", allowed_url(F.col("url"), HOSTS).alias("allowed"))
 
 
-QUERIES = {f.__name__: f for f in (rule_match, title_norms, char_ngram_counts, pair_similarity, title_links, event_clusters, trend_scores, concept_tags, level_classifier, retrieval_topk, dup_conflict_merge, html_links, html_text, url_gate)}
+QUERIES = {f.__name__: f for f in (rule_match, title_norms, char_ngram_counts, pair_similarity, title_links, trend_scores, concept_tags, level_classifier, retrieval_topk, dup_conflict_merge, html_links, html_text, url_gate)}
 
 TITLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}', ' ', 'g'), '[0-9]+(\.[0-9]+)?%?', ' ', 'g'), '[!-/:-@\[-`{-~]+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
 GRAMS = "(case when length(t) = 0 then [] when length(t) < 2 then [t] else list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, cast(i as integer), 2))) end)"
