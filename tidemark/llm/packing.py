@@ -9,6 +9,7 @@ meets in one task; consecutive places form the batches.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from tidemark.llm.common import durable, slices
 
 #: Tokens of a sequence at most, number of buckets, padded tokens of a batch.
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
+#: The characters that splitting patterns take as white space; runs so long are split off before the pattern, which would try them from each place.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 #: Rows of a shard of a bucket to aim for, and shards at most.
 SHARD_ROWS, SHARDS = 2_000, 20_000
 
@@ -29,23 +32,29 @@ class TokenCounter:
     """Counts tokens by a byte-level vocabulary of ranks (lines of base64 token and rank) and its splitting pattern.
 
     The file is read on the driver and sent to the tasks with the counter, at the vocabulary's size; each worker builds
-    the tokenizer once.
+    the tokenizer once. The pattern must, as usual, take a run of white space at the end as one part, and before other signs all
+    of it but the last one, which may belong to the word behind it. Long runs are split off in that way beforehand.
     """
 
     def __init__(self, vocabulary: str, pattern: str) -> None:
         with open(vocabulary, "rb") as f:
-            self.ranks, self.pattern, self.own = f.read(), pattern, None
+            self.ranks, self.pattern, self.own, self.blank = f.read(), pattern, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"own": None}
+        return self.__dict__ | {"own": None, "blank": None}
 
     def __call__(self, text: str) -> int:
         if self.own is None:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
-            self.own = tiktoken.Encoding("packing", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return len(self.own.encode_ordinary(text))
+            self.own, self.blank = (tiktoken.Encoding("packing", pat_str=x, mergeable_ranks=ranks, special_tokens={}) for x in (self.pattern, r"\s+"))
+        n, at = 0, 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(self.own.encode_ordinary(text[at : run.start()])) + len(self.blank.encode_ordinary(text[run.start() : end]))
+            at = end
+        return n + len(self.own.encode_ordinary(text[at:]))
 
 
 def lengths(docs: DataFrame, count: Callable[[str], int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
