@@ -70,15 +70,39 @@ SECRET = re.compile(
     |(?<![A-Za-z0-9])(?P<bare>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9\-]{10,})(?![A-Za-z0-9])""",
     re.X,
 )
-#: A label with its value: all between quotes, or all up to a blank, to the next label or to closing signs.
+#: A label with its value: all between quotes, or all up to a blank or to the next label; closing signs at its end are cut off by open_end.
 LABELLED = re.compile(
-    r"""(?i:(?P<plain>password|passwd|pwd)|token|secret|api[_\- ]?key|access[_\- ]?key|auth[_\- ]?key)["']?\s*[:=]\s*
-    (?:(?P<q>["'])(?P<quoted>[^\n]+?)(?P=q)|(?P<open>(?:(?!&\w+=|[,;]["']?\w+["']?[:=]|[.,;:)\]}]+(?:\s|$))[^\s"'<>])+))""",
+    r"""(?i:(?P<plain>password|passwd|pwd|api[_\- ]?key|access[_\- ]?key|auth[_\- ]?key)|token|secret)["']?\s*[:=]\s*
+    (?:(?P<q>["'])(?P<quoted>[^\n]+?)(?P=q)|(?P<open>(?:[^\s"'<>&,;]|&(?!\w+=)|[,;](?!["']?\w+["']?[:=]))+))""",
     re.X,
 )
+CLOSING = ".,;:)]}"
 LONG_SECRET = re.compile(r"[A-Za-z0-9_\-./+]{12,}=*")
 DIGIT, OTHER_DIGIT = re.compile(r"\d"), re.compile(r"(?![0-9])\d")
-PERSON = re.compile(rf"(?<!\w)(?P<title>(?P<male>{MALE})|(?P<female>{FEMALE})|{NEUTRAL})\.?[ \u00a0](?P<names>{NAME}(?:[ \u00a0]{NAME}){{0,2}})")
+TITLED = re.compile(rf"(?<!\w)(?P<title>(?P<male>{MALE})|(?P<female>{FEMALE})|{NEUTRAL})(?!\w)\.?(?:[ \u00a0]+|[ \u00a0]*\r?\n[ \u00a0]*)")
+NAMES = re.compile(NAME)
+WORD, PART = re.compile(rf"(?<!\w){NAME}(?!\w)"), re.compile(r"[^\W\d_]+")
+TITLES = frozenset(f"{MALE}|{FEMALE}|{NEUTRAL}".split("|"))
+
+
+def names_after(text: str, at: int) -> list[re.Match[str]]:
+    """The capitalised words in a row from a place on, with a blank between two, up to the next title."""
+    found = []
+    while (m := NAMES.match(text, at)) and m[0][0].isupper() and m[0] not in TITLES:
+        found.append(m)
+        at = m.end() + 1
+        if text[m.end() : at] not in (" ", "\u00a0"):
+            break
+    return found
+
+
+def open_end(text: str, begin: int, end: int) -> int:
+    """Where an unquoted value ends: before the signs that close a sentence or bracket, if a blank or nothing follows them."""
+    if end < len(text) and not text[end].isspace():
+        return end
+    while end > begin and text[end - 1] in CLOSING:
+        end -= 1
+    return end
 
 
 def luhn(digits: str) -> int:
@@ -122,14 +146,13 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
     mentions: list[tuple[int, int, str]] = []
     given: set[str] = set()
     gender: dict[str, str] = {}
-    spelt: dict[str, str] = {}
-    for m in PERSON.finditer(text):
-        names = list(re.finditer(NAME, m["names"]))
-        names = names[: next((k for k, x in enumerate(names) if not x[0][0].isupper()), len(names))]
+    forms: set[str] = set()
+    for m in TITLED.finditer(text):
+        names = names_after(text, m.end())
         for k, x in enumerate(names):
-            form, begin = x[0].casefold(), m.start("names") + x.start()
+            form, begin = x[0].casefold(), x.start()
             mentions.append((begin, begin + len(x[0]), form))
-            spelt[x[0]] = form
+            forms.add(form)
             if k < len(names) - 1:
                 given.add(form)
             if k < len(names) - 1 or k == 0:
@@ -137,9 +160,13 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
                 gender[form] = gender.get(form) or said
     if not mentions:
         return []
-    bare = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(spelt, key=lambda x: (-len(x), x))))})(?!\w)", re.I)
-    titled, forms = {x[0] for x in mentions}, set(spelt.values())
-    mentions += [(*m.span(), m[0].casefold()) for m in bare.finditer(text) if m[0][0].isupper() and m.start() not in titled and m[0].casefold() in forms]
+    titled = {x[0] for x in mentions}
+    for m in WORD.finditer(text):
+        if m[0].casefold() in forms:
+            parts = [m.span()]
+        else:  # parts of a double name
+            parts = [x.span() for x in PART.finditer(text, *m.span())] if not m[0].isalpha() else []
+        mentions += [(a, b, text[a:b].casefold()) for a, b in parts if text[a].isupper() and a not in titled and text[a:b].casefold() in forms]
     out = []
     for begin, end, form in mentions:
         listed = "male" if form in GIVEN_MALE else "female" if form in GIVEN_FEMALE else ""
@@ -158,12 +185,16 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if any(c in text for c in "=:") or "AKIA" in text or "_" in text or "-" in text:
         for m in SECRET.finditer(text):
             k = "value" if m["value"] else "bare"
-            found.append((*m.span(k), "secret", m[k]))
+            if any(c.isalnum() for c in m[k]):
+                found.append((*m.span(k), "secret", m[k]))
         for m in LABELLED.finditer(text):
             k = "quoted" if m["quoted"] else "open"
-            sure = m["plain"] or k == "quoted" or len(m[k]) >= 12 or any(not c.isalpha() for c in m[k])
-            if sure and len(m[k]) >= 4 and any(c.isalnum() for c in m[k]):
-                found.append((*m.span(k), "secret", m[k]))
+            begin, end = m.span(k)
+            value = text[begin : (end := end if k == "quoted" else open_end(text, begin, end))]
+            # after token and secret, which are words of prose too, short plain words stay
+            sure = m["plain"] or len(value) >= (4 if k == "quoted" else 12) or len(value) >= 4 and not value.isalpha()
+            if sure and any(c.isalnum() for c in value):
+                found.append((begin, end, "secret", value))
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     for m in NUMBERS.finditer(text) if "::" in text or DIGIT.search(text) else ():
