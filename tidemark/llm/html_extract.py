@@ -66,7 +66,10 @@ PART_WORDS = frozenset(
 TEASER_WORDS = DROPPED_WORDS | frozenset("teaser teasers".split())
 ARTICLE_ROLES = frozenset(("article", "main"))
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: At a "<": a tag with closed quotes, or else all up to the next ">".
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-z]+|\d+")
 
@@ -76,34 +79,63 @@ class Tree:
 
     def __init__(self, html: str) -> None:
         self.tags, self.attrs, self.parents, self.content = ["#page"], [{}], [0], [[]]
-        open_, at, end = [0], 0, len(html)
+        open_, places, at, end = [0], {}, 0, len(html)  # places: where the open elements of a tag lie in open_
+        closed, marked_up = html.rfind(">"), html.rfind("]]>")
+
+        def close(place: int) -> None:
+            while len(open_) > place:
+                places[self.tags[open_.pop()]].pop()
+
+        def last(tags) -> int:
+            """The innermost open element of these tags, -1 if there is none."""
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+        def plain(begin: int, stop: int) -> None:
+            if stop > begin:
+                self.content[open_[-1]].append(html[begin:stop])
+
+        begin = 0
         while at < end:
-            m = TAG.search(html, at)
-            if m is None:
-                self.content[open_[-1]].append(html[at:])
+            at = html.find("<", at)
+            if at < 0:
                 break
-            if m.start() > at:
-                self.content[open_[-1]].append(html[at : m.start()])
-            at = m.end()
-            slash, tag, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-            if not tag:
-                if m[1]:
-                    self.content[open_[-1]].append(entities.escape(m[1]))
+            if html.startswith("<!--", at):
+                plain(begin, at)
+                stop = COMMENT_END.search(html, at + 4)
+                begin = at = stop.end() if stop else end
+                continue
+            if html.startswith("<![CDATA[", at) and at + 9 <= marked_up:
+                plain(begin, at)
+                stop = html.find("]]>", at + 9)
+                if stop > at + 9:
+                    self.content[open_[-1]].append(entities.escape(html[at + 9 : stop]))
+                begin = at = stop + 3
                 continue
-            tag = tag.lower()
+            if at > closed:  # no tag ends any more
+                at += 1
+                continue
+            if html.startswith(("<!", "<?"), at):
+                plain(begin, at)
+                begin = at = html.find(">", at) + 1
+                continue
+            m = TAG.match(html, at) or LOOSE_TAG.match(html, at)
+            if m is None:
+                at += 1
+                continue
+            plain(begin, at)
+            begin = at = m.end()
+            slash, tag, attrs = m[1], m[2].lower(), m[3]
             if slash:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tags[open_[k]] == tag:
-                        del open_[k:]
-                        break
-                    if self.tags[open_[k]] in SCOPE and tag not in SCOPE and tag not in ("body", "tr", "tbody", "thead", "tfoot"):
-                        break
+                place = last((tag,))
+                if place > 0 and (tag in SCOPE or tag in ("body", "tr", "tbody", "thead", "tfoot") or place > last(SCOPE)):
+                    close(place)
                 continue
-            if tag in CLOSES_P:
-                self._close(open_, ("p",), SCOPE)
+            if tag in CLOSES_P and (place := last(("p",))) > last(SCOPE):
+                close(place)
             if tag in CLOSED_BY_OWN:
                 same, stops = CLOSED_BY_OWN[tag]
-                self._close(open_, same.split(), stops)
+                if (place := last(same.split())) > last(stops):
+                    close(place)
             n = len(self.tags)
             self.tags.append(tag)
             self.attrs.append({a.lower(): entities.unescape(x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(attrs)} if attrs.strip(" /") else {})
@@ -111,20 +143,14 @@ class Tree:
             self.content.append([])
             self.content[open_[-1]].append(n)
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(html, at)
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(html, at)
                 if tag in ("title", "textarea"):
-                    self.content[n].append(html[at : close.start()])
-                at = max(close.end(), at)
+                    self.content[n].append(html[at : stop.start()])
+                begin = at = max(stop.end(), at)
             elif tag not in VOID and not attrs.endswith("/") or tag in BLOCK and tag not in VOID:
+                places.setdefault(tag, []).append(len(open_))
                 open_.append(n)
-
-    def _close(self, open_: list[int], tags: tuple[str, ...] | list[str], stops) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if self.tags[open_[k]] in tags:
-                del open_[k:]
-                return
-            if self.tags[open_[k]] in stops:
-                return
+        plain(begin, end)
 
     def dropped(self, n: int) -> bool:
         """Whether tag, role or class say that the element is no article text."""
