@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import events, law, relations, rules, state
+from tidemark.operators import relations, rules, state
+from tidemark.plans import lawtext
 from tidemark.sources import shards
 
 
@@ -122,26 +123,25 @@ def test_review_schedule(spark):
     assert last([(False, 1)]) == (0, 2 * day, False, False)
 
 
-@pytest.mark.parametrize("text, want", [("一百零五", 105), ("二十", 20), ("十", 10), ("一〇五", 105), ("１１３", 113), ("x", None)])
-def test_numerals(text, want):
-    assert law.numeral(text) == want
+def test_numerals(spark):
+    for text, want in [("一百零五", 105), ("二十", 20), ("十", 10), ("一〇五", 105), ("113", 113), ("x", None), ("1十", None)]:
+        assert one(spark, lawtext.numeral(F.lit(text)))[0] == want
+    numbers = spark.range(1, 1000).select("id", lawtext.spelt(F.col("id")).alias("text"))
+    assert numbers.where(lawtext.numeral(F.col("text")) != F.col("id")).count() == 0
+    assert numbers.where("id in (7, 10, 12, 90, 102, 113, 210)").select("text").orderBy("id").toPandas()["text"].tolist() == ["七", "十", "十二", "九十", "一百零二", "一百一十三", "二百一十"]
 
 
-def test_effective_dates():
+def test_effective_dates(spark):
+    def of(summary, article="7", whole=False, special=True, promulgated="2020-05-01"):
+        return one(spark, lawtext.effective_date(F.lit(summary), F.lit(promulgated), F.lit(article), F.lit(whole), F.lit(special)))[0]
+
     day = date(2020, 5, 1)
-    of = lambda s, article="7", whole=False: law.effective_date(s, day, article, whole)
-    assert of("") == day and of("修正第七條") == day
-    assert of("第七條自一百十年一月一日施行；其餘自公布日施行") == date(2021, 1, 1)
-    assert of("第五條至第九條自民國111年3月1日施行") == date(2022, 3, 1)
+    assert of("", special=False) == day and of("修正第7條", special=False) == day and of("", special=False, promulgated="05/01") is None
+    assert of("第7條自一百一十年一月一日施行；其餘自公布日施行") == date(2021, 1, 1)
+    assert of("第5條至第9條自111年3月1日施行", article="9") == date(2022, 3, 1)
     assert of("全文自112年1月1日施行", whole=True) == date(2023, 1, 1)
     assert of("自公布日施行") == day and of("自公布後次年一月一日施行") == date(2021, 1, 1)
-    assert of("施行日期由行政院定之") is None and of("第九條自113年1月1日施行") is None
-
-
-def test_triage_order(spark):
-    n = lambda x: F.lit(x)
-    assert one(spark, law.triage(n(True), n(2), n(1), n(True), n(1), n(1), n(1)))[0] == "effective_date_review"
-    assert one(spark, law.triage(n(True), n(2), n(1), n(False), n(0), n(0), n(1)))[0] == "current_text_equals_exam_year_candidate"
+    assert of("施行日期由行政院定之") is None and of("第9條自113年1月1日施行") is None
 
 
 def test_shards_round_trip_and_damage(spark, tmp_path):

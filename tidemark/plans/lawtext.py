@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import nfkc, utc
 from tidemark.operators.rules import ladder
-from tidemark.plans.derived import pick, quoted
+from tidemark.plans.derived import pick, quoted, sql_pick
 from tidemark.sources.tables import read
 
 #: Numerals.
@@ -42,22 +42,35 @@ def part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-DATES = (
-    ("中華民國一百一十三年五月二十日公布", "2024-05-20"), ("中華民國 112 年 1 月 9 日", "2023-01-09"), ("中華民國一百零二年十二月三十一日", "2013-12-31"), ("民國113年", None), ("中華民國 113 年 2 月 30 日", None), ("", None), ("中華民國九十年十月五日修正", "2001-10-05"),
-)
-SPANS = (("考試日期：113/02/03~02/04", "2024-02-03", "2024-02-04"), ("112/12/30～113/1/1", "2023-12-30", "2024-01-01"), ("自110/07/25", "2021-07-25", "2021-07-25"), ("未定", None, None))
+def spelt(n: Column) -> Column:
+    """A number under 1000 in Chinese numerals, as laws write it: 一百零二, 十二, 一百一十三."""
+    digit = lambda x: F.substring(F.lit("零一二三四五六七八九"), x + 1, F.lit(1))
+    hundreds, tens, ones = (F.floor(n / k).cast("int") % 10 for k in (100, 10, 1))
+    ten = F.when((tens == 0) & ((hundreds == 0) | (ones == 0)), "").when(tens == 0, "零").when((tens == 1) & (hundreds == 0), "十").otherwise(F.concat(digit(tens), F.lit("十")))
+    return F.concat(F.when(hundreds > 0, F.concat(digit(hundreds), F.lit("百"))).otherwise(""), ten, F.when((ones > 0) | (n == 0), digit(ones)).otherwise(""))
+
+
+def era_text(date: Column, chinese: Column) -> Column:
+    """A date as 年月日 of the era, in digits or Chinese numerals."""
+    form = lambda x: F.when(chinese, spelt(x)).otherwise(x.cast("string"))
+    return F.concat(form(F.year(date) - ERA), F.lit("年"), form(F.month(date)), F.lit("月"), form(F.day(date)), F.lit("日"))
 
 
 def era_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates and spans of the era in texts (put to customers in turn)."""
-    c = F.col
-    d, s = pick("c_custkey", [x[0] for x in DATES]), pick("c_custkey", [x[0] for x in SPANS])
+    """Dates and spans of the era in texts made of each order's date; some name a day that there isn't."""
+    c, k = F.col, F.col("o_orderkey")
+    date = c("o_orderdate").cast("date")
+    d = F.concat(F.lit("中華民國"), F.when(k % 11 == 0, F.concat((F.year(date) - ERA).cast("string"), F.lit("年 2 月 30 日"))).otherwise(era_text(date, k % 2 == 0)), F.lit("公布"))
+    short = lambda x: F.concat_ws("/", F.month(x), F.day(x))
+    full = lambda x: F.concat_ws("/", F.year(x) - ERA, short(x))
+    end = F.date_add(date, (k % 40).cast("int"))
+    s = F.concat(F.lit("考試日期："), full(date), F.when(k % 3 == 0, "").otherwise(F.concat(pick("o_orderkey", ("~", "～", "至")), F.when((k % 3 == 1) & (F.year(end) == F.year(date)), short(end)).otherwise(full(end)))))
     pattern = rf"中華民國\s*({NUMBER})\s*年\s*({NUMBER})\s*月\s*({NUMBER})\s*日"
-    span = r"([0-9]{3})/([0-9]{1,2})/([0-9]{1,2})(?:[~～至\-]\s*(?:([0-9]{3})/)?([0-9]{1,2})/([0-9]{1,2}))?"
-    rows = read(spark, sf_dir, "customer").select("c_custkey", d.alias("d"), s.alias("s"))
+    span = r"([0-9]{2,3})/([0-9]{1,2})/([0-9]{1,2})(?:[~～至\-]\s*(?:([0-9]{2,3})/)?([0-9]{1,2})/([0-9]{1,2}))?"
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"), s.alias("s"))
     first = day(part(c("s"), span, 1), part(c("s"), span, 2), part(c("s"), span, 3))
     last = day(F.coalesce(part(c("s"), span, 4), part(c("s"), span, 1)), part(c("s"), span, 5), part(c("s"), span, 6))
-    return rows.select("c_custkey", day(part(c("d"), pattern, 1), part(c("d"), pattern, 2), part(c("d"), pattern, 3)).alias("day"), first.alias("first"), F.coalesce(last, first).alias("last"))
+    return rows.select("o_orderkey", day(part(c("d"), pattern, 1), part(c("d"), pattern, 2), part(c("d"), pattern, 3)).alias("day"), first.alias("first"), F.coalesce(last, first).alias("last"))
 
 
 def article_number(text: Column) -> Column:
@@ -78,34 +91,18 @@ def article_scope(text: Column) -> Column:
     return F.transform(F.array_sort(F.transform(found, lambda a: F.struct(F.transform(F.split(a, "-"), lambda n: n.cast("int")).alias("k"), a.alias("a")))), lambda s: s["a"])
 
 
-REFERENCES = (
-    ("依第3條、第12條及第2條之1規定", "2-1,3,12"), ("第5～8條、第7條", "5,6,7,8"), ("第10、2、10-1條", "2,10,10-1"), ("第1110至1113條", "1110,1111,1112,1113"), ("第9~3條", ""), ("本法無條號", ""), ("第 4 條第 2 項", "4"),
-)
-
-
 def explicit_articles(text: Column) -> Column:
     """Articles written out in a text, 第 2 條之 1 as 2-1, in number order."""
     return article_scope(F.regexp_replace(text, r"第\s*([0-9]+)\s*條\s*之\s*([0-9]+)", "第$1-$2條"))
 
 
 def article_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles that texts (put to parts in turn) refer to, in the order of their numbers."""
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(explicit_articles(pick("p_partkey", [x[0] for x in REFERENCES])), ",").alias("articles"))
-
-
-#: Summaries of amendments with date, article, whether all articles and whether a special clause; and the date from which the article holds.
-CLAUSES = (
-    ("修正第3條；第3條自中華民國113年7月1日施行", "2024-01-05", "3", False, True, "2024-07-01"),
-    ("修正全文50條，依第49條規定：自113年3月1日施行", "2024-01-05", "7", True, True, "2024-03-01"),
-    ("修正公布；自一百一十三年二月一日施行", "2024-01-05", "9", False, True, "2024-02-01"),
-    ("第3條自113年7月1日施行；第4條自113年8月1日施行", "2024-01-05", "4", False, True, "2024-08-01"),
-    ("修正第2條，並自公布日施行", "2023-06-30", "2", False, True, "2023-06-30"),
-    ("修正第2條，自公布後次年一月一日施行", "2023-06-30", "2", False, True, "2024-01-01"),
-    ("修正第2條", "2023-06-30", "2", False, False, "2023-06-30"),
-    ("施行日期由行政院定之", "2023-06-30", "2", False, True, None),
-    ("修正第2條", "12/06", "2", False, False, None),
-    ("第3條自113年7月1日施行；其餘自113年9月1日施行", "2024-01-05", "8", True, True, "2024-09-01"),
-)
+    """Articles that texts made of each order's numbers refer to, in the order of their numbers: single ones, spans (one of them reversed on some) and one with a branch."""
+    k, n = F.col("o_orderkey"), lambda x: x.cast("string")
+    low = k % 97 + 1
+    high = F.when(k % 13 == 0, low - 1).otherwise(low + k % 6)
+    text = F.concat(F.lit("依第"), n(k % 89 + 1), F.lit("條、第"), n(low), pick("o_orderkey", ("～", "至", "~")), n(high), F.lit("條及第"), n(k % 31 + 1), F.lit("條之"), n(k % 4 + 1), F.lit("規定，第 "), n(k % 7 + 1), F.lit(" 條第 2 項"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(explicit_articles(text), ",").alias("articles"))
 
 
 def effective_date(summary: Column, promulgated: Column, article: Column, all_articles: Column, special: Column) -> Column:
@@ -124,23 +121,39 @@ def effective_date(summary: Column, promulgated: Column, article: Column, all_ar
         F.zip_with(found, scope_text, lambda f, s: F.struct(day(part(f, clause, 1), part(f, clause, 2), part(f, clause, 3)).alias("day"), article_scope(s).alias("scope"), s.rlike("依第[^條]+條規定[:：]?").alias("statute"))),
         lambda x: x["day"].isNotNull(),
     )
-    named = F.filter(clauses, lambda x: F.array_contains(x["scope"], article))
-    statute, open_ = F.filter(clauses, lambda x: x["statute"]), F.filter(clauses, lambda x: F.size(x["scope"]) == 0)
     published = F.try_to_date(promulgated, "yyyy-MM-dd")
-    steps = (
-        (F.size(named) > 0, F.get(named, F.lit(0))["day"]), (all_articles & (F.size(statute) > 0), F.get(statute, F.lit(0))["day"]), ((F.size(clauses) == 1) & (F.size(open_) == 1), F.get(open_, F.lit(0))["day"]),
-        (all_articles & (F.size(open_) > 0), F.get(open_, F.size(open_) - 1)["day"]), (text.rlike("自公布日起?施行"), published), (text.rlike("自公布後次年(?:之)?一月一日施行"), F.make_date(F.year(published) + 1, F.lit(1), F.lit(1))), (~special, published),
-    )
-    out = F.when(~promulgated.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(None).cast("date"))
-    for condition, value in steps:
-        out = out.when(condition, value)
-    return out
+
+    def first_fit(clauses: Column) -> Column:
+        named = F.filter(clauses, lambda x: F.array_contains(x["scope"], article))
+        statute, open_ = F.filter(clauses, lambda x: x["statute"]), F.filter(clauses, lambda x: F.size(x["scope"]) == 0)
+        steps = (
+            (F.size(named) > 0, F.get(named, F.lit(0))["day"]), (all_articles & (F.size(statute) > 0), F.get(statute, F.lit(0))["day"]), ((F.size(clauses) == 1) & (F.size(open_) == 1), F.get(open_, F.lit(0))["day"]),
+            (all_articles & (F.size(open_) > 0), F.get(open_, F.size(open_) - 1)["day"]), (text.rlike("自公布日起?施行"), published), (text.rlike("自公布後次年(?:之)?一月一日施行"), F.make_date(F.year(published) + 1, F.lit(1), F.lit(1))), (~special, published),
+        )
+        out = F.when(~promulgated.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(None).cast("date"))
+        for condition, value in steps:
+            out = out.when(condition, value)
+        return out
+
+    # the clauses are bound once, else each step would read the text again
+    return F.element_at(F.transform(F.array(clauses), first_fit), 1)
 
 
 def effective_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From when amended articles (put to suppliers in turn) hold."""
-    v = [pick("s_suppkey", [x[k] for x in CLAUSES]) for k in range(5)]
-    return read(spark, sf_dir, "supplier").select("s_suppkey", effective_date(*v).alias("since"))
+    """From when articles hold after amendments, whose texts are made of each order's date and numbers: each step of the ladder in turn."""
+    k, date = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    one, other = (F.concat(F.lit("第"), (k % 90 + n).cast("string"), F.lit("條")) for n in (1, 2))
+    since, later = F.date_add(date, (k % 200 + 10).cast("int")), F.date_add(date, (k % 200 + 300).cast("int"))
+    at = lambda x: F.concat(F.lit("自"), F.when(k % 4 == 0, F.lit("中華民國")).otherwise(""), era_text(x, k % 3 == 0), F.lit("施行"))
+    texts = (
+        F.concat(F.lit("修正"), one, F.lit("；"), one, at(since)), F.concat(F.lit("修正全文，依"), other, F.lit("規定："), at(since)), F.concat(F.lit("修正公布；"), at(since)), F.concat(one, at(since), F.lit("；"), other, at(later)), F.concat(F.lit("修正"), one, F.lit("，並自公布日施行")),
+        F.concat(F.lit("修正"), one, F.lit("，自公布後次年一月一日施行")), F.concat(F.lit("修正"), one), F.lit("施行日期由行政院定之"), F.concat(one, at(since), F.lit("；其餘"), at(later)), F.concat(F.lit("修正"), one),
+    )
+    case = lambda values: F.element_at(F.array(*values), (k % len(texts) + 1).cast("int"))
+    article = F.when((k % 10).isin(3, 8), k % 90 + 2).otherwise(k % 90 + 1).cast("string")
+    promulgated = F.when(k % 10 == 9, F.date_format(date, "MM/dd")).otherwise(date.cast("string"))
+    found = effective_date(case(texts), promulgated, article, (k % 10).isin(1, 8), k % 10 != 6)
+    return read(spark, sf_dir, "orders").select("o_orderkey", found.alias("since"))
 
 
 HEADINGS = ("第 1 條", "第 2-1 條", "第 2 之 1 條", "第十條", "第 1 條")
@@ -181,22 +194,22 @@ def law_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "article", F.length("text").cast("long").alias("chars"), F.substring(F.sha2("text", 256), 1, 16).alias("sha"))
 
 
-WIDE = (("ＡＢＣ　１２３", "ABC 123"), ("臺灣  ﬁle", "台灣 file"), ("①②　社會", "12 社會"), ("été", "été"), ("plain  text ", "plain text"))
-
-
 def normalised(text: Column) -> Column:
     """NFKC, white space as one space, 臺 as 台."""
     return F.replace(nfkc(text), F.lit("臺"), F.lit("台"))
 
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").select("s_suppkey", normalised(pick("s_suppkey", [x[0] for x in WIDE])).alias("text"))
+    """Texts of full-width digits, ligatures, circled numbers and white space around each customer's number and name."""
+    k, c = F.col("c_custkey"), F.col
+    wide = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
+    text = F.concat(F.lit("  "), wide, F.lit("　臺灣ﬁ\t"), pick("c_custkey", ("①", "Ａ", "é", "㎏")), F.lit(" \n "), c("c_name"), F.lit(" "))
+    return read(spark, sf_dir, "customer").select("c_custkey", normalised(text).alias("text"))
 
 
 #: Ends of names of laws, and phrases without meaning of their own, in the order in which they go.
 SUFFIXES = ("施行法", "特別條例", "條例", "自治條例", "法")
 PHRASES = "依據 依照 根據 依 我國 規定 所定 有關 關於 下列何者 下列敘述 何者正確 何者錯誤 何者不正確 何者不適用 何者符合 請問 的敘述 之敘述 下列 敘述 正確 錯誤".split()
-QUERIES_ = ("依據社會救助法第3條規定，下列何者正確？", "關於老人福利法之敘述，何者錯誤 (A)", "身心障礙者權益保障第 12 條之 1 的定義", "2023 CRPD reports")
 
 
 def semantic_text(text: Column, law: str) -> Column:
@@ -210,7 +223,10 @@ def semantic_text(text: Column, law: str) -> Column:
 
 
 def semantic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", semantic_text(pick("p_partkey", QUERIES_), "社會救助法").alias("text"))
+    """What questions made of each part's name and number say beside the law, its articles and set phrases."""
+    n = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("依據社會救助法第"), n, F.lit("條之 1 規定，關於 "), F.col("p_name"), F.lit(" 之給付("), n, F.lit(")，社會救助之敘述，下列何者正確？"))
+    return read(spark, sf_dir, "part").select("p_partkey", semantic_text(text, "社會救助法").alias("text"))
 
 
 def search_key(text: Column) -> Column:
@@ -228,8 +244,6 @@ def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("p_size", F.array_join("hits", ",").alias("hits"))
 
 
-#: Numbers in front of lines of an exam's text, and how many are accepted: each must follow the one before.
-RUNS = (("1 a\n2 b\n3 c", 3), ("1 a\n3 x\n2 b\n2 again\n3 c\n40 y", 3), ("2 a\n1 b\n", 1), ("no numbers", 0), ("1 a\n 2  b\n12 c\n3 d\n4 e", 4))
 MARKS = {"Ⓐ": "A", "Ⓑ": "B", "Ⓒ": "C", "Ⓓ": "D"}
 
 
@@ -250,13 +264,12 @@ def exam_blocks(text: Column) -> Column:
 
 
 def exam_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions in exam texts (put to suppliers in turn): how many are accepted, and their text with white space as one space."""
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey", exam_blocks(pick("s_suppkey", [x[0] for x in RUNS])).alias("q"))
-    return rows.select("s_suppkey", F.size("q").cast("long").alias("accepted"), F.trim(F.regexp_replace(F.array_join(F.transform("q", lambda x: x["b"]), " "), r"\s+", " ")).alias("text"))
-
-
-#: Raw questions with their option marks, and stem and options as they must come out.
-RAW = (("題幹 Ⓐ甲 Ⓑ乙\nⒸ丙 Ⓓ 丁 代號：1101", "題幹|甲|乙|丙|丁"), ("stem\nA. one\nＢ．two\nC、three\nD.four", "stem|one|two|three|four"), ("stem Ⓐx Ⓑy", None), ("Ⓐa Ⓑb Ⓒ Ⓓd", None))
+    """Questions in exam texts made of each order's number: up to five, on some with a line behind the first that begins with a number out of turn; how many are accepted, and their text."""
+    k = F.col("o_orderkey")
+    stem = lambda i: F.concat(i.cast("string"), F.lit("  stem"), k.cast("string"), F.lit("-"), i.cast("string"), F.lit("\n"), F.when((i == 1) & (k % 3 == 0), F.lit("7 note\n")).otherwise(""))
+    text = F.concat(F.lit("3 cover\n"), F.array_join(F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), stem), ""))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", exam_blocks(text).alias("q"))
+    return rows.select("o_orderkey", F.size("q").cast("long").alias("accepted"), F.trim(F.regexp_replace(F.array_join(F.transform("q", lambda x: x["b"]), " "), r"\s+", " ")).alias("text"))
 
 
 def option_rows(raw: Column) -> Column:
@@ -273,11 +286,13 @@ def option_rows(raw: Column) -> Column:
 
 
 def exam_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(option_rows(pick("s_suppkey", [x[0] for x in RAW])), "|").alias("row"))
-
-
-#: Essay parts with the points that they give, null where these are unclear.
-ESSAYS = (("請說明。（25分）", 25), ("比較（10 分）並舉例(15分)", 25), ("總分（25分）其一（10分）其二（15分）", None), ("沒有配分", None), ("零（0分）", None))
+    """Stem and options of questions made of each order's numbers in three layouts; on some an option is blank."""
+    k = F.col("o_orderkey")
+    style = (("Ⓐ", " Ⓑ", "\nⒸ", " Ⓓ "), ("\nA. ", "\nＢ．", "\nC、", "\nD."), ("Ⓐ ", "\nⒷ ", "\nC. ", " Ⓓ"))
+    value = [F.when((k % 7 == 0) & (i == 2), "").otherwise(F.concat(F.lit(f"opt{'abcd'[i]}"), (k * (i + 3) % 101).cast("string"))) for i in range(4)]
+    mark = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in style)), (k % 3 + 1).cast("int"))
+    raw = F.concat(F.lit("題幹 "), F.col("o_orderpriority"), F.lit(" "), *(x for i in range(4) for x in (mark(i), value[i])), F.lit(" 代號：1101"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(option_rows(raw), "|").alias("row"))
 
 
 def essay_points(text: Column) -> Column:
@@ -288,7 +303,11 @@ def essay_points(text: Column) -> Column:
 
 
 def essay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "supplier").select("s_suppkey", essay_points(pick("s_suppkey", [x[0] for x in ESSAYS])).cast("long").alias("points"))
+    """Points of essays whose marks are made of each order's numbers: one, two, none, or a zero beside another."""
+    k = F.col("o_orderkey")
+    p, q = ((k % 25 + 1).cast("string"), (k % 30 + 1).cast("string"))
+    texts = (F.concat(F.lit("請說明。（"), p, F.lit("分）")), F.concat(F.lit("比較（"), p, F.lit(" 分）並舉例( "), q, F.lit("分 )")), F.concat(F.lit("沒有配分 "), p), F.concat(F.lit("零（0分）"), F.lit("其一（"), p, F.lit("分）")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", essay_points(F.element_at(F.array(*texts), (k % 4 + 1).cast("int"))).cast("long").alias("points"))
 
 
 def embedded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,28 +354,24 @@ QUERIES = {
 }
 
 
-def _known(table: str, key: str, rows: list[tuple], kinds: dict[str, str]) -> str:
-    """Each row's known answer: what the texts, put to the rows in turn, must give."""
-    values = ", ".join(f"({k}, {', '.join(quoted(x) for x in r)})" for k, r in enumerate(rows))
-    casts = ", ".join(f"cast(v{k} as {t}) as {n}" for k, (n, t) in enumerate(kinds.items()))
-    return f"select {key}, {casts} from {table} join (values {values}) v(k, {', '.join(f'v{k}' for k in range(len(kinds)))}) on k = {key} % {len(rows)}"
-
-
 PAGE = "translate(coalesce(text, ''), '<>&' || chr(10), '    ')"
 NUMBERS_ = ("1", "2-1", "2-1", "10", "1")
 ORACLE = {
-    "era_dates": f"select a.c_custkey, a.day, b.first, b.last from ({_known('customer', 'c_custkey', [(x[1],) for x in DATES], {'day': 'date'})}) a join ({_known('customer', 'c_custkey', [x[1:] for x in SPANS], {'first': 'date', 'last': 'date'})}) b on a.c_custkey = b.c_custkey",
-    "article_references": _known("part", "p_partkey", [(x[1],) for x in REFERENCES], {"articles": "varchar"}),
-    "effective_dates": _known("supplier", "s_suppkey", [(x[5],) for x in CLAUSES], {"since": "date"}),
+    "era_dates": """with o as (select o_orderkey k, cast(o_orderdate as date) d from orders) select k o_orderkey, case when k % 11 <> 0 then d end as day, d as first, case when k % 3 = 0 then d else cast(d + cast(k % 40 as integer) as date) end as last from o""",
+    "article_references": """with o as (select o_orderkey k, o_orderkey % 97 + 1 low, case when o_orderkey % 13 = 0 then o_orderkey % 97 else o_orderkey % 97 + 1 + o_orderkey % 6 end high from orders),
+ a as (select k, list_sort(list_distinct(list_concat(list_concat([[k % 89 + 1, 0], [k % 31 + 1, k % 4 + 1], [k % 7 + 1, 0]], list_transform(generate_series(low, high), lambda n: [n, 0]))))) a from o)
+ select k o_orderkey, array_to_string(list_transform(a, lambda x: x[1]::varchar || case when x[2] > 0 then '-' || x[2]::varchar else '' end), ',') articles from a""",
+    "effective_dates": """with o as (select o_orderkey k, cast(o_orderdate as date) d from orders), e as (select k, d, cast(d + cast(k % 200 + 10 as integer) as date) s, cast(d + cast(k % 200 + 300 as integer) as date) l from o)
+ select k o_orderkey, case when k % 10 in (0, 1, 2) then s when k % 10 in (3, 8) then l when k % 10 in (4, 6) then d when k % 10 = 5 then make_date(year(d) + 1, 1, 1) end since from e""",
     "law_articles": f"""with t as (select doc_id, unnest([{', '.join(f"{{a: '{a}', k: {k}, t: trim(regexp_replace(substr({PAGE}, {1 + 40 * k}, {40 + k}), '[ \\t\\r\\x0b\\f]+', ' ', 'g'))}}" for k, a in enumerate(NUMBERS_))}]) x from documents),
  f as (select doc_id, x.a article, arg_min(x.t, x.k) t from t where x.t <> '' group by 1, 2) select doc_id, article, cast(length(t) as bigint) chars, left(sha256(t), 16) sha from f""",
-    "normal_forms": _known("supplier", "s_suppkey", [(x[1],) for x in WIDE], {"text": "varchar"}),
-    "semantic_texts": _known("part", "p_partkey", [("",), ("老人福利法A",), ("身心障礙者權益保障的定義",), ("2023CRPDreports",)], {"text": "varchar"}),
+    "normal_forms": f"""select c_custkey, c_custkey::varchar || ' 台灣fi ' || {sql_pick('c_custkey', ('1', 'A', 'é', 'kg'))} || ' ' || c_name as text from customer""",
+    "semantic_texts": """select p_partkey, regexp_replace(p_name, '[^0-9A-Za-z]', '', 'g') || '之給付' || p_partkey::varchar as text from part""",
     "name_matches": r"""with n as (select distinct p_size, regexp_replace(lower(substr(p_type, 3, 6)), '[\s　（）()《》〈〉「」『』【】·・,，.。:：;；/\\_-]+', '', 'g') n from part), e as (select distinct regexp_replace(lower(p_type), '[\s　（）()《》〈〉「」『』【】·・,，.。:：;；/\\_-]+', '', 'g') e from part),
  h as (select p_size, n, min(e) h from n join e on contains(e, n) or contains(n, e) group by 1, 2), r as (select distinct p_size, h from h), k as (select *, row_number() over (partition by p_size order by h) r from r) select p_size, string_agg(h, ',' order by h) hits from k where r <= 5 group by 1""",
-    "exam_questions": _known("supplier", "s_suppkey", [(3, "a b c"), (3, "a 3 x b 2 again c 40 y"), (1, "b"), (0, ""), (4, "a b 12 c d e")], {"accepted": "bigint", "text": "varchar"}),
-    "exam_options": _known("supplier", "s_suppkey", [(x[1],) for x in RAW], {"row": "varchar"}),
-    "essay_scores": _known("supplier", "s_suppkey", [(x[1],) for x in ESSAYS], {"points": "bigint"}),
+    "exam_questions": """select o_orderkey, o_orderkey % 5 + 1 accepted, array_to_string(list_transform(generate_series(1, o_orderkey % 5 + 1), lambda i: 'stem' || o_orderkey::varchar || '-' || i::varchar || case when i = 1 and o_orderkey % 3 = 0 then ' 7 note' else '' end), ' ') as text from orders""",
+    "exam_options": """select o_orderkey, case when o_orderkey % 7 <> 0 then '題幹 ' || o_orderpriority || '|' || array_to_string(list_transform(generate_series(0, 3), lambda i: 'opt' || substr('abcd', cast(i + 1 as integer), 1) || (o_orderkey * (i + 3) % 101)::varchar), '|') end as row from orders""",
+    "essay_scores": """select o_orderkey, case when o_orderkey % 4 = 0 then o_orderkey % 25 + 1 when o_orderkey % 4 = 1 and o_orderkey % 25 + o_orderkey % 30 + 2 <= 40 then o_orderkey % 25 + o_orderkey % 30 + 2 end points from orders""",
     "embedded_rows": "select s_suppkey, s_suppkey % 3 + 1 n, array_to_string(list_transform(generate_series(1, s_suppkey % 3 + 1), lambda k: 'E-' || cast(s_suppkey as varchar) || '-' || cast(k as varchar)), ',') ids from supplier",
     "relative_times": """select event_id, cast(floor(epoch(ts)) as bigint) - (event_id % 50 + 1) * [60, 3600, 86400, null][cast(event_id % 4 + 1 as integer)] published,
  cast(greatest(1, ceil(epoch(date_trunc('day', ts + interval 8 hour) + interval 1 day) - epoch(ts + interval 8 hour))) as bigint) to_midnight from events""",
