@@ -1,10 +1,11 @@
 """Phrases that stand together more often than chance, found by passes with hashed buckets (PCY, DHP).
 
-Everything is per language. Pass k counts phrases of k words exactly, but only those that can be frequent: both phrases of
+Everything is per language. A pass counts phrases of k words exactly, but only those that can be frequent: both phrases of
 k - 1 words inside are frequent (Apriori), and so was the phrase's bucket. Buckets are counted one pass ahead, and only for
-phrases whose parts pass; what the next pass gets is a bit for each bucket. The frequent phrases go to the tasks as a
-bitmap of their hashes, whose largest size is fixed. Both bitmaps can only let more phrases through, never fewer, so the
-counts behind them are whole: a task adds up its own, Spark the rest, by the phrase itself.
+phrases whose parts pass; what the next pass gets is a bit for each bucket. A first pass counts the buckets of words and
+of pairs, so that exact counting begins with pairs; words are counted exactly only where a frequent pair holds them.
+The frequent phrases go to the tasks as a bitmap of their hashes, whose largest size is fixed. Both bitmaps can only let more
+phrases through, never fewer, so the counts behind them are whole: a task adds up its own, Spark the rest, by the phrase itself.
 """
 
 from __future__ import annotations
@@ -18,38 +19,36 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, ascii_bytes, durable, slices
+from tidemark.llm.common import durable
 from tidemark.llm.counters import CHUNK, added, chunks, gathered
-from tidemark.llm.decontaminate import M1, M2, bitmap, marked
+from tidemark.llm.decontaminate import bitmap, marked
+from tidemark.llm.word_arrays import M1, mix, pieces, words
 
 #: Least occurrences of a phrase, words at most, phrases of a language in the result.
 SUPPORT, LONGEST, TOP = 100, 5, 2_000
 #: Phrases inside one that is longer by a word and holds this percentage of their occurrences are dropped.
 INSIDE = 100
-#: Buckets at least and at most (128 MB of counters in a worker, 16 MB of bits).
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 27
+#: Buckets at least and at most (128 MB of counters in a worker, twice that in the first pass; 4 MB of bits).
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 25
+#: Buckets for as many words as may be the start of a frequent phrase.
+BUCKETS_EACH = 2
 #: Phrases of a task's own counts at most, before they are sent on.
-HELD = 100_000
-#: A-Z to lower case, the signs between pieces to one of them, tabs to spaces. What is left apart by spaces are words.
-BREAK = b"."
-LETTERS = bytes(46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+HELD = 300_000
+#: Bytes between pieces, and between words.
+BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
+APART = BREAK | np.isin(np.arange(256), list(b" \t"))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Parts that a language's phrases are ranked in before the last ranking.
 PARTS = 64
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """A text's words, with a break between its pieces."""
-    return (text or b"").translate(LETTERS).replace(BREAK, b" . ").split()
-
-
 def gram_keys(hashes: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit number for each run of so many words, by language."""
     out = seeds[: max(0, len(hashes) - length + 1)] + np.uint64(length)
     for k in range(length):
         out = out * M1 + hashes[k : k + len(out)]
         out ^= out >> np.uint64(31)
-    out = (out ^ (out >> np.uint64(32))) * M2
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+    return mix(out).view(np.int64)
 
 
 def _every(flags: np.ndarray, length: int) -> np.ndarray:
@@ -60,63 +59,91 @@ def _every(flags: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def counting_pass(rows: DataFrame, length: int, frequent: Broadcast | None, passed: Broadcast | None, buckets: int, most: int) -> DataFrame:
-    """rows (lang, text) -> lang, phrase, key, n of a task's phrases of so many words that may be frequent; and chunk, counts of its buckets of longer ones, if buckets isn't 0."""
+def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, singles: Broadcast | None = None, frequent: Broadcast | None = None, passed: Broadcast | None = None, wanted: Broadcast | None = None) -> DataFrame:
+    """rows (lang, text) -> lang, phrase, k, key, words, n: a task's counts of phrases of so many words that may be frequent, and of wanted words; and chunk, counts of its buckets of phrases one word longer, if buckets isn't 0.
+
+    singles and passed have a bit for each bucket of words and of these phrases, frequent and wanted mark the keys of the
+    phrases one word shorter and of words. words are the keys of a pair's words. With a length of 0, the only phrase of a
+    language is the empty one, which stands at each word, and the buckets are those of words, then those of pairs.
+    """
 
     kind = np.min_scalar_type(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = WordHashes(), np.zeros(buckets, kind)
-        gap = hashes([BREAK])[0]
-        told: dict[int, tuple[str, bytes]] = {}
+        own = np.zeros(buckets if length else 2 * buckets, np.uint32)
+        seed_of: dict[str, int] = {}
+        told: dict[int, tuple] = {}
         count: dict[int, int] = {}
+        waiting: list[np.ndarray] = []
 
         def batch_of(chunk: list[int], counts: list[bytes]) -> pa.RecordBatch:
             n, m = len(count), len(chunk)
-            lang, phrase = zip(*(told[k] for k in count), strict=True) if n else ((), ())
-            columns = [(list(lang), m, pa.string()), ([p.decode() for p in phrase], m, pa.string()), (list(count), m, pa.int64()), (list(count.values()), m, pa.int64())]
-            arrays = [pa.array(x + [None] * k, t) for x, k, t in columns] + [pa.array([None] * n + x, t) for x, t in ((chunk, pa.int32()), (counts, pa.binary()))]
+            lang, phrase, k, parts = map(list, zip(*(told[x] for x in count), strict=True)) if n else ([], [], [], [])
+            columns = [(lang, pa.string()), (phrase, pa.string()), (k, pa.int32()), (list(count), pa.int64()), (parts, pa.list_(pa.int64())), (list(count.values()), pa.int64())]
+            arrays = [pa.array(x + [None] * m, t) for x, t in columns] + [pa.array([None] * n + x, t) for x, t in ((chunk, pa.int32()), (counts, pa.binary()))]
             told.clear()
             count.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "key", "n", "chunk", "counts"])
-
-        for batch in slices(batches):
-            words, sizes, langs = [], [], batch.column(0).to_pylist()
-            for text in ascii_bytes(batch.column(1)):
-                before = len(words)
-                words += words_of(text)
-                words.append(BREAK)
-                sizes.append(len(words) - before)
-            h = hashes(words)
-            seeds = np.repeat(np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in langs], np.uint64), sizes)
-            whole = h != gap
-            may = _every(whole, length)
-            keys = gram_keys(h, seeds, length)
+            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "k", "key", "words", "n", "chunk", "counts"])
+
+        def fill(places: np.ndarray | None) -> None:
+            """Count places, many at once."""
+            if places is not None:
+                waiting.append(places)
+            if waiting and (places is None or sum(map(len, waiting)) > len(own)):
+                own[:] += np.bincount(np.concatenate(waiting), minlength=len(own)).astype(np.uint32)
+                waiting.clear()
+
+        def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            place = keys & (8 * len(bits) - 1)
+            return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+        for batch in pieces(batches):
+            langs, w = batch.column(0).to_pylist(), words(batch.column(1), APART)
+            h = w.number
+            for x in set(langs).difference(seed_of):
+                seed_of[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+            row = np.repeat(np.arange(len(langs)), np.diff(w.rows))
+            seeds = np.array([seed_of[x] for x in langs], np.uint64)[row]
+            piece = np.cumsum(BREAK[w.text])[w.start] + row if len(h) else row  # grows with each break and row
+            keys_of = lambda n: gram_keys(h, seeds, n)[: len(h)]  # noqa: B023, E731
+            whole = lambda n: piece[: max(0, len(h) - n + 1)] == piece[n - 1 :]  # noqa: B023, E731
+
+            def add(keys: np.ndarray, at: np.ndarray, size: int) -> None:
+                found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                for key, begin, many in zip(found.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                    if key in count:
+                        count[key] += many
+                    else:
+                        count[key] = many
+                        phrase = b" ".join(w.text[w.start[k] : w.end[k]].tobytes() for k in range(begin, begin + size)).translate(LOWER).decode()  # noqa: B023
+                        told[key] = langs[row[begin]], phrase, size, ones[begin : begin + 2].tolist() if size == 2 else None  # noqa: B023
+
+            ones = keys_of(1)
+            if length == 0:
+                add(keys_of(0), np.arange(len(h)), 0)
+                fill(ones & (buckets - 1))
+                fill(buckets + (keys_of(2)[whole(2)] & (buckets - 1)))
+                continue
+            keys, may = keys_of(length), whole(length)
+            if singles is not None:
+                may &= _every(among(singles.value, ones), length)
             if frequent is not None:
-                known = np.zeros(len(may) + 1, bool)
-                known[marked(frequent.value, gram_keys(h, seeds, length - 1))] = True
-                may &= _every(known, 2)
-            if passed is not None and len(may):
-                place = keys & (8 * len(passed.value) - 1)
-                may &= (passed.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(may)
+                known = np.zeros(max(0, len(h) - length + 2), bool)
+                known[marked(frequent.value, keys_of(length - 1)[: len(known)])] = True
+                may &= _every(known, 2)[: len(may)]
+            if passed is not None:
+                may &= among(passed.value, keys)
             if buckets:
-                longer = gram_keys(h, seeds, length + 1)
-                place, n = np.unique(longer[_every(may, 2)[: len(longer)]] & (buckets - 1), return_counts=True)
-                own[place] = np.minimum(own[place].astype(np.int64) + n, most)
-            found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-            ends = np.cumsum(sizes)
-            for key, begin, many in zip(found.tolist(), at[first].tolist(), n.tolist(), strict=True):
-                if key in count:
-                    count[key] += many
-                else:
-                    count[key] = many
-                    told[key] = langs[int(np.searchsorted(ends, begin, "right"))], b" ".join(words[begin : begin + length])
+                fill(keys_of(length + 1)[whole(length + 1) & _every(may, 2)] & (buckets - 1))
+            add(keys, np.flatnonzero(may), length)
+            if wanted is not None:
+                add(ones, np.sort(marked(wanted.value, ones)), 1)
             if len(count) > HELD:
                 yield batch_of([], [])
-        yield batch_of(*chunks(own) if buckets else ([], []))
+        fill(None)
+        yield batch_of(*chunks(np.minimum(own, most).astype(kind)) if buckets else ([], []))
 
-    return rows.mapInArrow(run, "lang string, phrase string, key long, n long, chunk int, counts binary")
+    return rows.mapInArrow(run, "lang string, phrase string, k int, key long, words array<long>, n long, chunk int, counts binary")
 
 
 def bucket_bits(rows: DataFrame, buckets: int, support: int) -> np.ndarray:
@@ -127,32 +154,38 @@ def bucket_bits(rows: DataFrame, buckets: int, support: int) -> np.ndarray:
 
 
 def frequent_phrases(rows: DataFrame, support: int, longest: int, least_buckets: int = LEAST_BUCKETS, most_buckets: int = MOST_BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """rows (lang, text) -> the frequent phrases (lang, phrase, k, f), and each language's number of words (lang, n)."""
-    spark = rows.sparkSession
-    share = spark.sparkContext.broadcast
+    """rows (lang, text) -> the frequent phrases of two words or more and the words in them (lang, phrase, k, f), and each language's number of words (lang, n)."""
+    share = rows.sparkSession.sparkContext.broadcast
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    wanted = 8 * size // 6 // support  # about eight buckets for as many words as may be the start of a frequent phrase
+    wanted = BUCKETS_EACH * size // 6 // support
     buckets = min(most_buckets, max(least_buckets, 1 << int(wanted).bit_length()))
-    found, totals, known, passed = [], None, None, None
-    for k in range(1, longest + 1):
+
+    def counted(length: int, ahead: int, **bits: Broadcast | None) -> tuple[DataFrame, DataFrame]:
+        made = durable(counting_pass(rows, length, ahead, support, **bits), f"pass{length}")
+        return made, durable(made.where("chunk is null").groupBy("lang", "phrase", "k", "key").agg(F.sum("n").alias("f"), F.first("words").alias("words")), f"counts{length}")
+
+    made, counts = counted(0, buckets)
+    totals, none = counts.select("lang", F.col("f").alias("n")), counts.where("false").select("lang", "phrase", "k", "f")
+    bits = bucket_bits(made, 2 * buckets, support)
+    singles, passed, known, held, found = share(bits[: buckets // 8]), share(bits[buckets // 8 :]), None, None, none
+    for k in range(2, longest + 1):
         ahead = buckets if k < longest else 0
-        counted = durable(counting_pass(rows, k, known, passed, ahead, support), f"pass{k}")
-        counts = durable(counted.where("chunk is null").groupBy("lang", "phrase", "key").agg(F.sum("n").alias("f")), f"counts{k}")
-        if k == 1:
-            totals = durable(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-        here = counts.where(F.col("f") >= support)
-        found.append(here.select("lang", "phrase", F.lit(k).alias("k"), "f"))
-        if not ahead or here.isEmpty():
+        made, counts = counted(k, ahead, singles=singles if k == 2 else None, frequent=known, passed=passed, wanted=held)
+        here = counts.where((F.col("f") >= support) & (F.col("k") == k))
+        found = found.unionByName(counts.where(F.col("f") >= support).select("lang", "phrase", "k", "f"))
+        if k == 2:
+            held = share(bitmap(here.select(F.explode("words").alias("key")).distinct()))
+        elif held is not None:
+            held = None  # counted once
+        if here.isEmpty() and k > 2:
             break
-        for x in (known, passed):
-            if x is not None:
-                x.unpersist()
-        known = share(bitmap(here.select("key").distinct()))
-        passed = share(bucket_bits(counted, ahead, support))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return durable(out, "frequent"), totals
+        if here.isEmpty():
+            return durable(none, "frequent"), totals
+        if ahead:
+            known, passed = share(bitmap(here.select("key").distinct())), share(bucket_bits(made, ahead, support))
+    if longest == 2:
+        found = found.unionByName(counted(1, 0, frequent=None, wanted=held, passed=share(np.zeros(1, np.uint8)))[1].select("lang", "phrase", "k", "f"))
+    return durable(found, "frequent"), totals
 
 
 def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Large tables of counters, filled by tasks and added up in Spark chunk by chunk.
 
-A task sends its counters as chunks, those without a count left out. The chunks of one number are added in two steps, so
-that neither their number of tasks nor the table's size meets in one task. What comes to the driver is one row a chunk.
+A task sends its counters as chunks, those without a count left out. The chunks of one number are added in two steps of
+about as many rows each, so that neither their number nor the table's size meets in one task. What comes to the driver is one row a chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counters of a chunk, and parts that the tasks' chunks of a number are added in first.
-CHUNK, PARTS = 1 << 14, 64
+#: Counters of a chunk.
+CHUNK = 1 << 14
 
 
 def chunks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -38,7 +39,8 @@ def added(rows: DataFrame, dtype: np.dtype, most: int | None = None, finish: Cal
 
         return run
 
-    parts = rows.select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(PARTS)).alias("part"))
+    most_rows = rows.groupBy("chunk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = rows.select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(math.isqrt(most_rows))).alias("part"))
     first = parts.groupBy("chunk", "part").applyInPandas(by(np.ndarray.tobytes), "chunk int, counts binary")
     return first.groupBy("chunk").applyInPandas(by(finish), "chunk int, counts binary")
 

@@ -10,8 +10,9 @@ this one keeps the frequent shingles out of prefixes. Shingles of prefixes that
 the join by a bitmap of fixed largest size.
 
 The result is what hangs together, so pairs that do so already need no verifying. Each member is first
-compared with the leader of its group, and each leader with one other group's. What the lists of a shingle still hold
-in several parts is then joined in pairs; a long list is cut by sizes and compared block by block instead.
+compared with the leader of its group, and each leader with that of the hub of its lists: the group that stands in most
+lists, as an original does beside its edited copies. Lists that still hold several parts get a few more hubs. What is open
+then is joined in all pairs that pass the bounds; long lists are dealt out by blocks.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_bytes, discard, durable, new_path, slices
+from tidemark.llm.common import discard, durable, new_path
 from tidemark.llm.components import components
 from tidemark.llm.counters import CHUNK, added, chunks, gathered
 from tidemark.llm.decontaminate import bitmap, marked
-from tidemark.llm.near_dedup import Shingler, compare_rest
+from tidemark.llm.word_arrays import pieces, shingle_sets
 
 #: Counters of shingles, and the bits of a hash that choose one.
 COUNTERS, COUNTER_BITS = 1 << 16, np.uint64(48)
-#: Members of a shingle's list that is joined in pairs; pairs of a document that one task verifies.
-SHORT, PART = 128, 512
+#: Hubs of a list in the second round; groups of a list's block; pairs of a document that one task verifies.
+HUBS, BLOCK, PART = 8, 1_000, 512
+#: Parts that a list's groups are ranked in before the hubs are chosen.
+RANKED = 64
 #: Sets of a task whose prefixes it sends once.
 SEEN = 200_000
 
@@ -54,11 +57,11 @@ def shingle_counts(docs: DataFrame, *, id_col: str, text_col: str, shingle: int)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, own = Shingler(shingle), np.zeros(COUNTERS, np.int64)
+        own = np.zeros(COUNTERS, np.int64)
         names = ["_id", "n_shingles", "set_key", "chunk", "counts"]
         id_type = None
-        for batch in slices(batches):
-            sets = [of(x) for x in ascii_bytes(batch.column(1))]
+        for batch in pieces(batches):
+            sets = shingle_sets(batch.column(1), shingle)
             own += np.bincount((np.concatenate(sets) >> COUNTER_BITS).astype(np.int64), minlength=COUNTERS)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             n, id_type = len(sets), batch.column(0).type
@@ -76,14 +79,14 @@ def prefixes(docs: DataFrame, counters, *, id_col: str, text_col: str, shingle:
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts, seen = Shingler(shingle), counters.value, set()
-        for batch in slices(batches):
+        counts, seen = counters.value, set()
+        for batch in pieces(batches):
             rows, groups, sizes, found = [], [], [], []
-            for row, text in enumerate(ascii_bytes(batch.column(1))):
-                s = of(text)
+            for row, s in enumerate(shingle_sets(batch.column(1), shingle)):
                 if not len(s):
                     continue
-                prefix = s[np.lexsort((s, counts[(s >> COUNTER_BITS).astype(np.int64)]))[: prefix_size(len(s), percent)]]
+                order = np.argsort(counts[(s >> COUNTER_BITS).astype(np.int64)], kind="stable")  # s is sorted, so ties are in order
+                prefix = s[order[: prefix_size(len(s), percent)]]
                 key = prefix.tobytes() + len(s).to_bytes(8, "little")
                 rows.append(row)
                 groups.append(xxhash.xxh3_64_intdigest(key) - (1 << 63))
@@ -102,56 +105,51 @@ def postings(rows: DataFrame, shared) -> DataFrame:
     """rows (grp, size, prefix) -> token, grp, size, place: the prefixes' shingles that may stand in several of them, each once a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [x for k, x in enumerate(batch.column(2)) if x.is_valid]
-            found = [k for k in range(batch.num_rows) if batch.column(2)[k].is_valid]
-            tokens, at, place = [], [], []
-            for k, x in zip(found, own, strict=True):
-                prefix = x.values.to_numpy()
-                hit = np.sort(marked(shared.value, prefix))
-                tokens.append(prefix[hit])
-                place.append(hit)
-                at.append(np.full(len(hit), k))
-            join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-            at = pa.array(join(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(join(tokens), pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(join(place), pa.int64())], ["token", "grp", "size", "place"])
-
-    return rows.select("grp", "size", "prefix").mapInArrow(run, "token long, grp long, size long, place long").distinct()
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """rep, shingles (64-bit numbers, sorted, as bytes) of the rows whose id is in wanted (rep), and perhaps of some others. Texts are not sent anywhere."""
+        for batch in pieces(batches):
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy()
+            many = np.diff(np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+            first = np.repeat(np.cumsum(many) - many, many)
+            hit = np.sort(marked(shared.value, tokens))
+            at = pa.array(np.repeat(np.arange(len(many)), many)[hit], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[hit], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array((np.arange(len(tokens)) - first)[hit], pa.int64())], ["token", "grp", "size", "place"])
+
+    return rows.where("prefix is not null").select("grp", "size", "prefix").mapInArrow(run, "token long, grp long, size long, place long").distinct()
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """rep, text of the rows whose id is in wanted (rep), and perhaps of some others. Nothing is shuffled."""
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("key")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingler(shingle)
-        for batch in slices(batches):
+        for batch in pieces(batches, 10_000):
             rows = pa.array(np.sort(marked(shared.value, batch.column(2).to_numpy())), pa.int64())
-            found = [of(x).tobytes() for x in ascii_bytes(batch.column(1).take(rows))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(found, pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["rep", "text"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_key"))
-    return rows.mapInArrow(run, f"rep {kind}, shingles binary").where(F.octet_length("shingles") > 0)
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_key"))
+    return rows.mapInArrow(run, f"rep {kind}, text string")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (u, v) -> those whose full sets are similar enough. The v of a u pass one by one, in parts of so many."""
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """pairs (u, v) -> those whose full sets are similar enough.
+
+    Texts are sent and not sets, since they compress to less. The v of a u pass one by one, in parts of so many.
+    """
     kind = dict(pairs.dtypes)["u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for batch in slices(batches):
+        for batch in pieces(batches):
             us, vs = [], []
-            for u, part, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
+            for u, part, v, s in zip(*(c.to_pylist() for c in batch.columns[:3]), shingle_sets(batch.column(3), shingle), strict=True):
                 if (u, part) != now:
                     now, own = (u, part), []
                 if v is None:
                     own.append(s)
                     continue
                 for o in own:
-                    if 100 * min(len(o), len(s)) < percent * max(len(o), len(s)):
+                    if 100 * min(len(o), len(s)) < percent * max(len(o), len(s)) or not len(s):
                         continue
                     at = np.minimum(o.searchsorted(s), len(o) - 1)
                     both = int((o[at] == s).sum())
@@ -163,66 +161,101 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
-    own = dealt.select("u", "part").distinct().join(sets, F.col("u") == F.col("rep")).select("u", "part", F.lit(None).cast(kind).alias("v"), "shingles")
-    other = dealt.join(sets, F.col("v") == F.col("rep")).select("u", "part", "v", "shingles")
+    own = dealt.select("u", "part").distinct().join(texts, F.col("u") == F.col("rep")).select("u", "part", F.lit(None).cast(kind).alias("v"), "text")
+    other = dealt.join(texts, F.col("v") == F.col("rep")).select("u", "part", "v", "text")
     dealt_out = own.unionByName(other).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     return dealt_out.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def passing(a: str, b: str, percent: int) -> Column:
+    """Whether two groups may hold linked sets, by their sizes and by the places of a shared shingle. For a pair's first shared one, what lies behind it is all that can be shared."""
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+    sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    left = F.least(size_a - F.col(f"place_{a}"), size_b - F.col(f"place_{b}"))
+    return sizes & ((100 + percent) * left >= percent * (size_a + size_b))
+
+
+def apart(a: str, b: str) -> Column:
+    """Whether two groups aren't both in one component."""
+    return (F.col(f"low_{a}") != F.col(f"high_{b}")) | (F.col(f"low_{b}") != F.col(f"high_{a}"))
+
+
+def _side(entries: DataFrame, name: str) -> DataFrame:
+    return entries.select(*(F.col(c).alias(c if c in ("token", "row", "block", "blocks") else f"{c}_{name}") for c in entries.columns))
+
+
+def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """entries (token, grp, size, place, degree, low, high) -> a, b: each group with the first hubs of its lists that it may be linked to."""
+    order = (F.col("degree").desc(), "grp")
+    part = F.pmod(F.xxhash64("grp"), F.lit(RANKED))
+    some = entries.withColumn("rank", F.row_number().over(Window.partitionBy("token", part).orderBy(*order))).where(F.col("rank") <= HUBS)
+    hubs = some.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rank") <= HUBS).drop("rank")
+    both = _side(entries, "a").join(_side(hubs, "b"), "token").where((F.col("grp_a") != F.col("grp_b")) & passing("a", "b", percent) & apart("a", "b"))
+    return both.select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b")).distinct()
+
+
 def group_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """entries (token, grp, size, place, low, high) -> a, b: pairs of groups that share a shingle and pass the bounds; none that one component holds."""
-    a, b = (entries.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("grp", "size", "place", "low", "high"))) for side in "ab")
-    col = F.col
-    before = (col("size_a") < col("size_b")) | ((col("size_a") == col("size_b")) & (col("grp_a") < col("grp_b")))
-    sizes = 100 * col("size_a") >= percent * col("size_b")
-    apart = (col("low_a") != col("high_b")) | (col("low_b") != col("high_a"))
-    left = F.least(col("size_a") - col("place_a"), col("size_b") - col("place_b"))  # with the shared one: of a pair's first shared one, all that can be shared
-    enough = (100 + percent) * left >= percent * (col("size_a") + col("size_b"))
-    return a.join(b, "token").where(before & sizes & apart & enough).select(col("grp_a").alias("a"), col("grp_b").alias("b")).distinct()
+    """entries (token, grp, size, place, low, high, n) -> a, b: all pairs of groups that share a shingle and pass the bounds; none that one component holds.
+
+    A list of n groups is cut into blocks by a hash, and each pair of blocks is joined by itself.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("grp"), "blocks").cast("int")).drop("n", "degree")
+    a = _side(own, "a").withColumn("row", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    b = _side(own, "b").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    before = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("grp_a") < F.col("grp_b")))
+    return a.join(b, ["token", "row", "block"]).where(before & passing("a", "b", percent) & apart("a", "b")).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
 
 
 def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges u, v between ids in reps (rep: one document of each distinct set) that connect all that is linked."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    kind = dict(docs.dtypes)[id_col]
-    of = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
-    rows = durable(prefixes(docs, share(counters), percent=percent, **of), "prefixes", at := new_path(spark, "prefixes"))
+    of = {"id_col": id_col, "text_col": text_col}
+    rows = durable(prefixes(docs, share(counters), shingle=shingle, percent=percent, **of), "prefixes", at := new_path(spark, "prefixes"))
     several = durable(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
     entries = durable(postings(rows, share(bitmap(several))), "postings")
     members = durable(rows.join(reps, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "grp", "size").distinct(), "members")
     discard(spark, at)
     groups = durable(members.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("m")), "groups")
-    lists = entries.groupBy("token").agg(F.min("grp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub")
-    entries = durable(entries.join(lists, "token").join(groups.select("grp"), "grp", "left_semi"), "entries")
-    # each member with its group's leader, each leader with that of one other group
-    hubs = entries.where("grp != hub").groupBy("grp").agg(F.min("hub").alias("hub"))
+    degree = durable(entries.groupBy("grp").agg(F.count("*").alias("degree")).join(groups.select("grp"), "grp", "left_semi"), "degrees")
+    ranked = durable(entries.join(degree, "grp"), "ranked")
+    top = F.max(F.struct("degree", (-F.col("grp")).alias("g"), "size", "place"))
+    lists = ranked.groupBy("token").agg(top.alias("hub"), F.count("*").alias("n")).where("n > 1")
+    entries = durable(ranked.join(lists.select("token", "n", (-F.col("hub.g")).alias("grp_b"), F.col("hub.degree").alias("degree_b"), F.col("hub.size").alias("size_b"), F.col("hub.place").alias("place_b")), "token"), "entries")
+    # each member with its group's leader, each leader with that of one hub
+    near = entries.withColumnsRenamed({"size": "size_a", "place": "place_a"}).where((F.col("grp") != F.col("grp_b")) & passing("a", "b", percent))
+    hubs = near.groupBy("grp").agg(F.max(F.struct("degree_b", (-F.col("grp_b")).alias("g"))).alias("best")).select("grp", (-F.col("best.g")).alias("hub"))
     leader = lambda g, name: groups.select(F.col("grp").alias(g), F.col("leader").alias(name))
-    first = hubs.join(leader("grp", "u"), "grp").join(leader("hub", "v"), "hub").select(F.col("v").alias("u"), F.col("u").alias("v"))
+    first = hubs.join(leader("hub", "u"), "hub").join(leader("grp", "v"), "grp").select("u", "v")
     within = members.join(groups.where("m > 1"), "grp").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
     pairs = durable(within.union(first).where("u != v").distinct(), "first_pairs")
-    wanted = entries.select("grp").distinct().union(groups.where("m > 1").select("grp")).distinct()
-    sets = durable(sets_of(docs, members.join(wanted, "grp", "left_semi"), **of), "sets")
-    edges = durable(verified(pairs, sets, percent), "first_links")
-    # what the lists still hold in several components
-    found = durable(components(edges), "components")
-    named = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "grp", "size", F.coalesce("component", "rep").alias("component")).join(wanted, "grp", "left_semi"), "named")
-    spread = durable(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")), "spread")
-    labelled = entries.join(spread, "grp")
-    open_ = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("m").alias("all")).where("least != most").select("token", "all")
-    labelled = durable(labelled.join(open_, "token"), "open")
-    torn = spread.where("low != high")
-    pairs = group_pairs(labelled.where(F.col("all") <= SHORT), percent).union(torn.where(F.col("m") <= SHORT).select(F.col("grp").alias("a"), F.col("grp").alias("b")))
-    member = lambda side, name: named.select(F.col("grp").alias(side), F.col("rep").alias(name), F.col("component").alias(f"of_{name}"))
-    expanded = pairs.join(member("a", "u"), "a").join(member("b", "v"), "b").where("of_u != of_v and (a != b or u < v)")
-    pairs = durable(expanded.select("u", "v").distinct(), "pairs")
-    edges = edges.unionByName(durable(verified(pairs, sets, percent), "links"))
-    # lists and groups too long for pairs
-    long = labelled.where(F.col("all") > SHORT).select(F.col("token").alias("key"), "grp").union(torn.where(F.col("m") > SHORT).select(F.col("grp").alias("key"), "grp")).distinct()
-    if long.isEmpty():
-        return edges
-    part = durable(long.join(named, "grp").select("key", "rep", "size", "component").distinct(), "long")
-    return edges.unionByName(compare_rest(part, sets, percent, kind))
+    entries = entries.select("token", "n", "grp", "size", "place", "degree")
+    wanted = durable(entries.select("grp").distinct().union(groups.where("m > 1").select("grp")).distinct(), "wanted")
+    known = members.join(wanted, "grp", "left_semi")
+    texts = durable(texts_of(docs, known, **of), "texts")
+    edges = durable(verified(pairs, texts, shingle, percent), "links")
+
+    def open_lists(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members with their components, groups that several components hold, and the entries of lists that several do."""
+        named = durable(known.join(found, F.col("rep") == F.col("node"), "left").select("rep", "grp", F.coalesce("component", "rep").alias("component")), "named")
+        spread = durable(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "spread")
+        labelled = entries.join(spread, "grp")
+        still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
+        return named, spread.where("low != high"), durable(labelled.join(still, "token", "left_semi"), "open")
+
+    def expanded(named: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The members' pairs of pairs of groups, in different components only."""
+        member = lambda side, name: named.select(F.col("grp").alias(side), F.col("rep").alias(name), F.col("component").alias(f"of_{name}"))
+        both = pairs.join(member("a", "u"), "a").join(member("b", "v"), "b").where("of_u != of_v and (a != b or u < v)")
+        return durable(both.select("u", "v").distinct(), "pairs")
+
+    named, torn, open_ = open_lists(durable(components(edges), "components"))
+    more = durable(verified(expanded(named, hub_pairs(open_, percent)), texts, shingle, percent), "links")
+    edges = edges.unionByName(more)
+    named, torn, open_ = open_lists(durable(components(edges), "components"))
+    pairs = group_pairs(open_, percent).union(torn.select(F.col("grp").alias("a"), F.col("grp").alias("b")))
+    return edges.unionByName(durable(verified(expanded(named, pairs), texts, shingle, percent), "links"))
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
