@@ -9,6 +9,8 @@ from tidemark.functions.jsontext import repeated_keys
 from tidemark.operators.hashtree import tree_drift
 from tidemark.operators.matching import tagged
 from tidemark.operators.ranges import containing, overlapping
+from tidemark.operators.retrieval import ranked_articles
+from tidemark.plans.derived import NEWS, news
 from tidemark.sources.passes import availability, two_passes
 from tidemark.sources.tables import read
 
@@ -60,6 +62,15 @@ def repeated_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.array_join(keys, ",").alias("keys"), F.size(keys).cast("long").alias("n"))
 
 
+def article_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three articles of a law nearest to each question. News titles and summaries are articles, forty a law; every seventh, with a number of its own, asks as well."""
+    n, i = news(spark, sf_dir), F.col("id")
+    law = F.floor(i / 40)
+    articles = n.select(i.alias("d"), law.alias("law"), F.concat_ws(" ", "title", "summary", (i % 9).cast("string")).alias("text"))
+    asked = n.where(i % 7 == 3).select(i.alias("q"), law.alias("law"), F.concat_ws(" ", "title", (i % 5).cast("string"), F.lit("1,200")).alias("text"))
+    return ranked_articles(asked, articles, 3).select("q", "d", "score", "shared", "evidence", "place")
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each host of pages as a source that gives its pages' numbers: some fail at first, some both times, some are optional."""
     p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1).alias("name"))
@@ -89,14 +100,23 @@ def source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return availability(o.withColumn("entries", F.when(F.col("n_entries").isNotNull(), F.sequence(F.lit(1).cast("long"), F.col("n_entries")))))
 
 
-QUERIES = {f.__name__: f for f in (alias_tags, range_impact, range_overlaps, tree_differences, repeated_json_keys, source_outcomes, source_gate)}
+QUERIES = {f.__name__: f for f in (alias_tags, range_impact, range_overlaps, tree_differences, repeated_json_keys, article_retrieval, source_outcomes, source_gate)}
 
 CHANGES = "c as (select o_orderkey change, o_custkey % 50 law, o_orderkey % 1500 low, o_orderkey % 1500 + o_orderkey % 37 - 2 high from orders where o_orderkey % 20 = 0)"
 FIELDS = ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 SOURCES = """p as (select page_id, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) as name from pages), s as (select name, min(page_id) place, sum(page_id) t, count(*) n, sum(page_id) % 5 = 0 optional from p group by 1),
  o as (select name, place, optional, case when t % 3 <> 0 then n when not optional and t % 2 <> 0 then n end n_entries, case when t % 3 <> 0 then 'ok' when optional then 'optional_error' when t % 2 <> 0 then 'recovered' else 'failed' end outcome, t from s)"""
 REPEATS = """case when event_id % 3 = 0 then ['a'] else [] end"""
+GRAM = lambda n: f"list_transform(generate_series(1, length(p) - {n - 1}), lambda i: substr(p, cast(i as integer), {n}))"
+GRAMS = f"list_distinct(list_concat(list_concat({GRAM(2)}, {GRAM(3)}), {GRAM(4)}))"
+READ = r"regexp_replace(t, '[^\p{L}\p{N}]', '', 'g') p, list_distinct(regexp_extract_all(t, '([0-9]+(?:\.[0-9]+)?%?)', 1)) m"
 ORACLE = {
+    "article_retrieval": f"""with {NEWS}, d as (select id d, id // 40 law, concat_ws(' ', title, summary, (id % 9)::varchar) t from news), q as (select id q, id // 40 law, concat_ws(' ', title, (id % 5)::varchar, '1,200') t from news where id % 7 = 3),
+ dg as (select d, law, m, {GRAMS} g from (select *, {READ} from d)), qg as (select q, law, m, {GRAMS} g from (select *, {READ} from q) where length(p) >= 4), dt as (select d, law, unnest(g) t from dg), qt as (select q, law, unnest(g) t from qg where len(g) >= 3),
+ n as (select law, count(*) n from d group by 1), f as (select law, t, count(*) df from dt group by 1, 2), w as (select qt.*, cast(round((ln((n + 1)::double / (coalesce(df, 0) + 1)) + 1) * 1000000) as bigint) w from qt join n on n.law = qt.law left join f on f.law = qt.law and f.t = qt.t),
+ a as (select q, sum(w)::double s from w group by 1), h as (select w.q, dt.d, sum(w)::double got, count(*) shared, array_to_string((list(w.t order by length(w.t) desc, w desc, w.t))[:8], '|') evidence from w join dt on dt.law = w.law and dt.t = w.t group by 1, 2),
+ s as (select h.q, h.d, shared, evidence, round(least(1.0::double, 0.88::double * (got / s) + 0.12::double * (shared::double / (len(qg.g) + len(dg.g) - shared)) + case when len(qg.m) > 0 then 0.08::double * (len(list_intersect(qg.m, dg.m))::double / len(qg.m)) else 0 end), 6) score from h join a on a.q = h.q join qg on qg.q = h.q join dg on dg.d = h.d),
+ r as (select *, row_number() over (partition by q order by score desc, shared desc, d) place from s) select q, d, score, shared, evidence, place from r where place <= 3""",
     "alias_tags": """with a as (select distinct item_id::varchar k, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1), lambda w: regexp_full_match(w, '[a-z]{9,}'))) w from benchmark),
  d as (select distinct doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) w from documents), h as (select doc_id, count(distinct k) n, min(k) f, max(k) l from d join a on a.w = d.w group by 1)
  select documents.doc_id, cast(coalesce(n, 0) as bigint) n, f as first, l as last from documents left join h on h.doc_id = documents.doc_id""",
