@@ -9,10 +9,10 @@ The order comes from a small table of counters, one for all shingles whose hashe
 this one keeps the frequent shingles out of prefixes. Shingles of prefixes that stand in one document only are found by a count and left out of
 the join by a bitmap of fixed largest size.
 
-The result is what hangs together, so pairs that do so already need no verifying. Each member is first
-compared with the leader of its group, and each leader with that of the hub of its lists: the group that stands in most
-lists, as an original does beside its edited copies. Lists that still hold several parts get a few more hubs. What is open
-then is joined in all pairs that pass the bounds; long lists are dealt out by blocks.
+Groups that share a shingle of a short list are all paired. The number of shingles that a pair shares in its prefixes
+bounds what it can share at all, and drops most pairs. In long lists, groups are first paired with a few hubs, those that stand
+in most lists, as an original does beside its edited copies. The result is what hangs together, so only long lists that
+then still hold several parts are paired as a whole, under the same bounds and dealt out by blocks.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from tidemark.llm.word_arrays import pieces, shingle_sets
 
 #: Counters of shingles, and the bits of a hash that choose one.
 COUNTERS, COUNTER_BITS = 1 << 16, np.uint64(48)
-#: Hubs of a list in the second round; groups of a list's block; pairs of a document that one task verifies.
-HUBS, BLOCK, PART = 8, 1_000, 512
+#: Groups of a short list; hubs of a long one; groups of a long list's block; pairs of a document that one task verifies.
+SHORT, HUBS, BLOCK, PART = 32, 8, 1_000, 512
 #: Parts that a list's groups are ranked in before the hubs are chosen.
 RANKED = 64
 #: Sets of a task whose prefixes it sends once.
@@ -167,17 +167,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return dealt_out.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def passing(a: str, b: str, percent: int) -> Column:
-    """Whether two groups may hold linked sets, by their sizes and by the places of a shared shingle. For a pair's first shared one, what lies behind it is all that can be shared."""
-    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
-    sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
-    left = F.least(size_a - F.col(f"place_{a}"), size_b - F.col(f"place_{b}"))
-    return sizes & ((100 + percent) * left >= percent * (size_a + size_b))
+def fitting(a: str, b: str, percent: int) -> Column:
+    """Whether sets of such sizes may be linked."""
+    return 100 * F.least(f"size_{a}", f"size_{b}") >= percent * F.greatest(f"size_{a}", f"size_{b}")
 
 
-def apart(a: str, b: str) -> Column:
-    """Whether two groups aren't both in one component."""
-    return (F.col(f"low_{a}") != F.col(f"high_{b}")) | (F.col(f"low_{b}") != F.col(f"high_{a}"))
+def enough(shared: Column, percent: int) -> Column:
+    """Whether groups a and b, with so many shingles shared by their prefixes at most, may hold linked sets. Behind the prefix that ends first, all of that set may be shared."""
+    behind = lambda side: F.ceil(percent * F.col(f"size_{side}") / 100) - 1
+    return (100 + percent) * (shared + F.greatest(behind("a"), behind("b"))) >= percent * (F.col("size_a") + F.col("size_b"))
 
 
 def _side(entries: DataFrame, name: str) -> DataFrame:
@@ -185,26 +183,30 @@ def _side(entries: DataFrame, name: str) -> DataFrame:
 
 
 def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """entries (token, grp, size, place, degree, low, high) -> a, b: each group with the first hubs of its lists that it may be linked to."""
+    """entries (token, grp, size, place, degree) of long lists -> a, b: each group with the first hubs of its lists that it may be linked to."""
     order = (F.col("degree").desc(), "grp")
     part = F.pmod(F.xxhash64("grp"), F.lit(RANKED))
     some = entries.withColumn("rank", F.row_number().over(Window.partitionBy("token", part).orderBy(*order))).where(F.col("rank") <= HUBS)
     hubs = some.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rank") <= HUBS).drop("rank")
-    both = _side(entries, "a").join(_side(hubs, "b"), "token").where((F.col("grp_a") != F.col("grp_b")) & passing("a", "b", percent) & apart("a", "b"))
-    return both.select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b")).distinct()
+    both = _side(entries, "a").join(_side(hubs, "b"), "token").where((F.col("grp_a") != F.col("grp_b")) & fitting("a", "b", percent))
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))  # of a pair's first shared shingle, what lies behind it is all that can be shared
+    both = both.where((100 + percent) * left >= percent * (F.col("size_a") + F.col("size_b")))
+    best = both.groupBy("grp_a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("degree_b")).alias("d"), "grp_b"))), 1, 2).alias("best"))  # a group has few lists, and a list few hubs
+    return best.select(F.col("grp_a"), F.explode("best.grp_b").alias("grp_b")).select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b"))
 
 
-def group_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """entries (token, grp, size, place, low, high, n) -> a, b: all pairs of groups that share a shingle and pass the bounds; none that one component holds.
+def group_pairs(entries: DataFrame, percent: int, condition: Column | None = None) -> DataFrame:
+    """entries (token, grp, size, n, other, ...) -> a, b: pairs of groups that share a shingle and pass the bounds. other is how many shingles a group has in lists that aren't here.
 
     A list of n groups is cut into blocks by a hash, and each pair of blocks is joined by itself.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = entries.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("grp"), "blocks").cast("int")).drop("n", "degree")
+    own = entries.drop("place", "degree").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").withColumn("block", F.pmod(F.xxhash64("grp"), "blocks").cast("int"))
     a = _side(own, "a").withColumn("row", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     b = _side(own, "b").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    before = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("grp_a") < F.col("grp_b")))
-    return a.join(b, ["token", "row", "block"]).where(before & passing("a", "b", percent) & apart("a", "b")).select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
+    pairs = a.join(b, ["token", "row", "block"]).where((F.col("grp_a") < F.col("grp_b")) & fitting("a", "b", percent))
+    pairs = pairs if condition is None else pairs.where(condition)
+    counted = pairs.groupBy(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"), "size_a", "size_b", "other_a", "other_b").agg(F.count("*").alias("shared"))
+    return counted.where(enough(F.col("shared") + F.least("other_a", "other_b"), percent)).select("a", "b")
 
 
 def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -214,35 +216,22 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
     of = {"id_col": id_col, "text_col": text_col}
     rows = durable(prefixes(docs, share(counters), shingle=shingle, percent=percent, **of), "prefixes", at := new_path(spark, "prefixes"))
     several = durable(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
-    entries = durable(postings(rows, share(bitmap(several))), "postings")
-    members = durable(rows.join(reps, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "grp", "size").distinct(), "members")
+    posted = durable(postings(rows, share(bitmap(several))), "postings")
+    members = durable(rows.join(reps, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "grp").distinct(), "members")
     discard(spark, at)
     groups = durable(members.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("m")), "groups")
-    degree = durable(entries.groupBy("grp").agg(F.count("*").alias("degree")).join(groups.select("grp"), "grp", "left_semi"), "degrees")
-    ranked = durable(entries.join(degree, "grp"), "ranked")
-    top = F.max(F.struct("degree", (-F.col("grp")).alias("g"), "size", "place"))
-    lists = ranked.groupBy("token").agg(top.alias("hub"), F.count("*").alias("n")).where("n > 1")
-    entries = durable(ranked.join(lists.select("token", "n", (-F.col("hub.g")).alias("grp_b"), F.col("hub.degree").alias("degree_b"), F.col("hub.size").alias("size_b"), F.col("hub.place").alias("place_b")), "token"), "entries")
-    # each member with its group's leader, each leader with that of one hub
-    near = entries.withColumnsRenamed({"size": "size_a", "place": "place_a"}).where((F.col("grp") != F.col("grp_b")) & passing("a", "b", percent))
-    hubs = near.groupBy("grp").agg(F.max(F.struct("degree_b", (-F.col("grp_b")).alias("g"))).alias("best")).select("grp", (-F.col("best.g")).alias("hub"))
-    leader = lambda g, name: groups.select(F.col("grp").alias(g), F.col("leader").alias(name))
-    first = hubs.join(leader("hub", "u"), "hub").join(leader("grp", "v"), "grp").select("u", "v")
-    within = members.join(groups.where("m > 1"), "grp").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
-    pairs = durable(within.union(first).where("u != v").distinct(), "first_pairs")
-    entries = entries.select("token", "n", "grp", "size", "place", "degree")
-    wanted = durable(entries.select("grp").distinct().union(groups.where("m > 1").select("grp")).distinct(), "wanted")
-    known = members.join(wanted, "grp", "left_semi")
-    texts = durable(texts_of(docs, known, **of), "texts")
-    edges = durable(verified(pairs, texts, shingle, percent), "links")
-
-    def open_lists(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Members with their components, groups that several components hold, and the entries of lists that several do."""
-        named = durable(known.join(found, F.col("rep") == F.col("node"), "left").select("rep", "grp", F.coalesce("component", "rep").alias("component")), "named")
-        spread = durable(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "spread")
-        labelled = entries.join(spread, "grp")
-        still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
-        return named, spread.where("low != high"), durable(labelled.join(still, "token", "left_semi"), "open")
+    known = posted.join(groups.select("grp"), "grp", "left_semi")
+    lists = known.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    listed = known.join(lists, "token")
+    degree = F.count("*").alias("degree"), F.count_if(F.col("n") > SHORT).alias("long")
+    entries = durable(listed.join(listed.groupBy("grp").agg(*degree), "grp"), "entries")
+    is_long = F.col("n") > SHORT
+    short = entries.where(~is_long).withColumn("other", F.col("long")).drop("long")
+    long = entries.where(is_long).withColumn("other", F.col("degree") - F.col("long")).drop("long")
+    pairs = durable(group_pairs(short, percent).union(hub_pairs(long.drop("n", "other"), percent)).distinct(), "group_pairs")
+
+    def texts(named: DataFrame, name: str) -> DataFrame:
+        return durable(texts_of(docs, named, **of), name)
 
     def expanded(named: DataFrame, pairs: DataFrame) -> DataFrame:
         """The members' pairs of pairs of groups, in different components only."""
@@ -250,12 +239,28 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
         both = pairs.join(member("a", "u"), "a").join(member("b", "v"), "b").where("of_u != of_v and (a != b or u < v)")
         return durable(both.select("u", "v").distinct(), "pairs")
 
-    named, torn, open_ = open_lists(durable(components(edges), "components"))
-    more = durable(verified(expanded(named, hub_pairs(open_, percent)), texts, shingle, percent), "links")
-    edges = edges.unionByName(more)
-    named, torn, open_ = open_lists(durable(components(edges), "components"))
-    pairs = group_pairs(open_, percent).union(torn.select(F.col("grp").alias("a"), F.col("grp").alias("b")))
-    return edges.unionByName(durable(verified(expanded(named, pairs), texts, shingle, percent), "links"))
+    # leaders of paired groups, and each member with its group's leader
+    leader = lambda side, name: groups.select(F.col("grp").alias(side), F.col("leader").alias(name))
+    within = members.join(groups.where("m > 1"), "grp").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
+    first = durable(pairs.join(leader("a", "u"), "a").join(leader("b", "v"), "b").select("u", "v").union(within).where("u != v").distinct(), "first_pairs")
+    edges = durable(verified(first, texts(first.select(F.col("u").alias("rep")).union(first.select("v")).distinct(), "texts"), shingle, percent), "links")
+    found = durable(components(edges), "components")
+    named = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "grp", F.coalesce("component", "rep").alias("component")), "named")
+    spread = durable(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")), "spread")
+    apart = (F.col("low_a") != F.col("high_b")) | (F.col("low_b") != F.col("high_a"))
+    # of groups with several members, only the leaders are compared yet
+    side = lambda x: spread.select(F.col("grp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("low", "high", "m")))
+    again = pairs.join(side("a"), "a").join(side("b"), "b").where(apart & ((F.col("m_a") > 1) | (F.col("m_b") > 1))).select("a", "b")
+    again = again.union(spread.where("low != high").select(F.col("grp").alias("a"), F.col("grp").alias("b")))
+    # long lists that several components hold
+    labelled = long.join(spread.drop("m"), "grp")
+    still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
+    open_ = durable(labelled.join(still, "token", "left_semi"), "open")
+    rest = expanded(named, durable(again.union(group_pairs(open_, percent, apart)).distinct(), "open_pairs"))
+    if rest.isEmpty():
+        return edges
+    ids = rest.select(F.col("u").alias("rep")).union(rest.select("v")).distinct()
+    return edges.unionByName(durable(verified(rest, texts(ids, "texts"), shingle, percent), "links"))
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
