@@ -173,7 +173,9 @@ def near_texts(r):
 @pytest.mark.parametrize("block", [jaccard_join.BLOCK, 3])
 def test_jaccard_join_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)  # 3: most lists are cut into blocks
-    monkeypatch.setattr(jaccard_join, "HUBS", jaccard_join.HUBS if block > 3 else 1)
+    if block == 3:
+        monkeypatch.setattr(jaccard_join, "HUBS", 1)
+        monkeypatch.setattr(jaccard_join, "SHORT", 2)
     for seed in (1, 2):
         texts = near_texts(random.Random(seed))
         ids = list(range(len(texts)))
@@ -182,6 +184,21 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, block):
         assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in found) == brute_similar(texts, ids)
 
 
+def test_members_of_groups_whose_leaders_are_not_linked(spark, monkeypatch):
+    """Two groups with the same rare words each: only members that aren't their leaders are linked."""
+    common = [f"c{k}" for k in range(400)]
+    rare = lambda k, n: [f"r{k}x{j}" for j in range(n)]
+    texts = []
+    for k in range(12):  # frequent passages, so that they stand behind the rare words in the order
+        texts += [" ".join(common[a : a + 60] + rare(f"{k}y{a}", 40)) for a in range(0, 400, 50)]
+    one, two = rare("p", 40), rare("p", 36) + rare("q", 4)
+    for tail in (common[:60], common[60:120]):
+        texts += [" ".join(one + tail), " ".join(two + tail)]
+    texts += [" ".join(one + common[:60][::-1])]
+    found = jaccard_join.similar_documents(docs(spark, texts)).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in found) == brute_similar(texts, list(range(len(texts))))
+
+
 def test_jaccard_join_with_text_ids_repeats_and_nulls(spark):
     texts = near_texts(random.Random(4))[:60] + ["same text of some words here"] * 3 + [None, "", "unique words stand here now"]
     ids = [f"d{k % 50:02d}" for k in range(60)] + [None, "d07", "zz", "n1", "n2", None]
