@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import paged
+from tidemark.sources import paged, shards
 from tidemark.sources.passes import availability, two_passes
 
 SCHEMA = "id long, name string, score double"
@@ -68,6 +68,12 @@ def test_a_snapshot_is_seen_only_when_it_is_whole(spark, tmp_path):
     assert read() == []
 
 
+def test_only_files_of_six_digits_come_in(spark, tmp_path):
+    for name, text in {"000012.json": '[{"id": "a"}, {"id": "b"}]', "113001.json": '{"items": [{"id": "c"}]}', "draft.json": '[{"id": "x"}]', "0000123.json": '[{"id": "y"}]', "00001a.json": '[{"id": "z"}]'}.items():
+        (tmp_path / name).write_text(text)
+    assert sorted(map(tuple, shards.incoming(spark, str(tmp_path), "struct<id: string>").collect())) == [("000012", "a"), ("000012", "b"), ("113001", "c")]
+
+
 def test_only_failed_mandatory_sources_are_read_again(spark):
     sources = spark.createDataFrame([("a", 1, False), ("b", 2, False), ("c", 3, True), ("d", 4, False), ("e", 5, False)], "name string, place int, optional boolean")
     asked = []

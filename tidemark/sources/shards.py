@@ -72,6 +72,15 @@ def json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
     return text.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def incoming(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """Rows of the folder's files whose names are six digits, with the file's number; others, such as drafts, are not read."""
+    text = spark.read.text(f"{path}/{'[0-9]' * 6}.json", wholetext=True).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), "([0-9]{6})[.]json$", 1))
+    as_list = F.from_json("value", f"array<{item}>")
+    under = lambda name: F.from_json("value", f"struct<{name}: array<{item}>>")[name]
+    rows = F.when(F.ltrim("value").startswith("["), as_list).otherwise(F.coalesce(under("questions"), under("items")))
+    return text.select(F.col("_file").alias("file"), F.explode(rows).alias("x")).select("file", "x.*")
+
+
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header; a byte order mark before it is no part of the first name."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(path)
