@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import has_alias
 from tidemark.functions.jsontext import repeated_keys
 from tidemark.operators import hashtree, matching, ranges
-from tidemark.operators.relations import drift
+from tidemark.operators.relations import containments, drift
 
 
 @pytest.mark.parametrize("part", [matching.PART, 4])
@@ -50,6 +50,14 @@ def test_range_joins_equal_all_pairs(spark, hot):
     assert got == sorted((q, b[0]) for q, x, y in rows for b in spans if b[1] == "a" and b[3] is not None and b[2] <= b[3] and x <= b[3] and b[2] <= y)
 
 
+def test_containments_equal_all_pairs(spark):
+    r = random.Random(4)
+    left, right = ([r.choice([None, "", "a"]) if k % 20 == 0 else "".join(r.choice("ab甲") for _ in range(r.randrange(7))) for k in range(80)] for _ in range(2))
+    frame = lambda xs, name: spark.createDataFrame([(x,) for x in xs], f"{name} string")
+    got = {tuple(x) for x in containments(frame(left, "a"), frame(right, "b"), "a", "b").collect()}
+    assert got == {(a, b) for a in left for b in right if a is not None and b is not None and (a in b or b in a)}
+
+
 def test_tree_drift_equals_the_full_join_and_joins_few_rows(spark):
     old = spark.range(5000).select("id", (F.col("id") % 10).alias("a"), F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise("x").alias("b"))
     new = old.where("id % 997 != 3").withColumn("b", F.when(F.col("id") % 1500 == 1, F.lit(None)).otherwise(F.col("b"))).withColumn("a", F.when(F.col("id") == 8, F.lit(-1)).otherwise(F.col("a")))

@@ -21,6 +21,7 @@ def landed(spark, tmp_path):
 
 
 def drain(df, name, mode, where):
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(where)).trigger(availableNow=True).start()
     assert q.awaitTermination(180)
     return df.sparkSession.table(name)
@@ -86,3 +87,13 @@ def test_rate_limit_against_batch(spark, tmp_path):
     out = {r.event_id: r.accepted for r in got.collect()}
     assert set(out) == set(want) and not all(out.values())
     assert sum(out[e] == want[e] for e in want) == len(want)
+
+
+def test_a_command_that_is_sent_again_counts_once(spark, tmp_path):
+    rows = [("t1", "a", "2024-01-01 00:00:00", 1), ("t1", "a", "2024-01-01 00:00:05", 2), ("t1", "b", "2024-01-01 00:00:06", 3), ("t2", "a", "2024-01-01 00:00:07", 4)]
+    frame = spark.createDataFrame(rows, "task string, idempotency_key string, t string, seq long").select("task", "idempotency_key", F.col("t").cast("timestamp").alias("ts"), "seq")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    frame.where("seq = 2").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = drain(telemetry.once(stream), "once", "append", tmp_path / "c")
+    assert sorted((x.task, x.idempotency_key) for x in got.collect()) == [("t1", "a"), ("t1", "b"), ("t2", "a")]

@@ -71,8 +71,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC with white space runs as one space; Spark SQL has no normalize()."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """NFKC with white space runs as one space; Spark SQL has no normalize(). Only texts with other than ASCII characters are normalised in Python."""
+    plain = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x20]+", " "))
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, F.pandas_udf(_nfkc, "string")(F.when(other, text))).otherwise(plain)
 
 
 def title_norm(text: Column) -> Column:

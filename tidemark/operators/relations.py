@@ -130,6 +130,21 @@ def jaccard_pairs(rows: DataFrame, id_col: str, block: str, tokens: str, percent
     return out.where(100 * F.col("n_shared") >= percent * F.col("n_all"))
 
 
+def containments(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b: the distinct texts of left and right of which one contains the other (equal ones included), null ones left out.
+
+    A text that another holds brings its first two characters along, so each is joined by its own with all runs of two
+    characters of the other side; those of a single character by that, an empty one with all.
+    """
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    head = lambda c: F.substring(c, 1, 2)
+    every = lambda c: F.array_distinct(F.concat(F.array(F.lit("")), chars(F.col(c)), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(2)))))
+    x, y = left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct()
+    inside = x.withColumn("k", head(F.col(a))).join(y.withColumn("k", F.explode(every(b))), "k").where(F.contains(b, a))
+    around = x.withColumn("k", F.explode(every(a))).join(y.withColumn("k", head(F.col(b))), "k").where(F.contains(a, b))
+    return inside.select(a, b).unionByName(around.select(a, b)).distinct()
+
+
 def alike_pairs(rows: DataFrame, id_col: str, block: str, tokens: str, jaccard_percent: int, overlap_percent: int) -> DataFrame:
     """Pairs (a < b) inside a block with 100 * shared >= jaccard_percent * all tokens, or >= overlap_percent * tokens of the smaller set: n_shared, n_all, n_less.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import nfkc, utc
+from tidemark.operators.relations import containments
 from tidemark.operators.rules import ladder
 from tidemark.plans.derived import pick, quoted, sql_pick
 from tidemark.sources.tables import read
@@ -237,9 +238,9 @@ def search_key(text: Column) -> Column:
 def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names (brands of parts, as written in texts) and the first entry (distinct types) that contains them or that they contain, five at most for each size of parts."""
     p = read(spark, sf_dir, "part")
-    entries = p.select(search_key(F.col("p_type")).alias("e")).distinct()  # a short dictionary
+    entries = p.select(search_key(F.col("p_type")).alias("e")).distinct()
     names = p.select("p_size", search_key(F.substring("p_type", 3, 6)).alias("n")).distinct()
-    hit = names.join(F.broadcast(entries), (F.col("e") == F.col("n")) | F.contains("e", "n") | F.contains("n", "e")).groupBy("p_size", "n").agg(F.min("e").alias("hit"))
+    hit = names.join(containments(names, entries, "n", "e"), "n").groupBy("p_size", "n").agg(F.min("e").alias("hit"))
     g = hit.groupBy("p_size").agg(F.slice(F.array_sort(F.collect_set("hit")), 1, 5).alias("hits"))
     return g.select("p_size", F.array_join("hits", ",").alias("hits"))
 
