@@ -41,6 +41,7 @@ def brute_phrases(rows, support, top):
 @pytest.mark.parametrize(("least", "most", "top", "held"), [(1 << 16, 1 << 27, 2000, 100_000), (64, 64, 7, 3)])  # with room, and with crowded buckets and small parts
 def test_collocations_against_brute_force(spark, monkeypatch, least, most, top, held):
     monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "WAITING", collocations.WAITING if held > 3 else 10)
     r = random.Random(3)
     words = "alpha Beta gamma délta ΣΊΓΜΑ the of to . , ; new york city new york x y Ünder".split(" ")
     texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 120))) for _ in range(60)]

@@ -32,8 +32,8 @@ INSIDE = 100
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 25
 #: Buckets for as many words as may be the start of a frequent phrase.
 BUCKETS_EACH = 2
-#: Phrases of a task's own counts at most, before they are sent on.
-HELD = 300_000
+#: Phrases of a task's own counts, and places in its buckets, at most before they are sent on or counted.
+HELD, WAITING = 300_000, 1 << 22
 #: Bytes between pieces, and between words.
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 APART = BREAK | np.isin(np.arange(256), list(b" \t"))
@@ -86,12 +86,17 @@ def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, sing
             return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "k", "key", "words", "n", "chunk", "counts"])
 
         def fill(places: np.ndarray | None) -> None:
-            """Count places, many at once."""
+            """Count places, WAITING of them at once: over the whole table where that is no larger, else by sorting."""
             if places is not None:
-                waiting.append(places)
-            if waiting and (places is None or sum(map(len, waiting)) > len(own)):
-                own[:] += np.bincount(np.concatenate(waiting), minlength=len(own)).astype(np.uint32)
+                waiting.append(places.astype(np.int32))
+            if waiting and (places is None or sum(map(len, waiting)) > min(len(own), WAITING)):
+                every = np.concatenate(waiting)
                 waiting.clear()
+                if len(own) <= 2 * WAITING:
+                    own[:] += np.bincount(every, minlength=len(own)).astype(np.uint32)
+                else:
+                    at, n = np.unique(every, return_counts=True)
+                    own[at] += n.astype(np.uint32)
 
         def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
             place = keys & (8 * len(bits) - 1)
