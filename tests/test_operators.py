@@ -230,3 +230,25 @@ def test_asof_carries_over_months(spark):
         held = [(p, -i) for w, i, p, e in versions if w == law and e and at and p <= at and e <= at]
         want.append((q, law, str(at), -max(held)[1] if held else None))
     assert got == sorted(want, key=str)
+
+
+def test_set_pairs_over_several_slabs(spark, monkeypatch):
+    """Slabs of few sets, and more tokens than columns: the same pairs as all against all."""
+    r = random.Random(5)
+    rows = [(k, "ab"[k % 2], [f"t{r.randrange(12 if k % 3 else 60)}" for _ in range(r.randrange(1, 25))]) for k in range(160)] + [(900, "a", []), (901, None, ["t1"]), (902, "a", None)]
+    df = spark.createDataFrame(rows, "id long, block string, t array<string>")
+    first = {}
+    for k, b, t in rows:
+        if t and b is not None:
+            first[b, frozenset(t)] = min(k, first.get((b, frozenset(t)), k))
+    sets = sorted((k, b, s) for (b, s), k in first.items())
+    pairs = [(b, k, m, len(s & t), len(s | t), min(len(s), len(t))) for k, b, s in sets for m, c, t in sets if k < m and b == c]
+    for slab, width in ((4_000, 2_048), (7, 2_048), (7, 8)):
+        monkeypatch.setattr(relations, "SLAB", slab)
+        monkeypatch.setattr(relations, "FEW", min(slab, 500))
+        monkeypatch.setattr(relations, "WIDTH", width)
+        monkeypatch.setattr(relations, "STEP", 3)
+        assert sorted(map(tuple, relations.alike_pairs(df, "id", "block", "t", 62, 72).collect())) == sorted(p for p in pairs if 100 * p[3] >= 62 * p[4] or 100 * p[3] >= 72 * p[5])
+        made = relations.jaccard_pairs(df, "id", "block", "t", 50)
+        assert sorted(map(tuple, made.collect())) == sorted(p[:5] for p in pairs if 100 * p[3] >= 50 * p[4])
+        assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
