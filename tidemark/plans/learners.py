@@ -64,10 +64,11 @@ def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
     cents = lambda x: F.round(F.col(x) * 100).cast("long") % 1000
     a = s.select("s_suppkey", "s_nationkey", cents("s_acctbal").alias("cents"))
-    # only the first five customers of a nation can be among the first five of its suppliers
-    first = c.select("c_custkey", "c_nationkey").withColumn("r", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))).where("r <= 5")
-    by_nation = a.join(first, a.s_nationkey == first.c_nationkey).select("s_suppkey", "c_custkey", F.lit(2).alias("weight"))
-    by_cents = a.join(c.select("c_custkey", cents("c_acctbal").alias("cents")), "cents").select("s_suppkey", "c_custkey", F.lit(1).alias("weight"))
+    first = lambda key, n: c.select("c_custkey", key).withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("c_custkey"))).where(F.col("r") <= n).drop("r")
+    # only the first five customers of a nation can be among the first five of its suppliers; of those with the same cents, at most five are among these, so the first ten do
+    c = c.select("c_custkey", "c_nationkey", cents("c_acctbal").alias("cents"))
+    by_nation = a.join(F.broadcast(first("c_nationkey", 5)), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", F.lit(2).alias("weight"))
+    by_cents = a.join(F.broadcast(first("cents", 10)), "cents").select("s_suppkey", "c_custkey", F.lit(1).alias("weight"))
     best = by_nation.unionByName(by_cents).groupBy("s_suppkey", "c_custkey").agg(F.max("weight").alias("weight"))
     return best.withColumn("place", F.row_number().over(W.partitionBy("s_suppkey").orderBy(F.desc("weight"), "c_custkey")).cast("long")).where("place <= 5").select("s_suppkey", "c_custkey", F.col("weight").cast("long").alias("weight"), "place")
 
