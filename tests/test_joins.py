@@ -111,3 +111,22 @@ def test_repeated_keys_equal_a_parser(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "id long, text string")
     got = {x.id: x["keys"] for x in df.select("id", repeated_keys(F.col("text")).alias("keys")).collect()}
     assert got[-1] is None and all(sorted(got[k]) == brute(t) for k, t in enumerate(texts))
+
+
+def test_repeated_keys_read_each_text_once(spark):
+    """No fold that copies its stack at each token; half a surrogate pair is a ? as in Spark's own strings."""
+    df = spark.createDataFrame([(1, '{"\\ud800": 1, "?": {"a": [{"b": 1, "b": 2}], "a": 3}}'), (2, '{"a": "\\"a\\": {", "a": 1}')], "id long, text string").select("id", repeated_keys(F.col("text")).alias("keys"))
+    assert {x.id: x["keys"] for x in df.collect()} == {1: ["?", "b", "a"], 2: ["a"]}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_related_items_of_one_balance_make_few_pairs(spark, tmp_path):
+    """Many customers and suppliers with the same cents: the first five of each supplier, with no join of all of them."""
+    from tidemark.plans.learners import related_items
+
+    spark.range(1, 301).select(F.col("id").alias("c_custkey"), (F.col("id") % 60).alias("c_nationkey"), F.lit(1.25).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 41).select(F.col("id").alias("s_suppkey"), (F.col("id") % 70).alias("s_nationkey"), F.lit(1.25).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = related_items(spark, str(tmp_path))
+    want = {(s, c, w, k + 1) for s in range(1, 41) for k, (w, c) in enumerate(sorted(((2 if c % 60 == s % 70 else 1, c) for c in range(1, 301)), key=lambda x: (-x[0], x[1]))[:5])}
+    assert {tuple(x) for x in df.collect()} == want
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2 * 3

@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKENS = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]'
-OPEN = "array<struct<kind:string,keys:array<string>>>"
+TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:]', re.DOTALL)
+
+
+def _name(token: str) -> str:
+    """A key as it reads; half a surrogate pair, which no table can hold, as ?."""
+    return json.loads(token, strict=False).encode("utf-8", "replace").decode() if "\\" in token else token[1:-1]
+
+
+def _repeats(text: str) -> list[str]:
+    open_: list[set[str] | None] = []
+    last, out = "", []
+    for t in TOKENS.findall(text):
+        if t == ":":
+            if open_ and open_[-1] is not None and last.startswith('"'):
+                name = _name(last)
+                if name in open_[-1]:
+                    out.append(name)
+                open_[-1].add(name)
+        elif t in "{[":
+            open_.append(set() if t == "{" else None)
+        elif t in "}]" and open_:
+            open_.pop()
+        last = t
+    return out
 
 
 def repeated_keys(text: Column) -> Column:
     """The keys that stand more than once in one object of a JSON text, at any depth, in order of their repeats; each as often as it repeats.
 
-    Parsers drop the repeats, so the text's own tokens are folded with a stack of open objects and arrays. Escapes are
-    decoded first: "a" and "\\u0061" are one key. A null text gives null; the text is taken to be valid JSON.
+    Parsers drop the repeats, so the text's own tokens are read with a stack of the keys of open objects, in one pass.
+    Escapes are decoded first: "a" and "\\u0061" are one key. A null text gives null; the text is taken to be valid JSON.
     """
-    tokens = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
-    start = F.named_struct(F.lit("open"), F.array().cast(OPEN), F.lit("last"), F.lit("").cast("string"), F.lit("out"), F.array().cast("array<string>"))
-
-    def state(open_: Column, last: Column, out: Column) -> Column:
-        return F.named_struct(F.lit("open"), open_, F.lit("last"), last, F.lit("out"), out)
-
-    def step(acc: Column, t: Column) -> Column:
-        open_, last, out = acc["open"], acc["last"], acc["out"]
-        top = F.element_at(open_, -1)
-        below = F.slice(open_, 1, F.greatest(F.size(open_) - 1, F.lit(0)))
-        opened = F.array_append(open_, F.named_struct(F.lit("kind"), t, F.lit("keys"), F.array().cast("array<string>")))
-        name = F.from_json(F.concat(F.lit("["), last, F.lit("]")), "array<string>")[0]
-        is_key = (t == ":") & (F.size(open_) > 0) & last.startswith('"')
-        keyed = F.array_append(below, F.named_struct(F.lit("kind"), top["kind"], F.lit("keys"), F.array_append(top["keys"], name)))
-        return (
-            F.when((t == "{") | (t == "["), state(opened, t, out)).when((t == "}") | (t == "]"), state(below, t, out))
-            .when(is_key, state(keyed, t, F.when(F.array_contains(top["keys"], name), F.array_append(out, name)).otherwise(out)))
-            .otherwise(state(open_, t, out))
-        )
-
-    return F.when(text.isNotNull(), F.aggregate(tokens, start, step, lambda acc: acc["out"]))
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _repeats(t) for t in texts], dtype="object")
+
+    return run(text)

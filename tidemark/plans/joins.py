@@ -58,8 +58,8 @@ def repeated_json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda n: F.concat(F.lit('"k'), (c(n) % 7).cast("string"), F.lit('"'))
     inner = F.when(c("event_id") % 3 == 0, F.lit('{"a": 1, "\\u0061": [{"a": "x,\\"a\\":"}]}')).otherwise(F.lit('{"a": {"a": "}"}, "b": "a"}'))
     text = F.concat(F.lit('{"user": '), c("user_id").cast("string"), F.lit(", "), key("user_id"), F.lit(": "), inner, F.lit(", "), key("event_id"), F.lit(": ["), inner, F.lit('], "'), c("event_type"), F.lit('": null}'))
-    keys = repeated_keys(text)
-    return read(spark, sf_dir, "events").select("event_id", F.array_join(keys, ",").alias("keys"), F.size(keys).cast("long").alias("n"))
+    rows = read(spark, sf_dir, "events").select("event_id", repeated_keys(text).alias("keys"))
+    return rows.select("event_id", F.array_join("keys", ",").alias("keys"), F.size("keys").cast("long").alias("n"))
 
 
 def article_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
