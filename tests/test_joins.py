@@ -130,3 +130,13 @@ def test_related_items_of_one_balance_make_few_pairs(spark, tmp_path):
     want = {(s, c, w, k + 1) for s in range(1, 41) for k, (w, c) in enumerate(sorted(((2 if c % 60 == s % 70 else 1, c) for c in range(1, 301)), key=lambda x: (-x[0], x[1]))[:5])}
     assert {tuple(x) for x in df.collect()} == want
     assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2 * 3
+
+
+def test_points_of_one_place_meet_ranges_once(spark):
+    """Many points at few places, many ranges of the same bounds: only distinct ones are cut into blocks and meet."""
+    points = spark.range(4000).select("id", F.lit("a").alias("law"), (F.col("id") % 5 * 100).alias("at"))
+    spans = spark.range(60).select(F.col("id").alias("span"), F.lit("a").alias("law"), (F.col("id") % 3 * 90).alias("low"), (F.col("id") % 3 * 90 + 200).alias("high"))
+    df = ranges.containing(points, spans, key="law", at="at", low="low", high="high", hot=500)
+    assert df.count() == sum(20 for k in range(4000) for n in range(3) if n * 90 <= k % 5 * 100 <= n * 90 + 200) == df.select("id", "span").distinct().count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(_used" in plan and "_b.level" not in plan

@@ -19,8 +19,9 @@ def _blocks(low: Column, high: Column, bits: int) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
-        sizes = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda k: (F.pmod(at, F.pow(F.lit(2), k).cast("long")) == 0) & (at + F.pow(F.lit(2), k).cast("long") - 1 <= high))
-        level = F.array_max(sizes)
+        # the lowest bit of the place, no larger than what is left of the range
+        left = F.floor(F.log2(high - at + 1)).cast("int")
+        level = F.least(F.when(at == 0, bits).otherwise(F.bit_count(at.bitwiseAND(-at) - 1)), left, F.lit(bits)).cast("int")
         width = F.pow(F.lit(2), level).cast("long")
         more = F.struct((at + width).alias("at"), F.array_append(acc["out"], F.named_struct(F.lit("level"), level.cast("int"), F.lit("block"), F.floor(at / width).cast("long"))).alias("out"))
         return F.when(at > high, acc).otherwise(more)
@@ -32,19 +33,30 @@ def containing(points: DataFrame, ranges: DataFrame, *, key: str, at: str, low:
     """Each row of points with each row of ranges of the same key that holds its place: the columns of points, then those of ranges but the key.
 
     Places are whole numbers from 0 to 2^bits - 1. Ranges are closed; one with low above high, or a null, holds
-    nothing, and neither does a null key or place match. Blocks with very many points are dealt out: their points by a
-    hash, their ranges to each part.
+    nothing, and neither does a null key or place match. Only distinct places meet distinct ranges under their blocks; what
+    meets then takes the rows of ranges, and those of points. Blocks and places with very many are dealt out: theirs by a
+    hash, the other side to each part.
     """
-    sizes = F.sequence(F.lit(0), F.lit(bits))
-    p = points.where(F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.struct(*points.columns).alias("_p"), F.explode(F.transform(sizes, lambda k: F.named_struct(F.lit("level"), k.cast("int"), F.lit("block"), F.floor(F.col(at) / F.pow(F.lit(2), k)).cast("long")))).alias("_b"))
     own = [c for c in ranges.columns if c != key]
-    r = ranges.where(F.col(low) <= F.col(high)).select(F.col(key).alias("_key"), F.struct(*own).alias("_r"), F.explode(_blocks(F.col(low), F.col(high), bits)).alias("_b"))
-    used = r.select("_b.level").distinct()  # a row for each size at most
-    p = p.join(F.broadcast(used), p["_b"]["level"] == used["level"], "left_semi").select("_key", "_b", "_p")
-    many = p.groupBy("_key", "_b").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("_key", "_b", F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
-    dealt = p.join(many, ["_key", "_b"], "left").select("_key", "_b", "_p", F.pmod(F.xxhash64("_p"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"))
-    sent = r.join(many, ["_key", "_b"], "left").select("_key", "_b", "_r", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-    return dealt.join(sent, ["_key", "_b", "_part"]).select("_p.*", *(F.col(f"_r.{c}").alias(c) for c in own))
+    p = points.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at"), F.struct(*points.columns).alias("_p"))
+    r = ranges.where((F.col(low) <= F.col(high)) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(low).cast("long").alias("_low"), F.col(high).cast("long").alias("_high"), F.struct(*own).alias("_r"))
+    shapes = r.groupBy("_key", "_low", "_high").agg(F.count("*").alias("_n"))
+    cut = shapes.select("_key", "_low", "_high", F.explode(_blocks(F.col("_low"), F.col("_high"), bits)).alias("_b")).select("_key", "_low", "_high", "_b.level", "_b.block")
+    used = cut.agg(F.collect_set("level").alias("_used"))  # a row, with each size at most
+    places = p.groupBy("_key", "_at").agg(F.count("*").alias("_n"))
+    within = places.crossJoin(F.broadcast(used)).select("_key", "_at", F.explode("_used").alias("level")).withColumn("block", F.expr("shiftright(_at, level)"))
+    met = _dealt(within, cut, ["_key", "level", "block"], "_at", hot).select("_key", "_at", "_low", "_high")
+    held = _dealt(r, met, ["_key", "_low", "_high"], "_r", hot).select("_key", "_at", "_r")
+    return _dealt(p, held, ["_key", "_at"], "_p", hot).select("_p.*", *(F.col(f"_r.{c}").alias(c) for c in own))
+
+
+def _dealt(rows: DataFrame, others: DataFrame, on: list[str], by: str, hot: int) -> DataFrame:
+    """The join of rows with others, where more than hot rows of a key are cut into parts by a hash, and others sent to each. Such keys are few: at most one for each hot rows."""
+    many = F.broadcast(rows.groupBy(*on).agg(F.count("*").alias("_m")).where(F.col("_m") > hot).select(*on, F.ceil(F.col("_m") / hot).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(many, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    sent = others.join(many, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(sent, [*on, "_part"])
 
 
 def overlapping(left: DataFrame, right: DataFrame, *, key: str, left_low: str, left_high: str, right_low: str, right_high: str, bits: int = 20, hot: int = HOT) -> DataFrame:
