@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import nfkc, utc
+from tidemark.functions.columns import bound, nfkc, utc
 from tidemark.operators.relations import containments
 from tidemark.operators.rules import ladder
 from tidemark.plans.derived import pick, quoted, sql_pick
@@ -34,9 +34,10 @@ def numeral(text: Column) -> Column:
 
 
 def day(year: Column, month: Column, date: Column) -> Column:
-    """A date of the era, null where there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", numeral(year) + ERA, numeral(month), numeral(date))
-    return F.when(numeral(year).isNotNull() & numeral(month).isNotNull() & numeral(date).isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    """A date of the era, null where there is no such day. The numbers are read once."""
+    text = lambda n: F.format_string("%04d-%02d-%02d", n[0] + ERA, n[1], n[2])
+    numbers = F.array(F.transform(F.array(year, month, date), numeral))
+    return F.element_at(F.transform(numbers, lambda n: F.when(~F.exists(n, lambda x: x.isNull()), F.try_to_date(text(n), "yyyy-MM-dd"))), 1)
 
 
 def part(text: Column, pattern: str, group: int) -> Column:
@@ -68,7 +69,7 @@ def era_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("考試日期："), full(date), F.when(k % 3 == 0, "").otherwise(F.concat(pick("o_orderkey", ("~", "～", "至")), F.when((k % 3 == 1) & (F.year(end) == F.year(date)), short(end)).otherwise(full(end)))))
     pattern = rf"中華民國\s*({NUMBER})\s*年\s*({NUMBER})\s*月\s*({NUMBER})\s*日"
     span = r"([0-9]{2,3})/([0-9]{1,2})/([0-9]{1,2})(?:[~～至\-]\s*(?:([0-9]{2,3})/)?([0-9]{1,2})/([0-9]{1,2}))?"
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"), s.alias("s"))
+    rows = bound(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), d=d, s=s)
     first = day(part(c("s"), span, 1), part(c("s"), span, 2), part(c("s"), span, 3))
     last = day(F.coalesce(part(c("s"), span, 4), part(c("s"), span, 1)), part(c("s"), span, 5), part(c("s"), span, 6))
     return rows.select("o_orderkey", day(part(c("d"), pattern, 1), part(c("d"), pattern, 2), part(c("d"), pattern, 3)).alias("day"), first.alias("first"), F.coalesce(last, first).alias("last"))
@@ -150,11 +151,14 @@ def effective_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("修正"), one, F.lit("；"), one, at(since)), F.concat(F.lit("修正全文，依"), other, F.lit("規定："), at(since)), F.concat(F.lit("修正公布；"), at(since)), F.concat(one, at(since), F.lit("；"), other, at(later)), F.concat(F.lit("修正"), one, F.lit("，並自公布日施行")),
         F.concat(F.lit("修正"), one, F.lit("，自公布後次年一月一日施行")), F.concat(F.lit("修正"), one), F.lit("施行日期由行政院定之"), F.concat(one, at(since), F.lit("；其餘"), at(later)), F.concat(F.lit("修正"), one),
     )
-    case = lambda values: F.element_at(F.array(*values), (k % len(texts) + 1).cast("int"))
+    summary = F.when(k % len(texts) == 0, texts[0])
+    for n, text in enumerate(texts[1:], 1):
+        summary = summary.when(k % len(texts) == n, text)
     article = F.when((k % 10).isin(3, 8), k % 90 + 2).otherwise(k % 90 + 1).cast("string")
     promulgated = F.when(k % 10 == 9, F.date_format(date, "MM/dd")).otherwise(date.cast("string"))
-    found = effective_date(case(texts), promulgated, article, (k % 10).isin(1, 8), k % 10 != 6)
-    return read(spark, sf_dir, "orders").select("o_orderkey", found.alias("since"))
+    rows = bound(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), _summary=F.regexp_replace(summary, r"\s+", ""), _promulgated=promulgated, _article=article)  # only a row's own text is made, once
+    found = effective_date(F.col("_summary"), F.col("_promulgated"), F.col("_article"), (k % 10).isin(1, 8), k % 10 != 6)
+    return rows.select("o_orderkey", found.alias("since"))
 
 
 HEADINGS = ("第 1 條", "第 2-1 條", "第 2 之 1 條", "第十條", "第 1 條")
