@@ -11,6 +11,7 @@ from tidemark.operators import news as N
 from tidemark.operators.rules import ladder
 from tidemark.plans.derived import SUBJECTS, SUBJECTS_OF, news, quoted, sql_any
 from tidemark.plans.news import LAWS_IN, SCORED, _level
+from tidemark.sources.durable import written
 from tidemark.sources.tables import read
 
 #: Items up to this day are the previous generation.
@@ -50,14 +51,16 @@ def union_by_first(rows: DataFrame, key: str, array: str, order: Column) -> Data
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored items with the key of their event: category and normalised title. Evidence is the first item of each address."""
-    return N.scored(news(spark, sf_dir)).withColumns({"norm": title_norm(F.col("title")), "seq": F.struct(F.col("published_at").isNotNull().alias("d"), "published_at", "id")}).withColumn("group", F.concat_ws("|", "category", "norm"))
+    scored = N.scored(news(spark, sf_dir)).withColumns({"norm": title_norm(F.col("title")), "seq": F.struct(F.col("published_at").isNotNull().alias("d"), "published_at", "id"), "laws": N.laws_in(F.concat("title", F.lit(" "), "summary"))}).withColumn("group", F.concat_ws("|", "category", "norm"))
+    # written, since each part of an event reads it
+    return written(scored.select("group", "id", "title", "summary", "category", "norm", "score", "tags", "laws", "source_name", "source_type", "published_at", "url", "seq"), "members")
 
 
 def _built(members: DataFrame) -> DataFrame:
     """group -> the event: id, lead, sources, days, tags in both orders, laws."""
     c = F.col
     rank = F.struct(official(c("source_name"), c("source_type")).alias("o"), "score", F.coalesce(c("published_at").cast("string"), F.lit("")).alias("p"), (-c("id")).alias("i"))
-    rows = members.withColumn("laws", N.laws_in(F.concat(c("title"), F.lit(" "), c("summary"))))
+    rows = members
     lead = rows.groupBy("group").agg(F.max_by(F.struct("id", "title", "summary", "category", "norm", "score", "tags", "source_type"), rank).alias("lead"), F.count("*").alias("members"))
     evidence = rows.groupBy("group", "url").agg(F.min_by(F.struct("source_name", "source_type", "published_at"), "seq").alias("e")).select("group", "url", "e.*")
     by_source = evidence.groupBy("group", "source_name").agg(F.max(official(c("source_name"), c("source_type")).cast("int")).alias("official"), F.count("*").alias("n"))
