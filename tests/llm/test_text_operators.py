@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,19 @@ def test_bundles_against_brute_force():
     assert not made.bundle("\u0301\u0301 12").any() and made.bundle("\U00030001" * 9).any()
 
 
+def test_vectors_of_many_grams_stay_small():
+    """A text with more 3-grams than are kept; as numbers of four bytes, its vectors took over 200 MB."""
+    r = random.Random(5)
+    text = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60_000))
+    language_id._letter_table()
+    tracemalloc.start()
+    made = language_id.Vectors()
+    whole, peak = made.bundle(text), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    assert (made.bundle(text) == whole).all() and len(made.at) <= language_id.KEPT
+
+
 def test_language_id_by_held_out_accuracy(spark):
     """Over the driver's documents: labelled rows outside of training go to their language."""
     import os

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 
 DIM, SEED = 512, 20_240_117
-#: 3-grams whose vectors a worker keeps; beyond it they are made anew.
-KEPT = 30_000
+#: 3-grams whose vectors a worker keeps, as bytes; beyond it they are made anew. 3-grams that are added up at once.
+KEPT, STEP = 30_000, 2_000
 SPACE = 32
 
 
@@ -60,16 +60,11 @@ class Vectors:
     """Vectors of 3-grams, kept for the next text."""
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.rows = np.empty((1024, DIM), np.float32)
+        self.rows = np.empty((KEPT, DIM), np.int8)
 
     def _add(self, gram: int) -> int:
         a, b, c = _letter(gram >> 42), _letter((gram >> 21) & 0x1FFFFF), _letter(gram & 0x1FFFFF)
-        if len(self.at) == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
         self.rows[k := len(self.at)] = np.roll(a, 2) * np.roll(b, 1) * c
         self.at[gram] = k
         return k
@@ -80,11 +75,11 @@ class Vectors:
         if not any(map(str.isalpha, text or "")):  # stops at the first letter; marks alone are none
             return out
         for ids, counts in grams(text):
-            for k in range(0, len(ids), 20_000):
-                if len(self.at) > KEPT:
-                    self.clear()
-                rows = [at if (at := self.at.get(g)) is not None else self._add(g) for g in ids[k : k + 20_000].tolist()]
-                out += counts[k : k + 20_000].astype(np.float32) @ self.rows[rows]
+            for k in range(0, len(ids), STEP):
+                if len(self.at) > KEPT - STEP:
+                    self.at.clear()
+                rows = [at if (at := self.at.get(g)) is not None else self._add(g) for g in ids[k : k + STEP].tolist()]
+                out += counts[k : k + STEP].astype(np.float32) @ self.rows[rows].astype(np.float32)
         return out
 
 
