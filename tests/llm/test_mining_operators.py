@@ -200,6 +200,28 @@ def test_members_of_groups_whose_leaders_are_not_linked(spark, monkeypatch):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in found) == brute_similar(texts, list(range(len(texts))))
 
 
+def test_copies_with_many_own_words_do_not_meet_a_large_group(spark, monkeypatch):
+    """Copies too far from all others keep the original's lists open, but can't share their first shingle there."""
+    r, base = random.Random(3), [f"w{k}" for k in range(150)]
+
+    def copy(k, n):
+        at = set(r.sample(range(8, 142, 6), n))
+        return " ".join(f"own{k}x{j}" if j in at else w for j, w in enumerate(base))
+
+    texts = [" ".join(base)] + [copy(k, 1) for k in range(60)] + [copy(k, 4) for k in range(60, 120)]
+    kept, durable = {}, jaccard_join.durable
+
+    def counting(df, name, *path):
+        found = durable(df, name, *path)
+        kept[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard_join, "durable", counting)
+    found = jaccard_join.similar_documents(docs(spark, texts).repartition(3)).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in found) == brute_similar(texts, list(range(len(texts))))
+    assert len({x.component_id for x in found}) == 61 and kept["entries"] > 500 and kept["open"] == kept["open_pairs"] == 0
+
+
 def test_jaccard_join_with_text_ids_repeats_and_nulls(spark):
     texts = near_texts(random.Random(4))[:60] + ["same text of some words here"] * 3 + [None, "", "unique words stand here now"]
     ids = [f"d{k % 50:02d}" for k in range(60)] + [None, "d07", "zz", "n1", "n2", None]

@@ -12,7 +12,8 @@ the join by a bitmap of fixed largest size.
 Groups that share a shingle of a short list are all paired. The number of shingles that a pair shares in its prefixes
 bounds what it can share at all, and drops most pairs. In long lists, groups are first paired with a few hubs, those that stand
 in most lists, as an original does beside its edited copies. The result is what hangs together, so only long lists that
-then still hold several parts are paired as a whole, under the same bounds and dealt out by blocks.
+then still hold several parts are paired, dealt out by blocks. There, a shingle counts only where it may be the first that a pair
+shares, which leaves out copies with too many shingles of their own before they meet.
 """
 
 from __future__ import annotations
@@ -182,6 +183,12 @@ def _side(entries: DataFrame, name: str) -> DataFrame:
     return entries.select(*(F.col(c).alias(c if c in ("token", "row", "block", "blocks") else f"{c}_{name}") for c in entries.columns))
 
 
+def leading(percent: int) -> Column:
+    """Whether a shingle may be the first that linked sets of groups a and b share: from it on, all that they share has to fit in both."""
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    return (100 + percent) * left >= percent * (F.col("size_a") + F.col("size_b"))
+
+
 def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """entries (token, grp, size, place, degree) of long lists -> a, b: each group with the first hubs of its lists that it may be linked to."""
     order = (F.col("degree").desc(), "grp")
@@ -189,26 +196,49 @@ def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
     some = entries.withColumn("rank", F.row_number().over(Window.partitionBy("token", part).orderBy(*order))).where(F.col("rank") <= HUBS)
     hubs = some.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("rank") <= HUBS).drop("rank")
     both = _side(entries, "a").join(_side(hubs, "b"), "token").where((F.col("grp_a") != F.col("grp_b")) & fitting("a", "b", percent))
-    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))  # of a pair's first shared shingle, what lies behind it is all that can be shared
-    both = both.where((100 + percent) * left >= percent * (F.col("size_a") + F.col("size_b")))
+    both = both.where(leading(percent))
     best = both.groupBy("grp_a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("degree_b")).alias("d"), "grp_b"))), 1, 2).alias("best"))  # a group has few lists, and a list few hubs
     return best.select(F.col("grp_a"), F.explode("best.grp_b").alias("grp_b")).select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b"))
 
 
-def group_pairs(entries: DataFrame, percent: int, condition: Column | None = None) -> DataFrame:
-    """entries (token, grp, size, n, other, ...) -> a, b: pairs of groups that share a shingle and pass the bounds. other is how many shingles a group has in lists that aren't here.
+def met(entries: DataFrame, percent: int) -> DataFrame:
+    """entries (token, grp, size, n, ...) -> the pairs of groups a and b in a list whose sizes fit, with the other columns of both.
 
     A list of n groups is cut into blocks by a hash, and each pair of blocks is joined by itself.
     """
-    own = entries.drop("place", "degree").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").withColumn("block", F.pmod(F.xxhash64("grp"), "blocks").cast("int"))
+    own = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n").withColumn("block", F.pmod(F.xxhash64("grp"), "blocks").cast("int"))
     a = _side(own, "a").withColumn("row", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     b = _side(own, "b").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = a.join(b, ["token", "row", "block"]).where((F.col("grp_a") < F.col("grp_b")) & fitting("a", "b", percent))
-    pairs = pairs if condition is None else pairs.where(condition)
+    return a.join(b, ["token", "row", "block"]).where((F.col("grp_a") < F.col("grp_b")) & fitting("a", "b", percent))
+
+
+def group_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """entries (token, grp, size, n, other, ...) -> a, b: pairs of groups that share a shingle and pass the bounds. other is how many shingles a group has in lists that aren't here."""
+    pairs = met(entries.drop("place", "degree"), percent)
     counted = pairs.groupBy(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"), "size_a", "size_b", "other_a", "other_b").agg(F.count("*").alias("shared"))
     return counted.where(enough(F.col("shared") + F.least("other_a", "other_b"), percent)).select("a", "b")
 
 
+def leads(entries: DataFrame, percent: int) -> DataFrame:
+    """entries (token, grp, size, place, ...) -> those whose shingle may be the first that the group shares with another one of its list.
+
+    An edited copy has its own shingles before those of the original. With many of them, what is left from a shingle of the list
+    on is too little for any size of the list that may be linked to it. Sizes are looked up by bands: what may be linked lies in the same
+    one or the next.
+    """
+    band = F.floor(F.log("size") / float(np.log(101 / percent)))  # a little wider than the ratio of linked sizes
+    banded = entries.withColumn("band", band)
+    least = banded.select("token", "size", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("token", "band").agg(F.min("size").alias("least"))
+    other = F.greatest("least", F.ceil(percent * F.col("size") / 100))
+    return banded.join(least, ["token", "band"]).where((100 + percent) * (F.col("size") - F.col("place")) >= percent * (F.col("size") + other)).drop("band", "least")
+
+
+def leading_pairs(entries: DataFrame, percent: int, condition: Column) -> DataFrame:
+    """entries (token, grp, size, place, n, ...) -> a, b: pairs of groups with the condition that may share a shingle of these lists as their first one."""
+    pairs = met(entries, percent).where(leading(percent) & condition)
+    return pairs.select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
+
+
 def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges u, v between ids in reps (rep: one document of each distinct set) that connect all that is linked."""
     spark = docs.sparkSession
@@ -253,10 +283,10 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
     again = pairs.join(side("a"), "a").join(side("b"), "b").where(apart & ((F.col("m_a") > 1) | (F.col("m_b") > 1))).select("a", "b")
     again = again.union(spread.where("low != high").select(F.col("grp").alias("a"), F.col("grp").alias("b")))
     # long lists that several components hold
-    labelled = long.join(spread.drop("m"), "grp")
-    still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
-    open_ = durable(labelled.join(still, "token", "left_semi"), "open")
-    rest = expanded(named, durable(again.union(group_pairs(open_, percent, apart)).distinct(), "open_pairs"))
+    labelled = durable(leads(long.drop("n", "degree", "other"), percent).join(spread.drop("m"), "grp"), "leads")
+    still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("least != most").select("token", "n")
+    open_ = durable(labelled.join(still, "token"), "open")
+    rest = expanded(named, durable(again.union(leading_pairs(open_, percent, apart)).distinct(), "open_pairs"))
     if rest.isEmpty():
         return edges
     ids = rest.select(F.col("u").alias("rep")).union(rest.select("v")).distinct()
