@@ -55,6 +55,16 @@ def test_collocations_against_brute_force(spark, monkeypatch, least, most, top,
     assert len(want) > 10 and {len(x[2].split(" ")) for x in want} >= {2, 4, 5}
 
 
+def test_counts_of_a_pass_are_sent_packed(spark):
+    """Rows that a task sends don't grow with its phrases, and what it sends adds up to each phrase's count."""
+    texts = [" ".join(f"a{i} b{j}." for j in range(60)) for i in range(60)] * 2
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    made = collocations.counting_pass(rows, 2, 0, 100)
+    assert made.count() <= collocations.FILED
+    assert sorted((x.phrase, x.f) for x in collocations.summed(made, 2).collect()) == sorted((f"a{i} b{j}", 2) for i in range(60) for j in range(60))
+    assert collocations.summed(made, 3).count() == 0
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.mine(docs(spark, [])).count() == 0 and collocations.mine(docs(spark, ["a b", None])).count() == 0
     assert collocations.mine(docs(spark, ["a b. c"] * 100)).select("phrase", "a", "l", "r", "n", "score").collect() == [("a b", 100, 100, 100, 300, 3000)]

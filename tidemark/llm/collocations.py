@@ -5,11 +5,13 @@ k - 1 words inside are frequent (Apriori), and so was the phrase's bucket. Bucke
 phrases whose parts pass; what the next pass gets is a bit for each bucket. A first pass counts the buckets of words and
 of pairs, so that exact counting begins with pairs; words are counted exactly only where a frequent pair holds them.
 The frequent phrases go to the tasks as a bitmap of their hashes, whose largest size is fixed. Both bitmaps can only let more
-phrases through, never fewer, so the counts behind them are whole: a task adds up its own, Spark the rest, by the phrase itself.
+phrases through, never fewer, so the counts behind them are whole: a task adds up its own and sends them packed, by parts of the keys;
+each part is then added up by the phrase itself, and only frequent phrases come out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import discard, durable, new_path
 from tidemark.llm.counters import CHUNK, added, chunks, gathered
 from tidemark.llm.decontaminate import bitmap, marked
 from tidemark.llm.word_arrays import M1, mix, pieces, words
@@ -34,6 +36,8 @@ LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 25
 BUCKETS_EACH = 2
 #: Phrases of a task's own counts, and places in its buckets, at most before they are sent on or counted.
 HELD, WAITING = 300_000, 1 << 22
+#: Parts of a length's phrases in a language that are sent and added up together.
+FILED = 128
 #: Bytes between pieces, and between words.
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 APART = BREAK | np.isin(np.arange(256), list(b" \t"))
@@ -42,6 +46,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARTS = 64
 
 
+def seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
 def gram_keys(hashes: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit number for each run of so many words, by language."""
     out = seeds[: max(0, len(hashes) - length + 1)] + np.uint64(length)
@@ -60,10 +68,10 @@ def _every(flags: np.ndarray, length: int) -> np.ndarray:
 
 
 def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, singles: Broadcast | None = None, frequent: Broadcast | None = None, passed: Broadcast | None = None, wanted: Broadcast | None = None) -> DataFrame:
-    """rows (lang, text) -> lang, phrase, k, key, words, n: a task's counts of phrases of so many words that may be frequent, and of wanted words; and chunk, counts of its buckets of phrases one word longer, if buckets isn't 0.
+    """rows (lang, text) -> lang, k, part, phrases, counts: a task's packed counts of phrases of so many words that may be frequent, and of wanted words, by parts of their keys; and chunk, counts of its buckets of phrases one word longer, if buckets isn't 0.
 
     singles and passed have a bit for each bucket of words and of these phrases, frequent and wanted mark the keys of the
-    phrases one word shorter and of words. words are the keys of a pair's words. With a length of 0, the only phrase of a
+    phrases one word shorter and of words. With a length of 0, the only phrase of a
     language is the empty one, which stands at each word, and the buckets are those of words, then those of pairs.
     """
 
@@ -76,14 +84,20 @@ def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, sing
         count: dict[int, int] = {}
         waiting: list[np.ndarray] = []
 
-        def batch_of(chunk: list[int], counts: list[bytes]) -> pa.RecordBatch:
-            n, m = len(count), len(chunk)
-            lang, phrase, k, parts = map(list, zip(*(told[x] for x in count), strict=True)) if n else ([], [], [], [])
-            columns = [(lang, pa.string()), (phrase, pa.string()), (k, pa.int32()), (list(count), pa.int64()), (parts, pa.list_(pa.int64())), (list(count.values()), pa.int64())]
-            arrays = [pa.array(x + [None] * m, t) for x, t in columns] + [pa.array([None] * n + x, t) for x, t in ((chunk, pa.int32()), (counts, pa.binary()))]
+        def batch_of(chunk: list[int], sums: list[bytes]) -> pa.RecordBatch:
+            filed: dict[tuple, list] = {}
+            for key, n in count.items():
+                lang, phrase, k = told[key]
+                filed.setdefault((lang, k, key % FILED), []).append((phrase, n))
             told.clear()
             count.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "k", "key", "words", "n", "chunk", "counts"])
+            rows = []
+            for at, own in filed.items():
+                phrases, n = zip(*sorted(own), strict=True)
+                rows.append((*at, zlib.compress(b"\n".join(phrases), 1), None, zlib.compress(np.array(n, np.int64).tobytes(), 1)))  # no word holds a line feed
+            rows += [(None, None, None, None, x, y) for x, y in zip(chunk, sums, strict=True)]
+            types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["lang", "k", "part", "phrases", "chunk", "counts"])
 
         def fill(places: np.ndarray | None) -> None:
             """Count places, WAITING of them at once: over the whole table where that is no larger, else by sorting."""
@@ -106,7 +120,7 @@ def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, sing
             langs, w = batch.column(0).to_pylist(), words(batch.column(1), APART)
             h = w.number
             for x in set(langs).difference(seed_of):
-                seed_of[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+                seed_of[x] = seed(x)
             row = np.repeat(np.arange(len(langs)), np.diff(w.rows))
             seeds = np.array([seed_of[x] for x in langs], np.uint64)[row]
             piece = np.cumsum(BREAK[w.text])[w.start] + row if len(h) else row  # grows with each break and row
@@ -120,8 +134,8 @@ def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, sing
                         count[key] += many
                     else:
                         count[key] = many
-                        phrase = b" ".join(w.text[w.start[k] : w.end[k]].tobytes() for k in range(begin, begin + size)).translate(LOWER).decode()  # noqa: B023
-                        told[key] = langs[row[begin]], phrase, size, ones[begin : begin + 2].tolist() if size == 2 else None  # noqa: B023
+                        phrase = b" ".join(w.text[w.start[k] : w.end[k]].tobytes() for k in range(begin, begin + size)).translate(LOWER)  # noqa: B023
+                        told[key] = langs[row[begin]], phrase, size  # noqa: B023
 
             ones = keys_of(1)
             if length == 0:
@@ -148,7 +162,28 @@ def counting_pass(rows: DataFrame, length: int, buckets: int, most: int, *, sing
         fill(None)
         yield batch_of(*chunks(np.minimum(own, most).astype(kind)) if buckets else ([], []))
 
-    return rows.mapInArrow(run, "lang string, phrase string, k int, key long, words array<long>, n long, chunk int, counts binary")
+    return rows.mapInArrow(run, "lang string, k int, part int, phrases binary, chunk int, counts binary")
+
+
+def summed(made: DataFrame, support: int) -> DataFrame:
+    """What counting_pass made -> lang, phrase, k, key, words, f: the sums of all tasks that are frequent, and each language's number of words. words are the keys of a pair's words."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        lang, k = sent["lang"][0].as_py(), sent["k"][0].as_py()
+        total: dict[bytes, int] = {}
+        for phrases, counts in zip(sent["phrases"].to_pylist(), sent["counts"].to_pylist(), strict=True):
+            for phrase, n in zip(zlib.decompress(phrases).split(b"\n"), np.frombuffer(zlib.decompress(counts), np.int64).tolist(), strict=True):
+                total[phrase] = total.get(phrase, 0) + n
+        found = {phrase.decode(): n for phrase, n in total.items() if n >= support or k == 0}
+        w = words(pa.array(list(found), pa.string()), APART)
+        seeds = np.full(len(w.number), seed(lang), np.uint64)
+        keys = gram_keys(w.number, seeds, k)[w.rows[:-1]].tolist() if k and found else [None] * len(found)
+        ones = gram_keys(w.number, seeds, 1).reshape(-1, 2).tolist() if k == 2 else [None] * len(found)
+        columns = (([lang] * len(found), pa.string()), (list(found), pa.string()), ([k] * len(found), pa.int32()), (keys, pa.int64()), (ones, pa.list_(pa.int64())), (list(found.values()), pa.int64()))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in columns], ["lang", "phrase", "k", "key", "words", "f"])
+
+    rows = made.where("chunk is null").select("lang", "k", "part", "phrases", "counts")
+    return rows.groupBy("lang", "k", "part").applyInArrow(run, "lang string, phrase string, k int, key long, words array<long>, f long")
 
 
 def bucket_bits(rows: DataFrame, buckets: int, support: int) -> np.ndarray:
@@ -165,17 +200,20 @@ def frequent_phrases(rows: DataFrame, support: int, longest: int, least_buckets:
     wanted = BUCKETS_EACH * size // 6 // support
     buckets = min(most_buckets, max(least_buckets, 1 << int(wanted).bit_length()))
 
-    def counted(length: int, ahead: int, **bits: Broadcast | None) -> tuple[DataFrame, DataFrame]:
-        made = durable(counting_pass(rows, length, ahead, support, **bits), f"pass{length}")
-        return made, durable(made.where("chunk is null").groupBy("lang", "phrase", "k", "key").agg(F.sum("n").alias("f"), F.first("words").alias("words")), f"counts{length}")
+    def counted(length: int, ahead: int, **bits: Broadcast | None) -> tuple[DataFrame, np.ndarray | None]:
+        """The frequent phrases of a pass, and the bits of its buckets; what the tasks sent is deleted."""
+        made = durable(counting_pass(rows, length, ahead, support, **bits), f"pass{length}", at := new_path(rows.sparkSession, f"pass{length}"))
+        counts = durable(summed(made, support), f"counts{length}")
+        filled = bucket_bits(made, ahead if length else 2 * ahead, support) if ahead else None
+        discard(rows.sparkSession, at)
+        return counts, filled
 
-    made, counts = counted(0, buckets)
+    counts, bits = counted(0, buckets)
     totals, none = counts.select("lang", F.col("f").alias("n")), counts.where("false").select("lang", "phrase", "k", "f")
-    bits = bucket_bits(made, 2 * buckets, support)
     singles, passed, known, held, found = share(bits[: buckets // 8]), share(bits[buckets // 8 :]), None, None, none
     for k in range(2, longest + 1):
         ahead = buckets if k < longest else 0
-        made, counts = counted(k, ahead, singles=singles if k == 2 else None, frequent=known, passed=passed, wanted=held)
+        counts, bits = counted(k, ahead, singles=singles if k == 2 else None, frequent=known, passed=passed, wanted=held)
         here = counts.where((F.col("f") >= support) & (F.col("k") == k))
         found = found.unionByName(counts.where(F.col("f") >= support).select("lang", "phrase", "k", "f"))
         if k == 2:
@@ -187,9 +225,9 @@ def frequent_phrases(rows: DataFrame, support: int, longest: int, least_buckets:
         if here.isEmpty():
             return durable(none, "frequent"), totals
         if ahead:
-            known, passed = share(bitmap(here.select("key").distinct())), share(bucket_bits(made, ahead, support))
+            known, passed = share(bitmap(here.select("key").distinct())), share(bits)
     if longest == 2:
-        found = found.unionByName(counted(1, 0, frequent=None, wanted=held, passed=share(np.zeros(1, np.uint8)))[1].select("lang", "phrase", "k", "f"))
+        found = found.unionByName(counted(1, 0, frequent=None, wanted=held, passed=share(np.zeros(1, np.uint8)))[0].where(F.col("f") >= support).select("lang", "phrase", "k", "f"))
     return durable(found, "frequent"), totals
 
 

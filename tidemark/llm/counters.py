@@ -1,12 +1,13 @@
 """Large tables of counters, filled by tasks and added up in Spark chunk by chunk.
 
-A task sends its counters as chunks, those without a count left out. The chunks of one number are added in two steps of
+A task sends its counters as packed chunks, those without a count left out: what it sends grows with what it counted rather than with the table. The chunks of one number are added in two steps of
 about as many rows each, so that neither their number nor the table's size meets in one task. What comes to the driver is one row a chunk.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -18,21 +19,25 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 14
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
 def chunks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Numbers and bytes of the chunks that hold a count."""
+    """Numbers and packed bytes of the chunks that hold a count."""
     rows = counts.reshape(-1, min(CHUNK, len(counts)))
     used = np.flatnonzero(rows.any(axis=1))
-    return used.tolist(), [rows[k].tobytes() for k in used]
+    return used.tolist(), [packed(rows[k]) for k in used]
 
 
 def added(rows: DataFrame, dtype: np.dtype, most: int | None = None, finish: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
-    """rows (chunk, counts) -> chunk, counts: their sums, no count above most, each chunk as finish gives it back."""
+    """rows (chunk, packed counts) -> chunk, counts: their sums, no count above most, each chunk as finish gives it back."""
 
     def by(last: Callable[[np.ndarray], bytes]) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(pdf["counts"].iloc[0]) // np.dtype(dtype).itemsize, np.int64)
+            total = 0
             for x in pdf["counts"]:
-                total += np.frombuffer(x, dtype)
+                total = total + np.frombuffer(zlib.decompress(x), dtype).astype(np.int64)
             if most is not None:
                 np.minimum(total, most, out=total)
             return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "counts": [last(total.astype(dtype))]})
@@ -41,7 +46,7 @@ def added(rows: DataFrame, dtype: np.dtype, most: int | None = None, finish: Cal
 
     most_rows = rows.groupBy("chunk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     parts = rows.select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(math.isqrt(most_rows))).alias("part"))
-    first = parts.groupBy("chunk", "part").applyInPandas(by(np.ndarray.tobytes), "chunk int, counts binary")
+    first = parts.groupBy("chunk", "part").applyInPandas(by(packed), "chunk int, counts binary")
     return first.groupBy("chunk").applyInPandas(by(finish), "chunk int, counts binary")
 
 
