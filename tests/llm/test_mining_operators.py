@@ -232,6 +232,43 @@ def test_copies_with_many_own_words_do_not_meet_a_large_group(spark, monkeypatch
     assert len({x.component_id for x in found}) == 61 and kept["entries"] > 500 and kept["open"] == kept["open_pairs"] == 0
 
 
+def test_jaccard_join_starts_no_job_for_each_partition(spark):
+    """With partitions that aren't coalesced, what comes to the driver takes one job a table, and components end where the edges are stars."""
+    held = {"spark.sql.shuffle.partitions": "70", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker, group = spark.sparkContext.statusTracker(), "jaccard-jobs"
+    texts = near_texts(random.Random(5))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, "")
+        found = jaccard_join.similar_documents(docs(spark, texts).repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(k, None)
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in found) == brute_similar(texts, list(range(len(texts))))
+    assert 0 < len(tracker.getJobIdsForGroup(group)) < 200
+
+
+@pytest.mark.parametrize("keys", [jaccard_join.KEYS, 8])
+def test_bits_mark_what_stands_in_several_tasks_or_twice_in_one(spark, monkeypatch, keys):
+    monkeypatch.setattr(jaccard_join, "KEYS", keys)  # 8: many parts
+    r = random.Random(6)
+    value = lambda: r.randrange(-(1 << 63), 1 << 63)
+    once, twice = [value() for _ in range(4000)], [value() for _ in range(300)]
+    rows = [[x] for x in once] + [[x, x] for x in twice[:100]] + [[x] for x in twice[100:]] * 2
+    r.shuffle(rows)
+    df = spark.createDataFrame([(x,) for x in [*rows, None, []]], "keys array<long>").repartition(5)
+    for least, wanted in ((1, once + twice), (2, twice)):
+        table = jaccard_join.bit_table(df, least)
+        assert len(jaccard_join.marked(table, np.array(wanted, np.int64))) == len(wanted)
+        assert len(jaccard_join.marked(table, np.array([value() for _ in range(4000)], np.int64))) < 40
+    assert len(jaccard_join.marked(table, np.array(once, np.int64))) < 40 and (len(table) > 100) == (keys == 8)
+    assert jaccard_join.bit_table(df.where("keys is null"), 2).sum() == 0
+
+
 def test_jaccard_join_with_text_ids_repeats_and_nulls(spark):
     texts = near_texts(random.Random(4))[:60] + ["same text of some words here"] * 3 + [None, "", "unique words stand here now"]
     ids = [f"d{k % 50:02d}" for k in range(60)] + [None, "d07", "zz", "n1", "n2", None]

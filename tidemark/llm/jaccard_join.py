@@ -6,8 +6,9 @@ prefixes, with bounds on their sizes and on the places of the shared one. What p
 those are verified on full sets.
 
 The order comes from a small table of counters, one for all shingles whose hashes begin alike. Any order gives the same result, and
-this one keeps the frequent shingles out of prefixes. Shingles of prefixes that stand in one document only are found by a count and left out of
-the join by a bitmap of fixed largest size.
+this one keeps the frequent shingles out of prefixes. Shingles of prefixes that stand in one document only are left out of
+the join by a bitmap of fixed largest size: tasks send 32 bits of each shingle, packed by parts of the hashes, and a part's bits are set where
+one comes twice.
 
 Groups that share a shingle of a short list are all paired. The number of shingles that a pair shares in its prefixes
 bounds what it can share at all, and drops most pairs. In long lists, groups are first paired with a few hubs, those that stand
@@ -19,7 +20,8 @@ shares, which leaves out copies with too many shingles of their own before they
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, durable, new_path
 from tidemark.llm.components import components
-from tidemark.llm.counters import CHUNK, added, chunks, gathered
-from tidemark.llm.decontaminate import bitmap, marked
-from tidemark.llm.word_arrays import pieces, shingle_sets
+from tidemark.llm.counters import packed
+from tidemark.llm.decontaminate import BITS_EACH, MAP_BITS, PLACES
+from tidemark.llm.word_arrays import M1, M2, pieces, shingle_sets
 
-#: Counters of shingles, and the bits of a hash that choose one.
-COUNTERS, COUNTER_BITS = 1 << 16, np.uint64(48)
+#: Counters of shingles, the bits of a hash that choose one, and counters that are added up at once.
+COUNTERS, COUNTER_BITS, CHUNK = 1 << 16, np.uint64(48), 1 << 12
 #: Groups of a short list; hubs of a long one; groups of a long list's block; pairs of a document that one task verifies.
 SHORT, HUBS, BLOCK, PART = 32, 8, 1_000, 512
 #: Parts that a list's groups are ranked in before the hubs are chosen.
 RANKED = 64
 #: Sets of a task whose prefixes it sends once.
 SEEN = 200_000
+#: Keys of a part of a bitmap, the most parts, and keys that a task holds before it sends them.
+KEYS, PARTS, HELD = 1 << 18, 1 << 12, 1 << 20
 
 
 def needed(x: int, y: int, percent: int) -> int:
@@ -68,13 +72,127 @@ def shingle_counts(docs: DataFrame, *, id_col: str, text_col: str, shingle: int)
             n, id_type = len(sets), batch.column(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if id_type is not None:
-            used, counts = chunks(own)
-            n = len(used)
+            counted = own.reshape(-1, CHUNK)
+            used = np.flatnonzero(counted.any(axis=1))
+            counts, n = [packed(counted[k]) for k in used], len(used)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(used, pa.int32()), pa.array(counts, pa.binary())], names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles long, set_key binary, chunk int, counts binary")
 
 
+def _by_part(rows: DataFrame, fold: Callable[[int, list[bytes]], list], schema: str) -> DataFrame:
+    """rows (part, packed) -> what fold gives for each part, in one shuffle. A task goes from part to part and holds one at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, types = None, [], None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(fold(now, held), types, strict=True)], names)
+        types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+        for batch in batches:
+            for part, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield done()
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            yield done()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def summed(read: DataFrame) -> np.ndarray:
+    """The tasks' counters (chunk, counts), added up chunk by chunk: a task sends one row for each, however much it has read."""
+
+    def fold(chunk: int, rows: list[bytes]) -> list:
+        total = np.zeros(CHUNK, np.int64)
+        for x in rows:
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return [chunk, total.tobytes()]
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in _by_part(read.select(F.col("chunk").alias("part"), "counts"), fold, "part int, counts binary").collect():
+        out[r["part"] * CHUNK : (r["part"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's part, by its first bits, and the 32 bits behind them."""
+    bits = np.uint64(parts.bit_length() - 1)
+    keys = keys.view(np.uint64)
+    return (keys >> np.uint64(32) >> (np.uint64(32) - bits)).astype(np.int64), (keys >> (np.uint64(32) - bits)).astype(np.uint32)
+
+
+def _places(low: np.ndarray, bits: int) -> np.ndarray:
+    """The places of keys in a part of so many bits, by rows."""
+    x = low.astype(np.uint64) * M1
+    return np.stack([((x ^ (x >> np.uint64(32))) * (M2 + np.uint64(2 * k)) >> np.uint64(32)).astype(np.int64) & (bits - 1) for k in range(PLACES)])
+
+
+def bit_table(keys: DataFrame, least: int) -> np.ndarray:
+    """Bits that mark the 64-bit numbers which stand at least so often (1 or 2) in a column of arrays, a row for each part of the numbers.
+
+    Tasks send 32 bits of each, packed by parts whose number grows with the keys, and each part is put together by itself: one
+    shuffle of 4 bytes a key. The driver gets MAP_BITS / 8 bytes at most.
+    """
+    column = keys.columns[0]
+    total = keys.agg(F.sum(F.size(column))).first()[0] or 0
+    parts = min(PARTS, 1 << max(0, (total // KEYS).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            part, low = _split(np.concatenate(held), parts)
+            order = np.lexsort((low, part))
+            part, low = part[order], low[order]
+            again = np.ones(len(low), bool)  # no number is sent more often than it has to stand
+            again[least:] = (low[least:] != low[: len(low) - least]) | (part[least:] != part[: len(low) - least])
+            part, low = part[again], low[again]
+            used, first = np.unique(part, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([x.tobytes() for x in np.split(low, first[1:])], pa.binary())], ["part", "packed"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            n += len(held[-1])
+            if n >= HELD:
+                yield flushed()
+                held, n = [], 0
+        if n:
+            yield flushed()
+
+    def often(part: int, rows: list[bytes]) -> list:
+        low = np.sort(np.frombuffer(b"".join(rows), np.uint32))
+        found = np.unique(low if least == 1 else low[1:][low[1:] == low[:-1]])
+        return [part, len(found), found.tobytes()]
+
+    sent = keys.where(F.col(column).isNotNull()).mapInArrow(send, "part int, packed binary")
+    found = durable(_by_part(sent, often, "part int, n long, packed binary"), "keys")
+    most = found.agg(F.max("n")).first()[0] or 1
+    bits = min(MAP_BITS // parts, 1 << (max(1 << 10, BITS_EACH * most) - 1).bit_length())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.zeros(bits, bool)
+                own[_places(np.frombuffer(low, np.uint32), bits)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros((parts, bits // 8), np.uint8)
+    for r in found.select("part", "packed").mapInArrow(fill, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the numbers may be in the table, as places."""
+    part, low = _split(keys, len(table))
+    hit = np.ones(len(keys), bool)
+    for at in _places(low, table.shape[1] * 8):
+        hit &= (table[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return np.flatnonzero(hit)
+
+
 def prefixes(docs: DataFrame, counters, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """_id, grp, size, prefix of each row with shingles: the group of its prefix and size, and the prefix, rarest first, unless the task has sent this group's."""
     kind = dict(docs.dtypes)[id_col]
@@ -111,7 +229,7 @@ def postings(rows: DataFrame, shared) -> DataFrame:
             tokens = lists.flatten().to_numpy()
             many = np.diff(np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
             first = np.repeat(np.cumsum(many) - many, many)
-            hit = np.sort(marked(shared.value, tokens))
+            hit = marked(shared.value, tokens)
             at = pa.array(np.repeat(np.arange(len(many)), many)[hit], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array((np.arange(len(tokens)) - first)[hit], pa.int64())], ["token", "grp", "size", "place"])
 
@@ -121,11 +239,11 @@ def postings(rows: DataFrame, shared) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """rep, text of the rows whose id is in wanted (rep), and perhaps of some others. Nothing is shuffled."""
     kind = dict(docs.dtypes)[id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rep").alias("key")).distinct()))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.array(F.xxhash64("rep")).alias("keys")), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 10_000):
-            rows = pa.array(np.sort(marked(shared.value, batch.column(2).to_numpy())), pa.int64())
+            rows = pa.array(marked(shared.value, batch.column(2).to_numpy()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["rep", "text"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_key"))
@@ -240,19 +358,18 @@ def leading_pairs(entries: DataFrame, percent: int, condition: Column) -> DataFr
 
 
 def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Edges u, v between ids in reps (rep: one document of each distinct set) that connect all that is linked."""
+    """Edges u, v between ids in reps (rep: one document of each distinct set) that connect all that is linked, by what is found first as stars."""
     spark = docs.sparkSession
+    docs = docs.where(F.col(id_col).isNotNull())  # so each group has a member in reps
     share = spark.sparkContext.broadcast
     of = {"id_col": id_col, "text_col": text_col}
     rows = durable(prefixes(docs, share(counters), shingle=shingle, percent=percent, **of), "prefixes", at := new_path(spark, "prefixes"))
-    several = durable(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
-    posted = durable(postings(rows, share(bitmap(several))), "postings")
+    posted = durable(postings(rows, share(bit_table(rows.select("prefix"), 2))), "postings")
     members = durable(rows.join(reps, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "grp").distinct(), "members")
     discard(spark, at)
     groups = durable(members.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("m")), "groups")
-    known = posted.join(groups.select("grp"), "grp", "left_semi")
-    lists = known.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    listed = known.join(lists, "token")
+    lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    listed = posted.join(lists, "token")
     degree = F.count("*").alias("degree"), F.count_if(F.col("n") > SHORT).alias("long")
     entries = durable(listed.join(listed.groupBy("grp").agg(*degree), "grp"), "entries")
     is_long = F.col("n") > SHORT
@@ -273,7 +390,7 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
     leader = lambda side, name: groups.select(F.col("grp").alias(side), F.col("leader").alias(name))
     within = members.join(groups.where("m > 1"), "grp").select(F.col("leader").alias("u"), F.col("rep").alias("v"))
     first = durable(pairs.join(leader("a", "u"), "a").join(leader("b", "v"), "b").select("u", "v").union(within).where("u != v").distinct(), "first_pairs")
-    edges = durable(verified(first, texts(first.select(F.col("u").alias("rep")).union(first.select("v")).distinct(), "texts"), shingle, percent), "links")
+    edges = durable(verified(first, texts(first.select(F.col("u").alias("rep")).union(first.select("v")), "texts"), shingle, percent), "links")
     found = durable(components(edges), "components")
     named = durable(members.join(found, F.col("rep") == F.col("node"), "left").select("rep", "grp", F.coalesce("component", "rep").alias("component")), "named")
     spread = durable(named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")), "spread")
@@ -287,10 +404,11 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
     still = labelled.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("least != most").select("token", "n")
     open_ = durable(labelled.join(still, "token"), "open")
     rest = expanded(named, durable(again.union(leading_pairs(open_, percent, apart)).distinct(), "open_pairs"))
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     if rest.isEmpty():
-        return edges
-    ids = rest.select(F.col("u").alias("rep")).union(rest.select("v")).distinct()
-    return edges.unionByName(durable(verified(rest, texts(ids, "texts"), shingle, percent), "links"))
+        return stars
+    ids = rest.select(F.col("u").alias("rep")).union(rest.select("v"))
+    return stars.unionByName(durable(verified(rest, texts(ids, "texts"), shingle, percent), "links"))
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -304,7 +422,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
     read = durable(shingle_counts(docs, **of), "read")
     sign = read.where("chunk is null").select("_id", "n_shingles", "set_key")
-    counters = gathered(added(read.where("chunk is not null"), np.int64), COUNTERS, np.int64, CHUNK)
+    counters = summed(read.where("chunk is not null"))
     classes = durable(sign.where("set_key is not null").groupBy("set_key").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "classes")
     edges = similar_edges(docs, classes.where("rep is not null").select("rep").distinct(), counters, percent=percent, **of)
     # an id with several texts is one document, so it holds their classes together
