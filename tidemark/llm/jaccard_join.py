@@ -33,7 +33,7 @@ from tidemark.llm.common import discard, durable, new_path
 from tidemark.llm.components import components
 from tidemark.llm.counters import packed
 from tidemark.llm.decontaminate import BITS_EACH, MAP_BITS, PLACES
-from tidemark.llm.word_arrays import M1, M2, pieces, shingle_sets
+from tidemark.llm.word_arrays import BYTES, M1, M2, pieces, shingle_sets
 
 #: Counters of shingles, the bits of a hash that choose one, and counters that are added up at once.
 COUNTERS, COUNTER_BITS, CHUNK = 1 << 16, np.uint64(48), 1 << 12
@@ -233,35 +233,37 @@ def postings(rows: DataFrame, shared) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(many)), many)[hit], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array((np.arange(len(tokens)) - first)[hit], pa.int64())], ["token", "grp", "size", "place"])
 
-    return rows.where("prefix is not null").select("grp", "size", "prefix").mapInArrow(run, "token long, grp long, size long, place long").distinct()
+    return rows.where("prefix is not null").select("grp", "size", "prefix").mapInArrow(run, "token long, grp long, size long, place long").repartition("grp").distinct()  # a group's rows lie together, and compress
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """rep, text of the rows whose id is in wanted (rep), and perhaps of some others. Nothing is shuffled."""
+    """rep, packed text of the rows whose id is in wanted (rep), and perhaps of some others. Nothing is shuffled."""
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.array(F.xxhash64("rep")).alias("keys")), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 10_000):
             rows = pa.array(marked(shared.value, batch.column(2).to_numpy()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["rep", "text"])
+            texts = [zlib.compress(x, 1) for x in batch.column(1).take(rows).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(texts, pa.binary())], ["rep", "text"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_key"))
-    return rows.mapInArrow(run, f"rep {kind}, text string")
+    return rows.mapInArrow(run, f"rep {kind}, text binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """pairs (u, v) -> those whose full sets are similar enough.
 
-    Texts are sent and not sets, since they compress to less. The v of a u pass one by one, in parts of so many.
+    Texts are sent and not sets, since they compress to less, and packed one by one. The v of a u pass one by one, in parts of so many.
     """
     kind = dict(pairs.dtypes)["u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
-        for batch in pieces(batches):
+        for batch in pieces(batches, 200, BYTES >> 2):  # unpacked, they are larger
             us, vs = [], []
-            for u, part, v, s in zip(*(c.to_pylist() for c in batch.columns[:3]), shingle_sets(batch.column(3), shingle), strict=True):
+            texts = pa.array([zlib.decompress(x) for x in batch.column(3).to_pylist()], pa.binary()).cast(pa.string())
+            for u, part, v, s in zip(*(c.to_pylist() for c in batch.columns[:3]), shingle_sets(texts, shingle), strict=True):
                 if (u, part) != now:
                     now, own = (u, part), []
                 if v is None:
@@ -280,9 +282,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
-    own = dealt.select("u", "part").distinct().join(texts, F.col("u") == F.col("rep")).select("u", "part", F.lit(None).cast(kind).alias("v"), "text")
-    other = dealt.join(texts, F.col("v") == F.col("rep")).select("u", "part", "v", "text")
-    dealt_out = own.unionByName(other).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    own = dealt.select(F.col("u").alias("rep"), "u", "part", F.lit(None).cast(kind).alias("v")).distinct()
+    both = own.union(dealt.select(F.col("v").alias("rep"), "u", "part", "v")).join(texts, "rep").select("u", "part", "v", "text")
+    dealt_out = both.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     return dealt_out.mapInArrow(run, f"u {kind}, v {kind}")
 
 
@@ -364,15 +366,16 @@ def similar_edges(docs: DataFrame, reps: DataFrame, counters: np.ndarray, *, id_
     share = spark.sparkContext.broadcast
     of = {"id_col": id_col, "text_col": text_col}
     rows = durable(prefixes(docs, share(counters), shingle=shingle, percent=percent, **of), "prefixes", at := new_path(spark, "prefixes"))
-    posted = durable(postings(rows, share(bit_table(rows.select("prefix"), 2))), "postings")
+    posted = durable(postings(rows, share(bit_table(rows.select("prefix"), 2))), "postings", listed_at := new_path(spark, "postings"))
     members = durable(rows.join(reps, F.col("_id") == F.col("rep"), "left_semi").select(F.col("_id").alias("rep"), "grp").distinct(), "members")
     discard(spark, at)
     groups = durable(members.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("m")), "groups")
     lists = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     listed = posted.join(lists, "token")
-    degree = F.count("*").alias("degree"), F.count_if(F.col("n") > SHORT).alias("long")
-    entries = durable(listed.join(listed.groupBy("grp").agg(*degree), "grp"), "entries")
     is_long = F.col("n") > SHORT
+    own = Window.partitionBy("grp")  # as many rows as a prefix holds
+    entries = durable(listed.withColumns({"degree": F.count("*").over(own), "long": F.count_if(is_long).over(own)}), "entries")
+    discard(spark, listed_at)
     short = entries.where(~is_long).withColumn("other", F.col("long")).drop("long")
     long = entries.where(is_long).withColumn("other", F.col("degree") - F.col("long")).drop("long")
     pairs = durable(group_pairs(short, percent).union(hub_pairs(long.drop("n", "other"), percent)).distinct(), "group_pairs")
