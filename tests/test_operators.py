@@ -339,3 +339,20 @@ def test_articles_meet_queries_in_parts_without_broadcasts(spark):
         rows = got.collect()
         assert {(x.q, x.d, x.score, x.shared, x.evidence, x.place) for x in rows} == want and len(rows) == len(want) > 30
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_leave_their_task_as_they_are_found(monkeypatch):
+    """A slab whose sets are all alike: every pair, in batches of bounded size."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 600
+    slab = pa.table({"block": ["b"] * n, "slab": pa.array([0] * n, pa.int32()), "id": np.arange(n), "t": [[1, 2, 3, 10 + k] for k in range(n)]})
+    row = relations._packed(slab)
+    batch = pa.table({"block": row["block"], "x": row["slab"], "y": row["slab"]} | {f"{s}_{c}": row[c] for s in "xy" for c in ("ids", "sizes", "known", "codes")}).to_batches()
+    monkeypatch.setattr(relations, "PAIRS", 1_000)
+    run, _ = relations._compared(("string", "long"), 62, 72)
+    made = list(run(iter(batch)))
+    assert max(b.num_rows for b in made) == 1_000
+    pairs = {(x["a"], x["b"]) for b in made for x in b.to_pylist() if (x["n_shared"], x["n_all"], x["n_less"]) == (3, 5, 4)}
+    assert len(pairs) == sum(b.num_rows for b in made) == n * (n - 1) // 2 and all(a < b for a, b in pairs)
