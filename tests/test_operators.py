@@ -356,3 +356,21 @@ def test_pairs_leave_their_task_as_they_are_found(monkeypatch):
     assert max(b.num_rows for b in made) == 1_000
     pairs = {(x["a"], x["b"]) for b in made for x in b.to_pylist() if (x["n_shared"], x["n_all"], x["n_less"]) == (3, 5, 4)}
     assert len(pairs) == sum(b.num_rows for b in made) == n * (n - 1) // 2 and all(a < b for a, b in pairs)
+
+
+def test_slabs_are_not_copied_to_be_compared(spark, monkeypatch):
+    """Many slabs, bounded by tokens too, in several partitions: the same pairs as all against all, and what is shuffled for it is each slab once."""
+    r = random.Random(8)
+    rows = [(k, "ab"[k % 2], [f"t{x}" for x in r.sample(range(40), r.choice([2, 5, 30]))]) for k in range(150)]
+    rows += [(200 + k, b, t[1:] + ["new"]) for k, b, t in rows[:40]]
+    df = spark.createDataFrame(rows, "id long, block string, t array<string>")
+    first = {}
+    for k, b, t in rows:
+        first.setdefault((b, frozenset(t)), k)
+    want = sorted((b, k, m, len(s & t), len(s | t)) for (b, s), k in first.items() for (c, t), m in first.items() if k < m and b == c and 100 * len(s & t) >= 62 * len(s | t))
+    for name, x in (("SLAB", 12), ("FEW", 12), ("TOKENS", 60), ("HELD", 2), ("PARTS", 3), ("NARROW", 4), ("WIDTH", 16)):
+        monkeypatch.setattr(relations, name, x)
+    made = relations.jaccard_pairs(df, "id", "block", "t", 62)
+    assert sorted(map(tuple, made.collect())) == want and len(want) > 30
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan and "Broadcast" not in plan
